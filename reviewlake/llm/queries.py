@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlake.llm import lines, quality, simhash
+from reviewlake.llm import decontamination, lines, pieces, quality, secrets, simhash
 from reviewlake.llm.common import table
 
 
@@ -14,6 +14,16 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_boilerplate(docs, dropped="n_dropped").select("doc_id", "text", "n_dropped")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, and the digest of the text that they decode to."""
+    back = pieces.decode(pieces.encode(table(spark, sf_dir, "documents")), out="decoded")
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=3)
     return found.select("doc_id", simhash.fingerprint_hex().alias("fingerprint"), "component_id")
@@ -23,5 +33,9 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality", "pattern")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op8_simhash_near_dedup, op9_quality_rules)}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_secret_scan, op6_sentencepiece, op8_simhash_near_dedup, op9_quality_rules, op10_decontamination)}
 ORACLES: dict[str, str] = {"op1_line_dedup": lines.ORACLE_SQL}
