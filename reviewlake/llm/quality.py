@@ -142,6 +142,9 @@ def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs that pass, with all their columns; rejected documents go."""
+    columns = docs.columns
     m = _pattern(with_measures(docs, text, "__m"), "__m", "__pattern")
     fitted = fit(_counts(m.select(F.col("__pattern").alias("pattern"))))
-    return m.filter(~base_failed("__m") & (_posterior("__pattern", fitted) >= KEEP_AT)).drop("__m", "__pattern")
+    # The row number keeps the optimizer from moving the filter below the measures, where it would repeat their expressions.
+    good = m.select(*columns, (~base_failed("__m") & (_posterior("__pattern", fitted) >= KEEP_AT)).alias("__kept"), F.monotonically_increasing_id().alias("__row"))
+    return good.filter(F.col("__kept") & (F.col("__row") >= 0)).select(*columns)

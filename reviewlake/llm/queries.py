@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlake.llm import decontamination, lines, pieces, quality, secrets, simhash
+from reviewlake.llm import decontamination, lines, pieces, quality, repeats, secrets, simhash
 from reviewlake.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text, and the digest of the text that they decode to."""
     back = pieces.decode(pieces.encode(table(spark, sf_dir, "documents")), out="decoded")
@@ -37,5 +41,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_secret_scan, op6_sentencepiece, op8_simhash_near_dedup, op9_quality_rules, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_secret_scan, op4_suffix_array_dedup, op6_sentencepiece, op8_simhash_near_dedup, op9_quality_rules, op10_decontamination)}
 ORACLES: dict[str, str] = {"op1_line_dedup": lines.ORACLE_SQL}

@@ -126,3 +126,19 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, doc_id: st
 
 def fingerprint_hex(fp="fp"):
     return F.lpad(F.lower(F.hex(F.col(fp))), 16, "0")
+
+
+def keep_one(docs: DataFrame, words: int = 5, radius: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without the near copies: of each component the row with the smallest doc_id stays, with all its columns.
+
+    Of repeated rows with that doc_id one stays. Rows without a doc_id stay
+    only where their component has no row with one, one of them.
+    """
+    columns = docs.columns
+    found = near_duplicates(docs, words, radius, doc_id, text)
+    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
+    kept = docs.join(gone, F.col(doc_id).eqNullSafe(F.col("__gone")), "left_anti")
+    repeated = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").count().filter("count > 1")
+    if repeated.isEmpty():
+        return kept.select(*columns)
+    return kept.dropDuplicates([doc_id]).select(*columns)
