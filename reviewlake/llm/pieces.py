@@ -14,6 +14,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -24,9 +25,8 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 #: Words kept with their ids between batches, and characters up to which a word is encoded with others.
-CACHE, LONGEST = 400_000, 48
-_BASE = np.uint64(0x100000001B3)
-_WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+CACHE, LONGEST = 150_000, 48
+_BASE, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -76,13 +76,40 @@ def read_model(path: str) -> dict:
 
 
 def _hash(chars: np.ndarray) -> np.ndarray:
-    """Prefix hashes of the rows of a matrix of code points."""
-    out = np.zeros((chars.shape[0], chars.shape[1] + 1), np.uint64)
+    """Prefix hashes of the rows of a matrix of code points, a row of results for each length."""
+    out = np.zeros((chars.shape[1] + 1, chars.shape[0]), np.uint64)
     for i in range(chars.shape[1]):
-        out[:, i + 1] = out[:, i] * _BASE + chars[:, i] + np.uint64(7)
+        out[i + 1] = out[i] * _BASE + chars[:, i] + np.uint64(7)
     return out
 
 
+class Lookup:
+    """Values of unsigned 64-bit keys, for whole arrays of keys: spread, sorted, with the place where each range of high bits begins."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, bits: int = 18) -> None:
+        keys = keys * _SPREAD
+        order = np.argsort(keys)
+        self.keys, self.values, self.shift = np.append(keys[order], np.uint64(0)), np.append(values[order], -1), np.uint64(64 - bits)
+        bounds = np.searchsorted(self.keys[:-1], np.arange(1 << bits, dtype=np.uint64) << self.shift)
+        self.begin = bounds.astype(np.int32)
+        self.deepest = int(np.diff(np.append(bounds, len(keys))).max(initial=0))
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """The value of each key, -1 where there is none."""
+        keys = keys * _SPREAD
+        at = self.begin[(keys >> self.shift).astype(np.int64)]
+        out = np.where(self.keys[at] == keys, self.values[at], -1)
+        open_ = np.flatnonzero((out < 0) & (self.keys[at] < keys))
+        for _ in range(self.deepest - 1):
+            if not len(open_):
+                break
+            at[open_] = np.minimum(at[open_] + 1, len(self.keys) - 1)
+            own = self.keys[at[open_]]
+            out[open_] = np.where(own == keys[open_], self.values[at[open_]], -1)
+            open_ = open_[own < keys[open_]]
+        return out
+
+
 class Pieces:
     """Encoder and decoder of one model."""
 
@@ -98,13 +125,17 @@ class Pieces:
         self.ids = {self.names[i]: i for i in usable}
         self.longest = max(map(len, self.ids), default=1)
         keys = np.array([self._key(p) for p in self.ids], np.uint64)
-        order = np.argsort(keys)
-        self.keys, self.key_ids = keys[order], np.array(list(self.ids.values()), np.int64)[order]
         if len(np.unique(keys)) < len(keys):
             raise ValueError("two pieces share a hash")
+        self.piece_of = Lookup(keys, np.array(list(self.ids.values()), np.int64))
         self.powers = np.array([pow(int(_BASE), k, 1 << 64) for k in range(self.longest + 1)], np.uint64)
-        self.cache: dict[str, int] = {}
-        self.flat: list[np.ndarray] = []
+        # Pieces of several characters hold none of the others, which therefore part words as spaces do.
+        inner = re.escape("".join(sorted({c for p in self.ids if len(p) > 1 for c in p} - {SPACE}))) or "a"
+        self.word = re.compile(f"{SPACE}+[{inner}]*|[{inner}]+|[^{inner}{SPACE}]")
+        self.said = [b"" if i in self.control else p.replace(SPACE, " ").encode("utf-8", "surrogatepass") for i, p in enumerate(self.names)]
+        for byte, i in self.bytes.items():
+            self.said[i] = bytes([byte])
+        self._forget()
         if self.type == BPE:
             self._derive()
 
@@ -133,9 +164,8 @@ class Pieces:
             else:
                 self.left[i], self.right[i] = last
         self.reachable = reachable
-        pairs.sort()
-        self.pair_keys = np.array([k for k, _ in pairs], np.int64)
-        self.pair_ids = np.array([i for _, i in pairs], np.int64)
+        keys, joined = (np.array(x, np.int64) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
+        self.pair_of = Lookup(keys.astype(np.uint64), joined)
 
     def _merge(self, word: str) -> tuple[list[str], tuple[int, int] | None]:
         """Plain merging with a heap: the parts, and the ids joined last. For single words and for deriving pieces."""
@@ -167,10 +197,8 @@ class Pieces:
 
     def _joined(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Rank of the piece that x and y make; infinite if none. Unknown characters have id -1."""
-        keys = (x << 32) | y
-        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
-        ok = (x >= 0) & (y >= 0) & (self.pair_keys[at] == keys)
-        return np.where(ok, self.rank[self.pair_ids[at]], np.inf)
+        joined = self.pair_of(((x << 32) | y).astype(np.uint64))
+        return np.where((joined >= 0) & (x >= 0) & (y >= 0), self.rank[joined], np.inf)
 
     def _valid(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether merging leaves the pieces a and b next to each other.
@@ -195,100 +223,103 @@ class Pieces:
             x, y = np.where(undo, self.right[x], x), np.where(undo, y, self.left[y])
         return ok
 
-    def lattice(self, words: list[str]) -> list[list[int]]:
-        """Ids of words of one length, -1 for an unknown character."""
+    def lattice(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, their number by word) for words of one length; -1 is an unknown character."""
         size, n = len(words[0]), len(words)
         chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, size).astype(np.uint64)
         prefix = _hash(chars)
-        best = np.full((n, size + 1), -np.inf)
-        best[:, 0] = 0.0
-        taken, ids = np.zeros((n, size + 1), np.int64), np.full((n, size + 1), -1, np.int64)
+        best = np.full((size + 1, n), -np.inf)
+        best[0] = 0.0
+        taken, ids = np.zeros((size + 1, n), np.int64), np.full((size + 1, n), -1, np.int64)
         for end in range(1, size + 1):
             for length in range(min(end, self.longest), 0, -1):
                 begin = end - length
-                keys = prefix[:, end] - prefix[:, begin] * self.powers[length]
-                at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-                piece = np.where(self.keys[at] == keys, self.key_ids[at], -1)
-                row = np.flatnonzero((piece >= 0) if length > 1 else np.ones(n, bool))
+                piece = self.piece_of(prefix[end] - prefix[begin] * self.powers[length])
+                row = np.flatnonzero(piece >= 0) if length > 1 else np.arange(n)
+                if not len(row):
+                    continue
+                own = piece[row]
                 if self.type == BPE:
-                    row = row[(taken[row, end] == 0) & self.reachable[piece[row]]]
+                    ok = (taken[end, row] == 0) & self.reachable[own]
+                    row, own = row[ok], own[ok]
                     if begin and len(row):
-                        row = row[self._valid(ids[row, begin], piece[row])]
-                    taken[row, end], ids[row, end] = length, piece[row]
+                        ok = self._valid(ids[begin, row], own)
+                        row, own = row[ok], own[ok]
                 else:
-                    value = best[row, begin] + np.where(piece[row] >= 0, self.score[piece[row]], self.least)
-                    up = value > best[row, end]
-                    row = row[up]
-                    best[row, end], taken[row, end], ids[row, end] = value[up], length, piece[row]
-        out: list[list[int]] = [[] for _ in words]
-        at, live = np.full(n, size), np.arange(n)
+                    value = best[begin, row] + np.where(own >= 0, self.score[own], self.least)
+                    up = value > best[end, row]
+                    row, own = row[up], own[up]
+                    best[end, row] = value[up]
+                taken[end, row], ids[end, row] = length, own
+        steps, at, live = [], np.full(n, size), np.arange(n)
         while len(live):
             here = at[live]
-            for w, i in zip(live.tolist(), ids[live, here].tolist()):
-                out[w].append(i)
-            at[live] = here - taken[live, here]
+            step = np.full(n, -2, np.int64)
+            step[live] = ids[here, live]
+            steps.append(step)
+            at[live] = here - taken[here, live]
             live = live[at[live] > 0]
-        return [x[::-1] for x in out]
+        path = np.stack(steps[::-1], axis=1)
+        return path[path != -2], (path != -2).sum(axis=1)
 
     def _spelled(self, word: str, ids: list[int]) -> list[int]:
         """Unknown characters as their bytes, or as the unknown id where the model has none."""
-        if -1 not in ids:
-            return ids
         out, at = [], 0
         for i in ids:
-            size = 1 if i < 0 else len(self.names[i])
             if i >= 0:
                 out.append(i)
             elif self.bytes:
                 out += [self.bytes[b] for b in word[at].encode("utf-8", "replace")]
             elif not out or out[-1] != self.unknown:
                 out.append(self.unknown)
-            at += size
+            at += 1 if i < 0 else len(self.names[i])
         return out
 
-    def words(self, words: Iterable[str]) -> None:
-        """Encodes the words that the cache lacks: those of one length together."""
+    def _forget(self) -> None:
+        self.cache: dict[str, int] = {}
+        self.flat, self.sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+
+    def _put(self, words: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
+        if len(flat) and flat.min() < 0:
+            ends = np.cumsum(sizes)
+            parts = [x if x.min() >= 0 else np.array(self._spelled(w, x.tolist())) for w, x in zip(words, np.split(flat, ends[:-1]))]
+            flat, sizes = np.concatenate(parts), np.array([len(x) for x in parts])
+        self.cache.update(zip(words, range(len(self.cache), len(self.cache) + len(words))))
+        self.flat.append(flat.astype(np.int32))
+        self.sizes.append(sizes)
+
+    def learn(self, words: Iterable[str]) -> None:
+        """Encodes words that the cache lacks: those of one length together, runs of spaces and very long words by plain merging."""
         groups: dict[int, list[str]] = {}
         for w in words:
-            groups.setdefault(len(w), []).append(w)
+            plain = self.type == BPE and (len(w) > LONGEST or w.startswith(SPACE * 2))
+            groups.setdefault(0 if plain else len(w), []).append(w)
+        for w in groups.pop(0, []):
+            ids = [self.ids.get(p, -1) for p in self._merge(w)[0]]
+            self._put([w], np.array(ids, np.int64), np.array([len(ids)]))
         for size, group in groups.items():
-            if self.type == BPE and (size > LONGEST or any(w.startswith(SPACE * 2) for w in group)):
-                plain = [w for w in group if size > LONGEST or w.startswith(SPACE * 2)]
-                for w in plain:
-                    self._put(w, [self.ids.get(p, -1) for p in self._merge(w)[0]])
-                group = [w for w in group if w not in self.cache]
-            for a in range(0, len(group), 20_000 if size <= LONGEST else 16):
-                part = group[a : a + (20_000 if size <= LONGEST else 16)]
-                for w, ids in zip(part, self.lattice(part)):
-                    self._put(w, ids)
-
-    def _put(self, word: str, ids: list[int]) -> None:
-        self.cache[word] = len(self.flat)
-        self.flat.append(np.array(self._spelled(word, ids), np.int32))
+            most = 8_000 if size <= LONGEST else 16
+            for a in range(0, len(group), most):
+                self._put(group[a : a + most], *self.lattice(group[a : a + most]))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids) of all texts; a null or empty text has no ids."""
         if len(self.cache) > CACHE:
-            self.cache, self.flat = {}, []
-        split = [_WORDS.findall((SPACE if self.dummy else "") + t.replace(" ", SPACE)) if t else [] for t in texts]
-        self.words({w for ws in split for w in ws if w not in self.cache})
-        cache = self.cache
-        index = np.fromiter((cache[w] for ws in split for w in ws), np.int64)
-        sizes = np.fromiter(map(len, self.flat), np.int64, len(self.flat))
-        starts = np.cumsum(sizes) - sizes
-        flat = np.concatenate(self.flat) if self.flat else np.zeros(0, np.int32)
+            self._forget()
+        split = [self.word.findall((SPACE if self.dummy else "") + t.replace(" ", SPACE)) if t else [] for t in texts]
+        every = list(chain.from_iterable(split))
+        self.learn(set(every).difference(self.cache))
+        self.flat, self.sizes = [np.concatenate(self.flat)], [np.concatenate(self.sizes)]
+        flat, sizes = self.flat[0], self.sizes[0]
+        index = np.fromiter(map(self.cache.__getitem__, every), np.int64, len(every))
         n = sizes[index]
         total = np.concatenate(([0], np.cumsum(n)))
-        ids = flat[np.repeat(starts[index] - total[:-1], n) + np.arange(total[-1])]
-        bounds = np.concatenate(([0], np.cumsum([len(ws) for ws in split], dtype=np.int64)))
-        return total[bounds], ids
+        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[index] - total[:-1], n) + np.arange(total[-1])]
+        return total[np.concatenate(([0], np.cumsum([len(ws) for ws in split], dtype=np.int64)))], ids
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of the ids: bytes are put together, control pieces say nothing."""
-        names, control = self.names, self.control
-        of_byte = {i: bytes([b]) for b, i in self.bytes.items()}
-        raw = b"".join(of_byte.get(i) or names[i].encode("utf-8", "surrogatepass") for i in ids if i not in control)
-        text = raw.decode("utf-8", "replace").replace(SPACE, " ")
+        text = b"".join(map(self.said.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.dummy and text.startswith(" ") else text
 
 
@@ -309,8 +340,8 @@ def encode(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", tex
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(held.value)
         for b in batches:
-            for a in range(0, b.num_rows, 2000):
-                part = b.slice(a, 2000)
+            for a in range(0, b.num_rows, 1000):
+                part = b.slice(a, 1000)
                 offsets, ids = pieces.encode(part.column("text").to_pylist())
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], ["doc_id", "ids"])
