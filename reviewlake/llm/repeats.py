@@ -243,43 +243,63 @@ def _repeated(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield tail[["d", "at"]]
 
 
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The maximal runs that the spans cover."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
 def _suffix_rows(batches: Iterable[pd.DataFrame], size: int, seed: int, held: int = 100_000) -> Iterator[pd.DataFrame]:
-    """Suffix rows at the anchors of each document; copies of one seen earlier in this task become spans at once."""
+    """Windows' bytes around the anchors of each document; copies of what this task saw earlier become spans at once.
+
+    Rows to sort have the bytes in ``whole``, their place in ``start`` and the
+    anchor's place in them in ``at``; settled rows have a span in ``start`` and
+    ``end`` instead. ``lead`` is the first bytes at the anchor, or spreads
+    settled rows over the buckets.
+    """
     seen: dict[bytes, tuple[int, int]] = {}
     for b in batches:
         rows = []
         for d, th, t, places in zip(b["d"], b["th"], b["text"], b["places"]):
             data = t.encode("utf-8", "surrogatepass")
+            settled = []
             for at in np.unique(places).tolist():
                 first = at >> (2 * _SPAN)
-                last, q = first + (at >> _SPAN & (1 << _SPAN) - 1), first + (at & (1 << _SPAN) - 1)
+                last, inner = first + (at >> _SPAN & (1 << _SPAN) - 1), at & (1 << _SPAN) - 1
                 whole = data[first : last + size]
                 if len(whole) < last + size - first:
                     continue  # of another text of this doc_id
-                key = hashlib.blake2b(whole, digest_size=16, salt=(q - first).to_bytes(2, "little")).digest()
+                key = hashlib.blake2b(whole, digest_size=16, salt=inner.to_bytes(2, "little")).digest()
                 origin = seen.get(key)
-                if origin is not None and origin < (d, q):
-                    rows.append((key, d, th, first, last + size, None, None))
+                if origin is not None and origin < (d, first):
+                    settled.append((first, last + size))
                     continue
                 if len(seen) >= held:
                     seen.clear()
-                seen[key] = (d, q)
-                rows.append((data[q : q + seed], d, th, q, 0, data[q : last + size], data[first:q][::-1]))
+                seen[key] = (d, first)
+                rows.append((d, th, first, 0, inner, whole))
+            rows += [(d, th, start, end, int.from_bytes(hashlib.blake2b(b"%d %d" % (d, start), digest_size=3).digest(), "little"), None) for start, end in _merged(settled)]
         if rows:
-            yield pd.DataFrame(rows, columns=["lead", "d", "th", "start", "end", "right", "left"])
+            yield pd.DataFrame(rows, columns=["d", "th", "start", "end", "at", "whole"])
 
 
 def _bucket_rows(batches: Iterable[pd.DataFrame], size: int, seed: int) -> Iterator[pd.DataFrame]:
     """Spans from rows sorted by their leading bytes; whole groups of equal leads are sorted together."""
 
     def spans(rows: pd.DataFrame) -> pd.DataFrame:
-        row, start, end = bucket_spans(rows["d"].to_numpy(), rows["start"].to_numpy(), rows["right"].tolist(), rows["left"].tolist(), size, seed)
+        at, whole = rows["at"].tolist(), rows["whole"].tolist()
+        row, start, end = bucket_spans(rows["d"].to_numpy(), rows["start"].to_numpy() + rows["at"].to_numpy(), [w[k:] for w, k in zip(whole, at)], [w[:k][::-1] for w, k in zip(whole, at)], size, seed)
         return pd.DataFrame({"d": rows["d"].to_numpy()[row], "th": rows["th"].to_numpy()[row], "start": start, "end": end})
 
     waiting: list[pd.DataFrame] = []
     n = 0
     for b in batches:
-        done = b["right"].isna()
+        done = b["whole"].isna()
         if done.any():
             yield b.loc[done, ["d", "th", "start", "end"]]
         b = b[~done]
@@ -289,7 +309,7 @@ def _bucket_rows(batches: Iterable[pd.DataFrame], size: int, seed: int) -> Itera
         n += len(b)
         if n >= SORT_ROWS:
             rows = pd.concat(waiting, ignore_index=True)
-            lead = rows["lead"].to_numpy()
+            lead = [w[k : k + seed] for w, k in zip(rows["whole"], rows["at"])]
             cut = len(rows) - 1
             while cut and lead[cut - 1] == lead[-1]:
                 cut -= 1
@@ -304,12 +324,7 @@ def _bucket_rows(batches: Iterable[pd.DataFrame], size: int, seed: int) -> Itera
 
 def _kept(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     """(bytes left, bytes removed, maximal removed runs)."""
-    runs: list[list[int]] = []
-    for a, b in sorted(spans):
-        if runs and a <= runs[-1][1]:
-            runs[-1][1] = max(runs[-1][1], b)
-        else:
-            runs.append([a, b])
+    runs = _merged(spans)
     edges = [0, *(x for r in runs for x in r), len(data)]
     return b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])), sum(b - a for a, b in runs), len(runs)
 
@@ -329,9 +344,10 @@ def without_repeats(docs: DataFrame, size: int = SIZE, seed: int = SEED, doc_id:
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     again = found.repartitionByRange(n, "h", "d").sortWithinPartitions("h").mapInPandas(_repeated, "d long, at long")
     places = again.groupBy("d").agg(F.collect_list("at").alias("places"))
-    kinds = "lead binary, d long, th long, start long, end long, right binary, left binary"
-    suffixes = prepared.join(places, "d").withColumn("th", F.xxhash64("text")).mapInPandas(lambda x: _suffix_rows(x, size, seed), kinds)
-    spans = suffixes.repartitionByRange(n, "lead").sortWithinPartitions("lead").mapInPandas(lambda x: _bucket_rows(x, size, seed), "d long, th long, start long, end long")
+    suffixes = prepared.join(places, "d").withColumn("th", F.xxhash64("text")).mapInPandas(lambda x: _suffix_rows(x, size, seed), "d long, th long, start int, end int, at int, whole binary")
+    # Settled rows have no bytes to sort by: a number spreads them.
+    lead = F.coalesce(F.expr(f"substring(whole, at + 1, {seed})"), F.unhex(F.lpad(F.hex("at"), 6, "0")))
+    spans = suffixes.repartitionByRange(n, lead).sortWithinPartitions(lead).mapInPandas(lambda x: _bucket_rows(x, size, seed), "d long, th long, start long, end long")
     by_doc = spans.groupBy("d").agg(F.collect_list(F.struct("th", "start", "end")).alias("spans"))
 
     def finish(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
