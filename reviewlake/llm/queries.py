@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlake.llm import decontamination, lines, pieces, quality, repeats, secrets, simhash
+from reviewlake.llm import chat, decontamination, lines, markup, pieces, quality, repeats, secrets, simhash
 from reviewlake.llm.common import table
 
 
@@ -18,6 +18,12 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message in reply order, without its quotes, and its chat form."""
+    found = chat.conversations(table(spark, sf_dir, "conversations"))
+    return found.withColumn("chat", chat.chat_text()).select("conv_id", "turn", "role", "chat", "parent_turn", "root_turn", "position", "n_quotes", "linked")
+
+
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -28,6 +34,10 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=3)
     return found.select("doc_id", simhash.fingerprint_hex().alias("fingerprint"), "component_id")
@@ -41,5 +51,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_secret_scan, op4_suffix_array_dedup, op6_sentencepiece, op8_simhash_near_dedup, op9_quality_rules, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_secret_scan, op3_chat_formatting, op4_suffix_array_dedup, op6_sentencepiece, op7_html_extraction, op8_simhash_near_dedup, op9_quality_rules, op10_decontamination)}
 ORACLES: dict[str, str] = {"op1_line_dedup": lines.ORACLE_SQL}
