@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlake.llm import chat, decontamination, lines, markup, pieces, quality, repeats, secrets, simhash
+from reviewlake.llm import chat, decontamination, lines, markup, pieces, pii, quality, repeats, secrets, simhash
 from reviewlake.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents")).drop("found", "text")
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text, and the digest of the text that they decode to."""
     back = pieces.decode(pieces.encode(table(spark, sf_dir, "documents")), out="decoded")
@@ -51,5 +55,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_secret_scan, op3_chat_formatting, op4_suffix_array_dedup, op6_sentencepiece, op7_html_extraction, op8_simhash_near_dedup, op9_quality_rules, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_secret_scan, op3_chat_formatting, op4_suffix_array_dedup, op5_pii, op6_sentencepiece, op7_html_extraction, op8_simhash_near_dedup, op9_quality_rules, op10_decontamination)}
 ORACLES: dict[str, str] = {"op1_line_dedup": lines.ORACLE_SQL}
