@@ -17,6 +17,8 @@ from reviewlake.llm.common import BLANKS, settled
 
 #: Words of a window whose repetition counts.
 WINDOW = 3
+#: Words that only mark an item of a list.
+MARKS = ("|", "-", "*", "•", "·", ">", "#", "–", "—", "/", "~", "=")
 #: A document is kept from this posterior probability of good quality.
 KEEP_AT = 0.5
 
@@ -29,6 +31,7 @@ def rules() -> list[tuple[str, Column, Column]]:
     """The rules over the struct m of measures: each votes bad, votes good or abstains."""
     symbols, shouts, capitals = _per("n_symbols", "n_words"), _per("n_shouts", "n_words"), _per("n_capitals", "word_chars")
     repeats, lines, distinct = _per("n_repeat_words", "n_words"), _per("n_dup_lines", "n_lines"), _per("n_distinct_words", "n_words")
+    marks = _per("n_marks", "n_words")
     mean, plain = _per("word_chars", "n_words"), _per("n_plain_chars", "word_chars")
     return [
         ("symbol_density", symbols > 0.25, symbols < 0.05),
@@ -38,6 +41,7 @@ def rules() -> list[tuple[str, Column, Column]]:
         ("repeated_windows", repeats > 0.4, repeats < 0.15),
         ("distinct_words", (distinct < 0.2) & (F.col("m.n_words") < 1000), distinct > 0.4),
         ("repeated_lines", lines > 0.5, lines < 0.2),
+        ("list_marks", marks > 0.15, marks < 0.05),
         ("word_length", (mean < 2) | (mean > 15), (mean >= 3) & (mean <= 10)),
     ]
 
@@ -80,6 +84,7 @@ def with_measures(docs: DataFrame, text: str = "text", out: str = "__measures")
         "n_shouts": _removed(t, "[^!]+"),
         "n_capitals": _removed(t, r"\P{Lu}+"),
         "n_plain_chars": F.length(F.array_join("__words", "")).cast("long") - _removed(t, r"[^#*$%&|<>!~^={}\[\]\\/_+@]+"),
+        "n_marks": size(F.filter("__words", lambda w: w.isin(*MARKS))),
         "n_distinct_words": size(F.array_distinct("__words")),
     }
     return step.withColumn(out, F.struct(*[c.alias(k) for k, c in fields.items()])).drop("__words", "__lines", "__bits", "__keys", "__found")
