@@ -44,14 +44,14 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp) per row; fp holds the 64 bits as a signed long. A null text counts as empty."""
+    """(doc_id, text_hash, fp) per row; fp holds the 64 bits as a signed long. A null text counts as empty."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fps = np.fromiter((fingerprint(t, words) for t in b["text"]), np.uint64, len(b))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fps.view(np.int64)})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "text_hash": b["text_hash"], "fp": fps.view(np.int64)})
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, "doc_id long, fp long")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).mapInPandas(run, "doc_id long, text_hash long, fp long")
 
 
 def covering_masks(positions: list[int], radius: int) -> list[int]:
@@ -107,6 +107,17 @@ def fingerprint_links(distinct: DataFrame, radius: int = 3, bucket: int = BUCKET
     return small.unionByName(large).mapInPandas(run, "u long, v long")
 
 
+def grouped(docs: DataFrame, words: int, radius: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text_hash, fp, root, component_id) per row of docs; root names the component by its least fingerprint."""
+    rows = settled(fingerprints(docs, words, doc_id, text))
+    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    linked = components(fingerprint_links(distinct.select("fp"), radius)).withColumnRenamed("vertex", "fp")
+    rooted = distinct.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = rooted.join(least, "root").select("fp", "root", "component_id")
+    return rows.join(named, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) per row of docs.
 
@@ -115,13 +126,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, doc_id: st
     repeated rows stay, each with its result; a null doc_id takes part but
     names no component. An empty table gives no rows.
     """
-    rows = settled(fingerprints(docs, words, doc_id, text))
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    linked = components(fingerprint_links(distinct.select("fp"), radius)).withColumnsRenamed({"vertex": "fp", "root": "root"})
-    rooted = distinct.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    return grouped(docs, words, radius, doc_id, text).select("doc_id", "fp", "component_id")
 
 
 def fingerprint_hex(fp="fp"):
@@ -129,16 +134,20 @@ def fingerprint_hex(fp="fp"):
 
 
 def keep_one(docs: DataFrame, words: int = 5, radius: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the near copies: of each component the row with the smallest doc_id stays, with all its columns.
+    """docs without the near copies: of each component one row stays, with all its columns.
 
-    Of repeated rows with that doc_id one stays. Rows without a doc_id stay
-    only where their component has no row with one, one of them.
+    It is the row with the smallest doc_id (one without a doc_id only if none
+    has one; of several with that doc_id, the one with the least text hash).
+    Only the rows that go are sent to the documents.
     """
-    columns = docs.columns
-    found = near_duplicates(docs, words, radius, doc_id, text)
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, F.col(doc_id).eqNullSafe(F.col("__gone")), "left_anti")
-    repeated = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").count().filter("count > 1")
-    if repeated.isEmpty():
-        return kept.select(*columns)
-    return kept.dropDuplicates([doc_id]).select(*columns)
+    found = grouped(docs, words, radius, doc_id, text)
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    winners = found.groupBy("root").agg(F.min(first).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    groups = found.join(winners, "root")
+    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    gone = groups.filter(~is_first).select(F.col("doc_id").alias("__doc_id"), F.col("text_hash").alias("__text_hash")).distinct()
+    kept = docs.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("__doc_id")) & (F.xxhash64(text) == F.col("__text_hash")), "left_anti")
+    if groups.filter(is_first).groupBy("root").count().filter("count > 1").isEmpty():
+        return kept
+    columns = kept.columns
+    return kept.withColumn("__text_hash", F.xxhash64(text)).dropDuplicates([doc_id, "__text_hash"]).select(*columns)
