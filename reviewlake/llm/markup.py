@@ -138,14 +138,15 @@ def main_text(html: str | None) -> str:
     while parent[path[-1]] >= 0 and path[-1] != body:
         path.append(parent[path[-1]])
     threshold = min(density[k] for k in path)
+    plain = lambda c: tag[c] in ("h1", "h2", "h3") or density[c] >= threshold and 2 * linked[c] <= chars[c]
     top = best
     for k in path[1:]:
         others = [c for c in range(1, n) if parent[c] == k and c not in path and not gone[c] and chars[c]]
         if tag[k] in ("body", "html", "#root"):
             # Beside the found subtree, the body itself holds the article where its children are plain blocks of text or titles.
-            if tag[top] in ("article", "main") or not others or not all(tag[c] in ("p", "h1", "h2", "h3", "blockquote", "pre", "ul", "ol", "table", "div", "section") and density[c] >= threshold and 2 * linked[c] <= chars[c] for c in others):
+            if tag[top] in ("article", "main") or not others or not all(tag[c] in ("p", "h1", "h2", "h3", "blockquote", "pre", "ul", "ol", "table", "div", "section") and plain(c) for c in others):
                 break
-        elif tag[k] not in ("article", "main") and not any(t in ("article", "main") for t in (tag[x] for x in path[path.index(k):])) and not all(density[c] >= threshold and 2 * linked[c] <= chars[c] for c in others):
+        elif tag[k] not in ("article", "main") and not any(t in ("article", "main") for t in (tag[x] for x in path[path.index(k):])) and not all(map(plain, others)):
             break
         top = k
         if tag[k] in ("article", "main") and not any(tag[x] == "article" for x in path[path.index(k) + 1 :]):
