@@ -137,22 +137,34 @@ _EVIDENCE = T.StructType([T.StructField("rule", T.StringType()), T.StructField("
 TOPIC_TYPE = T.ArrayType(T.StructType([T.StructField("topic", T.StringType()), T.StructField("polarity", T.StringType()), T.StructField("terms", _STRINGS), T.StructField("fields", _STRINGS), T.StructField("evidence", T.ArrayType(_EVIDENCE))]))
 
 
-@F.pandas_udf(TOPIC_TYPE)
-def _topics(positive: pd.Series, negative: pd.Series) -> pd.Series:
+POLARITY_TYPE = T.ArrayType(T.StructType([T.StructField("topic", T.StringType()), T.StructField("polarity", T.StringType())]))
+
+
+def _each(positive: pd.Series, negative: pd.Series, of) -> pd.Series:
+    """One result per pair of texts; equal pairs of a batch are classified once."""
     known: dict[tuple, list] = {}
+    out = []
+    for pair in zip(positive, negative):
+        if pair not in known:
+            known[pair] = of(classify(*pair))
+        out.append(known[pair])
+    return pd.Series(out)
+
+
+@F.pandas_udf(TOPIC_TYPE)
+def _evidence(positive: pd.Series, negative: pd.Series) -> pd.Series:
+    return _each(positive, negative, lambda found: found)
 
-    def one(p, n) -> list:
-        if (p, n) not in known:
-            known[p, n] = classify(p, n)
-        return known[p, n]
 
-    return pd.Series([one(p, n) for p, n in zip(positive, negative)])
+@F.pandas_udf(POLARITY_TYPE)
+def _polarities(positive: pd.Series, negative: pd.Series) -> pd.Series:
+    return _each(positive, negative, lambda found: [{"topic": t["topic"], "polarity": t["polarity"]} for t in found])
 
 
-def with_topics(classified: DataFrame) -> DataFrame:
-    """Adds ``topics`` to rows that have text states; filter before, because nothing is pushed below a UDF."""
+def with_topics(classified: DataFrame, evidence: bool = False) -> DataFrame:
+    """Adds ``topics`` to rows that have text states, with or without their evidence; filter before, because nothing is pushed below a UDF."""
     channel = lambda c: F.when(F.col(f"{c}_state") == "substantive", F.col(f"{c}_text"))
-    return classified.withColumn("topics", _topics(channel("positive"), channel("negative")))
+    return classified.withColumn("topics", (_evidence if evidence else _polarities)(channel("positive"), channel("negative")))
 
 
 def topic_dimension(spark) -> DataFrame:

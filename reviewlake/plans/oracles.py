@@ -202,3 +202,31 @@ SECRET_TEXTS = "(VALUES (1, 'GET https://x.example/a?sid=123&page=2'), (2, 'Auth
 REDACTED = "SELECT * FROM (VALUES (1, 'GET https://x.example/a?sid=[REDACTED]&page=2'), (2, 'Authorization: [REDACTED]'), (3, 'plain'), (4, 'https://x.example/?q=1&TOKEN=[REDACTED]#f')) AS t(k, shown)"
 WEEK_COLUMNS = f"{REVIEWS} SELECT CAST(date_trunc('week', local_date) AS DATE) AS week, CASE WHEN tenths >= 80 THEN 'excellent' WHEN tenths >= 70 THEN 'good' WHEN tenths >= 50 THEN 'mixed' ELSE 'poor' END AS tone, count(*) AS n FROM rev GROUP BY 1, 2"
 LEFT_JOINED = "SELECT source, count(*) AS documents, count(quality) AS labelled, count(*) FILTER (WHERE quality = 1) AS good FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1"
+
+_LIVE = "property_key IN ('view', 'click', 'purchase') AND row_id % 10 <> 0 AND row_id % 11 <> 0"
+ACCEPTED_REVIEWS = f"{REVIEWS} SELECT row_id, property_key, epoch, tenths FROM rev WHERE {_LIVE}"
+CURRENT_REVIEWS = f"{REVIEWS} SELECT row_id, epoch, tenths FROM rev WHERE {_LIVE} AND property_key = 'view' ORDER BY epoch DESC, row_id LIMIT 25"
+PUBLICATION_SCAN = "SELECT * FROM (VALUES ('view', 101, 3, 8, 8, 8, 8, NULL), ('click', 102, 3, 9, 9, NULL, NULL, NULL), ('purchase', 103, 3, 12, 12, 12, NULL, NULL), ('signup', 104, NULL, NULL, NULL, NULL, NULL, NULL)) AS t(property_key, hotel_id, generation, parser, displayed, oldest, gap, visible)"
+PAGE_VIOLATIONS = f"""{REVIEWS}, p AS (SELECT property_key, CAST(floor(row_id / 50) * 10 AS BIGINT) AS page_offset, count(*) AS n_cards FROM rev GROUP BY 1, 2),
+q AS (SELECT *, CASE WHEN page_offset % 1930 = 1920 THEN 101 ELSE 100 END AS reported FROM p WHERE page_offset % 170 <> 160),
+w AS (SELECT *, coalesce(lag(page_offset + 10) OVER o, 0) AS expected, first_value(reported) OVER o AS first_reported, page_offset = max(page_offset) OVER (PARTITION BY property_key) AS is_last,
+    min(page_offset) OVER (PARTITION BY property_key, page_offset % 1310) AS first_offset FROM q WINDOW o AS (PARTITION BY property_key ORDER BY page_offset))
+SELECT property_key, code, count(*) AS n FROM (SELECT property_key, unnest(list_filter([CASE WHEN n_cards > 10 THEN 'TOO_MANY_CARDS' END, CASE WHEN page_offset <> expected THEN 'OFFSET_GAP' END, CASE WHEN n_cards < 10 AND NOT is_last THEN 'PREMATURE_SHORT_PAGE' END,
+    CASE WHEN n_cards >= 10 AND is_last THEN 'TERMINAL_PAGE_MISSING' END, CASE WHEN reported <> first_reported THEN 'COUNT_MOVED' END, CASE WHEN page_offset > first_offset THEN 'REPEATED_PAGE' END], lambda x: x IS NOT NULL)) AS code FROM w) GROUP BY 1, 2"""
+CARD_VIOLATIONS = f"""{REVIEWS}, c AS (SELECT property_key, row_id // 10 AS page_offset, row_id % 10 AS card_index, row_id, epoch, tenths, 0 AS copy FROM rev UNION ALL SELECT property_key, row_id // 10, row_id % 10 + 100, row_id, epoch, tenths, 1 FROM rev WHERE row_id % 89 = 0),
+w AS (SELECT *, lag(epoch) OVER (PARTITION BY property_key ORDER BY page_offset, card_index) AS before FROM c)
+SELECT property_key, code, count(*) AS n FROM (SELECT property_key, 'DATE_ORDER' AS code FROM w WHERE epoch < before UNION ALL SELECT property_key, 'DUPLICATE_IN_PAGE' FROM w WHERE copy = 1
+    UNION ALL SELECT property_key, 'RECORD_CHANGED' FROM w WHERE copy = 1 AND row_id % 178 = 0 UNION ALL SELECT property_key, 'NO_SCORE_BUCKET' FROM w WHERE tenths NOT BETWEEN 10 AND 100) GROUP BY 1, 2"""
+PHASES = "(VALUES ('ok', 'oldest', 10, 'OK'), ('ok', 'newest', 10, 'OK'), ('half', 'oldest', 5, 'OK'), ('bad', 'oldest', 5, 'OK'), ('bad', 'newest', 5, 'PAGE_SHAPE'), ('moved', 'oldest', 5, 'OK'), ('moved', 'newest', 6, 'OK'), ('less', 'oldest', 3, 'OK'), ('less', 'newest', 3, 'OK')) AS t(property_key, phase, reported, verdict)"
+STAGED = "(VALUES " + ", ".join(f"('{p}', '{i}')" for p, n in (("ok", 10), ("half", 5), ("bad", 5), ("moved", 6), ("less", 2)) for i in range(n)) + ") AS t(property_key, token)"
+FINALIZED = "SELECT property_key, final_count, CAST(staged AS BIGINT) AS staged, verdict FROM (VALUES ('ok', 10, 10, 'OK'), ('half', 5, 5, 'PHASE_MISSING'), ('bad', 5, 5, 'PHASE_INVALID'), ('moved', 6, 6, 'COUNTS_DIFFER'), ('less', 3, 2, 'STAGED_COUNT_MISMATCH')) AS t(property_key, final_count, staged, verdict)"
+EXISTING = "(VALUES ('a', 1, 'A'), ('b', 2, 'B'), ('c', 3, 'C')) AS t(property_key, hotel_id, property_name)"
+INCOMING = "(VALUES ('a', 1, 'A'), ('b', 2, 'B2'), ('d', 3, 'D'), ('e', 5, 'E')) AS t(property_key, hotel_id, property_name)"
+REGISTERED = "SELECT * FROM (VALUES ('a', 1, 'A', 'unchanged', NULL), ('b', 2, 'B2', 'renamed', NULL), ('c', 3, 'C', 'kept', NULL), ('d', 3, 'D', 'added', 'HOTEL_ID_TAKEN'), ('e', 5, 'E', 'added', NULL)) AS t(property_key, hotel_id, property_name, change, conflict)"
+PHOTO_PAIRS = "(VALUES ('https://a.x/p?k=1&l=2#f', 'https://a.x/p?k=1&l=2#f'), ('https://a.x/p', 'https://b.x/p'), ('https://a.x/p?k=1&l=2', 'https://a.x/p?l=2&k=1'), ('https://a.x/p?k=1', 'http://a.x/q?k=2#z'), (NULL, 'https://a.x/p'), ('https://a.x/p?k=1', 'https://a.x/p?m=1')) AS t(before, after)"
+PHOTO_CHANGES = "SELECT * FROM (VALUES (5::BIGINT, 1::BIGINT, 1::BIGINT, 1::BIGINT, 3::BIGINT, 1::BIGINT, 1::BIGINT, 1::BIGINT, 3::BIGINT, 1::BIGINT)) AS t(parseable, protocol, host, path, query, fragment, query_keys, query_values, same_without_query, unparsable)"
+MANIFEST_PROBLEMS = f"{REVIEWS} SELECT property_key, CASE WHEN property_key = 'error' THEN NULL ELSE count(*) + CASE WHEN property_key = 'click' THEN 1 ELSE 0 END END AS records, count(*) AS found, CASE property_key WHEN 'error' THEN 'PROPERTY_NOT_DECLARED' WHEN 'click' THEN 'COUNT_MISMATCH' WHEN 'view' THEN 'DATE_BOUNDS' ELSE 'OK' END AS verdict FROM rev GROUP BY 1"
+NOTABLE_WEEKS = f"{WEEKLY_TREND.replace('SELECT b.week_start', ', trend AS (SELECT b.week_start', 1)}) SELECT (SELECT week_start FROM trend WHERE average IS NOT NULL ORDER BY average DESC, week_start LIMIT 1) AS strongest, (SELECT week_start FROM trend WHERE average IS NOT NULL ORDER BY average, week_start LIMIT 1) AS weakest, (SELECT week_start FROM trend ORDER BY reviews DESC, week_start LIMIT 1) AS busiest"
+RANKED_TOPICS = f"WITH ranked AS ({TOPIC_METRICS}) SELECT topic, CASE WHEN negative_share IS NULL THEN '—' ELSE printf('%.1f%%', negative_share) END AS share, trend FROM ranked"
+INCREMENTAL_STOP = f"""{REVIEWS}, p AS (SELECT property_key, row_id // 50 AS page_offset, max(epoch) < 1705300000 AND min(row_id) % 3 > 0 AS calm FROM rev GROUP BY 1, 2),
+w AS (SELECT *, calm AND coalesce(lag(calm) OVER (PARTITION BY property_key ORDER BY page_offset), false) AS stop FROM p) SELECT property_key, min(page_offset) AS stop_offset FROM w WHERE stop GROUP BY 1"""

@@ -8,9 +8,11 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlake.functions import periods, scalars
+from reviewlake.functions import display, periods, scalars
 from reviewlake.operators import export, feed, gaps, metrics, quality, sentiment, snapshots, topics
+from reviewlake.operators import inventory as checks
 from reviewlake.plans import oracles as sql
+from reviewlake.sources import publications
 from reviewlake.sources import reviews as src
 
 TODAY = date.fromisoformat(src.AS_OF)
@@ -36,8 +38,8 @@ def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentiment.with_sentiment(src.canonical(spark, sf_dir))
 
 
-def with_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topics.with_topics(classified(spark, sf_dir))
+def with_topics(spark: SparkSession, sf_dir: str, evidence: bool = False) -> DataFrame:
+    return topics.with_topics(classified(spark, sf_dir), evidence)
 
 
 def values(spark: SparkSession, rows: str) -> DataFrame:
@@ -120,7 +122,7 @@ def review_topics(spark, sf_dir):
 
 @query()
 def topic_evidence(spark, sf_dir):
-    return with_topics(spark, sf_dir).select("row_id", F.explode("topics").alias("t")).select("row_id", "t.topic", F.explode("t.evidence").alias("e")).select("row_id", "topic", "e.*")
+    return with_topics(spark, sf_dir, evidence=True).select("row_id", F.explode("topics").alias("t")).select("row_id", "t.topic", F.explode("t.evidence").alias("e")).select("row_id", "topic", "e.*")
 
 
 @query(sql.TOPIC_METRICS)
@@ -407,3 +409,90 @@ def labelled_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return docs.join(labels, "doc_id", "left").groupBy("source").agg(F.count("*").alias("documents"), F.count("quality").alias("labelled"), F.count_if(F.col("quality") == 1).alias("good"))
+
+
+def _tables(spark, sf_dir) -> tuple[DataFrame, ...]:
+    """Stored tables as the adapter's reviews would fill them: one property disabled, one unpublished, some reviews gone."""
+    r = src.canonical(spark, sf_dir)
+    props = src.properties(spark).withColumn("enabled", F.col("property_key") != "error")
+    published = props.filter("property_key <> 'signup'").select("property_key", F.concat(F.lit("run-"), "property_key").alias("run_id"), F.lit(3).alias("generation"))
+    held = r.select("row_id", "property_key", F.when(F.col("row_id") % 10 == 0, "suspect_missing").when(F.col("row_id") % 11 == 0, "tombstoned").otherwise("present").alias("presence"))
+    versions = r.select("row_id", "property_key", "epoch", "tenths", F.lit(True).alias("is_current")).unionByName(r.filter("row_id % 5 = 0").select("row_id", "property_key", "epoch", (F.col("tenths") - 1).alias("tenths"), F.lit(False).alias("is_current")))
+    return props, published, held, versions
+
+
+@query(sql.ACCEPTED_REVIEWS)
+def accepted_reviews(spark, sf_dir):
+    props, published, held, versions = _tables(spark, sf_dir)
+    return publications.fact_scan(props, published, held, versions).select("row_id", "property_key", "epoch", "tenths")
+
+
+@query(sql.PUBLICATION_SCAN)
+def publication_scan(spark, sf_dir):
+    props, published, _, _ = _tables(spark, sf_dir)
+    side = lambda name, where: published.filter(where).select("run_id", F.length("run_id").alias(name))
+    out = publications.dimension_scan(props, published, side("parser", "true"), side("displayed", "true"), side("oldest", "property_key <> 'click'"), side("gap", "property_key = 'view'"), side("visible", "false"))
+    return out.select("property_key", "hotel_id", "generation", "parser", "displayed", "oldest", "gap", "visible")
+
+
+@query(sql.CURRENT_REVIEWS)
+def current_reviews(spark, sf_dir):
+    facts = publications.fact_scan(*_tables(spark, sf_dir))
+    return publications.current_reviews(facts, "view").limit(25).select("row_id", "epoch", "tenths")
+
+
+def _phase_pages(spark, sf_dir) -> DataFrame:
+    """Pages of a phase with faults: a gap after every seventh, moved counts, repeated hashes."""
+    rows = inventory(spark, sf_dir).select("property_key", (F.floor(F.col("row_id") / 50) * 10).alias("page_offset")).groupBy("property_key", "page_offset").agg(F.count("*").alias("n_cards"))
+    reported = F.when(F.col("page_offset") % 1930 == 1920, 101).otherwise(100)
+    return rows.filter("page_offset % 170 <> 160").select("property_key", F.lit("newest").alias("phase"), "page_offset", F.lit(10).alias("page_limit"), "n_cards", reported.alias("reported"), F.md5((F.col("page_offset") % 1310).cast("string")).alias("page_hash"))
+
+
+@query(sql.PAGE_VIOLATIONS)
+def page_violations(spark, sf_dir):
+    return checks.page_violations(_phase_pages(spark, sf_dir)).groupBy("property_key", "code").agg(F.count("*").alias("n"))
+
+
+@query(sql.CARD_VIOLATIONS)
+def card_violations(spark, sf_dir):
+    rows = inventory(spark, sf_dir).select("property_key", F.lit("oldest").alias("phase"), F.floor(F.col("row_id") / 10).alias("page_offset"), (F.col("row_id") % 10).alias("card_index"), "token", "epoch", "tenths", "record_hash")
+    again = rows.filter("token % 89 = 0").withColumns({"card_index": F.col("card_index") + 100, "record_hash": F.when(F.col("token") % 178 == 0, "changed").otherwise(F.col("record_hash"))})
+    return checks.card_violations(rows.unionByName(again), newest_first=False).groupBy("property_key", "code").agg(F.count("*").alias("n"))
+
+
+@query(sql.FINALIZED)
+def finalize_runs(spark, sf_dir):
+    return checks.finalized(values(spark, sql.PHASES), values(spark, sql.STAGED))
+
+
+@query(sql.REGISTERED)
+def register_properties(spark, sf_dir):
+    return checks.register(values(spark, sql.EXISTING), values(spark, sql.INCOMING))
+
+
+@query(sql.PHOTO_CHANGES)
+def photo_changes(spark, sf_dir):
+    return checks.photo_changes(values(spark, sql.PHOTO_PAIRS))
+
+
+@query(sql.MANIFEST_PROBLEMS)
+def manifest_problems(spark, sf_dir):
+    declared = export.manifest(_records(spark, sf_dir)).select("property_key", (F.col("records") + (F.col("property_key") == "click").cast("int")).alias("records"), "earliest", F.when(F.col("property_key") == "view", F.date_add("latest", 1)).otherwise(F.col("latest")).alias("latest"))
+    return checks.manifest_problems(declared.filter("property_key <> 'error'"), _records(spark, sf_dir))
+
+
+@query(sql.NOTABLE_WEEKS)
+def notable_weeks(spark, sf_dir):
+    return display.notable_weeks(metrics.weekly_trend(classified(spark, sf_dir), TODAY))
+
+
+@query(sql.RANKED_TOPICS)
+def ranked_topics(spark, sf_dir):
+    rows = display.ranked_topics(metrics.topic_metrics(with_topics(spark, sf_dir), WEEK, src.properties(spark)))
+    return rows.select("topic", display.percent_text(F.col("negative_share"), 1).alias("share"), "trend")
+
+
+@query(sql.INCREMENTAL_STOP)
+def incremental_stop(spark, sf_dir):
+    pages = inventory(spark, sf_dir).groupBy("property_key", F.floor(F.col("row_id") / 50).alias("page_offset")).agg(F.max("epoch").alias("newest_epoch"), (F.min("row_id") % 3 > 0).alias("all_known"))
+    return snapshots.stop_incremental(pages, 1705300000)

@@ -190,3 +190,41 @@ def test_page_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.pages, r.reviews) for r in spark.table("hourly").collect()] == [(2, 20)]
+
+
+def test_display(spark):
+    from reviewlake.functions import display
+
+    one = spark.range(1)
+    get = lambda c: one.select(c).first()[0]
+    null = F.lit(None).cast("double")
+    assert [get(display.delta_text(F.lit(x))) for x in (0.26, -1.0, 0.001)] == ["+0.3", "-1.0", "No change"] and get(display.delta_text(null)) == "—"
+    assert get(display.score_text(F.lit(8.456))) == "8.5" and get(display.percent_text(F.lit(12.6))) == "13%" and get(display.percent_text(null)) == "—"
+    assert [get(display.is_neutral(F.lit(x))) for x in ("ALL", " ", "en")] == [True, True, False]
+    assert get(display.publication_label(F.lit("collecting"))) == "Collecting" and get(display.accepted(F.lit("source-gap")))
+
+
+def test_inventory_checks(spark):
+    from reviewlake.operators import inventory
+
+    pages = spark.createDataFrame([("p", "oldest", 0, 10, 10, 15, "a"), ("p", "oldest", 10, 10, 5, 15, "b"), ("q", "oldest", 0, 10, 0, 4, "a"), ("r", "newest", 0, 11, 3, 3, "a")], "property_key string, phase string, page_offset int, page_limit int, n_cards int, reported int, page_hash string")
+    assert sorted((r.property_key, r.code) for r in inventory.page_violations(pages).collect()) == [("q", "EMPTY_FIRST_PAGE"), ("r", "LIMIT_RANGE")]
+    cards = spark.createDataFrame([("p", "oldest", i // 10 * 10, i % 10, str(i), i, 50, "h") for i in range(15)], "property_key string, phase string, page_offset int, card_index int, token string, epoch long, tenths int, record_hash string")
+    got = {r.property_key: (r.verdict, r.unique_reviews) for r in inventory.phase_verdicts(pages, cards).collect()}
+    assert got == {"p": ("OK", 15), "q": ("PAGE_SHAPE", 0), "r": ("PAGE_SHAPE", 0)}
+    assert inventory.card_violations(cards, newest_first=False).count() == 0 and inventory.card_violations(cards, newest_first=True).count() == 14
+    first = lambda *rows: spark.createDataFrame(rows, "property_key string, epoch long, reported int")
+    same = inventory.canary(first(("p", 1, 20), ("q", 5, 20), ("r", 1, 9)), first(("p", 9, 20), ("q", 4, 20), ("r", 2, 8)))
+    assert {r.property_key: r.verdict for r in same.collect()} == {"p": "OK", "q": "SORT_NOT_APPLIED", "r": "COUNT_UNSTABLE"}
+    head = inventory.head_unchanged(pages.filter("page_offset = 0 AND property_key <> 'q'"), pages.withColumn("page_hash", F.lit("a")))
+    assert all(r.unchanged for r in head.collect())
+
+
+def test_attribution(spark):
+    from reviewlake.operators import inventory
+
+    rows = spark.createDataFrame([(85, None, '{"score": 85, "votes": null}'), (85, 2, '{"score": 80, "votes": 2}'), (85, None, '{"score": 85}')], "score int, votes int, card_json string")
+    got = [r.mismatched for r in inventory.attribution(rows, {"score": "$.score", "votes": "$.votes"}, ("votes",)).collect()]
+    assert got == [[], ["score"], []]
+    filters = spark.createDataFrame([("p", "language", "en", 3), ("p", "language", "en", 4), ("p", "score", "ALL", -1)], "property_key string, kind string, value string, count int")
+    assert sorted((r.kind, r.code) for r in inventory.metadata_problems(filters).collect()) == [("language", "DUPLICATE_VALUE"), ("score", "NEGATIVE_COUNT")]
