@@ -13,13 +13,17 @@ earlier (smaller doc_id, or the same document and an earlier place).
     splitters may cut through one hash: the first and the last hash of each
     partition always go on, whatever the next partition holds.
 3.  Suffixes. The suffixes at the remaining anchors are range-partitioned by
-    sampled splitters on their leading bytes. Equal suffixes that one map task
+    sampled splitters on their leading bytes (and document, so that a frequent
+    beginning spreads over buckets). Equal suffixes that one map task
     holds are combined before, so a passage with many copies arrives as a few
     rows. Within a bucket, multikey quicksort orders the suffixes to the right
     of the anchors, and the reversed prefixes to their left, by eight bytes at
     a time. A window with ``o`` bytes before the anchor equals another if both
     share ``size - o`` bytes to the right and ``o`` to the left, that is, if
     they lie in the same run of either order: runs are compared as numbers.
+4.  Boundaries. The first and the last group of equal beginnings in a bucket may
+    go on in its neighbours, and a very large one is not held in memory. Their
+    windows are compared across buckets by 128-bit digests.
 """
 
 from __future__ import annotations
@@ -29,13 +33,15 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bytes of a window, and of the string whose hash makes an anchor.
 SIZE, SEED = 100, 32
 #: Bytes of text that are hashed at a time, and rows of a bucket that are sorted at a time (whole groups of equal seeds).
 PASS_BYTES, SORT_ROWS = 1 << 16, 60_000
+#: Rows of one group of equal leading bytes that are held and sorted; a larger group is compared window by window.
+MOST_ROWS = 200_000
 
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _RANDOM = np.random.default_rng(20240601).integers(0, 2**64, 256, np.uint64)
@@ -288,38 +294,74 @@ def _suffix_rows(batches: Iterable[pd.DataFrame], size: int, seed: int, held: in
             yield pd.DataFrame(rows, columns=["d", "th", "start", "end", "at", "whole"])
 
 
-def _bucket_rows(batches: Iterable[pd.DataFrame], size: int, seed: int) -> Iterator[pd.DataFrame]:
-    """Spans from rows sorted by their leading bytes; whole groups of equal leads are sorted together."""
-
-    def spans(rows: pd.DataFrame) -> pd.DataFrame:
-        at, whole = rows["at"].tolist(), rows["whole"].tolist()
-        row, start, end = bucket_spans(rows["d"].to_numpy(), rows["start"].to_numpy() + rows["at"].to_numpy(), [w[k:] for w, k in zip(whole, at)], [w[:k][::-1] for w, k in zip(whole, at)], size, seed)
-        return pd.DataFrame({"d": rows["d"].to_numpy()[row], "th": rows["th"].to_numpy()[row], "start": start, "end": end})
+def _windows(rows: Iterable[tuple], size: int, seen: dict[bytes, tuple[int, int]], held: int) -> Iterator[tuple]:
+    """Each window of the rows by its digest; those of which this task saw an earlier one become spans at once."""
+    for d, th, first, whole in rows:
+        settled = []
+        for k in range(len(whole) - size + 1):
+            key = hashlib.blake2b(whole[k : k + size], digest_size=16).digest()
+            origin = seen.get(key)
+            if origin is not None and origin < (d, first + k):
+                settled.append((first + k, first + k + size))
+                continue
+            if len(seen) >= held:
+                seen.clear()
+            seen[key] = (d, first + k)
+            yield d, th, first + k, first + k + size, key
+        for start, end in _merged(settled):
+            yield d, th, start, end, None
+
+
+def _bucket_rows(batches: Iterable[pd.DataFrame], size: int, seed: int, most: int = MOST_ROWS, held: int = 200_000) -> Iterator[pd.DataFrame]:
+    """Spans from rows sorted by their leading bytes, and window digests where a group may go on in another bucket.
+
+    Whole groups of equal leads are sorted together, many at a time. The first
+    and the last group of a bucket may be cut by a splitter, and a group of
+    more than ``most`` rows is not held: their windows are compared by digest
+    across buckets instead.
+    """
+    columns = ["d", "th", "start", "end", "digest"]
+    seen: dict[bytes, tuple[int, int]] = {}
 
-    waiting: list[pd.DataFrame] = []
-    n = 0
+    def sorted_(rows: list[tuple]) -> pd.DataFrame:
+        d, start, at = (np.fromiter((r[k] for r in rows), np.int64, len(rows)) for k in (0, 2, 3))
+        row, a, b = bucket_spans(d, start + at, [r[4][r[3] :] for r in rows], [r[4][: r[3]][::-1] for r in rows], size, seed)
+        th = np.fromiter((r[1] for r in rows), np.int64, len(rows))
+        return pd.DataFrame({"d": d[row], "th": th[row], "start": a, "end": b, "digest": None})
+
+    def compared(rows: list[tuple]) -> Iterator[pd.DataFrame]:
+        for a in range(0, len(rows), 1000):
+            out = list(_windows(((d, th, first, whole) for d, th, first, _, whole in rows[a : a + 1000]), size, seen, held))
+            if out:
+                yield pd.DataFrame(out, columns=columns)
+
+    group: list[tuple] = []
+    whole_groups: list[tuple] = []
+    lead, first, large = None, True, False
     for b in batches:
         done = b["whole"].isna()
         if done.any():
-            yield b.loc[done, ["d", "th", "start", "end"]]
-        b = b[~done]
-        if not len(b):
-            continue
-        waiting.append(b)
-        n += len(b)
-        if n >= SORT_ROWS:
-            rows = pd.concat(waiting, ignore_index=True)
-            lead = [w[k : k + seed] for w, k in zip(rows["whole"], rows["at"])]
-            cut = len(rows) - 1
-            while cut and lead[cut - 1] == lead[-1]:
-                cut -= 1
-            if cut:
-                yield spans(rows.iloc[:cut])
-                waiting, n = [rows.iloc[cut:]], len(rows) - cut
-            else:
-                waiting = [rows]
-    if n:
-        yield spans(pd.concat(waiting, ignore_index=True))
+            yield b.loc[done, ["d", "th", "start", "end"]].assign(digest=None)
+        for r in b.loc[~done, ["d", "th", "start", "at", "whole"]].itertuples(index=False, name=None):
+            own = r[4][r[3] : r[3] + seed]
+            if own != lead:
+                if first or large:
+                    yield from compared(group)
+                    first = first and lead is None
+                else:
+                    whole_groups += group
+                    if len(whole_groups) >= SORT_ROWS:
+                        yield sorted_(whole_groups)
+                        whole_groups = []
+                group, lead, large = [], own, False
+            group.append(r)
+            if len(group) >= most:
+                large = True
+                yield from compared(group)
+                group = []
+    yield from compared(group)
+    if whole_groups:
+        yield sorted_(whole_groups)
 
 
 def _kept(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -340,14 +382,18 @@ def without_repeats(docs: DataFrame, size: int = SIZE, seed: int = SEED, doc_id:
     bytes the result is the same for any seed.
     """
     prepared = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("d"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    found = prepared.mapInPandas(lambda x: _anchor_rows(x, size, seed), "h long, d long, at long")
+    anchored = prepared.mapInPandas(lambda x: _anchor_rows(x, size, seed), "h long, d long, at long")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    again = found.repartitionByRange(n, "h", "d").sortWithinPartitions("h").mapInPandas(_repeated, "d long, at long")
+    again = anchored.repartitionByRange(n, "h", "d").sortWithinPartitions("h").mapInPandas(_repeated, "d long, at long")
     places = again.groupBy("d").agg(F.collect_list("at").alias("places"))
     suffixes = prepared.join(places, "d").withColumn("th", F.xxhash64("text")).mapInPandas(lambda x: _suffix_rows(x, size, seed), "d long, th long, start int, end int, at int, whole binary")
     # Settled rows have no bytes to sort by: a number spreads them.
     lead = F.coalesce(F.expr(f"substring(whole, at + 1, {seed})"), F.unhex(F.lpad(F.hex("at"), 6, "0")))
-    spans = suffixes.repartitionByRange(n, lead).sortWithinPartitions(lead).mapInPandas(lambda x: _bucket_rows(x, size, seed), "d long, th long, start long, end long")
+    found = suffixes.repartitionByRange(n, lead, "d").sortWithinPartitions(lead, "d", "start").mapInPandas(lambda x: _bucket_rows(x, size, seed), "d long, th long, start long, end long, digest binary")
+    # Windows of cut or large groups: all but the earliest of each digest go. Their tasks have combined equal ones before.
+    key = F.coalesce("digest", F.unhex(F.lpad(F.hex(F.xxhash64("d", "start", "end")), 16, "0")))
+    earliest = F.min(F.when(F.col("digest").isNotNull(), F.struct("d", "start"))).over(Window.partitionBy("key"))
+    spans = found.withColumn("key", key).withColumn("earliest", earliest).filter(F.col("digest").isNull() | (F.struct("d", "start") > F.col("earliest")))
     by_doc = spans.groupBy("d").agg(F.collect_list(F.struct("th", "start", "end")).alias("spans"))
 
     def finish(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
