@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from reviewlake.llm.common import settled
 from reviewlake.llm.components import components
+from reviewlake.llm.similar import similar_links
 
 #: Distinct fingerprints that one bucket may hold before its remaining bits are covered again.
 BUCKET = 2048
@@ -133,17 +134,27 @@ def fingerprint_hex(fp="fp"):
     return F.lpad(F.lower(F.hex(F.col(fp))), 16, "0")
 
 
-def keep_one(docs: DataFrame, words: int = 5, radius: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the near copies: of each component one row stays, with all its columns.
+def keep_one(docs: DataFrame, words: int = 5, radius: int = 3, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without the near copies: of each group one row stays, with all its columns.
 
-    It is the row with the smallest doc_id (one without a doc_id only if none
-    has one; of several with that doc_id, the one with the least text hash).
-    Only the rows that go are sent to the documents.
+    Texts are linked if their fingerprints differ in at most ``radius`` bits,
+    or if their shingle sets are alike to ``similarity``. The row that stays is
+    the one with the smallest doc_id (one without a doc_id only if none has
+    one; of several with that doc_id, the one with the least text hash). Only
+    the keys of the rows that go are sent to the documents.
     """
-    found = grouped(docs, words, radius, doc_id, text)
+    found = settled(grouped(docs, words, radius, doc_id, text))
+    texts = docs.select(F.xxhash64(text).alias("text_hash"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    # A group of equal fingerprints is one vertex; links of texts join such vertices.
+    root_of = found.select("text_hash", "root").dropDuplicates(["text_hash"])
+    alike = similar_links(texts, words, similarity)
+    for end in ("u", "v"):
+        alike = alike.join(root_of.withColumnsRenamed({"text_hash": end, "root": f"{end}_root"}), end)
+    joined = components(alike.select(F.col("u_root").alias("u"), F.col("v_root").alias("v"))).select(F.col("vertex").alias("root"), F.col("root").alias("whole"))
+    found = found.join(joined, "root", "left").withColumn("root", F.coalesce("whole", "root")).drop("whole")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     winners = found.groupBy("root").agg(F.min(first).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    groups = found.join(winners, "root")
+    groups = settled(found.join(winners, "root"))
     is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
     gone = groups.filter(~is_first).select(F.col("doc_id").alias("__doc_id"), F.col("text_hash").alias("__text_hash")).distinct()
     kept = docs.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("__doc_id")) & (F.xxhash64(text) == F.col("__text_hash")), "left_anti")

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from reviewlake.llm import components, repeats, simhash
+from reviewlake.llm import components, repeats, simhash, similar
 from tests.llm.conftest import SF
 
 
@@ -49,12 +49,55 @@ def test_near_duplicates(request, table):
     assert sorted(map(tuple, got), key=str) == brute_components(rows, 3)
 
 
+def brute_keepers(rows):
+    """The smallest doc_id of each group of near copies: near-equal fingerprints, or shingle sets alike to 0.8."""
+    fps = [brute_fingerprint(t, 5) for _, t in rows]
+    sets = [set(similar.shingles(t, 5).tolist()) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        shared = len(sets[i] & sets[j])
+        if (fps[i] ^ fps[j]).bit_count() <= 3 or shared and shared >= 0.8 * (len(sets[i]) + len(sets[j]) - shared):
+            root[find(i)] = find(j)
+    groups: dict = {}
+    for i, (d, _) in enumerate(rows):
+        groups.setdefault(find(i), []).append(d)
+    return [min((d for d in g if d is not None), default=None) for g in groups.values()]
+
+
+@pytest.mark.parametrize("group", [500, 4])
+def test_similar_links(spark, group):
+    """Edits that leave four fifths of the shingles and more, found in whole and in parted groups; others are left alone."""
+    r = random.Random(9)
+    words = [f"w{i}" for i in range(5000)]
+    rows = []
+    for _ in range(6):
+        base = [r.choice(words) for _ in range(200)]
+        for edits in (0, 1, 2, 3, 4, 20, 30):
+            copy = base[:]
+            for k in r.sample(range(200), edits):
+                copy[k] = r.choice(words)
+            rows.append((len(rows), " ".join(copy)))
+    df = spark.createDataFrame(rows, "text_hash long, text string")
+    got = components.components(similar.similar_links(df, 5, 0.8, group)).collect()
+    sets = [set(similar.shingles(t, 5).tolist()) for _, t in rows]
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    expected = components.components(spark.createDataFrame(pairs, "u long, v long")).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, expected))
+    assert similar.similar_links(df.limit(0)).count() == 0
+
+
 def test_near_duplicates_of_nothing(nothing, rough):
     assert simhash.near_duplicates(nothing).count() == 0
     kept = simhash.keep_one(rough)
     assert kept.columns == rough.columns
-    roots = simhash.grouped(rough, 5, 3).select("root", "component_id").distinct().collect()
-    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((r.component_id for r in roots), key=str)
+    rows = [(r.doc_id, r.text) for r in rough.select("doc_id", "text").collect()]
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted(brute_keepers(rows), key=str)
 
 
 def test_masks_cover():
@@ -147,7 +190,7 @@ def test_pipeline(spark):
     assert {d for d, _ in good} == {d for d, _ in start if verdict[d]}
     assert sorted(lined) == sorted((r.doc_id, r.text) for r in lines.drop_boilerplate(seen[1]).collect())
     assert all(r.n_chars == len(r.text) for r in seen[2].collect())
-    assert {d for d, _ in single} == {c for _, _, c in brute_components(lined, 5)}
+    assert {d for d, _ in single} == set(brute_keepers(lined))
     assert {d for d, _ in clean} <= {d for d, _ in single}
     sp = sentencepiece.SentencePieceProcessor(model_file=pieces.default_path())
     assert {r.doc_id: list(r.ids) for r in cp.run(spark, SF).collect()} == {d: sp.encode(t) for d, t in clean}
