@@ -160,6 +160,36 @@ def sensitive_paths(records: pd.Series) -> pd.Series:
     return pd.Series([one(t) for t in records])
 
 
+MASK, DEEPEST = "[REDACTED]", 20
+
+
+def _masked(x, depth: int = 0):
+    if depth > DEEPEST:
+        return MASK
+    if isinstance(x, dict):
+        return {k: MASK if re.sub("[^a-z0-9]", "", k.lower()) in SENSITIVE else _masked(v, depth + 1) for k, v in x.items()}
+    if isinstance(x, list):
+        return [_masked(v, depth + 1) for v in x]
+    if isinstance(x, str):
+        return re.sub(r"([?&])([^=&#\s]+)=([^&#\s]*)", lambda m: f"{m[1]}{m[2]}={MASK}" if re.sub("[^a-z0-9]", "", m[2].lower()) in SENSITIVE else m[0], x)
+    return x
+
+
+@F.pandas_udf(T.StringType())
+def redacted_json(records: pd.Series) -> pd.Series:
+    """JSON with the values of sensitive keys masked at any depth, also in URLs; what can't be read is masked whole."""
+
+    def one(text):
+        if text is None:
+            return None
+        try:
+            return json.dumps(_masked(json.loads(text)), ensure_ascii=False, separators=(",", ":"))
+        except (ValueError, RecursionError):
+            return MASK
+
+    return pd.Series([one(t) for t in records])
+
+
 def category_pivot(scores: DataFrame, known: tuple[str, ...]) -> DataFrame:
     """Properties by category; a missing score stays null, and of repeated categories the last wins."""
     return scores.groupBy("property_key").pivot("category", list(known)).agg(F.max_by("score", "place"))
