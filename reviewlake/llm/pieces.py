@@ -19,6 +19,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,8 @@ SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 #: Words kept with their ids between batches, and characters up to which a word is encoded with others.
 CACHE, LONGEST = 150_000, 48
+#: Bytes of text that are encoded at a time; a longer text is taken alone, whole.
+PASS_BYTES = 2 << 20
 _BASE, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -92,21 +95,26 @@ class Lookup:
         self.keys, self.values, self.shift = np.append(keys[order], np.uint64(0)), np.append(values[order], -1), np.uint64(64 - bits)
         bounds = np.searchsorted(self.keys[:-1], np.arange(1 << bits, dtype=np.uint64) << self.shift)
         self.begin = bounds.astype(np.int32)
+        self.fine = np.uint64(64 - bits - 4)
+        self.some = np.zeros(1 << (bits + 4), bool)
+        self.some[(keys >> self.fine).astype(np.int64)] = True
         self.deepest = int(np.diff(np.append(bounds, len(keys))).max(initial=0))
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         """The value of each key, -1 where there is none."""
         keys = keys * _SPREAD
+        out = np.full(len(keys), -1, np.int64)
+        open_ = np.flatnonzero(self.some[(keys >> self.fine).astype(np.int64)])
+        keys = keys[open_]
         at = self.begin[(keys >> self.shift).astype(np.int64)]
-        out = np.where(self.keys[at] == keys, self.values[at], -1)
-        open_ = np.flatnonzero((out < 0) & (self.keys[at] < keys))
-        for _ in range(self.deepest - 1):
+        for _ in range(self.deepest):
             if not len(open_):
                 break
-            at[open_] = np.minimum(at[open_] + 1, len(self.keys) - 1)
-            own = self.keys[at[open_]]
-            out[open_] = np.where(own == keys[open_], self.values[at[open_]], -1)
-            open_ = open_[own < keys[open_]]
+            own = self.keys[at]
+            found = own == keys
+            out[open_[found]] = self.values[at[found]]
+            more = own < keys
+            open_, keys, at = open_[more], keys[more], np.minimum(at[more] + 1, len(self.keys) - 1)
         return out
 
 
@@ -232,25 +240,18 @@ class Pieces:
         best[0] = 0.0
         taken, ids = np.zeros((size + 1, n), np.int64), np.full((size + 1, n), -1, np.int64)
         for end in range(1, size + 1):
+            if self.type == BPE:
+                self._last_merged(prefix, end, ids, taken)
+                continue
             for length in range(min(end, self.longest), 0, -1):
                 begin = end - length
                 piece = self.piece_of(prefix[end] - prefix[begin] * self.powers[length])
                 row = np.flatnonzero(piece >= 0) if length > 1 else np.arange(n)
-                if not len(row):
-                    continue
                 own = piece[row]
-                if self.type == BPE:
-                    ok = (taken[end, row] == 0) & self.reachable[own]
-                    row, own = row[ok], own[ok]
-                    if begin and len(row):
-                        ok = self._valid(ids[begin, row], own)
-                        row, own = row[ok], own[ok]
-                else:
-                    value = best[begin, row] + np.where(own >= 0, self.score[own], self.least)
-                    up = value > best[end, row]
-                    row, own = row[up], own[up]
-                    best[end, row] = value[up]
-                taken[end, row], ids[end, row] = length, own
+                value = best[begin, row] + np.where(own >= 0, self.score[own], self.least)
+                up = value > best[end, row]
+                row, own = row[up], own[up]
+                best[end, row], taken[end, row], ids[end, row] = value[up], length, own
         steps, at, live = [], np.full(n, size), np.arange(n)
         while len(live):
             here = at[live]
@@ -262,6 +263,21 @@ class Pieces:
         path = np.stack(steps[::-1], axis=1)
         return path[path != -2], (path != -2).sum(axis=1)
 
+    def _last_merged(self, prefix: np.ndarray, end: int, ids: np.ndarray, taken: np.ndarray) -> None:
+        """Sets the last piece of each word's prefix up to ``end``: the only one that is valid, so short ones are tried first."""
+        rows = np.arange(prefix.shape[1])
+        for length in range(1, min(end, self.longest) + 1):
+            begin = end - length
+            piece = self.piece_of(prefix[end, rows] - prefix[begin, rows] * self.powers[length])
+            at = np.flatnonzero((piece >= 0) & self.reachable[piece]) if length > 1 else np.arange(len(rows))
+            if begin and len(at):
+                at = at[self._valid(ids[begin, rows[at]], piece[at])]
+            if len(at):
+                taken[end, rows[at]], ids[end, rows[at]] = length, piece[at]
+                rows = np.delete(rows, at)
+                if not len(rows):
+                    return
+
     def _spelled(self, word: str, ids: list[int]) -> list[int]:
         """Unknown characters as their bytes, or as the unknown id where the model has none."""
         out, at = [], 0
@@ -340,11 +356,15 @@ def encode(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", tex
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(held.value)
         for b in batches:
-            for a in range(0, b.num_rows, 1000):
-                part = b.slice(a, 1000)
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            begin = 0
+            while begin < b.num_rows:
+                end = max(begin + 1, int(np.searchsorted(sizes, (sizes[begin - 1] if begin else 0) + PASS_BYTES, "right")))
+                part = b.slice(begin, end - begin)
                 offsets, ids = pieces.encode(part.column("text").to_pylist())
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], ["doc_id", "ids"])
+                begin = end
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
