@@ -22,7 +22,7 @@ SENSITIVE = frozenset("token sourcereviewtoken avatarurl username email phone co
 
 def safe_records(reviews: DataFrame, properties: DataFrame) -> DataFrame:
     """Reviews as they may leave: a public id for the token, no raw fields."""
-    named = reviews.join(F.broadcast(properties), "property_key")
+    named = reviews.join(properties, "property_key")
     return named.select("property_key", "property_name", "hotel_id", public_id(F.col("property_key"), F.col("token")).alias("review_id"), "epoch", "row_id", "local_date", (F.col("tenths") / 10).alias("score"), "positive_text", "negative_text", "language", "partner_reply", "helpful", "room", "guest_type")
 
 
@@ -64,7 +64,7 @@ def audited(records: DataFrame, properties: DataFrame, zone: str) -> DataFrame:
     a text field of the right type.
     """
     known = properties.select("property_key", F.col("property_name").alias("__name"), F.col("hotel_id").alias("__hotel"))
-    r = records.join(F.broadcast(known), "property_key", "left")
+    r = records.join(known, "property_key", "left")
     first = F.row_number().over(Window.partitionBy("review_id").orderBy("row_id")) == 1
     checks = {
         "PROPERTY_IDENTITY_MISMATCH": ~F.coalesce((F.col("property_name") == F.col("__name")) & (F.col("hotel_id") == F.col("__hotel")), F.lit(False)),

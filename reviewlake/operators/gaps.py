@@ -58,7 +58,7 @@ def visible_gap(shown: DataFrame, policy: DataFrame) -> DataFrame:
     hotel id and largest gap; without one the gap is not accepted.
     """
     gap = F.col("visible") - F.col("structured")
-    out = shown.join(F.broadcast(policy.select("property_key", F.col("hotel_id").alias("policy_hotel_id"), "most_gap")), "property_key", "left")
+    out = shown.join(policy.select("property_key", F.col("hotel_id").alias("policy_hotel_id"), "most_gap"), "property_key", "left")
     verdict = F.when(gap == 0, "none").when(F.col("most_gap").isNull(), "no_policy").when(F.col("hotel_id") != F.col("policy_hotel_id"), "identity").when(gap.between(1, F.col("most_gap")), "accepted").otherwise("out_of_range")
     return out.select(*shown.columns, gap.alias("gap"), verdict.alias("verdict"))
 

@@ -96,7 +96,7 @@ def topic_metrics(reviews: DataFrame, period: Period, properties: DataFrame) ->
     lead = F.min_by("property_key", F.when(F.col("now") > 0, F.struct((-F.col("now")).alias("n"), "first")))
     counts = per.groupBy("topic").agg(F.sum("now").alias("now"), F.sum("before").alias("before"), F.sum("all_mentions").alias("all_mentions"), F.count_if(F.col("now") > 0).alias("affected"), lead.alias("property_key"))
     whole = reviews.agg(F.count_if(F.col("has_negative_feedback") & period.current()).alias("now_all"), F.count_if(F.col("has_negative_feedback") & period.previous()).alias("before_all"))
-    out = topic_dimension(spark).join(F.broadcast(counts), "topic", "left").join(F.broadcast(properties.select("property_key", "property_name")), "property_key", "left").crossJoin(F.broadcast(whole))
+    out = topic_dimension(spark).join(F.broadcast(counts), "topic", "left").join(properties.select("property_key", "property_name"), "property_key", "left").crossJoin(F.broadcast(whole))
     n = lambda c: F.coalesce(c, F.lit(0))
     out = out.withColumns({"negative_share": share(n("now"), F.col("now_all")), "previous_share": share(n("before"), F.col("before_all"))})
     change = F.col("negative_share") - F.col("previous_share")
@@ -112,12 +112,12 @@ def top_negative_topic(reviews: DataFrame, period: Period) -> DataFrame:
 
 
 def property_metrics(reviews: DataFrame, period: Period, properties: DataFrame) -> DataFrame:
-    """A row for every property, with reviews or without."""
+    """A row for every property, with reviews or without. How to join is left to Spark: nothing bounds the number of properties."""
     per = reviews.groupBy("property_key").agg(
         F.count("*").alias("n"), mean(F.col("tenths")).alias("average"), F.max("local_date").alias("last_date"),
         *period_metric(period.current(), "current"), *period_metric(period.previous(), "previous"),
     )
-    out = properties.join(F.broadcast(per), "property_key", "left").join(F.broadcast(top_negative_topic(reviews, period)), "property_key", "left")
+    out = properties.join(per, "property_key", "left").join(top_negative_topic(reviews, period), "property_key", "left")
     n = lambda c: F.coalesce(c, F.lit(0))
     return out.select(
         "ordinal", "property_key", "property_name", n("n").alias("reviews"), "average", "current_average", "previous_average",

@@ -164,7 +164,9 @@ def _polarities(positive: pd.Series, negative: pd.Series) -> pd.Series:
 def with_topics(classified: DataFrame, evidence: bool = False) -> DataFrame:
     """Adds ``topics`` to rows that have text states, with or without their evidence; filter before, because nothing is pushed below a UDF."""
     channel = lambda c: F.when(F.col(f"{c}_state") == "substantive", F.col(f"{c}_text"))
-    return classified.withColumn("topics", (_evidence if evidence else _polarities)(channel("positive"), channel("negative")))
+    # A deterministic UDF below explode would run twice: once more in the filter that Spark infers.
+    udf = (_evidence if evidence else _polarities).asNondeterministic()
+    return classified.withColumn("topics", udf(channel("positive"), channel("negative")))
 
 
 def topic_dimension(spark) -> DataFrame:
