@@ -194,3 +194,17 @@ def test_pipeline(spark):
     assert {d for d, _ in clean} <= {d for d, _ in single}
     sp = sentencepiece.SentencePieceProcessor(model_file=pieces.default_path())
     assert {r.doc_id: list(r.ids) for r in cp.run(spark, SF).collect()} == {d: sp.encode(t) for d, t in clean}
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_take_rough_and_empty_tables(spark, rough, nothing, k):
+    """Nulls in any column, very long texts, ties, repeated rows, clashing names and no rows: each stage has a result."""
+    cp = pytest.importorskip("corpus_pipeline")
+    name, stage = cp.STAGES[k]
+    bare = rough.select("doc_id", "text", "lang", "source", "n_chars")
+    for docs in (rough, bare):
+        out = stage(spark, docs, SF)
+        n = out.count()
+        assert name == "tokenize" or out.columns == docs.columns
+        assert n == docs.count() if name in ("line_dedup", "tokenize") else 0 < n <= docs.count()
+    assert stage(spark, nothing, SF).count() == 0
