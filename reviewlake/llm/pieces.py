@@ -11,6 +11,7 @@ own last piece. Both give the reference library's ids.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 from collections.abc import Iterable, Iterator
@@ -75,7 +76,7 @@ def read_model(path: str) -> dict:
             norm = dict(_fields(value))
     if norm.get(2) or norm.get(4, 1):
         raise ValueError("only models that keep white space and normalise nothing are supported")
-    return {"pieces": pieces, "scores": scores, "kinds": kinds, "type": spec.get(3, UNIGRAM), "dummy": bool(norm.get(3, 1))}
+    return {"pieces": pieces, "scores": scores, "kinds": kinds, "type": spec.get(3, UNIGRAM), "dummy": bool(norm.get(3, 1)), "digest": hashlib.sha256(data).hexdigest()}
 
 
 def _hash(chars: np.ndarray) -> np.ndarray:
@@ -339,6 +340,17 @@ class Pieces:
         return text[1:] if self.dummy and text.startswith(" ") else text
 
 
+_LOADED: dict[tuple[str, int], Pieces] = {}
+
+
+def loaded(model: dict) -> Pieces:
+    """The encoder of a model, built once in each Python worker."""
+    key = (model["digest"], model["type"])
+    if key not in _LOADED:
+        _LOADED[key] = Pieces(model)
+    return _LOADED[key]
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -354,7 +366,7 @@ def encode(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", tex
     held = docs.sparkSession.sparkContext.broadcast(read_model(path or default_path()))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(held.value)
+        pieces = loaded(held.value)
         for b in batches:
             sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
             begin = 0
@@ -375,7 +387,7 @@ def decode(encoded: DataFrame, path: str | None = None, ids: str = "ids", out: s
 
     @F.pandas_udf("string")
     def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        pieces = Pieces(held.value | {"type": UNIGRAM})
+        pieces = loaded(held.value | {"type": UNIGRAM})
         for b in batches:
             yield b.map(lambda x: None if x is None else pieces.decode(x.tolist()))
 
