@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from reviewlake.llm.common import settled
 from reviewlake.llm.components import components
+from reviewlake.llm.sieve import sieve, sifted
 from reviewlake.llm.similar import similar_links
 
 #: Distinct fingerprints that one bucket may hold before its remaining bits are covered again.
@@ -156,8 +157,10 @@ def keep_one(docs: DataFrame, words: int = 5, radius: int = 3, similarity: float
     winners = found.groupBy("root").agg(F.min(first).alias("first"), F.count("*").alias("n")).filter("n > 1")
     groups = settled(found.join(winners, "root"))
     is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
-    gone = groups.filter(~is_first).select(F.col("doc_id").alias("__doc_id"), F.col("text_hash").alias("__text_hash")).distinct()
-    kept = docs.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("__doc_id")) & (F.xxhash64(text) == F.col("__text_hash")), "left_anti")
+    gone = settled(groups.filter(~is_first).select(F.col("doc_id").alias("__doc_id"), F.col("text_hash").alias("__text_hash")).distinct())
+    # Rows whose text is certainly not among those need not meet them.
+    suspects, clear = sifted(docs, F.xxhash64(text), sieve(gone, "__text_hash"))
+    kept = suspects.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("__doc_id")) & (F.xxhash64(text) == F.col("__text_hash")), "left_anti").unionByName(clear)
     if groups.filter(is_first).groupBy("root").count().filter("count > 1").isEmpty():
         return kept
     columns = kept.columns
