@@ -357,13 +357,16 @@ def default_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def encode(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text", decoded: str | None = None) -> DataFrame:
     """(doc_id, ids array<int>) per row of docs, by the model at ``path`` (read on the driver).
 
-    A null or empty text has no ids. Texts are taken whole; repeated rows are
+    With a name in ``decoded``, a column of that name has the text that the ids
+    decode to, from the same pass: a second one would take another Python
+    worker for each task. A null or empty text has no ids. Texts are taken whole; repeated rows are
     encoded alike; other columns are ignored; an empty table gives no rows.
     """
     held = docs.sparkSession.sparkContext.broadcast(read_model(path or default_path()))
+    names = ["doc_id", "ids", *([decoded] if decoded else [])]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = loaded(held.value)
@@ -375,10 +378,13 @@ def encode(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", tex
                 part = b.slice(begin, end - begin)
                 offsets, ids = pieces.encode(part.column("text").to_pylist())
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], ["doc_id", "ids"])
+                columns = [part.column("doc_id"), lists]
+                if decoded:
+                    columns.append(pa.array([pieces.decode(ids[x:y].tolist()) for x, y in zip(offsets, offsets[1:])], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names)
                 begin = end
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, ids array<int>" + (f", `{decoded}` string" if decoded else ""))
 
 
 def decode(encoded: DataFrame, path: str | None = None, ids: str = "ids", out: str = "text") -> DataFrame:

@@ -34,7 +34,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text, and the digest of the text that they decode to."""
-    back = pieces.decode(pieces.encode(table(spark, sf_dir, "documents")), out="decoded")
+    back = pieces.encode(table(spark, sf_dir, "documents"), decoded="decoded")
     return back.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 

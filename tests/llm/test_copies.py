@@ -118,6 +118,22 @@ def test_large_buckets_lose_no_link(spark):
         assert same(simhash.fingerprint_links(df, 3, bucket)) == expected
 
 
+@pytest.mark.parametrize("most", [1 << 27, 1 << 15])
+def test_sieve_loses_no_key(spark, most):
+    from reviewlake.llm.sieve import sieve, sifted
+
+    r = random.Random(3)
+    keys = [r.randrange(-(2**63), 2**63) for _ in range(3000)] + [0, -1, -(2**63), 2**63 - 1]
+    others = [r.randrange(-(2**63), 2**63) for _ in range(3000)]
+    rows = spark.createDataFrame([(k,) for k in [*keys, *others, None]], "k long")
+    may, clear = sifted(rows, F.col("k"), sieve(spark.createDataFrame([(k,) for k in [*keys, None]], "k long"), "k", most))
+    may, clear = [x.k for x in may.collect()], [x.k for x in clear.collect()]
+    assert set(keys) <= set(may) and None in clear and len(may) + len(clear) == len(keys) + len(others) + 1
+    assert len(clear) > (2900 if most > 1 << 15 else 2400)
+    may, clear = sifted(rows, F.col("k"), sieve(rows.limit(0), "k"))
+    assert may.count() == 0 and clear.count() == rows.count()
+
+
 def test_long_chains_and_stars(spark):
     chain = spark.range(200).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
     star = spark.range(1001, 1200).select(F.col("id").alias("u"), F.lit(1000).cast("long").alias("v"))

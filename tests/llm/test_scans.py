@@ -64,6 +64,9 @@ def test_bpe_ids_are_the_librarys(documents, rough, nothing):
         assert got == Counter((r.doc_id, tuple(sp.encode(r.text or ""))) for r in docs.select("doc_id", "text").collect())
     back = {r.doc_id: r.back for r in pieces.decode(pieces.encode(documents), out="back").collect()}
     assert back == {r.doc_id: r.text for r in documents.collect()}
+    for docs in (rough, documents):
+        once = pieces.encode(docs, decoded="back")
+        assert sorted(map(str, once.collect())) == sorted(map(str, pieces.decode(pieces.encode(docs), out="back").collect()))
     assert pieces.encode(nothing).count() == 0
 
 
