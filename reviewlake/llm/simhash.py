@@ -154,7 +154,8 @@ def keep_one(docs: DataFrame, words: int = 5, radius: int = 3, similarity: float
     joined = components(alike.select(F.col("u_root").alias("u"), F.col("v_root").alias("v"))).select(F.col("vertex").alias("root"), F.col("root").alias("whole"))
     found = found.join(joined, "root", "left").withColumn("root", F.coalesce("whole", "root")).drop("whole")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    winners = found.groupBy("root").agg(F.min(first).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    # Written before the join: its two sides are then plain exchanges, of which Spark can split a hot group's.
+    winners = settled(found.groupBy("root").agg(F.min(first).alias("first"), F.count("*").alias("n")).filter("n > 1"))
     groups = settled(found.join(winners, "root"))
     is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
     gone = settled(groups.filter(~is_first).select(F.col("doc_id").alias("__doc_id"), F.col("text_hash").alias("__text_hash")).distinct())
