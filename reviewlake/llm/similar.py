@@ -2,9 +2,10 @@
 
 A SimHash of 64 bits differs in some ten bits where four fifths of the
 shingles agree, far beyond the radius that covering masks can guarantee. So
-texts that share a band of minimum hashes are compared by their signatures
-within bounded groups; of each group only a spanning forest of the most
-similar pairs leaves the task, and those pairs are checked on their texts.
+texts that share a band of minimum hashes are compared by their signatures.
+First only a spanning forest of the most similar pairs of bounded groups is
+checked on the texts, which joins most copies. Then every pair of a group that
+no checked link joins, and whose signatures do not rule it out, is checked too.
 """
 
 from __future__ import annotations
@@ -18,14 +19,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewlake.llm.common import settled
+from reviewlake.llm.components import components
 from reviewlake.llm.sieve import sieve, sifted
 
 #: Bands of a signature and minimum hashes in each: at a similarity of 0.8 all bands miss once in 15,000 pairs.
 BANDS, ROWS = 24, 5
 #: Texts of one group that are compared with each other; a larger group is parted by the bands that follow.
 GROUP, FURTHER = 100, 6
-#: Estimated similarity below the wanted one from which a pair is checked.
-SLACK = 0.1
+#: Texts on each side of a block of pairs of one group.
+BLOCK = 1000
+#: Estimated similarity below the wanted one from which a pair is checked: 120 slots put an alike pair lower than that once in 100,000 pairs or less.
+SLACK = 0.15
 
 _RANDOM = np.random.default_rng(20240602)
 _MULTIPLY, _ADD = _RANDOM.integers(1, 2**64, BANDS * ROWS, np.uint64) | np.uint64(1), _RANDOM.integers(0, 2**64, BANDS * ROWS, np.uint64)
@@ -55,7 +59,7 @@ def _signed_texts(batches: Iterable[pd.DataFrame], words: int) -> Iterator[pd.Da
             if len(h := shingles(text, words)):
                 s = signature(h)
                 keys.append(key)
-                signs.append((s >> np.uint64(56)).astype(np.uint8).tobytes())
+                signs.append((s & np.uint64(255)).astype(np.uint8).tobytes())  # the high bytes of minima are nearly all zero
                 bands.append([xxhash.xxh64_intdigest(x.tobytes()) - (1 << 63) for x in s.reshape(BANDS, ROWS)])
         if keys:
             yield pd.DataFrame({"text_hash": keys, "sign": signs, "bands": bands})
@@ -93,22 +97,54 @@ def _group_links(batches: Iterable[pd.DataFrame], least: float) -> Iterator[pd.D
 def _alike(batches: Iterable[pd.DataFrame], words: int, similarity: float) -> Iterator[pd.DataFrame]:
     for b in batches:
         keep = []
-        for x, y in zip(b["a"], b["b"]):
-            p, q = shingles(x, words), shingles(y, words)
+        known: dict[int, np.ndarray] = {}
+        for u, v, x, y in zip(b["u"], b["v"], b["a"], b["b"]):
+            for key, text in ((u, x), (v, y)):
+                if key not in known:
+                    known[key] = shingles(text, words)
+            p, q = known[u], known[v]
             shared = len(np.intersect1d(p, q, assume_unique=True))
             keep.append(shared >= similarity * (len(p) + len(q) - shared))
         if any(keep):
             yield b.loc[keep, ["u", "v"]]
 
 
-def similar_links(texts: DataFrame, words: int = 5, similarity: float = 0.8, group: int = GROUP) -> DataFrame:
+def _unjoined(batches: Iterable[pd.DataFrame], least: float) -> Iterator[pd.DataFrame]:
+    """Pairs of one text that asks and another of its block whose class differs and whose estimate is high enough."""
+    for b in batches:
+        for keys, roots, asks, signs in zip(b["keys"], b["roots"], b["asks"], b["signs"]):
+            keys, roots, asks = np.asarray(keys, np.int64), np.asarray(roots, np.int64), np.asarray(asks, bool)
+            signs = np.stack([np.frombuffer(x, np.uint8) for x in signs])
+            k, r, s = keys[~asks], roots[~asks], signs[~asks]
+            u, v = [], []
+            for i in np.flatnonzero(asks).tolist():
+                other = np.flatnonzero(r != roots[i])
+                near = other[(s[other] == signs[i]).mean(axis=1) >= least] if len(other) else other
+                u.append(np.minimum(k[near], keys[i]))
+                v.append(np.maximum(k[near], keys[i]))
+            if sum(map(len, u)):
+                yield pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v)}).drop_duplicates()
+
+
+def _checked(texts: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (u, v), of a written table, whose texts are alike."""
+    ends = settled(pairs.select(F.col("u").alias("text_hash")).unionByName(pairs.select(F.col("v").alias("text_hash"))).distinct())
+    wanted, _ = sifted(texts, F.col("text_hash"), sieve(ends, "text_hash"))
+    held = settled(wanted.join(ends, "text_hash").dropDuplicates(["text_hash"]))
+    sides = pairs.join(held.select(F.col("text_hash").alias("u"), F.col("text").alias("a")), "u").join(held.select(F.col("text_hash").alias("v"), F.col("text").alias("b")), "v")
+    return settled(sides.mapInPandas(lambda x: _alike(x, words, similarity), "u long, v long"))
+
+
+def similar_links(texts: DataFrame, words: int = 5, similarity: float = 0.8, group: int = GROUP, block: int = BLOCK) -> DataFrame:
     """Edges (u, v) over ``text_hash`` of texts whose shingle sets have a Jaccard similarity of at least ``similarity``.
 
     ``texts`` has text_hash and text; equal texts may repeat. The edges join
-    all texts that such pairs join, but not every pair is an edge. A group
-    that shares a band is compared whole up to ``group`` texts; a larger one by
-    further bands; what shares those too is sorted by the next bands and compared in
-    overlapping blocks of that size. Texts without words have no links.
+    all texts that such pairs join, but not every pair is an edge. Only pairs
+    that share no band, or whose estimate is too low by SLACK, are not checked.
+    A group that shares a band is first compared up to ``group`` texts; a larger
+    one by further bands, in overlapping blocks, which can miss links. Then each of the
+    smaller groups that is not yet one class of checked links is compared whole.
+    Texts without words have no links.
     """
     signed = settled(texts.mapInPandas(lambda x: _signed_texts(x, words), "text_hash long, sign binary, bands array<long>").dropDuplicates(["text_hash"]))
     keyed = signed.select("text_hash", F.posexplode("bands").alias("band", "key"))
@@ -132,8 +168,22 @@ def similar_links(texts: DataFrame, words: int = 5, similarity: float = 0.8, gro
     compared = groups.join(signed.select("text_hash", "sign"), "text_hash").groupBy("group").agg(F.collect_list(F.struct("text_hash", "sign")).alias("members"))
     # Plain arrays: structs would become a Python object for each member.
     pairs = settled(compared.select(F.col("members.text_hash").alias("keys"), F.col("members.sign").alias("signs")).mapInPandas(lambda x: _group_links(x, similarity - SLACK), "u long, v long").distinct())
-    ends = settled(pairs.select(F.col("u").alias("text_hash")).unionByName(pairs.select(F.col("v").alias("text_hash"))).distinct())
-    wanted, _ = sifted(texts, F.col("text_hash"), sieve(ends, "text_hash"))
-    held = settled(wanted.join(ends, "text_hash").dropDuplicates(["text_hash"]))
-    sides = pairs.join(held.select(F.col("text_hash").alias("u"), F.col("text").alias("a")), "u").join(held.select(F.col("text_hash").alias("v"), F.col("text").alias("b")), "v")
-    return sides.mapInPandas(lambda x: _alike(x, words, similarity), "u long, v long")
+    first = _checked(texts, pairs, words, similarity)
+    classes = components(first).select(F.col("vertex").alias("text_hash"), "root")
+    placed = settled(met.join(classes, "text_hash", "left").withColumn("root", F.coalesce("root", "text_hash")))
+    # Of two texts in different classes, one at least is not in the group's largest class: only those ask, and all are asked.
+    counts = placed.groupBy("band", "key", "n", "root").agg(F.count("*").alias("size"))
+    open_groups = counts.groupBy("band", "key", "n").agg(F.max(F.struct("size", "root")).alias("most")).filter((F.col("most.size") < F.col("n")) & (F.col("n") <= group))
+    side = lambda n: F.ceil(n / block)
+    number = lambda n: F.pmod(F.xxhash64("text_hash"), n)
+    sides = {"rows": side(F.col("n") - F.col("most.size")), "columns": side(F.col("n"))}
+    open_groups = settled(open_groups.select("band", "key", F.col("most.root").alias("main"), *[x.cast("long").alias(k) for k, x in sides.items()]))
+    asked = placed.drop("n").join(open_groups, ["band", "key"]).join(signed.select("text_hash", "sign"), "text_hash")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    kept = ["band", "key", "text_hash", "root", "sign"]
+    left = asked.filter(F.col("root") != F.col("main")).select(*kept, F.lit(True).alias("asks"), number(F.col("rows")).alias("i"), every("columns").alias("j"))
+    right = asked.select(*kept, F.lit(False).alias("asks"), number(F.col("columns")).alias("j"), every("rows").alias("i"))
+    blocks = left.unionByName(right).groupBy("band", "key", "i", "j").agg(F.collect_list(F.struct("text_hash", "root", "asks", "sign")).alias("m"))
+    rest = blocks.select(*[F.col(f"m.{x}").alias(y) for x, y in (("text_hash", "keys"), ("root", "roots"), ("asks", "asks"), ("sign", "signs"))])
+    unjoined = settled(rest.mapInPandas(lambda x: _unjoined(x, similarity - SLACK), "u long, v long").distinct())
+    return first if unjoined.isEmpty() else first.unionByName(_checked(texts, unjoined, words, similarity))

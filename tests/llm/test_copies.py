@@ -5,6 +5,7 @@ import itertools
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -92,6 +93,41 @@ def test_similar_links(spark, group):
     assert similar.similar_links(df.limit(0)).count() == 0
 
 
+def near_threshold(families):
+    """Families of 40 texts near 0.79, some pairs of which reach 0.80: (text_hash, text) and the alike pairs."""
+    r = random.Random(17)
+    words, texts = [f"w{i}" for i in range(5000)], []
+    for _ in range(families):
+        base = [r.choice(words) for _ in range(1000)]
+        places = r.sample(range(6, 994, 2), 480)
+        for n in range(40):
+            own = set()
+            while len(own) < (11 if n < 2 else 12):
+                k = r.choice(places)
+                if all(abs(k - x) > 5 for x in own):
+                    own.add(k)
+            texts.append(" ".join(r.choice(words) if k in own else w for k, w in enumerate(base)))
+    r.shuffle(texts)
+    rows = list(enumerate(texts))
+    sets = [set(similar.shingles(t, 5).tolist()) for _, t in rows]
+    return rows, {(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+
+
+def test_similar_links_near_the_threshold(spark):
+    """A true link is found where both of its texts are more like others by estimate, and those are no copies."""
+    rows, pairs = near_threshold(5)
+    got = components.components(similar.similar_links(spark.createDataFrame(rows, "text_hash long, text string"))).collect()
+    expected = components.components(spark.createDataFrame(sorted(pairs), "u long, v long")).collect()
+    assert len(pairs) >= 5 and sorted(map(tuple, got)) == sorted(map(tuple, expected))
+
+
+def test_estimates_tell_long_texts_apart():
+    r = random.Random(4)
+    one, other = ("".join(f"w{r.randrange(9999)} " for _ in range(1000)) for _ in range(2))
+    a, b = (np.frombuffer(next(similar._signed_texts([pd.DataFrame({"text_hash": [1], "text": [t]})], 5))["sign"][0], np.uint8) for t in (one, other))
+    assert (a == b).mean() < 0.1
+
+
 def test_near_duplicates_of_nothing(nothing, rough):
     assert simhash.near_duplicates(nothing).count() == 0
     kept = simhash.keep_one(rough)
