@@ -142,9 +142,9 @@ def similar_links(texts: DataFrame, words: int = 5, similarity: float = 0.8, gro
     all texts that such pairs join, but not every pair is an edge. Only pairs
     that share no band, or whose estimate is too low by SLACK, are not checked.
     A group that shares a band is first compared up to ``group`` texts; a larger
-    one by further bands, in overlapping blocks, which can miss links. Then each of the
-    smaller groups that is not yet one class of checked links is compared whole.
-    Texts without words have no links.
+    one by further bands, in overlapping blocks. Then each group that is not yet one
+    class of checked links is compared in blocks of ``block`` texts, every block
+    with every other. Texts without words have no links.
     """
     signed = settled(texts.mapInPandas(lambda x: _signed_texts(x, words), "text_hash long, sign binary, bands array<long>").dropDuplicates(["text_hash"]))
     keyed = signed.select("text_hash", F.posexplode("bands").alias("band", "key"))
@@ -173,7 +173,7 @@ def similar_links(texts: DataFrame, words: int = 5, similarity: float = 0.8, gro
     placed = settled(met.join(classes, "text_hash", "left").withColumn("root", F.coalesce("root", "text_hash")))
     # Of two texts in different classes, one at least is not in the group's largest class: only those ask, and all are asked.
     counts = placed.groupBy("band", "key", "n", "root").agg(F.count("*").alias("size"))
-    open_groups = counts.groupBy("band", "key", "n").agg(F.max(F.struct("size", "root")).alias("most")).filter((F.col("most.size") < F.col("n")) & (F.col("n") <= group))
+    open_groups = counts.groupBy("band", "key", "n").agg(F.max(F.struct("size", "root")).alias("most")).filter(F.col("most.size") < F.col("n"))
     side = lambda n: F.ceil(n / block)
     number = lambda n: F.pmod(F.xxhash64("text_hash"), n)
     sides = {"rows": side(F.col("n") - F.col("most.size")), "columns": side(F.col("n"))}

@@ -121,6 +121,14 @@ def test_similar_links_near_the_threshold(spark):
     assert len(pairs) >= 5 and sorted(map(tuple, got)) == sorted(map(tuple, expected))
 
 
+def test_similar_links_in_crowded_groups(spark):
+    """Groups beyond the bound, and classes beyond a block, lose no link."""
+    rows, pairs = near_threshold(5)
+    got = components.components(similar.similar_links(spark.createDataFrame(rows, "text_hash long, text string"), group=4, block=7)).collect()
+    expected = components.components(spark.createDataFrame(sorted(pairs), "u long, v long")).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, expected))
+
+
 def test_estimates_tell_long_texts_apart():
     r = random.Random(4)
     one, other = ("".join(f"w{r.randrange(9999)} " for _ in range(1000)) for _ in range(2))
