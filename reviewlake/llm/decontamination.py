@@ -4,7 +4,8 @@ Numbers, names and units become typed placeholders, so that a question with
 other values has the same template. Windows of five template tokens of the
 texts are hash-joined with those of the benchmark, which reaches the tasks in
 blocks of bounded size; where enough windows of an item line up, the slots
-must be filled consistently.
+must be filled consistently. Since case tells names, texts are also read
+without it, names as literal words: a copy in other letter case is found so.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -35,6 +37,9 @@ UNITS = frozenset("mm cm m km in inch inches ft foot feet yd yard yards mile mil
 SIGNS = frozenset("%°€$£¥")
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+#: Ways to read a text: with all placeholders; with names as literal words, whatever their case.
+TYPED, FOLDED = range(2)
+_WAY = [np.uint64(xxhash.xxh64_intdigest(f"way {k}")) for k in (TYPED, FOLDED)]
 _SLOT = {k: np.uint64(xxhash.xxh64_intdigest(f"<{k}>")) for k in (NUMBER, NAME, UNIT)}
 
 
@@ -47,6 +52,17 @@ def kind(word: str) -> int:
     return NAME if word[0].isupper() and len(word) > 1 and word[1:] != word[1:].upper() else LITERAL
 
 
+class View(NamedTuple):
+    """A text read in one way: template hashes and slot types of its places."""
+
+    hashes: np.ndarray
+    kinds: np.ndarray
+
+    def values(self, tokens: list[str]) -> list[str]:
+        """What stands at each place, without case."""
+        return [w.casefold() for w in tokens]
+
+
 class Templates:
     """Template codes of texts; remembers the codes of up to CACHE words."""
 
@@ -56,11 +72,11 @@ class Templates:
     def _code(self, word: str) -> tuple[int, int]:
         if len(self.known) >= CACHE:
             self.known.clear()
-        got = self.known[word] = (xxhash.xxh64_intdigest(word.lower()), kind(word))
+        got = self.known[word] = (xxhash.xxh64_intdigest(word.casefold()), kind(word))
         return got
 
-    def of(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """(tokens, template hashes, slot types)."""
+    def _read(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(tokens, hashes of the words, slot types)."""
         tokens = TOKEN.findall(text)
         known, code = self.known, self._code
         pairs = [known.get(w) or code(w) for w in tokens]
@@ -73,10 +89,23 @@ class Templates:
             after = np.concatenate(([False], kinds[:-1] == NUMBER))
             signs = np.array([w in SIGNS for w in tokens])
             kinds[units & ~after & ~signs] = LITERAL
+        return tokens, hashes, kinds
+
+    def of(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(tokens, template hashes, slot types)."""
+        tokens, hashes, kinds = self._read(text)
         for k, h in _SLOT.items():
             hashes[kinds == k] = h
         return tokens, hashes, kinds
 
+    def views(self, text: str) -> tuple[list[str], list[View]]:
+        """The tokens, and the text read in each way."""
+        tokens, hashes, kinds = self._read(text)
+        for k in (NUMBER, UNIT):
+            hashes[kinds == k] = _SLOT[k]
+        names = kinds == NAME
+        return tokens, [View(np.where(names, _SLOT[NAME], hashes), kinds), View(hashes, np.where(names, np.int8(LITERAL), kinds))]
+
 
 def windows(hashes: np.ndarray, words: int = WORDS) -> np.ndarray:
     """One hash for each window of ``words`` template tokens."""
@@ -94,8 +123,12 @@ class Probe:
 
     def __init__(self, items: list[tuple[int, str]], words: int = WORDS) -> None:
         self.words, self.templates = words, Templates()
-        self.items = [(i, *self.templates.of(t or "")) for i, t in items]
-        per = [windows(h, words) for _, _, h, _ in self.items]
+        # An entry for each item and way, in this order.
+        self.items: list[tuple[int, list[str], View, np.ndarray]] = []
+        for i, t in items:
+            tokens, views = self.templates.views(t or "")
+            self.items += [(i, tokens, v, windows(v.hashes, words) ^ way) for v, way in zip(views, _WAY)]
+        per = [w for *_, w in self.items]
         self.distinct = [len(np.unique(w)) for w in per]
         hashes = np.concatenate(per) if per else np.zeros(0, np.uint64)
         order = np.argsort(hashes, kind="stable")
@@ -107,9 +140,10 @@ class Probe:
         self.table[(self.hashes & self.mask).astype(np.int64)] = True
 
     def matched(self, text: str | None, similarity: float = SIMILARITY, consistent: float = CONSISTENT) -> list[tuple]:
-        """(item_id, matched, windows, slots, agreeing, exact) for each item that the text contains."""
-        tokens, hashes, _ = self.templates.of(text or "")
-        own = windows(hashes, self.words)
+        """(item_id, matched, windows, slots, agreeing, exact) for each item that the text contains, by the first way that finds it."""
+        tokens, views = self.templates.views(text or "")
+        per = [windows(v.hashes, self.words) ^ way for v, way in zip(views, _WAY)]
+        own = np.concatenate(per)
         at = np.flatnonzero(self.table[(own & self.mask).astype(np.int64)])
         if not len(at) or not len(self.hashes):
             return []
@@ -117,26 +151,30 @@ class Probe:
         n = right - left
         if not n.sum():
             return []
-        where = np.repeat(at, n)
+        starts = np.cumsum([0, *map(len, per)])
+        where = np.repeat(at - starts[np.searchsorted(starts, at, "right") - 1], n)
         row = np.repeat(left, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        out = []
+        out, last = [], -1
         items, place = self.item[row], self.place[row]
         order = np.argsort(items, kind="stable")
         cuts = np.flatnonzero(np.diff(items[order])) + 1
         for part in np.split(order, cuts):
             k = int(items[part[0]])
-            if len(np.unique(place[part])) >= similarity * self.distinct[k] and (found := self._aligned(k, tokens, where[part], place[part], similarity, consistent)):
+            if k // len(_WAY) == last or len(np.unique(place[part])) < similarity * self.distinct[k]:
+                continue
+            if found := self._aligned(k, tokens, views[k % len(_WAY)], where[part], place[part], similarity, consistent):
+                last = k // len(_WAY)
                 out.append((self.items[k][0], *found))
         return out
 
-    def _aligned(self, k: int, tokens: list[str], where: np.ndarray, place: np.ndarray, similarity: float, consistent: float) -> tuple | None:
+    def _aligned(self, k: int, tokens: list[str], view: View, where: np.ndarray, place: np.ndarray, similarity: float, consistent: float) -> tuple | None:
         """The first alignment, among runs of nearly equal diagonals, that has enough windows and agreeing slots."""
-        _, theirs, hashes, kinds = self.items[k]
+        _, item_tokens, item_view, item_windows = self.items[k]
+        theirs, ours, kinds = item_view.values(item_tokens), view.values(tokens), item_view.kinds
         slack = max(2, len(theirs) // 5)
         diagonal = where - place
         order = np.lexsort((where, diagonal))
         diagonal, where, place = diagonal[order], where[order], place[order]
-        item_windows = windows(hashes, self.words)
         need = similarity * self.distinct[k]
         ends = np.searchsorted(diagonal, diagonal + slack, "right")
         starts = np.unique(diagonal, return_index=True)[1]
@@ -150,10 +188,12 @@ class Probe:
             slots = sorted({(j + s, i + s) for i, j in zip(where[a:b].tolist(), place[a:b].tolist()) for s in range(self.words) if kinds[j + s] != LITERAL})
             filled: dict = defaultdict(Counter)
             for j, i in slots:
-                filled[int(kinds[j]), theirs[j].lower()][tokens[i].lower()] += 1
+                filled[int(kinds[j]), theirs[j]][ours[i]] += 1
             agreeing = sum(c.most_common(1)[0][1] for c in filled.values())
             if agreeing >= consistent * len(slots):
-                return matched, self.distinct[k], len(slots), agreeing, all(theirs[j].lower() == tokens[i].lower() for j, i in slots)
+                # Read without names, an item has its own values if all its windows are found.
+                whole = k % len(_WAY) == TYPED or matched == self.distinct[k]
+                return matched, self.distinct[k], len(slots), agreeing, whole and all(theirs[j] == ours[i] for j, i in slots)
         return None
 
 
@@ -168,7 +208,7 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tupl
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """One row per row of docs and benchmark item that it contains, word for word or with other values.
+    """One row per row of docs and benchmark item that it contains, word for word (in any letter case) or with other values.
 
     Columns: doc_id, item_id, matched and windows (distinct template windows
     found, and those of the item), slots and agreeing (aligned placeholders,

@@ -136,6 +136,17 @@ def test_inconsistent_slots_are_no_match():
     assert not probe.matched(other) and [m[0] for m in probe.matched(same)] == [1] and not probe.matched(None)
 
 
+CASED = "When Anna Berg walks from Berlin to Potsdam, which takes 6 hours, how many miles does Anna Berg walk if Straße 9 is closed?"
+
+
+@pytest.mark.parametrize("change", [str.lower, str.upper, str.title, lambda t: t.lower().replace("6", "8")])
+def test_copies_in_other_letter_case(change):
+    probe = decontamination.Probe([(1, CASED)])
+    got = probe.matched(f"Before it. {change(CASED)} After it.")
+    assert [m[0] for m in got] == [1] and got[0][-1] == ("8" not in change(CASED))
+    assert not probe.matched("when some people walk from town to town, how many hours does it take if the road is closed?")
+
+
 PAGES = [
     ("<body><div id='header'><a href=x>Site</a></div><nav>A B</nav><article><h1>T&amp;t</h1><p>One <b>two</b>three.<p>Four&nbsp;&#233;</article><footer>f</footer></body>", "T&t One twothree. Four é"),
     ("<body><div class=menu><a href=x>A</a> <a>B</a></div><div id=content><h1>Title</h1><div class='text'><p>A long paragraph of text, with words.</p><p>Second one here, with more words in it.</p></div><div class=comments><p>nice post</p></div></div><div class=sidebar>side</div></body>", "Title A long paragraph of text, with words. Second one here, with more words in it."),
