@@ -6,6 +6,8 @@ texts are hash-joined with those of the benchmark, which reaches the tasks in
 blocks of bounded size; where enough windows of an item line up, the slots
 must be filled consistently. Since case tells names, texts are also read
 without it, names as literal words: a copy in other letter case is found so.
+A third way takes neighbouring slots of one type as one, so that a value may
+have another number of words.
 """
 
 from __future__ import annotations
@@ -37,9 +39,9 @@ UNITS = frozenset("mm cm m km in inch inches ft foot feet yd yard yards mile mil
 SIGNS = frozenset("%°€$£¥")
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-#: Ways to read a text: with all placeholders; with names as literal words, whatever their case.
-TYPED, FOLDED = range(2)
-_WAY = [np.uint64(xxhash.xxh64_intdigest(f"way {k}")) for k in (TYPED, FOLDED)]
+#: Ways to read a text: with all placeholders; with names as literal words, whatever their case; with neighbouring slots of one type as one.
+TYPED, FOLDED, JOINED = range(3)
+_WAY = [np.uint64(xxhash.xxh64_intdigest(f"way {k}")) for k in (TYPED, FOLDED, JOINED)]
 _SLOT = {k: np.uint64(xxhash.xxh64_intdigest(f"<{k}>")) for k in (NUMBER, NAME, UNIT)}
 
 
@@ -53,14 +55,18 @@ def kind(word: str) -> int:
 
 
 class View(NamedTuple):
-    """A text read in one way: template hashes and slot types of its places."""
+    """A text read in one way: template hashes and slot types of its places, and the token each begins with (None: one token a place)."""
 
     hashes: np.ndarray
     kinds: np.ndarray
+    first: np.ndarray | None = None
 
     def values(self, tokens: list[str]) -> list[str]:
         """What stands at each place, without case."""
-        return [w.casefold() for w in tokens]
+        if self.first is None:
+            return [w.casefold() for w in tokens]
+        cuts = [*self.first.tolist(), len(tokens)]
+        return [" ".join(tokens[a:b]).casefold() for a, b in zip(cuts, cuts[1:])]
 
 
 class Templates:
@@ -104,7 +110,9 @@ class Templates:
         for k in (NUMBER, UNIT):
             hashes[kinds == k] = _SLOT[k]
         names = kinds == NAME
-        return tokens, [View(np.where(names, _SLOT[NAME], hashes), kinds), View(hashes, np.where(names, np.int8(LITERAL), kinds))]
+        typed = np.where(names, _SLOT[NAME], hashes)
+        first = np.flatnonzero(np.concatenate(([True], (kinds[1:] == LITERAL) | (kinds[1:] != kinds[:-1])))[: len(kinds)])
+        return tokens, [View(typed, kinds), View(hashes, np.where(names, np.int8(LITERAL), kinds)), View(typed[first], kinds[first], first)]
 
 
 def windows(hashes: np.ndarray, words: int = WORDS) -> np.ndarray:
@@ -186,16 +194,30 @@ class Probe:
             if matched < need:
                 continue
             slots = sorted({(j + s, i + s) for i, j in zip(where[a:b].tolist(), place[a:b].tolist()) for s in range(self.words) if kinds[j + s] != LITERAL})
+            if item_view.first is not None:
+                # A name beside the item, as of a sentence's first word, may have joined its first or last value.
+                ours = self._trimmed(slots, theirs, ours)
             filled: dict = defaultdict(Counter)
             for j, i in slots:
                 filled[int(kinds[j]), theirs[j]][ours[i]] += 1
             agreeing = sum(c.most_common(1)[0][1] for c in filled.values())
             if agreeing >= consistent * len(slots):
                 # Read without names, an item has its own values if all its windows are found.
-                whole = k % len(_WAY) == TYPED or matched == self.distinct[k]
+                whole = k % len(_WAY) != FOLDED or matched == self.distinct[k]
                 return matched, self.distinct[k], len(slots), agreeing, whole and all(theirs[j] == ours[i] for j, i in slots)
         return None
 
+    @staticmethod
+    def _trimmed(slots: list[tuple[int, int]], theirs: list[str], ours: list[str]) -> list[str]:
+        """Values of a text: those at an item's ends without words that do not belong to the value, where that is known."""
+        out = list(ours)
+        for j, i in slots:
+            if j in (0, len(theirs) - 1):
+                known = [theirs[j], *[ours[b] for a, b in slots if theirs[a] == theirs[j] and a not in (0, len(theirs) - 1)]]
+                fits = [x for x in known if f" {ours[i]}".endswith(f" {x}") and j == 0 or f"{ours[i]} ".startswith(f"{x} ") and j]
+                out[i] = max(fits, key=len, default=ours[i])
+        return out
+
 
 def _blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[int, str]]]:
     """The benchmark in blocks of about BLOCK_BYTES; one at a time is on the driver."""
@@ -208,7 +230,8 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tupl
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """One row per row of docs and benchmark item that it contains, word for word (in any letter case) or with other values.
+    """One row per row of docs and benchmark item that it contains, word for word (in any letter case) or with other values,
+    of as many words or not.
 
     Columns: doc_id, item_id, matched and windows (distinct template windows
     found, and those of the item), slots and agreeing (aligned placeholders,

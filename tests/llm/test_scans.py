@@ -147,6 +147,23 @@ def test_copies_in_other_letter_case(change):
     assert not probe.matched("when some people walk from town to town, how many hours does it take if the road is closed?")
 
 
+@pytest.mark.parametrize("value,other", [("Paris", "New York City"), ("25", "twenty five"), ("Anna", "Anna Maria")])
+def test_values_of_another_number_of_words(value, other):
+    item = "Anna asks how long a train needs from Paris if 25 people wait outside"
+    probe = decontamination.Probe([(1, item)])
+    for text in (item.replace(value, other), f"Well. {item.replace(value, other)}. So"):
+        assert [(m[0], m[-1]) for m in probe.matched(text)] == [(1, False)]
+    assert [(m[0], m[-1]) for m in decontamination.Probe([(1, item.replace(value, other))]).matched(item)] == [(1, False)]
+    assert [m[-1] for m in probe.matched(f"Well. {item}")] == [True] and not probe.matched("Anna asks how long a train needs from Paris")
+
+
+def test_joined_values_must_agree():
+    item = "Paris gave three books to Boris and then Paris got some pens from Boris while Paris slept"
+    probe = decontamination.Probe([(1, item)])
+    assert [m[0] for m in probe.matched(item.replace("Paris", "New York"))] == [1]
+    assert not probe.matched("New York gave three books to Los Angeles and then Rio Verde got some pens from Fritz while San Jose slept")
+
+
 PAGES = [
     ("<body><div id='header'><a href=x>Site</a></div><nav>A B</nav><article><h1>T&amp;t</h1><p>One <b>two</b>three.<p>Four&nbsp;&#233;</article><footer>f</footer></body>", "T&t One twothree. Four é"),
     ("<body><div class=menu><a href=x>A</a> <a>B</a></div><div id=content><h1>Title</h1><div class='text'><p>A long paragraph of text, with words.</p><p>Second one here, with more words in it.</p></div><div class=comments><p>nice post</p></div></div><div class=sidebar>side</div></body>", "Title A long paragraph of text, with words. Second one here, with more words in it."),
