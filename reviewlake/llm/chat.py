@@ -15,8 +15,8 @@ from reviewlake.llm.common import checkpointed, settled
 QUOTED = re.compile(r"^[ \t]*((?:>[ \t]?)+)(.*)$")
 #: A line that introduces the quote right below it.
 ATTRIBUTION = re.compile(r"^(?:on\b.*\bwrote|le\b.*\ba écrit|am\b.*\bschrieb.*|el\b.*\bescribió|.{1,80}\b(?:wrote|said|writes))\s*:\s*$", re.I)
-#: Characters from which a quoted passage identifies its original.
-LEAST = 8
+#: Where a sentence ends: at a mark and white space, or at a full-width mark.
+SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+|(?<=[。！？｡])")
 MOST_ROUNDS = 60
 
 
@@ -56,13 +56,27 @@ def parse(text: str | None) -> tuple[str, list[tuple[int, str]]]:
 
 
 def _hash(text: str) -> int | None:
-    n = normalised(text)
-    return xxhash.xxh64_intdigest(n) - (1 << 63) if len(n) >= LEAST else None
+    """The hash of a passage by its words; by its signs if it has no words; none if it is blank."""
+    n = normalised(text) or "".join(text.split())
+    return xxhash.xxh64_intdigest(n) - (1 << 63) if n else None
 
 
-def passages(own: str) -> set[int]:
-    """Hashes of the whole message, of its paragraphs and of its lines."""
-    return {h for part in [own, *re.split(r"\n\s*\n", own), *own.split("\n")] if (h := _hash(part)) is not None}
+def _parts(text: str) -> Iterator[str]:
+    """The whole text, its paragraphs, its lines, and the sentences of its paragraphs and lines (one may go over lines or end without a mark)."""
+    paragraphs, lines = re.split(r"\n\s*\n", text), text.split("\n")
+    yield text
+    for part in (*paragraphs, *lines):
+        yield part
+        yield from SENTENCE.split(part)
+
+
+def passages(text: str) -> dict[int, int]:
+    """Hashes of the parts of a text, each with the characters of the longest part that has it."""
+    out: dict[int, int] = {}
+    for part in _parts(text):
+        if (h := _hash(part)) is not None:
+            out[h] = max(len(part.strip()), out.get(h, 0))
+    return out
 
 
 def _parsed(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -72,8 +86,7 @@ def _parsed(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             own, quotes = parse(text)
             said = []
             for level, q in quotes:
-                hashes = [_hash(q)] + [_hash(x) for x in (q.split("\n") if "\n" in q else [])]
-                said += [(level, len(q), h) for h in hashes if h is not None]
+                said += [(level, size, h) for h, size in passages(q).items()]
             rows.append((conv, turn, role, own, sorted(passages(own)), [{"level": a, "size": s, "h": h} for a, s, h in said], len(quotes)))
         yield pd.DataFrame(rows, columns=["conv", "turn", "role", "own", "passages", "quotes", "n_quotes"])
 
@@ -85,9 +98,14 @@ def conversations(messages: DataFrame, conv_id: str = "conv_id", turn: str = "tu
     """One row per message: conv_id, turn, role, text without quotes, parent_turn, root_turn, position, n_quotes, linked.
 
     A quoted passage is linked to the latest earlier turn of its conversation
-    whose own text has it: as a whole message, a paragraph or a line. The
-    parent is the original of the outermost, then longest, linked passage;
-    without one it is the turn before (none for the first). root_turn is where
+    whose own text has it: as a whole message, a paragraph, a line or a
+    sentence. If it is quoted with others, each of its lines and sentences is
+    linked too; linked counts the distinct passages and parts that are. Passages
+    are compared by their words without case, however short; those without
+    words by their signs. Not linked is a quote of less than a sentence out of a
+    longer line, or with words changed or left out. The
+    parent is the original of the outermost, then longest, linked passage or
+    part; without one it is the turn before (none for the first). root_turn is where
     the chain of linked quotes begins, and position orders a conversation by
     root and turn, so that a message always follows the one it replies to.
     Messages of a null turn come first; a null conv_id is a conversation of its

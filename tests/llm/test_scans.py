@@ -231,3 +231,15 @@ def test_conversations_brute(spark):
     assert {(x.conv_id, x.turn): x.parent_turn for x in got} == parents
     place = {(x.conv_id, x.turn): x.position for x in got}
     assert all(p is None or place[c, p] < place[c, t] for (c, t), p in parents.items()) and all(">" not in x.text for x in got)
+
+
+def test_short_quotes_and_sentences(spark):
+    said = ["Yes.", "Thanks!", "好的。", "👍", "It rains in the north. Bring a coat! The south is dry.", "今天下雨。明天晴天。", "One sentence that goes\nover two lines. And more.", "a b"]
+    quoted = [*said[:4], "Bring a coat!", "明天晴天。", "One sentence that goes\nover two lines.", "A B"]
+    rows = [(1, n, "user", t) for n, t in enumerate(said)]
+    rows += [(1, 10 + n, "user", "".join(f"> {x}\n" for x in q.split("\n")) + f"reply {n}") for n, q in enumerate(quoted)]
+    # A short part of a longer quote does not outweigh the whole of it.
+    rows += [(2, 0, "user", "I went there by train.\nYes."), (2, 1, "user", "Yes."), (2, 2, "user", "> I went there by train.\n> Yes.\nreply"), (2, 3, "user", "> went there\npart of a sentence")]
+    got = {(x.conv_id, x.turn): (x.parent_turn, x.linked) for x in chat.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert [got[1, 10 + n][0] for n in range(len(quoted))] == list(range(len(quoted)))
+    assert got[2, 2][0] == 0 and got[2, 3] == (2, 0)
