@@ -5,12 +5,18 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: White space between words, as a Java regular expression.
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
+def through_pandas(doc_id: str | Column) -> Column:
+    """A long key as a string: beside a null, pandas would make it a double and change keys beyond 2 ** 53."""
+    return (F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("long").cast("string")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -172,4 +172,5 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
             texts = [main_text(h) for h in b["html"]]
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    return pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html")).mapInPandas(run, f"page_id {pages.schema[page_id].dataType.simpleString()}, url string, text string, n_chars long")
+    found = pages.select(F.col(page_id).cast("string").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html")).mapInPandas(run, "page_id string, url string, text string, n_chars long")
+    return found.withColumn("page_id", F.col("page_id").cast(pages.schema[page_id].dataType))

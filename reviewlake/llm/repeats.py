@@ -279,7 +279,7 @@ def _suffix_rows(batches: Iterable[pd.DataFrame], size: int, seed: int, held: in
                 last, inner = first + (at >> _SPAN & (1 << _SPAN) - 1), at & (1 << _SPAN) - 1
                 whole = data[first : last + size]
                 if len(whole) < last + size - first:
-                    continue  # of another text of this doc_id
+                    continue  # of a text that shares this one's key
                 key = hashlib.blake2b(whole, digest_size=16, salt=inner.to_bytes(2, "little")).digest()
                 origin = seen.get(key)
                 if origin is not None and origin < (d, first):
@@ -381,12 +381,15 @@ def without_repeats(docs: DataFrame, size: int = SIZE, seed: int = SEED, doc_id:
     are ignored; an empty table gives no rows. With a seed of up to ``size``
     bytes the result is the same for any seed.
     """
-    prepared = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("d"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    anchored = prepared.mapInPandas(lambda x: _anchor_rows(x, size, seed), "h long, d long, at long")
+    named = F.col(doc_id).cast("long")
+    prepared = docs.select(F.coalesce(named, F.lit(-(2**63))).alias("d"), F.coalesce(F.col(text), F.lit("")).alias("text"), named.alias("g")).withColumn("th", F.xxhash64("text"))
+    # All rows without a doc_id are one document to the order, but not one group: there only equal texts are.
+    prepared = prepared.withColumn("g", F.coalesce("g", F.xxhash64("th")))
+    anchored = prepared.select(F.col("g").alias("d"), "text").mapInPandas(lambda x: _anchor_rows(x, size, seed), "h long, d long, at long")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     again = anchored.repartitionByRange(n, "h", "d").sortWithinPartitions("h").mapInPandas(_repeated, "d long, at long")
-    places = again.groupBy("d").agg(F.collect_list("at").alias("places"))
-    suffixes = prepared.join(places, "d").withColumn("th", F.xxhash64("text")).mapInPandas(lambda x: _suffix_rows(x, size, seed), "d long, th long, start int, end int, at int, whole binary")
+    places = again.groupBy(F.col("d").alias("g")).agg(F.collect_list("at").alias("places"))
+    suffixes = prepared.join(places, "g").select("d", "th", "text", "places").mapInPandas(lambda x: _suffix_rows(x, size, seed), "d long, th long, start int, end int, at int, whole binary")
     # Settled rows have no bytes to sort by: a number spreads them.
     lead = F.coalesce(F.expr(f"substring(whole, at + 1, {seed})"), F.unhex(F.lpad(F.hex("at"), 6, "0")))
     found = suffixes.repartitionByRange(n, lead, "d").sortWithinPartitions(lead, "d", "start").mapInPandas(lambda x: _bucket_rows(x, size, seed), "d long, th long, start long, end long, digest binary")
@@ -394,15 +397,16 @@ def without_repeats(docs: DataFrame, size: int = SIZE, seed: int = SEED, doc_id:
     key = F.coalesce("digest", F.unhex(F.lpad(F.hex(F.xxhash64("d", "start", "end")), 16, "0")))
     earliest = F.min(F.when(F.col("digest").isNotNull(), F.struct("d", "start"))).over(Window.partitionBy("key"))
     spans = found.withColumn("key", key).withColumn("earliest", earliest).filter(F.col("digest").isNull() | (F.struct("d", "start") > F.col("earliest")))
-    by_doc = spans.groupBy("d").agg(F.collect_list(F.struct("th", "start", "end")).alias("spans"))
+    by_doc = spans.groupBy("d", "th").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
     def finish(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for d, th, t, found in zip(b["d"], b["th"], b["text"], b["spans"]):
+            for d, t, found in zip(b["d"], b["text"], b["spans"]):
                 data = t.encode("utf-8", "surrogatepass")
-                kept, gone, runs = _kept(data, [(s["start"], s["end"]) for s in found if s["th"] == th] if found is not None else [])
-                rows.append((None if d == -(2**63) else d, len(data), gone, runs, hashlib.sha256(kept).hexdigest(), kept))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]).astype({"doc_id": "Int64"})
+                kept, gone, runs = _kept(data, [(s["start"], s["end"]) for s in found] if found is not None else [])
+                rows.append((d, len(data), gone, runs, hashlib.sha256(kept).hexdigest(), kept))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return prepared.join(by_doc, "d", "left").withColumn("th", F.xxhash64("text")).mapInPandas(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    done = prepared.join(by_doc, ["d", "th"], "left").mapInPandas(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return done.withColumn("doc_id", F.nullif("doc_id", F.lit(-(2**63))))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewlake.llm.automaton import Automaton, hits, matches
+from reviewlake.llm.common import through_pandas
 
 ASSIGN = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?"
 VALUE = r"[A-Za-z0-9+/_.=-]"
@@ -72,7 +73,7 @@ def _digest(kinds: list[str]) -> str:
     return hashlib.sha256(",".join(kinds).encode()).hexdigest()
 
 
-SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
+SCHEMA = "doc_id string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -109,4 +110,5 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
             if ids:
                 yield rows(ids, raw)
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, SCHEMA)
+    found = docs.select(through_pandas(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, SCHEMA)
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewlake.llm.common import settled
+from reviewlake.llm.common import settled, through_pandas
 from reviewlake.llm.components import components
 from reviewlake.llm.sieve import sieve, sifted
 from reviewlake.llm.similar import similar_links
@@ -53,7 +53,8 @@ def fingerprints(docs: DataFrame, words: int = 3, doc_id: str = "doc_id", text:
             fps = np.fromiter((fingerprint(t, words) for t in b["text"]), np.uint64, len(b))
             yield pd.DataFrame({"doc_id": b["doc_id"], "text_hash": b["text_hash"], "fp": fps.view(np.int64)})
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).mapInPandas(run, "doc_id long, text_hash long, fp long")
+    found = docs.select(through_pandas(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).mapInPandas(run, "doc_id string, text_hash long, fp long")
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def covering_masks(positions: list[int], radius: int) -> list[int]:

@@ -14,6 +14,8 @@ def rough(spark):
     texts = [None, "", " ", "\n\n", "one", "one two", "a b c", "x" * 30_000, "ab " * 20_000] + [" ".join(r.choice(words) for _ in range(r.randint(1, 150))) for _ in range(40)]
     texts += [texts[20], texts[20], texts[25] + " end"]
     rows = [(i, t, "en", None if i % 9 == 0 else f"s{i % 3}", None, "clash", 1) for i, t in enumerate(texts)]
+    # Keys that doubles can't hold, beside nulls.
+    rows += [(2**53 + k, texts[20 + k % 3], "en", "s1", None, "clash", 1) for k in (1, 2, 3)] + [(-(2**62) - 1, "token = abcdef99", "en", None, None, None, None)]
     rows += [rows[15], rows[15], (None, "no id here", None, "s1", None, None, None), (None, None, None, None, None, None, None)]
     return spark.createDataFrame(rows, DOC + ", kept string, h int").withColumnsRenamed({}).selectExpr("*", "h as `d`", "kept as `words`", "h as `found`", "h as `key`", "kept as `fp`").repartition(3)
 
