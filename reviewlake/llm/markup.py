@@ -15,65 +15,100 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 NEVER = frozenset("head script style noscript template nav footer aside form button select textarea iframe svg canvas object dialog menu datalist audio video math".split())
-#: Roles, and words of class or id, that mark what is not the article.
+#: Roles, and words of class or id, that mark what is not the article; the last words may also name parts of one, and count on blocks of links or controls.
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-MARKS = frozenset("ad ads adv advert advertisement adverts advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription sidebar sidebars aside rail menu menus nav navbar navigation breadcrumb breadcrumbs masthead topbar header footer comment comments commentlist discussion disqus replies respond share sharing social related recommended recommendations widget widgets toolbar pagination pager login signup search skip copyright".split())
+MARKS = frozenset("ad ads adv advert advertisement adverts advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe sidebar sidebars aside menu menus nav navbar navigation breadcrumb breadcrumbs masthead topbar footer comment comments commentlist disqus login signup".split())
+HINTS = frozenset("header rail subscription discussion replies respond share sharing social related recommended recommendations widget widgets toolbar pagination pager search skip copyright".split())
+CONTROLS = frozenset("input select textarea button form".split())
 #: Elements whose open sibling ends when another begins.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 WITHIN = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
 #: Block elements that end an open paragraph.
 BLOCKS = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-_CUT = re.compile(r"<[A-Za-z/!?][^<>]*\Z")
+_TAG = re.compile(r"<[A-Za-z/!?]")
 
 
 class _Tree(HTMLParser):
-    """Elements in page order: parent, tag, attributes; and the pieces of text with their element."""
+    """Elements in page order: parent, tag, attributes; and the pieces of text with their element.
+
+    The depths at which each tag is open, and those of blocks, are at hand, so
+    that deep and unclosed markup takes no longer than other markup.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.parent, self.tag, self.attrs = [-1], ["#root"], [{}]
         self.text: list[tuple[int, str]] = []
         self.open = [0]
+        self.depths: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.endless = self.boundless = False
+
+    def parse_comment(self, i, report=1):
+        """Looks for an end that is not there once only."""
+        if self.endless:
+            return -1
+        k = super().parse_comment(i, report)
+        self.endless = k < 0
+        return k
+
+    def parse_html_declaration(self, i):
+        if self.rawdata.startswith("<![", i):
+            if self.boundless:
+                return -1
+            k = super().parse_html_declaration(i)
+            self.boundless = k < 0
+            return k
+        return super().parse_html_declaration(i)
+
+    def _deepest(self, tags: Iterable[str]) -> int:
+        return max((self.depths[t][-1] for t in tags if self.depths.get(t)), default=0)
+
+    def _cut(self, depth: int) -> None:
+        while len(self.open) > depth:
+            self.depths[self.tag[self.open.pop()]].pop()
+            if self.blocks and self.blocks[-1] == len(self.open):
+                self.blocks.pop()
 
     def handle_starttag(self, tag, attrs) -> None:
         closes = CLOSES.get(tag, set()) | ({"p"} if tag in BLOCKS else set())
-        for depth in range(len(self.open) - 1, 0, -1):
-            own = self.tag[self.open[depth]]
-            if own in closes:
-                del self.open[depth:]
-                break
-            if own in WITHIN.get(tag, ()) or own not in INLINE and not closes & {"td", "th", "tr", "dt", "dd"}:
-                break
+        if closes & {"td", "th", "tr", "dt", "dd"}:
+            if (last := self._deepest(closes)) > self._deepest(WITHIN.get(tag, ())):
+                self._cut(last)
+        elif closes and self.blocks and self.tag[self.open[self.blocks[-1]]] in closes:
+            self._cut(self.blocks[-1])
         self.parent.append(self.open[-1])
         self.tag.append(tag)
         self.attrs.append({k: v or "" for k, v in attrs})
         if tag not in INLINE:
             self.text.append((len(self.tag) - 1, " "))
         if tag not in VOID:
+            self.depths.setdefault(tag, []).append(len(self.open))
+            if tag not in INLINE:
+                self.blocks.append(len(self.open))
             self.open.append(len(self.tag) - 1)
 
     def handle_startendtag(self, tag, attrs) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID and tag in ("svg", "path", "g", "use"):
-            self.open.pop()
+            self._cut(len(self.open) - 1)
 
     def handle_endtag(self, tag) -> None:
-        for depth in range(len(self.open) - 1, 0, -1):
-            if self.tag[self.open[depth]] == tag:
-                if tag not in INLINE:
-                    self.text.append((self.open[depth], " "))
-                del self.open[depth:]
-                return
+        if depth := self._deepest((tag,)):
+            if tag not in INLINE:
+                self.text.append((self.open[depth], " "))
+            self._cut(depth)
 
     def handle_data(self, data) -> None:
         self.text.append((self.open[-1], data))
 
 
-def _marked(tag: str, attrs: dict) -> bool:
+def _marked(tag: str, attrs: dict, active: bool) -> bool:
+    """Whether an element is marked as no part of the article; ``active``: it is mostly links, or has controls."""
     if tag in NEVER or attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower():
         return True
     words = re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", attrs.get("class", "") + " " + attrs.get("id", "")).lower())
-    return not MARKS.isdisjoint(words)
+    return not MARKS.isdisjoint(words) or active and not HINTS.isdisjoint(words)
 
 
 def _density(chars: int, tags: int, linked: int, links: int, ratio: float) -> float:
@@ -90,24 +125,31 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     tree = _Tree()
-    tree.feed(_CUT.sub("", html))
+    # After the last ">" no tag ends: what begins as one is cut off.
+    cut = _TAG.search(html, html.rfind(">") + 1)
+    tree.feed(html[: cut.start()] if cut else html)
     tree.close()
     n, parent, tag = len(tree.tag), tree.parent, tree.tag
     size = [0] * n
     for k, data in tree.text:
         size[k] += len("".join(data.split()))
-    whole, article = size[:], [t in ("article", "main", "h1") for t in tag]
+    whole, article, controls = size[:], [t in ("article", "main", "h1") for t in tag], [t in CONTROLS for t in tag]
+    in_link, links_whole = [False] * n, [0] * n
+    for k in range(1, n):
+        in_link[k] = in_link[parent[k]] or tag[k] == "a"
     for k in range(n - 1, 0, -1):
         whole[parent[k]] += whole[k]
+        links_whole[k] = whole[k] if in_link[k] else links_whole[k]
+        links_whole[parent[k]] += links_whole[k]
         article[parent[k]] |= article[k]
+        controls[parent[k]] |= controls[k]
     # What is not the article goes, unless it holds the title or, on a page without one, most of the text; a header within an article stays.
-    gone, inside, in_link = [False] * n, [False] * n, [False] * n
+    gone, inside = [False] * n, [False] * n
     body_chars = max(whole[0] - sum(whole[k] for k in range(n) if tag[k] in ("head", "script", "style")), 1)
     for k in range(1, n):
         p = parent[k]
         inside[k] = inside[p] or tag[k] in ("article", "main")
-        in_link[k] = in_link[p] or tag[k] == "a"
-        marked = _marked(tag[k], tree.attrs[k]) or tag[k] == "header" and not inside[k]
+        marked = _marked(tag[k], tree.attrs[k], controls[k] or 2 * links_whole[k] >= whole[k]) or tag[k] == "header" and not inside[k]
         kept = tag[k] in ("html", "body", "article", "main", "h1") or tag[k] not in NEVER and (article[k] or not article[0] and 2 * whole[k] > body_chars)
         gone[k] = gone[p] or marked and not kept
     chars, tags, linked, links = [0] * n, [0] * n, [0] * n, [0] * n
@@ -139,17 +181,28 @@ def main_text(html: str | None) -> str:
         path.append(parent[path[-1]])
     threshold = min(density[k] for k in path)
     plain = lambda c: tag[c] in ("h1", "h2", "h3") or density[c] >= threshold and 2 * linked[c] <= chars[c]
+    on_path, children = set(path), {k: [] for k in path}
+    for c in range(1, n):
+        if parent[c] in on_path and c not in on_path and not gone[c] and chars[c]:
+            children[parent[c]].append(c)
+    # Whether an element of the path, or one above it, is an article or main; and whether one above it is an article.
+    within_article, below_article = {}, {}
+    held = above = False
+    for k in reversed(path):
+        below_article[k] = above
+        held, above = held or tag[k] in ("article", "main"), above or tag[k] == "article"
+        within_article[k] = held
     top = best
     for k in path[1:]:
-        others = [c for c in range(1, n) if parent[c] == k and c not in path and not gone[c] and chars[c]]
+        others = children[k]
         if tag[k] in ("body", "html", "#root"):
             # Beside the found subtree, the body itself holds the article where its children are plain blocks of text or titles.
             if tag[top] in ("article", "main") or not others or not all(tag[c] in ("p", "h1", "h2", "h3", "blockquote", "pre", "ul", "ol", "table", "div", "section") and plain(c) for c in others):
                 break
-        elif tag[k] not in ("article", "main") and not any(t in ("article", "main") for t in (tag[x] for x in path[path.index(k):])) and not all(map(plain, others)):
+        elif not within_article[k] and not all(map(plain, others)):
             break
         top = k
-        if tag[k] in ("article", "main") and not any(tag[x] == "article" for x in path[path.index(k) + 1 :]):
+        if tag[k] in ("article", "main") and not below_article[k]:
             break
     within = [False] * n
     within[top] = True
