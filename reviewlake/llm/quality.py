@@ -1,16 +1,18 @@
 """Quality rules as weak supervision: rules vote or abstain, expectation-maximisation weighs them.
 
 Everything on the data is built-in DataFrame functions. The votes of a
-document form one of at most 3 ** len(RULES) patterns; only the counts of
-patterns reach the driver, where a few lines of arithmetic fit the accuracies.
+document form one of at most 3 ** len(rules()) patterns; only the counts of
+patterns reach the driver, where a few lines of arithmetic fit the accuracies,
+and the patterns' posteriors are joined back.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlake.llm.common import BLANKS, settled
@@ -21,6 +23,8 @@ WINDOW = 3
 MARKS = ("|", "-", "*", "•", "·", ">", "#", "–", "—", "/", "~", "=")
 #: A document is kept from this posterior probability of good quality.
 KEEP_AT = 0.5
+#: The hash of the window at place i.
+_HASH = "xxhash64(__words[i], __words[i + 1], __words[i + 2])"
 
 
 def _per(count: str, of: str) -> Column:
@@ -67,12 +71,17 @@ def with_measures(docs: DataFrame, text: str = "text", out: str = "__measures")
     # One long per window: high bits of its hash, low bits its place. Sorted, equal windows are neighbours.
     step = step.withColumn("__bits", F.expr("length(bin(size(__words)))")).withColumn("__keys", F.expr("""
         sort_array(if(size(__words) < 3, cast(array() as array<bigint>), transform(sequence(0, size(__words) - 3),
-            i -> shiftleft(shiftrightunsigned(xxhash64(__words[i], __words[i + 1], __words[i + 2]), __bits), __bits) | cast(i as bigint))))"""))
-    same = "shiftrightunsigned(__keys[j] ^ get(__keys, {0}), __bits) = 0 and " + " and ".join(f"__words[cast(__keys[j] & (shiftleft(1L, __bits) - 1) as int) + {k}] = __words[cast(get(__keys, {{0}}) & (shiftleft(1L, __bits) - 1) as int) + {k}]" for k in range(WINDOW))
+            i -> shiftleft(shiftrightunsigned(@, __bits), __bits) | cast(i as bigint))))""".replace("@", _HASH)))
+    place = "cast({0} & (shiftleft(1L, __bits) - 1) as int)"
+    alike, equal = "shiftrightunsigned(__keys[j] ^ __keys[j - 1], __bits) = 0", " and ".join(f"__words[{place.format('__keys[j]')} + {k}] = __words[{place.format('__keys[j - 1]')} + {k}]" for k in range(WINDOW))
+    # 0: differs from the window before; 1: equals it; 2: has its hash, but other words. Then equal windows need not be neighbours, and the words themselves are sorted.
+    step = step.withColumn("__same", F.expr(f"transform(if(size(__keys) < 2, cast(array() as array<int>), sequence(1, size(__keys) - 1)), j -> if({alike}, if({equal}, 1, 2), 0))"))
+    step = step.withColumn("__spelled", F.expr("if(array_contains(__same, 2), array_sort(transform(sequence(0, size(__words) - 3), i -> struct(struct(__words[i] as a, __words[i + 1] as b, __words[i + 2] as c) as w, i as i))), null)"))
+    step = step.withColumn("__same", F.expr("if(__spelled is null, __same, transform(sequence(1, size(__spelled) - 1), j -> if(__spelled[j].w = __spelled[j - 1].w, 1, 0)))"))
     step = step.withColumn("__found", F.expr(f"""
-        sort_array(transform(filter(if(size(__keys) < 2, cast(array() as array<int>), sequence(0, size(__keys) - 1)),
-            j -> (j > 0 and {same.format('j - 1')}) or (j < size(__keys) - 1 and {same.format('j + 1')})),
-            j -> cast(__keys[j] & (shiftleft(1L, __bits) - 1) as int)))"""))
+        sort_array(transform(filter(if(size(__same) < 1, cast(array() as array<int>), sequence(0, size(__same))),
+            j -> coalesce(get(__same, j - 1) = 1, false) or coalesce(get(__same, j) = 1, false)),
+            j -> if(__spelled is null, {place.format('__keys[j]')}, __spelled[j].i)))"""))
     covered = F.expr("aggregate(transform(__found, (p, k) -> cast(least(3, coalesce(get(__found, k + 1) - p, 3)) as bigint)), 0L, (a, x) -> a + x)")
     fields = {
         "n_words": size("__words"),
@@ -87,7 +96,7 @@ def with_measures(docs: DataFrame, text: str = "text", out: str = "__measures")
         "n_marks": size(F.filter("__words", lambda w: w.isin(*MARKS))),
         "n_distinct_words": size(F.array_distinct("__words")),
     }
-    return step.withColumn(out, F.struct(*[c.alias(k) for k, c in fields.items()])).drop("__words", "__lines", "__bits", "__keys", "__found")
+    return step.withColumn(out, F.struct(*[c.alias(k) for k, c in fields.items()])).drop("__words", "__lines", "__bits", "__keys", "__same", "__spelled", "__found")
 
 
 def _pattern(df: DataFrame, measured: str, out: str) -> DataFrame:
@@ -116,15 +125,13 @@ def fit(counts: Sequence[tuple[str, int]], rounds: int = 25) -> dict[str, float]
         for p in good:
             a, b = (math.log(prior[k]) + sum(math.log(chance[k][r][v]) for r, v in enumerate(p)) for k in (0, 1))
             good[p] = 1 / (1 + math.exp(min(500, b - a)))
-    # A document that no rule calls bad is never rejected.
-    return {p: max(q, KEEP_AT) if "-" not in p else q for p, q in good.items()}
+    return good
 
 
-def _posterior(pattern: str, fitted: dict[str, float]) -> Column:
-    if not fitted:
-        return F.lit(1.0)
-    pairs = [x for p, q in sorted(fitted.items()) for x in (F.lit(p), F.lit(q))]
-    return F.coalesce(F.create_map(*pairs)[F.col(pattern)], F.lit(1.0))
+def _posteriors(spark: SparkSession, fitted: dict[str, float], pattern: str) -> DataFrame:
+    """(pattern, quality): one row a pattern, hence few enough to broadcast at any size of the corpus."""
+    said = F.from_json(F.lit(json.dumps([{"p": p, "q": q} for p, q in sorted(fitted.items())])), "array<struct<p: string, q: double>>")
+    return spark.range(1).select(F.explode(said).alias("x")).select(F.col("x.p").alias(pattern), F.col("x.q").alias("quality"))
 
 
 def _counts(patterns: DataFrame) -> list[tuple[str, int]]:
@@ -141,15 +148,14 @@ def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     m = with_measures(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", "__m")
     wide = _pattern(m, "__m", "pattern").select("doc_id", "__m.*", "pattern", base_failed("__m").alias("base_failed"))
     rows = settled(wide)
-    fitted = fit(_counts(rows))
-    return rows.withColumn("quality", _posterior("pattern", fitted)).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= KEEP_AT))
+    found = rows.join(F.broadcast(_posteriors(docs.sparkSession, fit(_counts(rows)), "pattern")), "pattern")
+    return found.select(*rows.columns, "quality", (~F.col("base_failed") & (F.col("quality") >= KEEP_AT)).alias("kept"))
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of docs that pass, with all their columns; rejected documents go."""
+    """The rows of docs that pass, with all their columns; rejected documents go. Texts are measured once: the rows are written with their votes."""
     columns = docs.columns
     m = _pattern(with_measures(docs, text, "__m"), "__m", "__pattern")
-    fitted = fit(_counts(m.select(F.col("__pattern").alias("pattern"))))
-    # The row number keeps the optimizer from moving the filter below the measures, where it would repeat their expressions.
-    good = m.select(*columns, (~base_failed("__m") & (_posterior("__pattern", fitted) >= KEEP_AT)).alias("__kept"), F.monotonically_increasing_id().alias("__row"))
-    return good.filter(F.col("__kept") & (F.col("__row") >= 0)).select(*columns)
+    rows = settled(m.select(*columns, "__pattern", base_failed("__m").alias("__failed")))
+    found = rows.join(F.broadcast(_posteriors(docs.sparkSession, fit(_counts(rows.select(F.col("__pattern").alias("pattern")))), "__pattern").withColumnRenamed("quality", "__quality")), "__pattern")
+    return found.filter(~F.col("__failed") & (F.col("__quality") >= KEEP_AT)).select(*columns)
