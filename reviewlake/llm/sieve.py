@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,3 +28,13 @@ def sifted(df: DataFrame, key: Column, keys: tuple[DataFrame, int]) -> tuple[Dat
     byte = F.conv(F.hex(F.substring("__bits", (F.col("__bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     may = F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), F.col("__bit") % 8).cast("int")) > 0, F.lit(False))
     return met.filter(may).select(*df.columns), met.filter(~may).select(*df.columns)
+
+
+def packed(keys: tuple[DataFrame, int]) -> np.ndarray:
+    """The bitmap as bytes, MOST_BITS bits at most: bit k is in byte k / 8, the lowest first."""
+    bitmap, bits = keys
+    out = np.zeros(bits // 8, np.uint8)
+    for r in bitmap.collect():
+        at = (r["__bucket"] - 1) * 4096
+        out[at : at + 4096] = np.frombuffer(r["__bits"], np.uint8)
+    return out

@@ -5,7 +5,8 @@ shingles agree, far beyond the radius that covering masks can guarantee. So
 texts that share a band of minimum hashes are compared by their signatures.
 First only a spanning forest of the most similar pairs of bounded groups is
 checked on the texts, which joins most copies. Then every pair of a group that
-no checked link joins, and whose signatures do not rule it out, is checked too.
+no checked link joins, and whose signatures do not rule it out, is checked too:
+texts meet in blocks with their shingle sets, and only links leave a block.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewlake.llm.common import settled
@@ -26,8 +27,8 @@ from reviewlake.llm.sieve import sieve, sifted
 BANDS, ROWS = 24, 5
 #: Texts of one group that are compared with each other; a larger group is parted by the bands that follow.
 GROUP, FURTHER = 100, 6
-#: Texts on each side of a block of pairs of one group.
-BLOCK = 1000
+#: Texts, and bytes of their shingle sets, on each side of a block of pairs of one group (on average; a text is never cut).
+BLOCK, BLOCK_BYTES = 1000, 8 << 20
 #: Estimated similarity below the wanted one from which a pair is checked: 120 slots put an alike pair lower than that once in 100,000 pairs or less.
 SLACK = 0.15
 
@@ -54,15 +55,16 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 def _signed_texts(batches: Iterable[pd.DataFrame], words: int) -> Iterator[pd.DataFrame]:
     for b in batches:
-        keys, signs, bands = [], [], []
+        keys, sizes, signs, bands = [], [], [], []
         for key, text in zip(b["text_hash"], b["text"]):
             if len(h := shingles(text, words)):
                 s = signature(h)
                 keys.append(key)
+                sizes.append(len(h))
                 signs.append((s & np.uint64(255)).astype(np.uint8).tobytes())  # the high bytes of minima are nearly all zero
                 bands.append([xxhash.xxh64_intdigest(x.tobytes()) - (1 << 63) for x in s.reshape(BANDS, ROWS)])
         if keys:
-            yield pd.DataFrame({"text_hash": keys, "sign": signs, "bands": bands})
+            yield pd.DataFrame({"text_hash": keys, "n_shingles": sizes, "sign": signs, "bands": bands})
 
 
 def _forest(keys: np.ndarray, signs: np.ndarray, least: float) -> list[tuple[int, int]]:
@@ -109,28 +111,62 @@ def _alike(batches: Iterable[pd.DataFrame], words: int, similarity: float) -> It
             yield b.loc[keep, ["u", "v"]]
 
 
-def _unjoined(batches: Iterable[pd.DataFrame], least: float) -> Iterator[pd.DataFrame]:
-    """Pairs of one text that asks and another of its block whose class differs and whose estimate is high enough."""
+def _met_before(bands: np.ndarray, own: np.ndarray, band: int) -> np.ndarray:
+    """Which rows share a band before this one with ``own``: their pair is checked there."""
+    return (bands[:, :band] == own[:band]).any(axis=1)
+
+
+def _unjoined(batches: Iterable[pd.DataFrame], similarity: float) -> Iterator[pd.DataFrame]:
+    """Links between one text that asks and another of its block whose class differs: those that shingle sets bear out.
+
+    A link joins the two classes within the block, so later texts of both need
+    no further one. Each pair is looked at in the first band that it shares.
+    """
     for b in batches:
-        for keys, roots, asks, signs in zip(b["keys"], b["roots"], b["asks"], b["signs"]):
-            keys, roots, asks = np.asarray(keys, np.int64), np.asarray(roots, np.int64), np.asarray(asks, bool)
-            signs = np.stack([np.frombuffer(x, np.uint8) for x in signs])
-            k, r, s = keys[~asks], roots[~asks], signs[~asks]
-            u, v = [], []
+        found = []
+        for band, keys, roots, asks, signs, bands, sets in zip(b["band"], b["keys"], b["roots"], b["asks"], b["signs"], b["bands"], b["sets"]):
+            keys, asks = np.asarray(keys, np.int64), np.asarray(asks, bool)
+            roots = np.unique(np.asarray(roots, np.int64), return_inverse=True)[1]
+            signs, bands = np.stack([np.frombuffer(x, np.uint8) for x in signs]), np.stack([np.frombuffer(x, np.int64) for x in bands])
+            sets = [np.frombuffer(x, np.uint64) for x in sets]
+            sizes, there = np.array([len(x) for x in sets]), np.flatnonzero(~asks)
             for i in np.flatnonzero(asks).tolist():
-                other = np.flatnonzero(r != roots[i])
-                near = other[(s[other] == signs[i]).mean(axis=1) >= least] if len(other) else other
-                u.append(np.minimum(k[near], keys[i]))
-                v.append(np.maximum(k[near], keys[i]))
-            if sum(map(len, u)):
-                yield pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v)}).drop_duplicates()
+                near = there[roots[there] != roots[i]]
+                near = near[(signs[near] == signs[i]).mean(axis=1) >= similarity - SLACK]
+                if not len(near):
+                    continue
+                near = near[~_met_before(bands[near], bands[i], band)]
+                for a in range(0, len(near), 256):
+                    part = near[a : a + 256]
+                    part = part[roots[part] != roots[i]]
+                    if not len(part):
+                        continue
+                    joined, own = np.concatenate([sets[j] for j in part.tolist()]), sets[i]
+                    at = np.minimum(np.searchsorted(own, joined), len(own) - 1)
+                    shared = np.add.reduceat(own[at] == joined, np.cumsum(sizes[part]) - sizes[part])
+                    for j in part[shared >= similarity * (sizes[part] + sizes[i] - shared)].tolist():
+                        if roots[j] != roots[i]:
+                            found.append((min(keys[i], keys[j]), max(keys[i], keys[j])))
+                            roots[roots == roots[j]] = roots[i]
+        if found:
+            yield pd.DataFrame(found, columns=["u", "v"])
+
+
+def _with_sets(batches: Iterable[pd.DataFrame], words: int) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield pd.DataFrame({"text_hash": b["text_hash"], "set": [shingles(t, words).tobytes() for t in b["text"]]})
+
+
+def _only(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """One row of the texts for each key (text_hash) of a written table; texts of other keys are sifted out before any shuffle."""
+    wanted, _ = sifted(texts, F.col("text_hash"), sieve(keys, "text_hash"))
+    return wanted.join(keys, "text_hash").dropDuplicates(["text_hash"])
 
 
 def _checked(texts: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs (u, v), of a written table, whose texts are alike."""
     ends = settled(pairs.select(F.col("u").alias("text_hash")).unionByName(pairs.select(F.col("v").alias("text_hash"))).distinct())
-    wanted, _ = sifted(texts, F.col("text_hash"), sieve(ends, "text_hash"))
-    held = settled(wanted.join(ends, "text_hash").dropDuplicates(["text_hash"]))
+    held = settled(_only(texts, ends))
     sides = pairs.join(held.select(F.col("text_hash").alias("u"), F.col("text").alias("a")), "u").join(held.select(F.col("text_hash").alias("v"), F.col("text").alias("b")), "v")
     return settled(sides.mapInPandas(lambda x: _alike(x, words, similarity), "u long, v long"))
 
@@ -142,27 +178,25 @@ def similar_links(texts: DataFrame, words: int = 5, similarity: float = 0.8, gro
     all texts that such pairs join, but not every pair is an edge. Only pairs
     that share no band, or whose estimate is too low by SLACK, are not checked.
     A group that shares a band is first compared up to ``group`` texts; a larger
-    one by further bands, in overlapping blocks. Then each group that is not yet one
-    class of checked links is compared in blocks of ``block`` texts, every block
-    with every other. Texts without words have no links.
+    one by further bands, in blocks. Then each group that is not yet one class
+    of checked links is compared in blocks of ``block`` texts, every block with
+    every other. Texts without words have no links.
     """
-    signed = settled(texts.mapInPandas(lambda x: _signed_texts(x, words), "text_hash long, sign binary, bands array<long>").dropDuplicates(["text_hash"]))
+    signed = settled(texts.mapInPandas(lambda x: _signed_texts(x, words), "text_hash long, n_shingles long, sign binary, bands array<long>").dropDuplicates(["text_hash"]))
     keyed = signed.select("text_hash", F.posexplode("bands").alias("band", "key"))
     sizes = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
     # Most texts share no band: what is left is small beside the signatures, and written once for both uses.
     met = settled(keyed.join(sizes, ["band", "key"]))
     listed = F.sort_array(F.collect_list("text_hash")).alias("members")
     small = met.filter(F.col("n") <= group).groupBy("band", "key").agg(listed).select("members")
-    # Of a larger group, each member goes to a part for each of the bands that follow; the next two bands order a part.
+    # Of a larger group, each member goes to a part for each of the bands that follow; a part that is still too large is dealt out, otherwise in each band and step.
     band = lambda k: F.get("bands", (F.col("band") + k) % BANDS)
-    parts = F.explode(F.array(*[F.struct(F.lit(k).alias("step"), band(k).alias("sub"), band(k + 1).alias("next"), band(k + 2).alias("last")) for k in range(1, FURTHER + 1)]))
+    parts = F.explode(F.array(*[F.xxhash64("band", "key", F.lit(k), band(k)) for k in range(1, FURTHER + 1)]))
     crowded = met.filter(F.col("n") > group).join(signed.select("text_hash", "bands"), "text_hash")
-    parted = crowded.select("band", "key", "text_hash", parts.alias("p")).select("band", "key", "text_hash", "p.*")
-    place = F.row_number().over(Window.partitionBy("band", "key", "step", "sub").orderBy("next", "last", "text_hash")) - 1
-    # Blocks overlap by one: the first of each stands at the end of the block before, too.
-    number, opens = F.floor(F.col("place") / (group - 1)), (F.col("place") % (group - 1) == 0) & (F.col("place") > 0)
-    blocks = parted.withColumn("place", place).withColumn("block", F.explode(F.when(opens, F.array(number, number - 1)).otherwise(F.array(number))))
-    large = blocks.groupBy("band", "key", "step", "sub", "block").agg(listed).select("members").filter(F.size("members") > 1)
+    parted = settled(crowded.select("text_hash", parts.alias("part")))
+    counts = parted.groupBy("part").agg(F.count("*").alias("n")).filter("n > 1")
+    dealt = F.xxhash64("part", F.pmod(F.xxhash64("text_hash", "part"), F.ceil(F.col("n") / group)))
+    large = parted.join(counts, "part").groupBy(dealt.alias("block")).agg(listed).select("members").filter(F.size("members") > 1)
     # Most groups recur in many bands: each is compared once, and only then meets its signatures.
     groups = small.unionByName(large).distinct().select(F.xxhash64("members").alias("group"), F.explode("members").alias("text_hash"))
     compared = groups.join(signed.select("text_hash", "sign"), "text_hash").groupBy("group").agg(F.collect_list(F.struct("text_hash", "sign")).alias("members"))
@@ -172,18 +206,22 @@ def similar_links(texts: DataFrame, words: int = 5, similarity: float = 0.8, gro
     classes = components(first).select(F.col("vertex").alias("text_hash"), "root")
     placed = settled(met.join(classes, "text_hash", "left").withColumn("root", F.coalesce("root", "text_hash")))
     # Of two texts in different classes, one at least is not in the group's largest class: only those ask, and all are asked.
-    counts = placed.groupBy("band", "key", "n", "root").agg(F.count("*").alias("size"))
-    open_groups = counts.groupBy("band", "key", "n").agg(F.max(F.struct("size", "root")).alias("most")).filter(F.col("most.size") < F.col("n"))
-    side = lambda n: F.ceil(n / block)
+    counts = placed.join(signed.select("text_hash", "n_shingles"), "text_hash").groupBy("band", "key", "n", "root").agg(F.count("*").alias("size"), F.sum(8 * F.col("n_shingles")).alias("bytes"))
+    open_groups = counts.groupBy("band", "key", "n").agg(F.max(F.struct("size", "root", "bytes")).alias("most"), F.sum("bytes").alias("bytes")).filter(F.col("most.size") < F.col("n"))
+    side = lambda n, size: F.greatest(F.ceil(n / block), F.ceil(size / BLOCK_BYTES)).cast("long")
     number = lambda n: F.pmod(F.xxhash64("text_hash"), n)
-    sides = {"rows": side(F.col("n") - F.col("most.size")), "columns": side(F.col("n"))}
-    open_groups = settled(open_groups.select("band", "key", F.col("most.root").alias("main"), *[x.cast("long").alias(k) for k, x in sides.items()]))
-    asked = placed.drop("n").join(open_groups, ["band", "key"]).join(signed.select("text_hash", "sign"), "text_hash")
+    sides = [side(F.col("n") - F.col("most.size"), F.col("bytes") - F.col("most.bytes")).alias("rows"), side(F.col("n"), F.col("bytes")).alias("columns")]
+    open_groups = settled(open_groups.select("band", "key", F.col("most.root").alias("main"), *sides))
+    asked = settled(placed.drop("n").join(open_groups, ["band", "key"]))
+    if asked.isEmpty():
+        return first
+    sets = _only(texts, settled(asked.select("text_hash").distinct())).mapInPandas(lambda x: _with_sets(x, words), "text_hash long, set binary")
+    packed = F.unhex(F.array_join(F.transform("bands", lambda x: F.lpad(F.hex(x), 16, "0")), ""))
+    asked = asked.join(signed.select("text_hash", "sign", packed.alias("packed")).join(sets, "text_hash"), "text_hash")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    kept = ["band", "key", "text_hash", "root", "sign"]
+    kept = ["band", "key", "text_hash", "root", "sign", "packed", "set"]
     left = asked.filter(F.col("root") != F.col("main")).select(*kept, F.lit(True).alias("asks"), number(F.col("rows")).alias("i"), every("columns").alias("j"))
     right = asked.select(*kept, F.lit(False).alias("asks"), number(F.col("columns")).alias("j"), every("rows").alias("i"))
-    blocks = left.unionByName(right).groupBy("band", "key", "i", "j").agg(F.collect_list(F.struct("text_hash", "root", "asks", "sign")).alias("m"))
-    rest = blocks.select(*[F.col(f"m.{x}").alias(y) for x, y in (("text_hash", "keys"), ("root", "roots"), ("asks", "asks"), ("sign", "signs"))])
-    unjoined = settled(rest.mapInPandas(lambda x: _unjoined(x, similarity - SLACK), "u long, v long").distinct())
-    return first if unjoined.isEmpty() else first.unionByName(_checked(texts, unjoined, words, similarity))
+    blocks = left.unionByName(right).groupBy("band", "key", "i", "j").agg(F.collect_list(F.struct("text_hash", "root", "asks", "sign", "packed", "set")).alias("m"))
+    rest = blocks.select("band", *[F.col(f"m.{x}").alias(y) for x, y in (("text_hash", "keys"), ("root", "roots"), ("asks", "asks"), ("sign", "signs"), ("packed", "bands"), ("set", "sets"))])
+    return first.unionByName(settled(rest.mapInPandas(lambda x: _unjoined(x, similarity), "u long, v long").distinct()))

@@ -1,10 +1,12 @@
 """Line dedup, quality rules and PII against brute force."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 
 from reviewlake.llm import boosting, lines, pii, quality
@@ -58,12 +60,63 @@ def test_keep_good_agrees_with_judged(documents):
     assert kept == sorted(r.doc_id for r in quality.judged(documents).filter("kept").collect())
 
 
-def test_fit_weighs_votes():
-    good = quality.fit([("+++", 900), ("--+", 60), ("-++", 5), ("00+", 20), ("---", 30)])
-    assert good["+++"] > 0.9 and good["00+"] >= 0.5 and good["--+"] < 0.1 and good["---"] < 0.01
+@pytest.mark.parametrize("shared", ["cast(0 as bigint)", "shiftleft(pmod(xxhash64(__words[i], __words[i + 1], __words[i + 2]), 3), 58)"])
+def test_windows_of_one_hash_are_told_apart(spark, monkeypatch, shared):
+    """Windows with one hash whose places interleave: the words decide."""
+    monkeypatch.setattr(quality, "_HASH", shared)
+    r = random.Random(3)
+    texts = [" ".join(r.choice("abcd") for _ in range(r.randint(0, 40))) for _ in range(60)] + [None, "a b c x a b c", "a b", "a b c"]
+    got = quality.judged(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", "n_repeat_words").collect()
+    assert {r.doc_id: r.n_repeat_words for r in got} == {i: measures(t)[4] for i, t in enumerate(texts)}
+
+
+def brute_fit(votes, rounds=25):
+    """Expectation-maximisation over single documents, rule by rule."""
+    docs = [p for p, n in votes for _ in range(n)]
+    good = np.array([{0: 0.98, 1: 0.5}.get(p.count("-"), 0.02) for p in docs])
+    for _ in range(rounds):
+        logs = []
+        for weight in (good, 1 - good):
+            total = np.full(len(docs), np.log((weight.sum() + 1) / (len(docs) + 2)))
+            for r in range(len(docs[0])):
+                own = np.array([p[r] for p in docs])
+                for v in "-0+":
+                    total[own == v] += np.log((weight[own == v].sum() + 0.5) / (weight.sum() + 1.5))
+            logs.append(total)
+        good = 1 / (1 + np.exp(logs[1] - logs[0]))
+    return dict(zip(docs, good))
+
+
+def test_fit_is_expectation_maximisation():
+    r = random.Random(6)
+    for votes in ([("+++", 900), ("--+", 60), ("-++", 5), ("00+", 20), ("---", 30)], [("".join(r.choice("-0+") for _ in range(4)), r.randint(1, 30)) for _ in range(20)]):
+        votes = list(dict(votes).items())
+        expected = brute_fit(votes)
+        assert all(abs(q - expected[p]) < 1e-9 for p, q in quality.fit(votes).items())
+    good = quality.fit([("+++", 900), ("--+", 60), ("-++", 5), ("---", 30)])
+    assert good["+++"] > 0.9 and good["--+"] < 0.1 and good["---"] < 0.01
     assert quality.fit([]) == {}
 
 
+def test_kept_follows_the_posterior(documents):
+    """Patterns by hand from the measures; kept and quality are those of expectation-maximisation over them."""
+    per = lambda a, b: a / max(b, 1)
+
+    def pattern(m):
+        votes = [(per(m.n_symbols, m.n_words), 0.25, 0.05), (-per(m.n_plain_chars, m.word_chars), -0.75, -0.9), (per(m.n_shouts, m.n_words), 0.2, 0.05), (per(m.n_capitals, m.word_chars), 0.4, 0.15), (per(m.n_repeat_words, m.n_words), 0.4, 0.15)]
+        out = ["-" if x > bad else "+" if x < good else "0" for x, bad, good in votes]
+        distinct, mean = per(m.n_distinct_words, m.n_words), per(m.word_chars, m.n_words)
+        out.append("-" if distinct < 0.2 and m.n_words < 1000 else "+" if distinct > 0.4 else "0")
+        for x, bad, good in ((per(m.n_dup_lines, m.n_lines), 0.5, 0.2), (per(m.n_marks, m.n_words), 0.15, 0.05)):
+            out.append("-" if x > bad else "+" if x < good else "0")
+        return "".join(out) + ("-" if mean < 2 or mean > 15 else "+" if 3 <= mean <= 10 else "0")
+
+    rows = quality.judged(documents).collect()
+    expected = brute_fit(list(Counter(map(pattern, rows)).items()))
+    for x in rows:
+        assert x.pattern == pattern(x) and abs(x.quality - expected[x.pattern]) < 1e-6 and x.kept == (not x.base_failed and x.quality >= 0.5)
+
+
 def boilerplate_free(rows, ratio, least):
     host = lambda s: "" if s is None else "=" + s
     totals, seen = Counter(host(r.source) for r in rows), Counter()

@@ -124,10 +124,40 @@ def test_other_values_in_the_same_template(spark, monkeypatch):
     bench = spark.createDataFrame([(7, item), (8, "too short"), (9, None)], "item_id long, text string")
     got = {r.doc_id: (r.item_id, r.exact) for r in decontamination.contaminated(docs, bench).collect()}
     assert got[1] == (7, True) and got[2] == (7, False) and 3 not in got
-    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 40)
+    monkeypatch.setattr(decontamination, "MEETS", 1)
     assert {r.doc_id: (r.item_id, r.exact) for r in decontamination.contaminated(docs, bench).collect()} == got
 
 
+def test_marks_lose_no_item(spark, rough):
+    """The hash join of marks against a comparison of every text with every item: other values, other case, cut items, short ones, items that share most windows, hot texts, rough rows."""
+    r = random.Random(12)
+    words = "the of Anna Boris Paris 12 7 30 apples kg how many buys sells when each rents".split()
+    items = [" ".join(r.choice(words) for _ in range(r.choice([1, 2, 3, 4, 5, 6, 9, 20, 40]))) for _ in range(40)]
+    items += [f"{items[-1]} and then some more words follow here {k}" for k in range(8)] + ["a a a a a a a a a", items[3], "How many?", "", None, "..."]
+    texts = []
+    for _ in range(150):
+        t = r.choice(items) or ""
+        t = r.choice([t, t.lower(), t.upper(), t.replace("Anna", "Carla Maria").replace("12", "15"), " ".join(t.split()[: r.randint(1, 40)]), " ".join(w for w in t.split() if r.random() < 0.95)])
+        texts.append(" ".join(r.choice(words) for _ in range(r.randint(0, 10))) + ". " + t + " " + " ".join(r.choice(words) for _ in range(r.randint(0, 10))))
+    texts += [texts[5]] * 30 + ["a " * 5000, None, ""]
+    docs = spark.createDataFrame([(i if i % 7 else None, t) for i, t in enumerate(texts)] + [(2**53 + 1, texts[8])], "doc_id long, text string")
+    bench = spark.createDataFrame([(k if k % 11 else None, t) for k, t in enumerate(items)], "item_id long, text string")
+    probe = decontamination.Probe([(x.item_id, x.text) for x in bench.collect() if x.item_id is not None])
+    expected = Counter((d.doc_id, *m) for d in docs.collect() for m in probe.matched(d.text))
+    got = Counter(tuple(x) for x in decontamination.contaminated(docs, bench).collect())
+    assert len(expected) > 100 and got == expected and any(k[0] == 2**53 + 1 for k in got)
+    kept = Counter(map(tuple, decontamination.drop_contaminated(docs, bench).collect()))
+    assert kept == Counter(tuple(d) for d in docs.collect() if not probe.matched(d.text))
+    assert decontamination.contaminated(docs, bench.limit(0)).count() == 0 and decontamination.drop_contaminated(docs, bench.limit(0)).count() == docs.count()
+    assert decontamination.contaminated(rough, bench.selectExpr("*", "1 AS th", "2 AS item", "3 AS h")).count() >= 0
+
+
+def test_short_items_are_found_word_for_word():
+    probe = decontamination.Probe([(1, "Why is Rome old?"), (2, "Yes")])
+    assert [(m[0], m[-1]) for m in probe.matched("So, why is ROME old")] == [(1, True)] and [m[0] for m in probe.matched("yes!")] == [2]
+    assert not probe.matched("Why is Paris old?") and not probe.matched("yesterday")
+
+
 def test_inconsistent_slots_are_no_match():
     item = "Anna gave 3 books to Boris and Anna got 3 pens from Boris while Anna had 3 cups"
     other = "Clara gave 4 books to Dora and Emil got 9 pens from Fritz while Gerd had 8 cups"
@@ -180,6 +210,36 @@ def test_main_text(html, text):
     assert markup.main_text(html) == text
 
 
+@pytest.mark.parametrize("name", ["share", "related", "header", "rail", "discussion", "search widget"])
+def test_names_that_hint_count_on_links_and_controls_only(name):
+    page = "<body><div class=content><h1>T</h1><p>A paragraph of text with words in it.</p><div class='{}'>{}</div></div><div class=sidebar>side</div></body>"
+    own = "T A paragraph of text with words in it."
+    assert markup.main_text(page.format(name, "<p>Second paragraph, which belongs to the text.</p>")) == f"{own} Second paragraph, which belongs to the text."
+    assert markup.main_text(page.format(name, "<a href=x>one</a> <a href=y>two</a>")) == own == markup.main_text(page.format(name, "find it: <input>"))
+
+
+HOSTILE = ["<div>", "<b>", "<table><td>x", "<a ", "<!-- ", "<!-- >x", "<![CDATA[ >", '<a href="', "<p><b>", "&a", "<", "</p>"]
+
+
+@pytest.mark.parametrize("part", HOSTILE)
+def test_hostile_markup_takes_linear_time(part):
+    import time
+
+    times = []
+    for n in (10_000, 40_000):
+        began = time.process_time()
+        markup.main_text("<article><p>text" + part * n)
+        times.append(time.process_time() - began)
+    assert times[1] < 10 * times[0] + 0.5
+
+
+def test_rough_pages(spark):
+    rows = [(2**53 + 1, "u", "<p>x</p>"), (None, None, "<p>y</p>"), (1, None, None), (1, None, None), (2, "u", ""), (3, "u", "no markup at all"), (4, "u", "<div>" * 5000 + "deep")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS text", "2 AS n_chars")
+    got = Counter((r.page_id, r.url, r.text, r.n_chars) for r in markup.extract(pages).collect())
+    assert got == Counter((k, u, t, len(t)) for (k, u, _), t in zip(rows, ["x", "y", "", "", "", "no markup at all", "deep"]))
+
+
 def test_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     found = {r.page_id: r for r in markup.extract(pages.selectExpr("*", "1 AS text", "2 AS n_chars")).collect()}
