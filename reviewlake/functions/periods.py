@@ -58,9 +58,19 @@ def trend_weeks(today: date, start: date | None = None, end: date | None = None,
     return first, last
 
 
+def utc_wall(epoch: Column) -> Column:
+    """An instant as date and time in UTC, whatever the session's zone."""
+    return F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")) + F.make_dt_interval(F.floor(epoch / 86400).cast("int"), F.lit(0), F.lit(0), F.pmod(epoch, F.lit(86400)).cast("decimal(18,6)"))
+
+
+def utc_text(epoch: Column) -> Column:
+    """An instant of whole seconds as ISO text with milliseconds."""
+    return F.concat(F.replace(utc_wall(epoch).cast("string"), F.lit(" "), F.lit("T")), F.lit(".000Z"))
+
+
 def local_date(epoch: Column, zone: str) -> Column:
-    """The calendar day of an instant in a named zone, with its daylight saving."""
-    return F.to_date(F.from_utc_timestamp(F.timestamp_seconds(epoch), zone))
+    """The calendar day of an instant in a named zone, with its daylight saving, whatever the session's zone."""
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), utc_wall(epoch)).cast("date")
 
 
 def week_start(day: Column) -> Column:

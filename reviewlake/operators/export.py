@@ -12,7 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reviewlake.functions.scalars import public_id
+from reviewlake.functions import variants as V
+from reviewlake.functions.periods import utc_text
+from reviewlake.functions.scalars import canonical_photo, humanized, public_id
+from reviewlake.sources.contract import nights
 
 #: The columns of a CSV export, in order.
 CSV_COLUMNS = ("property_key", "property_name", "hotel_id", "review_id", "local_date", "score", "positive_text", "negative_text", "language", "partner_reply", "helpful", "room", "guest_type")
@@ -51,6 +54,54 @@ def write_csv(records: DataFrame, path: str, columns: tuple[str, ...] = CSV_COLU
     records.sparkSession.createDataFrame([(",".join(columns),)], "value string").coalesce(1).write.text(f"{path}/header")
 
 
+#: The columns of a flat export, in order; those of nested fields by their paths in a full record.
+FLAT_COLUMNS = ("propertyKey", "propertyName", "bookingHotelId", "reviewId", "reviewedLocalDate", "score", "title", "positiveText", "negativeText", "sourceLanguage", "partnerReply", "helpfulVotesCount", "roomName", "customerType", "numNights", "guestCountry", "guestType")
+NESTED = {"roomName": "bookingDetails.roomType.name", "customerType": "bookingDetails.customerType", "numNights": "bookingDetails.numNights", "guestCountry": "guestDetails.countryName", "guestType": "guestDetails.guestTypeTranslation"}
+
+
+def full_records(reviews: DataFrame, properties: DataFrame) -> DataFrame:
+    """The 21 fields of a record as it may leave, in order, and its base order (epoch, row_id).
+
+    Expects the canonical columns, and card_json: booking, guest, photos,
+    highlights and flags come from it; a guest or booking that is null there
+    stays null, and of a guest seven fields are kept. No token, edit or avatar
+    URL leaves. A field that the source lacks is null.
+    """
+    r = reviews.join(properties.select("property_key", "property_name", "hotel_id"), "property_key")
+    v = F.try_parse_json("card_json")
+    guest, booking = V.at(v, "guestDetails"), V.at(v, "bookingDetails")
+    there = lambda x, made: F.when(V.is_kind(x, "OBJECT"), made)
+    kept = lambda x, **fields: F.struct(*[F.try_variant_get(x, f"$.{k}", t).alias(k) for k, t in fields.items()])
+    stay = F.struct(*[F.try_variant_get(booking, f"$.{k}", "string").alias(k) for k in ("customerType", "checkinDate", "checkoutDate", "stayStatus")], there(V.at(booking, "roomType"), kept(V.at(booking, "roomType"), id="string", name="string")).alias("roomType"), nights(V.at(booking, "numNights")).alias("numNights"))
+    photos = F.transform(V.items(V.at(v, "photos")), lambda p: F.struct(F.try_variant_get(p, "$.id", "string").alias("id"), F.try_variant_get(p, "$.kind", "string").alias("kind"), F.transform(V.items(V.at(p, "urls")), lambda u: F.struct(F.try_variant_get(u, "$.size", "string").alias("size"), canonical_photo(F.try_variant_get(u, "$.url", "string")).alias("url"))).alias("urls")))
+    marks = lambda k: F.transform(V.items(V.at(v, k)), lambda h: F.struct(F.try_variant_get(h, "$.start", "long").alias("start"), F.try_variant_get(h, "$.end", "long").alias("end")))
+    return r.select(
+        F.col("property_key").alias("propertyKey"), F.col("property_name").alias("propertyName"), F.col("hotel_id").alias("bookingHotelId"), public_id(F.col("property_key"), F.col("token")).alias("reviewId"),
+        F.col("epoch").alias("reviewedEpoch"), utc_text(F.col("epoch")).alias("reviewedAtUtc"), F.col("local_date").alias("reviewedLocalDate"), (F.col("tenths") / 10).alias("score"), F.try_variant_get(v, "$.textDetails.title", "string").alias("title"),
+        F.col("positive_text").alias("positiveText"), F.col("negative_text").alias("negativeText"), F.col("language").alias("sourceLanguage"), F.col("partner_reply").alias("partnerReply"), F.col("helpful").alias("helpfulVotesCount"),
+        there(booking, stay).alias("bookingDetails"),
+        there(guest, kept(guest, username="string", countryCode="string", countryName="string", anonymous="boolean", guestTypeTranslation="string", joinedDate="long", userReviewCount="long")).alias("guestDetails"),
+        photos.alias("photos"), F.struct(marks("positiveHighlights").alias("positive"), marks("negativeHighlights").alias("negative")).alias("highlights"),
+        F.try_variant_get(v, "$.textDetails.textTrivialFlag", "long").alias("textTrivialFlag"), F.try_variant_get(v, "$.isApproved", "boolean").alias("isApproved"), F.try_variant_get(v, "$.isTranslatable", "boolean").alias("isTranslatable"),
+        "epoch", "row_id",
+    )
+
+
+def json_records(records: DataFrame) -> DataFrame:
+    """A JSON line for each full record, nulls written out."""
+    return records.select(F.to_json(F.struct(*[c for c in records.columns if c not in ("epoch", "row_id")]), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def write_json_lines(records: DataFrame, path: str) -> None:
+    """JSON lines in order of property and base order; Spark's committer shows the files only when all are written."""
+    json_records(records.orderBy("propertyKey", F.desc("epoch"), "row_id")).write.mode("overwrite").text(path)
+
+
+def flat_lines(records: DataFrame) -> DataFrame:
+    """The 17 columns of full records as CSV lines."""
+    return csv_lines(records.select(*[F.col(NESTED.get(c, c)).alias(c) for c in FLAT_COLUMNS]), FLAT_COLUMNS)
+
+
 def manifest(records: DataFrame) -> DataFrame:
     """Counts and means per property, for the export's manifest."""
     return records.groupBy("property_key", "property_name", "hotel_id").agg(F.count("*").alias("records"), F.avg("score").alias("average"), F.min("local_date").alias("earliest"), F.max("local_date").alias("latest"))
@@ -191,8 +242,28 @@ def redacted_json(records: pd.Series) -> pd.Series:
 
 
 def category_pivot(scores: DataFrame, known: tuple[str, ...]) -> DataFrame:
-    """Properties by category; a missing score stays null, and of repeated categories the last wins."""
-    return scores.groupBy("property_key").pivot("category", list(known)).agg(F.max_by("score", "place"))
+    """Properties by category; a missing score stays null, and of repeated categories the last wins. Categories that are not ``known`` keep their scores in a map, ``other``."""
+    last = scores.groupBy("property_key", "category").agg(F.max_by("score", "place").alias("score"))
+    listed = [F.max(F.when(F.col("category") == c, F.col("score"))).alias(c) for c in known]
+    rest = F.map_from_entries(F.array_sort(F.array_compact(F.collect_list(F.when(~F.col("category").isin(*known), F.struct("category", "score"))))))
+    return last.groupBy("property_key").agg(*listed, rest.alias("other"))
+
+
+def category_scores(value: Column) -> Column:
+    """A JSON list of category scores as structs: those with a number, named by their translation, else their name in words, else "Category"."""
+    rows = F.filter(V.items(F.try_parse_json(value)), lambda x: V.number(V.at(x, "value")).isNotNull())
+    named = lambda x, k: F.when(F.trim(V.text(V.at(x, k))) != "", V.text(V.at(x, k)))
+    return F.transform(rows, lambda x: F.struct(F.coalesce(named(x, "translation"), humanized(named(x, "name")), F.lit("Category")).alias("name"), V.number(V.at(x, "value")).alias("score")))
+
+
+#: The lines of a job's log that tell something.
+PROGRESS = {
+    "started": r"^\[[^\]]+\]\s+(?:full|canary):\s+(\S+)$",
+    "progress": r"^\[[^\]]+\]\s+progress:\s+(\S+)\s+(oldest-first|newest-first)\s+(\d+)/(\d+)(?:\s+verified)?$",
+    "head": r"^\[[^\]]+\]\s+progress:\s+(\S+)\s+final head verified\s+\((\d+) cards\)$",
+    "passed": r"^\[[^\]]+\]\s+passed:\s+(\S+)\s+\((\d+) reviews\)$",
+    "failed": r"^\[[^\]]+\]\s+failed:\s+(\S+):\s+(\S+)\s*(.*)$",
+}
 
 
 def backoff_ms(attempt: int, base: int = 500, most: int = 30_000, jitter: float = 0.0) -> int:
@@ -200,13 +271,58 @@ def backoff_ms(attempt: int, base: int = 500, most: int = 30_000, jitter: float
     return math.floor(min(most, base * 2**attempt) * (1 + jitter))
 
 
-def circuit_open(failures: int, code: str | None, most: int = 3) -> bool:
-    """Whether collection stops: on a challenge at once, else after so many failures in a row."""
-    return code in ("challenge", "rate_limited") or failures >= most
+#: Failures that end a collection at once, the one of which so many in a row do, and those that are tried again.
+IMMEDIATE, CAPTURE_TIMEOUT, TIMEOUTS = ("RATE_LIMITED", "ACCESS_DENIED", "CHALLENGE", "CHALLENGE_TIMEOUT", "REVIEW_HTTP_ERROR"), "REVIEW_CAPTURE_TIMEOUT", 2
+RETRYABLE = ("timeout", "network_error", "temporary_server_error")
+
+
+def circuit(events: DataFrame) -> DataFrame:
+    """Failure codes of runs (run_id, place, code) with the run's capture timeouts in a row so far, and whether collection stops there."""
+    w = Window.partitionBy("run_id").orderBy("place")
+    timeout = F.coalesce(F.col("code") == CAPTURE_TIMEOUT, F.lit(False))
+    rows = events.withColumn("__reset", F.sum((~timeout).cast("int")).over(w))
+    row = F.sum(timeout.cast("int")).over(Window.partitionBy("run_id", "__reset").orderBy("place"))
+    rows = rows.withColumn("timeouts", row)
+    return rows.withColumn("open", F.coalesce(F.col("code").isin(*IMMEDIATE), F.lit(False)) | timeout & (F.col("timeouts") >= TIMEOUTS)).drop("__reset")
+
+
+def retry_after_ms(value: Column, now: Column) -> Column:
+    """Milliseconds of a Retry-After header: whole seconds, or an HTTP date against ``now`` (a timestamp); null if it is neither."""
+    said = F.trim(value)
+    seconds = F.when(said.rlike("^[0-9]{1,13}$"), said.cast("long") * 1000)
+    date = F.try_to_timestamp(F.regexp_replace(said, "^[A-Za-z]{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
+    return F.coalesce(seconds, F.greatest(F.lit(0).cast("long"), F.unix_millis(date) - F.unix_millis(now)))
+
+
+def backoff_column(attempt: Column, sample: Column, base: int = 500, most: int = 30_000, jitter: float = 0.2) -> Column:
+    """Milliseconds before the next attempt (from 1): capped doubling, spread by the jitter to both sides as ``sample`` (0 to 1) says."""
+    delay = F.least(F.lit(float(most)), base * F.pow(F.lit(2.0), F.least(attempt - 1, F.lit(52))))
+    return F.floor(F.greatest(F.lit(0.0), F.least(F.lit(float(most)), delay * (1 - jitter + 2 * jitter * sample))) + 0.5).cast("long")
+
+
+def retry_decisions(failures: DataFrame, most_attempts: int = 3) -> DataFrame:
+    """failures (kind, attempt, retry_after, now, sample) with retry, delay_ms, reschedule_ms and reason."""
+    limited, again = F.col("kind") == "rate_limited", F.coalesce(F.col("kind").isin(*RETRYABLE), F.lit(False))
+    reason = F.when(limited, "rate_limited").when(~again, "not_retryable").when(F.col("attempt") >= most_attempts, "attempt_budget_exhausted").otherwise("temporary_failure")
+    retry = F.col("reason") == "temporary_failure"
+    return failures.withColumn("reason", reason).withColumns({"retry": retry, "delay_ms": F.when(retry, backoff_column(F.col("attempt"), F.col("sample"))), "reschedule_ms": F.when(F.col("reason") == "rate_limited", retry_after_ms(F.col("retry_after"), F.col("now")))})
 
 
 def progress(log: DataFrame) -> DataFrame:
-    """The last state that each job's log lines report: stage, pages, reviews."""
-    stage = F.regexp_extract("line", r"stage[=:]\s*([a-z_]+)", 1)
-    number = lambda name: F.nullif(F.regexp_extract("line", rf"{name}[=:]\s*([0-9]+)", 1), F.lit("")).cast("long")
-    return log.groupBy("job").agg(F.max_by(F.nullif(stage, F.lit("")), F.when(stage != "", F.col("line_no"))).alias("stage"), F.max_by(number("pages"), F.when(number("pages").isNotNull(), F.col("line_no"))).alias("pages"), F.max_by(number("reviews"), F.when(number("reviews").isNotNull(), F.col("line_no"))).alias("reviews"))
+    """The state of each job's properties after its log lines (job, line_no, line).
+
+    Five kinds of lines tell something; of each column the last line that sets it counts.
+    """
+    line = F.trim("line")
+    got = lambda k, g: F.nullif(F.regexp_extract(line, PROGRESS[k], g), F.lit(""))
+    is_ = {k: line.rlike(p) for k, p in PROGRESS.items()}
+    of = F.coalesce(*[got(k, 1) for k in PROGRESS])
+    rows = log.withColumns({
+        "property_key": of,
+        "state": F.when(is_["started"] | is_["progress"], "collecting").when(is_["passed"], "published").when(is_["failed"], "failed"),
+        "pass": F.when(is_["progress"], got("progress", 2)).when(is_["head"], "verifying").when(is_["passed"] | is_["failed"], ""),
+        "processed": F.coalesce(got("progress", 3), got("passed", 2)).cast("long"), "expected": got("progress", 4).cast("long"), "reviews": got("passed", 2).cast("long"),
+        "error_code": got("failed", 2), "error": F.coalesce(got("failed", 3), got("failed", 2)),
+    }).filter(F.col("property_key").isNotNull())
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("line_no")))
+    return rows.groupBy("job", "property_key").agg(last("state").alias("state"), F.nullif(last("pass"), F.lit("")).alias("pass"), *[last(c).alias(c) for c in ("processed", "expected", "reviews", "error_code", "error")])

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 ORDERS = ("newest", "oldest", "highest", "lowest", "helpful")
 SENTIMENTS = ("positive", "mixed", "negative", "unclassified")
 MOST_PAGES, LEAST_SIZE, MOST_SIZE, DEFAULT_SIZE, MOST_SEARCH = 100_000, 5, 100, 20, 200
+MOST_TEXT = {"language": 60, "guest_type": 100, "room": 180}
 
 
 class InvalidQuery(ValueError):
@@ -49,6 +50,10 @@ class FeedQuery:
         object.__setattr__(self, "page", within(self.page, 1, MOST_PAGES, 1))
         object.__setattr__(self, "size", within(self.size, LEAST_SIZE, MOST_SIZE, DEFAULT_SIZE))
         object.__setattr__(self, "search", self.search.strip()[:MOST_SEARCH])
+        for name, most in MOST_TEXT.items():
+            object.__setattr__(self, name, (getattr(self, name) or "").strip()[:most] or None)
+        if self.least_tenths is not None and self.most_tenths is not None and self.least_tenths > self.most_tenths:
+            raise InvalidQuery("the scores are inverted")
         for name in ("least_tenths", "most_tenths"):
             if (x := getattr(self, name)) is not None:
                 object.__setattr__(self, name, max(0, min(100, x)))

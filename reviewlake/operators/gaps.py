@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reviewlake.operators.ranges import with_previous
+
 #: The tolerated gap, the four totals that must agree, and the score buckets in order.
 MOST_GAP, GAP_SHARE = 5, 0.01
 TOTALS = ("reviewScoreFilter.ALL", "languageFilter.empty", "timeOfYearFilter.ALL", "customerTypeFilter.ALL")
+GAP_KIND = "source_count_gap_v1"
 BUCKETS = ("REVIEW_ADJ_SUPERB", "REVIEW_ADJ_GOOD", "REVIEW_ADJ_AVERAGE_PASSABLE", "REVIEW_ADJ_POOR", "REVIEW_ADJ_VERY_POOR")
 
 
@@ -79,6 +82,51 @@ def first_failing(*checks: tuple[str, Column]) -> Column:
 
 def monotonic(pages: DataFrame, newest_first: bool = True) -> DataFrame:
     """Rows of collected pages whose date breaks the order of their phase."""
-    before = F.lag("epoch").over(Window.partitionBy("property_key", "phase").orderBy("page_offset", "card_index"))
+    rows = with_previous(pages, ("property_key", "phase"), ("page_offset", "card_index"), {"epoch": "__earlier"})
+    before = F.col("__earlier")
     broken = F.col("epoch") > before if newest_first else F.col("epoch") < before
-    return pages.withColumn("broken", F.coalesce(broken, F.lit(False))).filter("broken").drop("broken")
+    return rows.filter(F.coalesce(broken, F.lit(False))).drop("__earlier")
+
+
+def source_gap(counts: DataFrame, kind: str = GAP_KIND) -> DataFrame:
+    """counts with ``evidence`` of a gap, or a ``verdict`` that says why there is none: NONE for equal counts, else the first check that fails.
+
+    Expects advertised, retrievable, totals (struct<source, n> each) and buckets (struct<bucket, advertised>).
+    """
+    gap = F.col("advertised") - F.col("retrievable")
+    places = lambda of, name: F.array_sort(F.transform(of, lambda x: x[name]))
+    verdict = first_failing(
+        ("INVALID_COUNT", ~F.coalesce((F.col("advertised") >= 0) & (F.col("retrievable") >= 0), F.lit(False))), ("NONE", gap == 0), ("SURPLUS", gap < 0), ("GAP_TOO_LARGE", gap > tolerance(F.col("advertised"))),
+        ("TOTAL_SET_MISMATCH", places("totals", "source") != F.array(*map(F.lit, sorted(TOTALS)))), ("TOTAL_MISMATCH", ~F.forall("totals", lambda x: x["n"] == F.col("advertised"))),
+        ("BUCKET_SET_MISMATCH", places("buckets", "bucket") != F.array(*map(F.lit, sorted(BUCKETS)))), ("BUCKET_SUM_MISMATCH", F.aggregate("buckets", F.lit(0).cast("long"), lambda a, x: a + x["advertised"]) != F.col("advertised")),
+    )
+    evidence = F.when(verdict.isNull(), F.struct(F.lit(kind).alias("kind"), F.lit(1).alias("version"), F.col("advertised"), F.col("retrievable"), gap.alias("gap")))
+    return counts.withColumns({"verdict": F.coalesce(verdict, F.lit("OK")), "evidence": evidence})
+
+
+def disclosures(attested: DataFrame, buckets: DataFrame, kind: str = GAP_KIND) -> DataFrame:
+    """What a stored attestation may say: its counts recomputed from its buckets and compared, field by field.
+
+    ``attested`` has a row for each property: kind, version, advertised,
+    retrievable, gap, headline_bucket, headline_gap, headline_advertised and
+    headline_retrievable; ``buckets`` its rows of shortfalls(). A row that
+    fails has the first reason in ``verdict`` and discloses nothing.
+    """
+    now = shortfalls(buckets).select("property_key", F.col("advertised").alias("n_advertised"), F.col("retrievable").alias("n_retrievable"), F.col("gap").alias("n_gap"), F.col("headline_bucket").alias("n_bucket"), F.col("headline_gap").alias("n_short"), F.col("verdict").alias("bucket_verdict"))
+    named = buckets.select("property_key", F.col("bucket").alias("n_bucket"), F.col("advertised").alias("b_advertised"), F.col("retrievable").alias("b_retrievable"))
+    both = attested.join(now, "property_key", "left").join(named, ["property_key", "n_bucket"], "left")
+    differ = lambda *pairs: F.array_contains(F.array(*[~F.col(a).eqNullSafe(F.col(b)) for a, b in pairs]), True)
+    verdict = first_failing(
+        ("INVALID_ATTESTATION", F.col("version") != 1), ("CONTRACT_KIND_MISMATCH", F.col("kind") != kind), ("BUCKETS_MISSING", F.col("bucket_verdict").isNull()), ("BUCKETS_INVALID", F.col("bucket_verdict") != "OK"),
+        ("COUNT_MISMATCH", differ(("advertised", "n_advertised"), ("retrievable", "n_retrievable"), ("gap", "n_gap"))),
+        ("HEADLINE_MISMATCH", differ(("headline_bucket", "n_bucket"), ("headline_gap", "n_short"), ("headline_advertised", "b_advertised"), ("headline_retrievable", "b_retrievable"))),
+    )
+    shown = lambda c: F.when(verdict.isNull(), F.col(c))
+    return both.select("property_key", F.coalesce(verdict, F.lit("OK")).alias("verdict"), *[shown(c).alias(c) for c in ("advertised", "retrievable", "gap", "headline_bucket", "headline_advertised", "headline_retrievable")])
+
+
+def category_digest(ratings: DataFrame, keys: tuple[str, ...] = ("property_key",)) -> DataFrame:
+    """A digest of a property's few categories by name: name, translation and value only, so that other fields may vary."""
+    said = F.array_sort(F.collect_list(F.struct("name", "translation", "value")))
+    return ratings.groupBy(*keys).agg(F.sha2(F.to_json(said, {"ignoreNullFields": "false"}), 256).alias("digest"))
+

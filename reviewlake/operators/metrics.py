@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from reviewlake.functions.periods import Period, trend_weeks, week_start
 from reviewlake.functions.scalars import delta, direction, share
+from reviewlake.operators.ranges import carried, ranged
 from reviewlake.operators.topics import topic_dimension, unpivoted
 
 #: Buckets of the histogram and of the source, from the highest: (label, from, below) in tenths.
@@ -76,11 +77,6 @@ def source_buckets(reviews: DataFrame, keys: tuple[str, ...] = ("property_key",)
     return reviews.groupBy(*keys, _bucket(SOURCE_BUCKETS).alias("bucket")).agg(F.count("*").alias("reviews"))
 
 
-def base_rank() -> Window:
-    """The order in which reviews are first seen: newest first, then by row."""
-    return Window.orderBy(F.desc("epoch"), F.asc("row_id"))
-
-
 def topic_metrics(reviews: DataFrame, period: Period, properties: DataFrame) -> DataFrame:
     """Eight rows: shares of negative mentions now and before, all mentions, and the leading property; topics are classified once.
 
@@ -139,9 +135,25 @@ def alerts(property_rows: DataFrame, topic_rows: DataFrame, quality_rows: DataFr
 
 
 def nearest_rank(df: DataFrame, value: str, keys: tuple[str, ...], at=(0.5, 0.95, 0.99)) -> DataFrame:
-    """Nearest-rank percentiles with minimum and maximum."""
-    named = [F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})").alias(f"p{round(p * 100)}") for p in at]
-    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), *named)
+    """Nearest-rank percentiles with minimum and maximum.
+
+    Values are counted first, then ranked in ranges, so that no key's values
+    gather in one task; nulls are left out.
+    """
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
+    rows = carried(ranged(counted, keys, (value,)), keys, F.sum("__n"), F.sum, "__before")
+    upto = F.sum("__n").over(Window.partitionBy("__part", *keys).orderBy(value)) + F.coalesce("__before", F.lit(0))
+    rows = rows.withColumn("__upto", upto)
+    whole = rows.groupBy(*keys).agg(F.max("__upto").alias("n"), F.min(value).alias("least"), F.max(value).alias("most"))
+    at_least = [F.min(F.when(F.col("__upto") >= F.ceil(F.col("n") * F.lit(str(p)).cast("decimal(9,6)")), F.col(value))).alias(f"p{round(p * 100)}") for p in at]
+    found = rows.join(whole.select(*keys, "n"), list(keys)).groupBy(*keys).agg(*at_least)
+    return whole.join(found, list(keys))
+
+
+def throughput(runs: DataFrame) -> DataFrame:
+    """Pages and review occurrences a minute of runs, to two decimals; a run takes a millisecond at least."""
+    minutes = lambda c: F.round(F.col(c) * 60_000 / F.greatest(F.lit(1), F.round("duration_ms")), 2)
+    return runs.withColumns({"pages_per_minute": minutes("pages"), "reviews_per_minute": minutes("reviews")})
 
 
 def publication_stats(versions: DataFrame) -> DataFrame:

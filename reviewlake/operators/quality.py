@@ -51,8 +51,14 @@ def overall(rows: DataFrame) -> DataFrame:
 
 
 def publication_reasons() -> Column:
-    """All reasons why a publication is not authoritative; an empty list if it is."""
+    """All reasons why a publication is not authoritative; an empty list if it is.
+
+    The counts of a snapshot are looked at before its gaps, and a gap of the
+    source before a visible one.
+    """
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    gap, visible = F.coalesce("gap_attested", F.lit(False)), F.coalesce("visible_attested", F.lit(False))
+    counted = F.col("structured").isNotNull() & same("structured", "final_count") & same("structured", "present")
     checks = [
         ("latest_run_missing", F.col("run_status").isNull()),
         ("latest_run_not_succeeded", F.col("run_status") != "succeeded"),
@@ -61,11 +67,14 @@ def publication_reasons() -> Column:
         ("latest_run_property_mismatch", ~same("run_property", "property_key")),
         ("published_count_mismatch", ~same("present", "final_count")),
         ("full_inventory_attestation_invalid", ~(same("oldest_count", "newest_count") & same("oldest_ids", "newest_ids") & same("oldest_records", "newest_records"))),
+        ("latest_run_is_not_latest_full_run", ~same("last_full_run", "published_run")),
         ("property_snapshot_missing", F.col("structured").isNull()),
-        ("property_snapshot_count_mismatch", F.col("structured").isNotNull() & ~same("structured", "final_count")),
-        ("conflicting_count_discrepancy_attestations", F.coalesce("gap_attested", F.lit(False)) & F.coalesce("visible_attested", F.lit(False))),
-        ("source_discrepancy_attestation_invalid", F.coalesce("gap_attested", F.lit(False)) & ~F.coalesce("gap_valid", F.lit(False))),
-        ("visible_count_discrepancy_invalid", F.coalesce("visible_attested", F.lit(False)) & ~F.coalesce("visible_valid", F.lit(False))),
+        ("property_snapshot_count_mismatch", F.col("structured").isNotNull() & ~(same("structured", "final_count") & same("structured", "present"))),
+        ("conflicting_count_discrepancy_attestations", counted & gap & visible),
+        ("source_discrepancy_attestation_invalid", gap & ~F.coalesce("gap_valid", F.lit(False))),
+        ("source_discrepancy_snapshot_mismatch", counted & gap & F.coalesce("gap_valid", F.lit(False)) & ~(same("displayed", "gap_advertised") & same("structured", "gap_retrievable"))),
+        ("visible_count_discrepancy_invalid", counted & ~gap & ~same("displayed", "structured") & ~F.coalesce("visible_valid", F.lit(False))),
+        ("unexpected_visible_count_discrepancy", counted & ~gap & same("displayed", "structured") & visible),
     ]
     return F.when(F.col("published_run").isNull(), F.array(F.lit("publication_missing"))).otherwise(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in checks])))
 
@@ -76,7 +85,7 @@ class NotAuthoritative(RuntimeError):
 
 def require_authoritative(evidence: DataFrame) -> None:
     """Fails, naming the properties and reasons, unless every publication is authoritative; before any review is read."""
-    bad = evidence.withColumn("reasons", publication_reasons()).filter(F.size("reasons") > 0).select("property_key", "reasons").limit(100).collect()
+    bad = evidence.withColumn("reasons", publication_reasons()).filter(F.size("reasons") > 0).select("property_key", "reasons").orderBy("property_key").collect()  # of the configured properties
     if bad:
         raise NotAuthoritative("; ".join(f"{r['property_key']}: {', '.join(r['reasons'])}" for r in bad))
 

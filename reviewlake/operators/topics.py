@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 #: Topics in order with their labels.
 TOPICS = (
     ("cleanliness", "Cleanliness"),
-    ("check_in", "Check-in"),
-    ("staff_reception", "Staff and reception"),
+    ("check_in", "Check-in experience"),
+    ("staff_reception", "Staff or receptionist behaviour"),
     ("noise", "Noise"),
     ("facilities", "Facilities"),
     ("location", "Location"),
@@ -27,6 +27,7 @@ TOPICS = (
     ("value_for_money", "Value for money"),
 )
 
+#: Words that several rules share.
 _WHO, _GOOD, _BAD = "host|manager|reception|receptionist|staff", "attentive|friendly|helpful|kind|lovely|polite|professional|responsive|welcoming", "aggressive|dismissive|impolite|rude|unfriendly|unhelpful|unprofessional|unresponsive"
 
 #: Rules as (name, polarity, pattern, flags); N: negation before a match flips it, I: negation inside flips it.
