@@ -15,6 +15,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ BANDS, ROWS = 24, 5
 #: Texts of one group that are compared with each other; a larger group is parted by the bands that follow.
 GROUP, FURTHER = 100, 6
 #: Texts, and bytes of their shingle sets, on each side of a block of pairs of one group (on average; a text is never cut).
-BLOCK, BLOCK_BYTES = 1000, 8 << 20
+BLOCK, BLOCK_BYTES = 1000, 2 << 20
 #: Estimated similarity below the wanted one from which a pair is checked: 120 slots put an alike pair lower than that once in 100,000 pairs or less.
 SLACK = 0.15
 
@@ -111,31 +112,49 @@ def _alike(batches: Iterable[pd.DataFrame], words: int, similarity: float) -> It
             yield b.loc[keep, ["u", "v"]]
 
 
-def _met_before(bands: np.ndarray, own: np.ndarray, band: int) -> np.ndarray:
-    """Which rows share a band before this one with ``own``: their pair is checked there."""
-    return (bands[:, :band] == own[:band]).any(axis=1)
+class _Block:
+    """One block of a band group: texts that ask, and others that they meet."""
 
+    def __init__(self, b: pa.RecordBatch, r: int) -> None:
+        of = lambda name: b.column(name)[r].values
+        asks = of("asks").to_numpy(zero_copy_only=False)
+        self.band, self.keys, self.asks, self.others = b.column("band")[r].as_py(), of("keys").to_numpy(), np.flatnonzero(asks).tolist(), np.flatnonzero(~asks)
+        self.roots = np.unique(of("roots").to_numpy(), return_inverse=True)[1]
+        self.signs, self.bands = (np.stack([np.frombuffer(x, kind) for x in of(name).to_pylist()]) for name, kind in (("signs", np.uint8), ("bands", np.int64)))
 
-def _unjoined(batches: Iterable[pd.DataFrame], similarity: float) -> Iterator[pd.DataFrame]:
+    def near(self, i: int, least: float) -> np.ndarray:
+        """Others of another class whose estimate is high enough, but for those that share an earlier band: each pair is looked at in its first."""
+        near = self.others[self.roots[self.others] != self.roots[i]]
+        near = near[(self.signs[near] == self.signs[i]).mean(axis=1) >= least] if len(near) else near
+        return near[~(self.bands[near, : self.band] == self.bands[i, : self.band]).any(axis=1)] if len(near) else near
+
+
+def _candidates(batches: Iterable[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """(band, text_hash) of the texts that have a pair to be checked."""
+    for b in batches:
+        for r in range(b.num_rows):
+            block, found = _Block(b, r), []
+            for i in block.asks:
+                if len(near := block.near(i, least)):
+                    found += [block.keys[near], block.keys[i : i + 1]]
+            if found:
+                keys = np.unique(np.concatenate(found))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block.band, np.int32)), pa.array(keys)], ["band", "text_hash"])
+
+
+def _unjoined(batches: Iterable[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
     """Links between one text that asks and another of its block whose class differs: those that shingle sets bear out.
 
-    A link joins the two classes within the block, so later texts of both need
-    no further one. Each pair is looked at in the first band that it shares.
+    A link joins the two classes within the block, so later texts of both need no further one.
     """
     for b in batches:
-        found = []
-        for band, keys, roots, asks, signs, bands, sets in zip(b["band"], b["keys"], b["roots"], b["asks"], b["signs"], b["bands"], b["sets"]):
-            keys, asks = np.asarray(keys, np.int64), np.asarray(asks, bool)
-            roots = np.unique(np.asarray(roots, np.int64), return_inverse=True)[1]
-            signs, bands = np.stack([np.frombuffer(x, np.uint8) for x in signs]), np.stack([np.frombuffer(x, np.int64) for x in bands])
-            sets = [np.frombuffer(x, np.uint64) for x in sets]
-            sizes, there = np.array([len(x) for x in sets]), np.flatnonzero(~asks)
-            for i in np.flatnonzero(asks).tolist():
-                near = there[roots[there] != roots[i]]
-                near = near[(signs[near] == signs[i]).mean(axis=1) >= similarity - SLACK]
-                if not len(near):
-                    continue
-                near = near[~_met_before(bands[near], bands[i], band)]
+        for r in range(b.num_rows):
+            block, found = _Block(b, r), []
+            keys, roots = block.keys, block.roots
+            sets = [np.frombuffer(x, np.uint64) for x in b.column("sets")[r].values.to_pylist()]
+            sizes = np.array([len(x) for x in sets])
+            for i in block.asks:
+                near = block.near(i, similarity - SLACK)
                 for a in range(0, len(near), 256):
                     part = near[a : a + 256]
                     part = part[roots[part] != roots[i]]
@@ -148,13 +167,39 @@ def _unjoined(batches: Iterable[pd.DataFrame], similarity: float) -> Iterator[pd
                         if roots[j] != roots[i]:
                             found.append((min(keys[i], keys[j]), max(keys[i], keys[j])))
                             roots[roots == roots[j]] = roots[i]
-        if found:
-            yield pd.DataFrame(found, columns=["u", "v"])
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["u", "v"])
 
 
 def _with_sets(batches: Iterable[pd.DataFrame], words: int) -> Iterator[pd.DataFrame]:
     for b in batches:
-        yield pd.DataFrame({"text_hash": b["text_hash"], "set": [shingles(t, words).tobytes() for t in b["text"]]})
+        for a in range(0, len(b), 500):
+            part = b.iloc[a : a + 500]
+            yield pd.DataFrame({"text_hash": part["text_hash"], "set": [shingles(t, words).tobytes() for t in part["text"]]})
+
+
+def _in_blocks(asked: DataFrame, sides: dict, fields: dict[str, str], more: DataFrame | None = None) -> DataFrame:
+    """Every block of the members of each band group that ask with every block of all its members, as arrays.
+
+    A member asks if it is not of the class that has most of the group.
+    ``sides``: columns (None: one a member) and how much of them a block may
+    have; ``more`` adds columns by text_hash.
+    """
+    of = [f"side{k}" for k in range(len(sides))]
+    counts = asked.groupBy("band", "key", "root").agg(F.count("*").alias("size"), *[F.sum(F.lit(1) if c is None else F.col(c)).alias(name) for c, name in zip(sides, of)])
+    groups = counts.groupBy("band", "key").agg(F.max(F.struct("size", "root", *of)).alias("most"), F.sum("size").alias("n"), *[F.sum(c).alias(c) for c in of]).filter(F.col("most.size") < F.col("n"))
+    side = lambda each: F.greatest(F.lit(1), *[F.ceil(each(c) / most) for c, most in zip(of, sides.values())]).cast("long")
+    groups = settled(groups.select("band", "key", F.col("most.root").alias("main"), side(lambda c: F.col(c) - F.col(f"most.{c}")).alias("rows"), side(F.col).alias("columns")))
+    members = asked.join(groups, ["band", "key"])
+    members = members if more is None else members.join(more, "text_hash")
+    number = lambda n: F.pmod(F.xxhash64("text_hash"), n)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    kept = ["band", "key", *fields]
+    left = members.filter(F.col("root") != F.col("main")).select(*kept, F.lit(True).alias("asks"), number(F.col("rows")).alias("i"), every("columns").alias("j"))
+    right = members.select(*kept, F.lit(False).alias("asks"), number(F.col("columns")).alias("j"), every("rows").alias("i"))
+    fields = fields | {"asks": "asks"}
+    blocks = left.unionByName(right).groupBy("band", "key", "i", "j").agg(F.collect_list(F.struct(*fields)).alias("m"))
+    return blocks.select("band", *[F.col(f"m.{x}").alias(y) for x, y in fields.items()])
 
 
 def _only(texts: DataFrame, keys: DataFrame) -> DataFrame:
@@ -206,22 +251,13 @@ def similar_links(texts: DataFrame, words: int = 5, similarity: float = 0.8, gro
     classes = components(first).select(F.col("vertex").alias("text_hash"), "root")
     placed = settled(met.join(classes, "text_hash", "left").withColumn("root", F.coalesce("root", "text_hash")))
     # Of two texts in different classes, one at least is not in the group's largest class: only those ask, and all are asked.
-    counts = placed.join(signed.select("text_hash", "n_shingles"), "text_hash").groupBy("band", "key", "n", "root").agg(F.count("*").alias("size"), F.sum(8 * F.col("n_shingles")).alias("bytes"))
-    open_groups = counts.groupBy("band", "key", "n").agg(F.max(F.struct("size", "root", "bytes")).alias("most"), F.sum("bytes").alias("bytes")).filter(F.col("most.size") < F.col("n"))
-    side = lambda n, size: F.greatest(F.ceil(n / block), F.ceil(size / BLOCK_BYTES)).cast("long")
-    number = lambda n: F.pmod(F.xxhash64("text_hash"), n)
-    sides = [side(F.col("n") - F.col("most.size"), F.col("bytes") - F.col("most.bytes")).alias("rows"), side(F.col("n"), F.col("bytes")).alias("columns")]
-    open_groups = settled(open_groups.select("band", "key", F.col("most.root").alias("main"), *sides))
-    asked = settled(placed.drop("n").join(open_groups, ["band", "key"]))
-    if asked.isEmpty():
-        return first
-    sets = _only(texts, settled(asked.select("text_hash").distinct())).mapInPandas(lambda x: _with_sets(x, words), "text_hash long, set binary")
     packed = F.unhex(F.array_join(F.transform("bands", lambda x: F.lpad(F.hex(x), 16, "0")), ""))
-    asked = asked.join(signed.select("text_hash", "sign", packed.alias("packed")).join(sets, "text_hash"), "text_hash")
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    kept = ["band", "key", "text_hash", "root", "sign", "packed", "set"]
-    left = asked.filter(F.col("root") != F.col("main")).select(*kept, F.lit(True).alias("asks"), number(F.col("rows")).alias("i"), every("columns").alias("j"))
-    right = asked.select(*kept, F.lit(False).alias("asks"), number(F.col("columns")).alias("j"), every("rows").alias("i"))
-    blocks = left.unionByName(right).groupBy("band", "key", "i", "j").agg(F.collect_list(F.struct("text_hash", "root", "asks", "sign", "packed", "set")).alias("m"))
-    rest = blocks.select("band", *[F.col(f"m.{x}").alias(y) for x, y in (("text_hash", "keys"), ("root", "roots"), ("asks", "asks"), ("sign", "signs"), ("packed", "bands"), ("set", "sets"))])
-    return first.unionByName(settled(rest.mapInPandas(lambda x: _unjoined(x, similarity), "u long, v long").distinct()))
+    asked = placed.drop("n").join(signed.select("text_hash", (8 * F.col("n_shingles")).alias("bytes"), "sign", packed.alias("packed")), "text_hash")
+    fields = {"text_hash": "keys", "root": "roots", "sign": "signs", "packed": "bands"}
+    near = settled(_in_blocks(asked, {None: block}, fields).mapInArrow(lambda x: _candidates(x, similarity - SLACK), "band int, text_hash long").distinct())
+    if near.isEmpty():
+        return first
+    # Only texts with a pair to be checked meet again, now with their shingles.
+    sets = settled(_only(texts, settled(near.select("text_hash").distinct())).mapInPandas(lambda x: _with_sets(x, words), "text_hash long, set binary"))
+    rest = _in_blocks(settled(asked.join(near, ["band", "text_hash"], "left_semi")), {None: block, "bytes": BLOCK_BYTES}, fields | {"set": "sets"}, sets)
+    return first.unionByName(settled(rest.mapInArrow(lambda x: _unjoined(x, similarity), "u long, v long").distinct()))
