@@ -14,6 +14,15 @@ def percent_text(share: Column, digits: int = 0) -> Column:
     return F.when(share.isNull(), "—").otherwise(F.concat(F.format_number(share, digits), F.lit("%")))
 
 
+def count_text(n: Column) -> Column:
+    return F.when(n.isNull(), "—").otherwise(F.format_number(n, 0))
+
+
+def date_text(day: Column) -> Column:
+    """A day such as 5 Jan 2024."""
+    return F.when(day.isNull(), "—").otherwise(F.date_format(day, "d MMM yyyy"))
+
+
 def delta_text(change: Column, digits: int = 1) -> Column:
     """Signed; changes below half the last digit's tenfold say that there is none."""
     small = F.abs(change) < 10.0 ** -(digits + 1)

@@ -291,7 +291,7 @@ def retry_after_ms(value: Column, now: Column) -> Column:
     said = F.trim(value)
     seconds = F.when(said.rlike("^[0-9]{1,13}$"), said.cast("long") * 1000)
     date = F.try_to_timestamp(F.regexp_replace(said, "^[A-Za-z]{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
-    return F.coalesce(seconds, F.greatest(F.lit(0).cast("long"), F.unix_millis(date) - F.unix_millis(now)))
+    return F.coalesce(seconds, F.when(date.isNotNull(), F.greatest(F.lit(0).cast("long"), F.unix_millis(date) - F.unix_millis(now))))
 
 
 def backoff_column(attempt: Column, sample: Column, base: int = 500, most: int = 30_000, jitter: float = 0.2) -> Column:

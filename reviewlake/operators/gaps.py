@@ -96,9 +96,9 @@ def source_gap(counts: DataFrame, kind: str = GAP_KIND) -> DataFrame:
     gap = F.col("advertised") - F.col("retrievable")
     places = lambda of, name: F.array_sort(F.transform(of, lambda x: x[name]))
     verdict = first_failing(
-        ("INVALID_COUNT", ~F.coalesce((F.col("advertised") >= 0) & (F.col("retrievable") >= 0), F.lit(False))), ("NONE", gap == 0), ("SURPLUS", gap < 0), ("GAP_TOO_LARGE", gap > tolerance(F.col("advertised"))),
-        ("TOTAL_SET_MISMATCH", places("totals", "source") != F.array(*map(F.lit, sorted(TOTALS)))), ("TOTAL_MISMATCH", ~F.forall("totals", lambda x: x["n"] == F.col("advertised"))),
-        ("BUCKET_SET_MISMATCH", places("buckets", "bucket") != F.array(*map(F.lit, sorted(BUCKETS)))), ("BUCKET_SUM_MISMATCH", F.aggregate("buckets", F.lit(0).cast("long"), lambda a, x: a + x["advertised"]) != F.col("advertised")),
+        ("INVALID_COUNT", ~F.coalesce((F.col("advertised") >= 0) & (F.col("retrievable") >= 0), F.lit(False))), ("NONE", gap == 0), ("GAP_COUNT_MISMATCH", ~gap.between(1, tolerance(F.col("advertised")))),
+        ("TRUSTED_TOTALS_MISMATCH", (places("totals", "source") != F.array(*map(F.lit, sorted(TOTALS)))) | ~F.forall("totals", lambda x: x["n"] == F.col("advertised"))),
+        ("SCORE_BUCKETS_MISMATCH", places("buckets", "bucket") != F.array(*map(F.lit, sorted(BUCKETS)))), ("ADVERTISED_BUCKET_SUM_MISMATCH", F.aggregate("buckets", F.lit(0).cast("long"), lambda a, x: a + x["advertised"]) != F.col("advertised")),
     )
     evidence = F.when(verdict.isNull(), F.struct(F.lit(kind).alias("kind"), F.lit(1).alias("version"), F.col("advertised"), F.col("retrievable"), gap.alias("gap")))
     return counts.withColumns({"verdict": F.coalesce(verdict, F.lit("OK")), "evidence": evidence})

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewlake.operators.gaps import first_failing
+from reviewlake.operators.ranges import with_previous
+from reviewlake.operators.snapshots import inventory_digest
 
 #: Cards that a page may hold.
 LEAST_LIMIT, MOST_LIMIT = 1, 10
@@ -46,11 +48,9 @@ def page_violations(pages: DataFrame) -> DataFrame:
 
 def card_violations(cards: DataFrame, newest_first: bool) -> DataFrame:
     """(property_key, phase, page_offset, card_index, code) for cards out of order, twice on a page, in no score bucket, or changed within the run."""
-    w = Window.partitionBy(*PHASE).orderBy("page_offset", "card_index")
-    before = F.lag("epoch").over(w)
     per_token = Window.partitionBy(*PHASE, "token").orderBy("page_offset", "card_index")
-    rows = cards.withColumns({
-        "before": before, "place_on_page": F.row_number().over(Window.partitionBy(*PHASE, "token", "page_offset").orderBy("card_index")),
+    rows = with_previous(cards, PHASE, ("page_offset", "card_index"), {"epoch": "before"}).withColumns({
+        "place_on_page": F.row_number().over(Window.partitionBy(*PHASE, "token", "page_offset").orderBy("card_index")),
         "first_hash": F.first("record_hash").over(per_token),
     })
     return _exploded(rows, (*PHASE, "page_offset", "card_index"), {
@@ -143,3 +143,30 @@ def manifest_problems(declared: DataFrame, records: DataFrame) -> DataFrame:
     found = records.groupBy("property_key").agg(F.count("*").alias("n"), F.min("local_date").alias("first"), F.max("local_date").alias("last"))
     verdict = first_failing(("PROPERTY_NOT_DECLARED", F.col("records").isNull()), ("COUNT_MISMATCH", F.col("records") != F.coalesce("n", F.lit(0))), ("DATE_BOUNDS", ~F.col("earliest").eqNullSafe(F.col("first")) | ~F.col("latest").eqNullSafe(F.col("last"))))
     return declared.join(found, "property_key", "full_outer").select("property_key", "records", F.coalesce("n", F.lit(0)).alias("found"), F.coalesce(verdict, F.lit("OK")).alias("verdict"))
+
+
+def staged(held: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Pages that come to a run, with what becomes of them: STAGED, REPLAYED (there already, alike) or CONFLICT (there with another content, which fails the run)."""
+    keys = ["run_id", "page_offset"]
+    known = held.select(*keys, F.col("page_hash").alias("__hash"), F.col("n_cards").alias("__n"))
+    outcome = F.when(F.col("__hash").isNull(), "STAGED").when((F.col("__hash") == F.col("page_hash")) & (F.col("__n") == F.col("n_cards")), "REPLAYED").otherwise("CONFLICT")
+    return incoming.join(known, keys, "left").withColumn("outcome", outcome).drop("__hash", "__n")
+
+
+def fail_runs(runs: DataFrame, failures: DataFrame) -> DataFrame:
+    """runs (run_id, status, error_code) after failures (run_id, code); ``conflict`` where the run is not there or is already published, and so stays."""
+    both = runs.join(failures, "run_id", "full_outer")
+    found, asked, done = F.col("status").isNotNull(), F.col("code").isNotNull(), F.col("status") == "succeeded"
+    conflict = first_failing(("RUN_NOT_FOUND", ~found), ("RUN_ALREADY_PUBLISHED", asked & done))
+    fails = asked & found & ~done
+    return both.select("run_id", F.when(fails, "failed").otherwise(F.col("status")).alias("status"), F.when(fails, F.col("code")).otherwise(F.col("error_code")).alias("error_code"), conflict.alias("conflict"))
+
+
+def rechecked(attested: DataFrame, rows: DataFrame, key: str = "property_key") -> DataFrame:
+    """Per property the evidence rebuilt from the staged rows against what was attested (inventory_digest()): the first part that moved, or OK."""
+    now = inventory_digest(rows, key)
+    then = attested.select(key, F.col("n").alias("__n"), F.col("ids_digest").alias("__ids"), F.col("records_digest").alias("__records"))
+    both = now.join(then, key, "full_outer")
+    differ = lambda a, b: ~F.col(a).eqNullSafe(F.col(b))
+    verdict = first_failing(("ATTESTATION_MISSING", F.col("__n").isNull()), ("COUNT_MOVED", differ("n", "__n")), ("IDENTITIES_MOVED", differ("ids_digest", "__ids")), ("RECORDS_MOVED", differ("records_digest", "__records")))
+    return both.select(key, "n", "ids_digest", "records_digest", F.coalesce(verdict, F.lit("OK")).alias("verdict"))

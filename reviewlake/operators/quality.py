@@ -66,12 +66,12 @@ def publication_reasons() -> Column:
         ("latest_run_not_complete_inventory", ~F.coalesce("complete_inventory", F.lit(False))),
         ("latest_run_property_mismatch", ~same("run_property", "property_key")),
         ("published_count_mismatch", ~same("present", "final_count")),
-        ("full_inventory_attestation_invalid", ~(same("oldest_count", "newest_count") & same("oldest_ids", "newest_ids") & same("oldest_records", "newest_records"))),
         ("latest_run_is_not_latest_full_run", ~same("last_full_run", "published_run")),
+        ("full_inventory_attestation_invalid", ~(same("oldest_count", "newest_count") & same("oldest_ids", "newest_ids") & same("oldest_records", "newest_records"))),
+        ("source_discrepancy_attestation_invalid", gap & ~F.coalesce("gap_valid", F.lit(False))),
         ("property_snapshot_missing", F.col("structured").isNull()),
-        ("property_snapshot_count_mismatch", F.col("structured").isNotNull() & ~(same("structured", "final_count") & same("structured", "present"))),
+        ("property_snapshot_count_mismatch", F.col("structured").isNotNull() & ~counted),
         ("conflicting_count_discrepancy_attestations", counted & gap & visible),
-        ("source_discrepancy_attestation_invalid", gap & ~F.coalesce("gap_valid", F.lit(False))),
         ("source_discrepancy_snapshot_mismatch", counted & gap & F.coalesce("gap_valid", F.lit(False)) & ~(same("displayed", "gap_advertised") & same("structured", "gap_retrievable"))),
         ("visible_count_discrepancy_invalid", counted & ~gap & ~same("displayed", "structured") & ~F.coalesce("visible_valid", F.lit(False))),
         ("unexpected_visible_count_discrepancy", counted & ~gap & same("displayed", "structured") & visible),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reviewlake.operators.ranges import numbered
+
 MISSES_TO_TOMBSTONE = 2
 
 
@@ -36,8 +38,9 @@ def inventory_digest(rows: DataFrame, key: str = "property_key", token: str = "t
     shards of bounded size by aggregates of their hashes, and the shards'
     results once more. Equal inventories have equal digests at every size.
     """
-    ids, records = F.xxhash64(token), F.xxhash64(token, hashed)
-    sharded = rows.groupBy(key, F.pmod(F.xxhash64(token), F.lit(shards)).alias("shard")).agg(
+    number = lambda *c: F.conv(F.substring(F.md5(F.concat_ws("|", *c)), 1, 15), 16, 10).cast("long")  # noqa: E731  60 bits
+    ids, records = number(token), number(token, hashed)
+    sharded = rows.groupBy(key, (ids % shards).alias("shard")).agg(
         F.count("*").alias("n"), F.bit_xor(ids).alias("ix"), F.sum(ids.cast("decimal(20,0)")).alias("isum"), F.bit_xor(records).alias("rx"), F.sum(records.cast("decimal(20,0)")).alias("rsum"),
     )
     said = lambda *c: F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("shard", *c)))), 256)
@@ -69,8 +72,8 @@ def reconcile(pages: DataFrame, reported: DataFrame, key: str = "property_key")
 
 def dense_offsets(pages: DataFrame, size: int = 10) -> DataFrame:
     """Pages of a phase whose offset is not the next multiple of the page size."""
-    place = (F.row_number().over(Window.partitionBy("property_key", "phase").orderBy("page_offset")) - 1) * size
-    return pages.withColumn("expected_offset", place).filter(F.col("page_offset") != F.col("expected_offset"))
+    rows = numbered(pages, ("property_key", "phase"), ("page_offset",), "expected_offset")
+    return rows.withColumn("expected_offset", F.col("expected_offset") * size).filter(F.col("page_offset") != F.col("expected_offset"))
 
 
 def repeated_pages(pages: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reviewlake.operators.topics import RULES, TOPICS
+from reviewlake.operators.topics import RULES
 from reviewlake.sources.reviews import AS_OF, NEGATIVE_TEXTS, POSITIVE_TEXTS, PROPERTIES
 
 
@@ -40,6 +40,11 @@ labelled AS (SELECT *, CASE WHEN sentiment_rule IN ('sentiment.both_text_channel
 rev AS (SELECT *, sentiment = 'negative' OR negative_state = 'substantive' AS has_negative_feedback,
     substr(sha256(property_key || ':' || token), 1, 24) AS public_id FROM labelled)"""
 
+#: Fixed values, stated here again: the topics with their labels.
+TOPICS = (
+    ("cleanliness", "Cleanliness"), ("check_in", "Check-in experience"), ("staff_reception", "Staff or receptionist behaviour"), ("noise", "Noise"),
+    ("facilities", "Facilities"), ("location", "Location"), ("room_condition", "Room condition"), ("value_for_money", "Value for money"),
+)
 #: Topics of the adapter's texts as a reader labels them: (channel, text, topic, polarity).
 LABELLED = (
     ("p", 1, "cleanliness", "positive"), ("p", 1, "staff_reception", "positive"), ("p", 2, "location", "positive"), ("p", 3, "noise", "positive"), ("p", 3, "value_for_money", "positive"),
@@ -52,6 +57,21 @@ every AS (SELECT r.row_id, s.topic, s.polarity FROM rev r JOIN said s ON s.chann
     UNION ALL SELECT r.row_id, s.topic, s.polarity FROM rev r JOIN said s ON s.channel = 'n' AND s.i = r.row_id % {len(NEGATIVE_TEXTS)}),
 top AS (SELECT row_id, topic, CASE WHEN count(DISTINCT polarity) > 1 THEN 'mixed' ELSE min(polarity) END AS polarity FROM every GROUP BY 1, 2)"""
 
+#: Evidence in the adapter's texts as a reader marks it: (channel, text, topic, rule, matched words, polarity, negated); places are found by search.
+MARKED = (
+    ("p", 1, "cleanliness", "positive_condition", "spotless", "positive", 0), ("p", 1, "staff_reception", "positive_behaviour", "staff were friendly", "positive", 0),
+    ("p", 2, "location", "positive_access", "Great location", "positive", 0), ("p", 2, "location", "positive_access", "close to", "positive", 0),
+    ("p", 3, "noise", "positive_condition", "Quiet", "positive", 0), ("p", 3, "value_for_money", "positive_value", "good value", "positive", 0),
+    ("p", 5, "cleanliness", "positive_condition", "clean", "negative", 1), ("p", 5, "check_in", "positive_experience", "easy check-in", "positive", 0),
+    ("p", 6, "facilities", "positive_quality", "Fast wifi", "positive", 0), ("p", 6, "facilities", "positive_quality", "hot water", "positive", 0),
+    ("n", 2, "room_condition", "source_anchor", "bathroom", "negative", 0), ("n", 2, "cleanliness", "negative_condition", "dirty", "negative", 0), ("n", 2, "noise", "negative_condition", "street noise", "negative", 0), ("n", 2, "noise", "negative_condition", "loud", "negative", 0),
+    ("n", 3, "value_for_money", "negative_value", "Expensive", "negative", 0), ("n", 3, "check_in", "negative_experience", "slow check-in", "negative", 0), ("n", 3, "noise", "negative_condition", "noisy", "positive", 1),
+    ("n", 4, "facilities", "missing", "No lift", "negative", 0),
+)
+TOPIC_EVIDENCE = f"""{REVIEWS}, marked(channel, i, topic, rule, words, polarity, negated) AS (VALUES {_values(MARKED)})
+SELECT r.row_id, m.topic, m.topic || '.' || m.rule AS rule, CASE m.channel WHEN 'p' THEN 'positive_text' ELSE 'negative_text' END AS field, CAST(strpos(CASE m.channel WHEN 'p' THEN r.positive_text ELSE r.negative_text END, m.words) - 1 AS INTEGER) AS "start",
+    CAST(strpos(CASE m.channel WHEN 'p' THEN r.positive_text ELSE r.negative_text END, m.words) - 1 + length(m.words) AS INTEGER) AS "end", m.words AS text, m.polarity, m.negated = 1 AS negated
+FROM rev r JOIN marked m ON m.channel = 'p' AND m.i = r.row_id % {len(POSITIVE_TEXTS)} OR m.channel = 'n' AND m.i = r.row_id % {len(NEGATIVE_TEXTS)}"""
 REVIEW_TOPICS = f"{TOPICAL} SELECT row_id, topic, polarity FROM top"
 NOW, BEFORE = "local_date BETWEEN DATE '2024-01-22' AND DATE '2024-01-26'", "local_date BETWEEN DATE '2024-01-15' AND DATE '2024-01-19'"
 
@@ -131,13 +151,29 @@ SELECT * FROM (SELECT priority, ordinal, alert, severity FROM fall WHERE week_de
     UNION ALL SELECT 3, ordinal, 'quality-error:' || property_key, 'high' FROM stated_quality WHERE status = 'evidence-error') ORDER BY priority, ordinal LIMIT 4"""
 
 PUBLICATIONS = """(VALUES
-    ('ok', 'r1', 'succeeded', 'v1', 'v1', true, 'ok', 10, 10, 10, 10, 'a', 'a', 'x', 'x', 10, false, false, false, false),
-    ('none', NULL, NULL, NULL, 'v1', NULL, NULL, 0, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, false, false, false, false),
-    ('old', 'r1', 'succeeded', 'v0', 'v1', true, 'old', 10, 10, 10, 10, 'a', 'a', 'x', 'x', 10, false, false, false, false),
-    ('failed', 'r1', 'failed', 'v1', 'v1', false, 'failed', 9, 10, 10, 10, 'a', 'b', 'x', 'x', NULL, true, false, true, true)
-) AS t(property_key, published_run, run_status, run_parser, expected_parser, complete_inventory, run_property, present, final_count, oldest_count, newest_count, oldest_ids, newest_ids, oldest_records, newest_records, structured, gap_attested, gap_valid, visible_attested, visible_valid)"""
-PUBLICATION_REASONS = """SELECT * FROM (VALUES ('ok', ''), ('none', 'publication_missing'), ('old', 'latest_run_parser_version_mismatch'),
-    ('failed', 'latest_run_not_succeeded,latest_run_not_complete_inventory,published_count_mismatch,full_inventory_attestation_invalid,property_snapshot_missing,conflicting_count_discrepancy_attestations,source_discrepancy_attestation_invalid')) AS t(property_key, reasons)"""
+    ('ok', 'r1', 'r1', 'succeeded', 'v1', 'v1', true, 'ok', 10, 10, 10, 10, 'a', 'a', 'x', 'x', 10, 10, false, false, false, false, NULL, NULL),
+    ('none', NULL, NULL, NULL, NULL, 'v1', NULL, NULL, 0, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, false, false, false, false, NULL, NULL),
+    ('old', 'r1', 'r0', 'succeeded', 'v0', 'v1', true, 'old', 10, 10, 10, 10, 'a', 'a', 'x', 'x', 10, 10, false, false, false, false, NULL, NULL),
+    ('failed', 'r1', 'r1', 'failed', 'v1', 'v1', false, 'failed', 9, 10, 10, 10, 'a', 'b', 'x', 'x', NULL, NULL, true, false, true, true, NULL, NULL),
+    ('gap', 'r1', 'r1', 'succeeded', 'v1', 'v1', true, 'gap', 500, 500, 500, 500, 'a', 'a', 'x', 'x', 500, 503, true, true, false, false, 503, 500),
+    ('gap_moved', 'r1', 'r1', 'succeeded', 'v1', 'v1', true, 'gap_moved', 500, 500, 500, 500, 'a', 'a', 'x', 'x', 500, 504, true, true, false, false, 503, 500),
+    ('gap_both', 'r1', 'r1', 'succeeded', 'v1', 'v1', true, 'gap_both', 500, 500, 500, 500, 'a', 'a', 'x', 'x', 500, 503, true, true, true, true, 503, 500),
+    ('shown', 'r1', 'r1', 'succeeded', 'v1', 'v1', true, 'shown', 500, 500, 500, 500, 'a', 'a', 'x', 'x', 500, 502, false, false, true, true, NULL, NULL),
+    ('shown_not', 'r1', 'r1', 'succeeded', 'v1', 'v1', true, 'shown_not', 500, 500, 500, 500, 'a', 'a', 'x', 'x', 500, 502, false, false, false, false, NULL, NULL),
+    ('shown_in_vain', 'r1', 'r1', 'succeeded', 'v1', 'v1', true, 'shown_in_vain', 500, 500, 500, 500, 'a', 'a', 'x', 'x', 500, 500, false, false, true, true, NULL, NULL),
+    ('snapshot', 'r1', 'r1', 'succeeded', 'v1', 'v1', true, 'other', 500, 500, 500, 500, 'a', 'a', 'x', 'x', 499, 500, false, false, true, true, NULL, NULL)
+) AS t(property_key, published_run, last_full_run, run_status, run_parser, expected_parser, complete_inventory, run_property, present, final_count, oldest_count, newest_count, oldest_ids, newest_ids, oldest_records, newest_records, structured, displayed, gap_attested, gap_valid, visible_attested, visible_valid, gap_advertised, gap_retrievable)"""
+_COUNTED_ONCE = "coalesce(structured = final_count AND structured = present, false)"
+PUBLICATION_REASONS = f"""SELECT property_key, CASE WHEN published_run IS NULL THEN 'publication_missing' ELSE concat_ws(',',
+    CASE WHEN run_status IS NULL THEN 'latest_run_missing' END, CASE WHEN run_status <> 'succeeded' THEN 'latest_run_not_succeeded' END, CASE WHEN run_parser IS DISTINCT FROM expected_parser THEN 'latest_run_parser_version_mismatch' END,
+    CASE WHEN NOT coalesce(complete_inventory, false) THEN 'latest_run_not_complete_inventory' END, CASE WHEN run_property IS DISTINCT FROM property_key THEN 'latest_run_property_mismatch' END, CASE WHEN present IS DISTINCT FROM final_count THEN 'published_count_mismatch' END,
+    CASE WHEN last_full_run IS DISTINCT FROM published_run THEN 'latest_run_is_not_latest_full_run' END, CASE WHEN (oldest_count, oldest_ids, oldest_records) IS DISTINCT FROM (newest_count, newest_ids, newest_records) THEN 'full_inventory_attestation_invalid' END,
+    CASE WHEN gap_attested AND NOT gap_valid THEN 'source_discrepancy_attestation_invalid' END,
+    CASE WHEN structured IS NULL THEN 'property_snapshot_missing' WHEN NOT {_COUNTED_ONCE} THEN 'property_snapshot_count_mismatch' END,
+    CASE WHEN {_COUNTED_ONCE} AND gap_attested AND visible_attested THEN 'conflicting_count_discrepancy_attestations' END,
+    CASE WHEN {_COUNTED_ONCE} AND gap_attested AND gap_valid AND (displayed, structured) IS DISTINCT FROM (gap_advertised, gap_retrievable) THEN 'source_discrepancy_snapshot_mismatch' END,
+    CASE WHEN {_COUNTED_ONCE} AND NOT gap_attested AND displayed IS DISTINCT FROM structured AND NOT visible_valid THEN 'visible_count_discrepancy_invalid' END,
+    CASE WHEN {_COUNTED_ONCE} AND NOT gap_attested AND displayed = structured AND visible_attested THEN 'unexpected_visible_count_discrepancy' END) END AS reasons FROM {PUBLICATIONS}"""
 
 COUNTS = "(VALUES (-1), (0), (99), (100), (250), (499), (500), (100000)) AS t(n)"
 BUCKETS = "(VALUES " + ", ".join(f"('{p}', '{b}', {a}, {r})" for p, rows in {
@@ -158,6 +194,11 @@ TOTALS_STATUS = f"SELECT k, CASE WHEN NOT unfiltered THEN 'not_evaluated_filtere
 INVENTORY_PARITY = f"""{REVIEWS}, f AS (SELECT property_key, NOT (property_key = 'view' AND row_id % 7 = 0) AS kept, property_key = 'click' AND row_id % 5 = 0 AS changed FROM rev)
 SELECT property_key, count(*) AS oldest_count, count(*) FILTER (WHERE kept) AS newest_count, count(*) FILTER (WHERE NOT kept) AS identity_mismatches, count(*) FILTER (WHERE kept AND changed) AS record_mismatches,
     CASE WHEN count(*) FILTER (WHERE NOT kept) > 0 THEN 'IDENTITY_MISMATCH' WHEN count(*) FILTER (WHERE changed) > 0 THEN 'RECORD_MISMATCH' ELSE 'OK' END AS verdict FROM f GROUP BY 1"""
+_NUMBER = lambda x: f"CAST('0x' || substr(md5({x}), 1, 15) AS BIGINT)"
+DIGESTS = f"""{REVIEWS}, h AS (SELECT property_key, {_NUMBER("token")} AS i, {_NUMBER("token || '|' || md5(token || '|' || tenths)")} AS r FROM rev),
+s AS (SELECT property_key, i % 256 AS shard, count(*) AS n, bit_xor(i) AS ix, sum(CAST(i AS HUGEINT)) AS isum, bit_xor(r) AS rx, sum(CAST(r AS HUGEINT)) AS rsum FROM h GROUP BY 1, 2)
+SELECT property_key, CAST(sum(n) AS BIGINT) AS n, sha256('[' || string_agg('{{"shard":' || shard || ',"n":' || n || ',"ix":' || ix || ',"isum":' || isum || '}}', ',' ORDER BY shard) || ']') AS ids_digest,
+    sha256('[' || string_agg('{{"shard":' || shard || ',"n":' || n || ',"rx":' || rx || ',"rsum":' || rsum || '}}', ',' ORDER BY shard) || ']') AS records_digest FROM s GROUP BY 1"""
 SNAPSHOT_DIFF = f"""{REVIEWS} SELECT property_key, CASE WHEN row_id % 10 = 0 THEN 'inserted' WHEN row_id % 13 = 0 THEN 'missing' WHEN row_id % 17 = 0 THEN 'updated' ELSE 'unchanged' END AS change, count(*) AS n
 FROM rev WHERE row_id % 10 <> 0 OR row_id % 13 <> 0 GROUP BY 1, 2"""
 RECONCILE = f"""{REVIEWS} SELECT property_key, count(*) + CASE WHEN property_key = 'error' THEN 1 ELSE 0 END AS reported, count(*) AS unique_reviews, count(*) FILTER (WHERE row_id % 97 = 0) AS repeats,
@@ -182,8 +223,10 @@ SCD2 = f"{_RUNS} SELECT property_key, version, presence, misses, suspect_since,
 TOMBSTONES = f"""{_RUNS}, four AS (SELECT property_key, r.row_id % 11 <> 0 AS s4, CASE WHEN r.row_id % 11 <> 0 THEN 'present' ELSE 'tombstoned' END AS presence, x.tenths FROM done r JOIN rev x USING (property_key, row_id))
 SELECT property_key, count(*) FILTER (WHERE presence = 'present') AS present, count(*) FILTER (WHERE presence = 'suspect_missing') AS suspect, count(*) FILTER (WHERE presence = 'tombstoned') AS tombstoned, avg(tenths) FILTER (WHERE presence = 'present') / 10 AS average FROM four GROUP BY 1"""
 
-CATEGORIES = "(VALUES ('a', 'staff', 8.5, 0), ('a', 'comfort', 7.0, 1), ('a', 'staff', 9.0, 2), ('b', 'free_wifi', 6.5, 0)) AS t(property_key, category, score, place)"
-CATEGORY_PIVOT = "SELECT property_key, CAST(staff AS DECIMAL(2,1)) AS staff, CAST(comfort AS DECIMAL(2,1)) AS comfort, CAST(free_wifi AS DECIMAL(2,1)) AS free_wifi FROM (VALUES ('a', 9.0, 7.0, NULL), ('b', NULL, NULL, 6.5)) AS t(property_key, staff, comfort, free_wifi)"
+CATEGORIES = "(VALUES ('a', 'staff', 8.5, 0), ('a', 'comfort', 7.0, 1), ('a', 'staff', 9.0, 2), ('b', 'free_wifi', 6.5, 0), ('b', 'pool', 5.5, 1), ('b', 'bar', 4.5, 2), ('b', 'pool', 6.0, 3)) AS t(property_key, category, score, place)"
+CATEGORY_PIVOT = f"""WITH c AS (SELECT property_key, category, arg_max(score, place) AS score FROM {CATEGORIES} GROUP BY 1, 2)
+SELECT property_key, max(score) FILTER (WHERE category = 'staff') AS staff, max(score) FILTER (WHERE category = 'comfort') AS comfort, max(score) FILTER (WHERE category = 'free_wifi') AS free_wifi,
+    '{{' || coalesce(string_agg('"' || category || '":' || score, ',' ORDER BY category) FILTER (WHERE category NOT IN ('staff', 'comfort', 'free_wifi')), '') || '}}' AS other FROM c GROUP BY 1"""
 LABELS = "(VALUES ('Free WiFi'), ('Value for money'), ('Food & Drink'), ('  Staff  ')) AS t(label)"
 CATEGORY_KEYS = "SELECT * FROM (VALUES ('Free WiFi', 'free_wifi'), ('Value for money', 'value'), ('Food & Drink', 'source:food and drink'), ('  Staff  ', 'source:staff')) AS t(label, category)"
 EXPORT_SAMPLE = f"{REVIEWS} SELECT property_key, public_id AS review_id, local_date, tenths / 10.0::DOUBLE AS score FROM rev QUALIFY row_number() OVER (PARTITION BY property_key ORDER BY epoch DESC, row_id) <= 5"
@@ -205,7 +248,7 @@ LEFT_JOINED = "SELECT source, count(*) AS documents, count(quality) AS labelled,
 
 _LIVE = "property_key IN ('view', 'click', 'purchase') AND row_id % 10 <> 0 AND row_id % 11 <> 0"
 ACCEPTED_REVIEWS = f"{REVIEWS} SELECT row_id, property_key, epoch, tenths FROM rev WHERE {_LIVE}"
-CURRENT_REVIEWS = f"{REVIEWS} SELECT row_id, epoch, tenths FROM rev WHERE {_LIVE} AND property_key = 'view' ORDER BY epoch DESC, row_id LIMIT 25"
+CURRENT_REVIEWS = f"{REVIEWS} SELECT row_id, epoch, tenths FROM rev WHERE {_LIVE} AND property_key = 'view'"
 PUBLICATION_SCAN = "SELECT * FROM (VALUES ('view', 101, 3, 8, 8, 8, 8, NULL), ('click', 102, 3, 9, 9, NULL, NULL, NULL), ('purchase', 103, 3, 12, 12, 12, NULL, NULL), ('signup', 104, NULL, NULL, NULL, NULL, NULL, NULL)) AS t(property_key, hotel_id, generation, parser, displayed, oldest, gap, visible)"
 PAGE_VIOLATIONS = f"""{REVIEWS}, p AS (SELECT property_key, CAST(floor(row_id / 50) * 10 AS BIGINT) AS page_offset, count(*) AS n_cards FROM rev GROUP BY 1, 2),
 q AS (SELECT *, CASE WHEN page_offset % 1930 = 1920 THEN 101 ELSE 100 END AS reported FROM p WHERE page_offset % 170 <> 160),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,27 +11,13 @@ from reviewlake.functions import display, periods, scalars
 from reviewlake.operators import export, feed, gaps, metrics, quality, sentiment, snapshots, topics
 from reviewlake.operators import inventory as checks
 from reviewlake.plans import oracles as sql
+from reviewlake.plans.base import ORACLES, QUERIES, query, values
 from reviewlake.sources import publications
 from reviewlake.sources import reviews as src
 
 TODAY = date.fromisoformat(src.AS_OF)
 WEEK = periods.default_period(TODAY)
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(oracle: str | None = None):
-    """Registers a query under its function's name."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLES[f.__name__] = oracle
-        return f
-
-    return add
-
+__all__ = ["ORACLES", "QUERIES"]
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentiment.with_sentiment(src.canonical(spark, sf_dir))
@@ -42,11 +27,6 @@ def with_topics(spark: SparkSession, sf_dir: str, evidence: bool = False) -> Dat
     return topics.with_topics(classified(spark, sf_dir), evidence)
 
 
-def values(spark: SparkSession, rows: str) -> DataFrame:
-    """Literal evidence rows, the same text for both engines."""
-    return spark.sql(f"SELECT * FROM {rows}")
-
-
 COMPARED = ("current_average", "current_count", "current_positive", "current_mixed", "current_negative", "current_unclassified", "current_negative_feedback", "current_responses", "previous_average", "previous_count", "average_delta", "direction")
 
 
@@ -120,7 +100,7 @@ def review_topics(spark, sf_dir):
     return topics.unpivoted(with_topics(spark, sf_dir), ("row_id",))
 
 
-@query()
+@query(sql.TOPIC_EVIDENCE)
 def topic_evidence(spark, sf_dir):
     return with_topics(spark, sf_dir, evidence=True).select("row_id", F.explode("topics").alias("t")).select("row_id", "t.topic", F.explode("t.evidence").alias("e")).select("row_id", "topic", "e.*")
 
@@ -252,7 +232,7 @@ def set_parity(spark, sf_dir):
     return snapshots.set_parity(inventory(spark, sf_dir, 7), inventory(spark, sf_dir, 11), ("property_key", "token"))
 
 
-@query()
+@query(sql.DIGESTS)
 def inventory_digests(spark, sf_dir):
     return snapshots.inventory_digest(inventory(spark, sf_dir))
 
@@ -331,7 +311,8 @@ def content_hash_dups(spark, sf_dir):
 
 @query(sql.CATEGORY_PIVOT)
 def category_pivot(spark, sf_dir):
-    return export.category_pivot(values(spark, sql.CATEGORIES), ("staff", "comfort", "free_wifi"))
+    out = export.category_pivot(values(spark, sql.CATEGORIES), ("staff", "comfort", "free_wifi"))
+    return out.withColumn("other", F.to_json("other"))
 
 
 @query(sql.CATEGORY_KEYS)
@@ -390,7 +371,7 @@ def redact_urls(spark, sf_dir):
     return values(spark, sql.SECRET_TEXTS).select("k", scalars.redacted(F.col("t")).alias("shown"))
 
 
-@query()
+@query("SELECT 'detail.value:value' AS path, count(*) AS n FROM events WHERE event_id % 9 = 0 AND value <> -1 HAVING count(*) > 0")
 def record_diff_paths(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     record = lambda score: F.to_json(F.struct("event_id", F.struct(score.alias("value"), "event_type").alias("detail"), F.array("user_id").alias("users")))
@@ -438,7 +419,7 @@ def publication_scan(spark, sf_dir):
 @query(sql.CURRENT_REVIEWS)
 def current_reviews(spark, sf_dir):
     facts = publications.fact_scan(*_tables(spark, sf_dir))
-    return publications.current_reviews(facts, "view").limit(25).select("row_id", "epoch", "tenths")
+    return publications.current_reviews(facts, "view").select("row_id", "epoch", "tenths")
 
 
 def _phase_pages(spark, sf_dir) -> DataFrame:

@@ -80,14 +80,14 @@ def properties(spark: SparkSession) -> DataFrame:
 
 
 def review_pages(raw: DataFrame, body: str = "body") -> DataFrame:
-    """Cards of collected pages, one row each, with ``violations`` for what breaks the contract.
+    """Cards of collected pages, one row each, parsed, with ``violations`` for keys and figures; contract.checked_cards() checks everything.
 
     ``raw`` has one JSON response per row. A missing key differs from a null
-    one, so presence is checked on the text of each card. An unreadable body
-    or one without cards gives no rows.
+    one, so presence is checked on the text of each card. A body that can't be
+    read, or has no cards, is one row with that violation.
     """
     cards = F.from_json(F.get_json_object(body, "$.data.reviewListFrontend.reviewCard"), "array<string>")
-    rows = raw.select("*", F.posexplode(cards).alias("card_index", "card_json"))
+    rows = raw.select("*", F.posexplode_outer(cards).alias("card_index", "card_json"))
     rows = rows.withColumn("card", F.from_json("card_json", CARD)).withColumn("__keys", F.json_object_keys("card_json"))
     missing = F.transform(F.array_except(F.array(*map(F.lit, REQUIRED)), F.coalesce("__keys", F.array().cast("array<string>"))), lambda k: F.concat(F.lit("missing:"), k))
     c = "card"
@@ -99,18 +99,39 @@ def review_pages(raw: DataFrame, body: str = "body") -> DataFrame:
         ("votes", F.col(f"{c}.helpfulVotesCount") < 0),
     ]
     broken = F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in checks]))
-    return rows.withColumn("violations", F.concat(missing, broken)).drop("__keys")
+    found = F.when(F.col("card_json").isNull(), F.array(F.lit("no_cards"))).otherwise(F.concat(missing, broken))
+    return rows.withColumn("violations", found).drop("__keys")
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Lines of a JSONL file: the record, or a flag for a blank or unreadable line; reading goes on after either."""
-    lines = spark.read.text(path)
+    return parsed_lines(spark.read.text(path), schema)
+
+
+def parsed_lines(lines: DataFrame, schema: str) -> DataFrame:
+    """Lines (value) as records or flags."""
     blank = F.trim("value") == ""
     parsed = F.from_json("value", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
     return lines.select(F.when(blank, "blank").when(F.col("value").isNotNull() & parsed["_corrupt_record"].isNotNull(), "bad_json").alias("flag"), parsed.alias("record"), "value")
 
 
-def config_problems(config: DataFrame) -> DataFrame:
-    """Keys, hotel ids and paths that more than one property of a configuration uses: (field, value, n)."""
+def config_problems(config: DataFrame, selected: tuple[str, ...] = ()) -> DataFrame:
+    """(field, value, n): keys, hotel ids and paths that several properties use; keys of invalid properties (field invalid); selected keys that there are not (unknown)."""
     fields = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in ("property_key", "hotel_id", "path")]))
-    return config.select(fields.alias("x")).groupBy("x.field", "x.value").agg(F.count("*").alias("n")).filter("n > 1")
+    twice = config.select(fields.alias("x")).groupBy("x.field", "x.value").agg(F.count("*").alias("n")).filter("n > 1")
+    bad = (F.coalesce(F.trim("property_key"), F.lit("")) == "") | ~F.coalesce(F.col("hotel_id") > 0, F.lit(False)) | ~F.coalesce(F.col("path").startswith("/"), F.lit(False))
+    one = F.lit(1).cast("long").alias("n")
+    out = twice.unionByName(config.filter(bad).select(F.lit("invalid").alias("field"), F.col("property_key").alias("value"), one))
+    if selected:
+        wanted = config.sparkSession.createDataFrame([(k,) for k in selected], "property_key string")
+        out = out.unionByName(wanted.join(config, "property_key", "left_anti").select(F.lit("unknown").alias("field"), F.col("property_key").alias("value"), one))
+    return out
+
+
+def selected_properties(config: DataFrame, selected: tuple[str, ...] = ()) -> DataFrame:
+    """The configured properties, or those that are selected, in the file's order; fails if the configuration has problems."""
+    problems = [f"{r['field']} {r['value']}" for r in config_problems(config, selected).collect()]  # of a configuration
+    if problems:
+        raise ValueError("; ".join(sorted(problems)))
+    chosen = config.filter(F.col("property_key").isin(*selected)) if selected else config
+    return chosen.orderBy("ordinal")

@@ -5,9 +5,10 @@ import math
 import duckdb
 import pytest
 
-from reviewlake.plans import registry
+from reviewlake.plans import evidence, registry
 
 SF = "/root/testdata/sf0.001"
+assert evidence
 
 
 def shown(x):
