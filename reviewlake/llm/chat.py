@@ -7,10 +7,11 @@ from collections.abc import Iterable, Iterator
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewlake.llm.common import checkpointed, settled
+from reviewlake.operators.ranges import carried, numbered, ranged, with_previous
 
 QUOTED = re.compile(r"^[ \t]*((?:>[ \t]?)+)(.*)$")
 #: A line that introduces the quote right below it.
@@ -119,14 +120,15 @@ def conversations(messages: DataFrame, conv_id: str = "conv_id", turn: str = "tu
     said = parsed.select("key", "turn", F.explode(F.array_distinct("passages")).alias("h")).distinct().select("key", "h", "turn", F.col("turn").alias("original"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("int").alias("size"))
     quoted = parsed.select("key", "turn", F.explode("quotes").alias("q")).distinct().select("key", "q.h", "turn", F.lit(None).cast("long").alias("original"), "q.level", "q.size")
     asked = quoted.join(said.select("key", "h").distinct(), ["key", "h"], "left_semi")
-    before = Window.partitionBy("key", "h").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-    linked = said.unionByName(asked).withColumn("found", F.last("original", ignorenulls=True).over(before)).filter(F.col("level").isNotNull() & F.col("found").isNotNull())
+    rows = carried(ranged(said.unionByName(asked), ("key", "h"), ("turn",)), ("key", "h"), F.max("original"), F.max, "earlier")
+    before = Window.partitionBy("__part", "key", "h").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    linked = rows.withColumn("found", F.coalesce(F.last("original", ignorenulls=True).over(before), "earlier")).filter(F.col("level").isNotNull() & F.col("found").isNotNull())
     links = linked.groupBy("key", "turn").agg(F.min(F.struct("level", (-F.col("size")).alias("size"), (-F.col("found")).alias("found"))).alias("best"), F.countDistinct("h").alias("linked")).select("key", "turn", (-F.col("best.found")).alias("parent"), "linked")
     roots = _roots(links.select("key", "turn", F.col("parent").alias("root")))
     turns = parsed.select("key", "turn").distinct()
-    placed = turns.withColumn("previous", F.lag("turn").over(Window.partitionBy("key").orderBy("turn"))).join(links, ["key", "turn"], "left").join(roots, ["key", "turn"], "left")
+    placed = with_previous(turns, ("key",), ("turn",), {"turn": "previous"}).join(links, ["key", "turn"], "left").join(roots, ["key", "turn"], "left")
     placed = placed.withColumns({"root": F.coalesce("root", "turn"), "parent": F.coalesce("parent", "previous"), "linked": F.coalesce("linked", F.lit(0))})
-    placed = placed.withColumn("position", F.row_number().over(Window.partitionBy("key").orderBy("root", "turn")).cast("long") - 1)
+    placed = numbered(placed, ("key",), ("root", "turn"), "position")
     out = parsed.join(placed.drop("previous"), ["key", "turn"])
     shown = lambda c: F.when(F.col(c) >= 0, F.col(c))
     return out.select(F.col("conv").cast(kind).alias("conv_id"), shown("turn").alias("turn"), "role", F.col("own").alias("text"), shown("parent").alias("parent_turn"), shown("root").alias("root_turn"), "position", "n_quotes", "linked")
@@ -144,6 +146,30 @@ def _roots(links: DataFrame) -> DataFrame:
     raise RuntimeError("chains of quotes did not end")
 
 
+def as_mail(messages: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """The messages as mails: four in five quote the turn before or the one before that, below an attribution, with what that turn quotes a level deeper.
+
+    For tables of plain turns, which hold no quotes. Which turn is quoted
+    depends on conv_id and turn alone. Of repeated turns the least text is
+    quoted; messages of a null conv_id or turn quote nothing.
+    """
+    m = messages.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text")).withColumn("quoted", quoted_turn("conv_id", "turn"))
+    originals = m.groupBy("conv_id", F.col("turn").alias("quoted")).agg(F.min("text").alias("original"), F.min("role").alias("by"))
+    shown = lambda c: F.regexp_replace(F.coalesce(F.col(c), F.lit("")), "(?m)^", "> ")
+    said = lambda who: F.concat(F.lit("In an earlier turn, the "), F.coalesce(F.col(who), F.lit("other")), F.lit(" wrote:\n"))
+    one = m.join(originals, ["conv_id", "quoted"], "left").withColumn("inner", quoted_turn("conv_id", "quoted"))
+    two = one.join(originals.withColumnsRenamed({"quoted": "inner", "original": "deeper", "by": "deeper_by"}), ["conv_id", "inner"], "left")
+    nested = F.concat(F.when(F.col("deeper").isNotNull(), F.concat(said("deeper_by"), shown("deeper"), F.lit("\n"))).otherwise(F.lit("")), "original")
+    two = two.withColumn("nested", nested)
+    return two.select("conv_id", "turn", "role", F.when(F.col("original").isNotNull(), F.concat(said("by"), shown("nested"), F.lit("\n\n"), F.coalesce("text", F.lit("")))).otherwise(F.col("text")).alias("text"))
+
+
+def quoted_turn(conv_id: str, turn: str) -> Column:
+    """The turn that as_mail() has a turn quote: none for the first, and for one in five."""
+    number = F.pmod(F.xxhash64(F.lit("quote"), conv_id, turn), F.lit(10))
+    return F.when((F.col(turn) > 0) & (number >= 2), F.greatest(F.lit(0), F.col(turn) - 1 - number % 2))
+
+
 def chat_text(role="role", text="text"):
     """One message in the chat format."""
     return F.concat(F.lit("<|"), F.coalesce(F.col(role), F.lit("unknown")), F.lit("|>\n"), F.col(text), F.lit("\n"))

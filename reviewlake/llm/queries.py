@@ -19,8 +19,8 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every message in reply order, without its quotes, and its chat form."""
-    found = chat.conversations(table(spark, sf_dir, "conversations"))
+    """Every message in reply order, without its quotes, and its chat form. The table has no quotes, so its messages are written as mails first."""
+    found = chat.conversations(chat.as_mail(table(spark, sf_dir, "conversations")))
     return found.withColumn("chat", chat.chat_text()).select("conv_id", "turn", "role", "chat", "parent_turn", "root_turn", "position", "n_quotes", "linked")
 
 

@@ -293,6 +293,44 @@ def test_conversations_brute(spark):
     assert all(p is None or place[c, p] < place[c, t] for (c, t), p in parents.items()) and all(">" not in x.text for x in got)
 
 
+def test_conversations_of_any_size(spark):
+    """One conversation with most messages, a passage that they all share, null keys and turns: the order holds across ranges."""
+    rows = [(1, n, "user", ("> Yes.\n" if n % 2 else "") + "Yes.\n" + f"own {n}") for n in range(400)] + [(k, n, "user", f"> own {n - 1}\nown {n}") for k in (2, None) for n in range(3)] + [(None, None, "user", "own 9")] * 2
+    got = chat.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert len(got) == len(rows)
+    hot = {x.turn: x for x in got if x.conv_id == 1}
+    assert all(hot[n].parent_turn == n - 1 and hot[n].linked == n % 2 for n in range(1, 400)) and hot[0].parent_turn is None
+    assert sorted(x.position for x in hot.values()) == list(range(400)) and all(hot[n].position > hot[n - 1].position for n in range(1, 400) if n % 2)
+    other = {x.turn: (x.parent_turn, x.linked) for x in got if x.conv_id is None}
+    assert other == {None: (None, 0), 0: (None, 0), 1: (0, 1), 2: (1, 1)}
+
+
+def test_registered_query_links_quotes(spark):
+    """The query's mails, by a plain reading of the table: who is quoted, where chains begin, and in which order messages stand."""
+    from reviewlake.llm.queries import QUERIES
+
+    table = spark.read.parquet(f"{SF}/conversations.parquet")
+    quoted = {(r.conv_id, r.turn): r.q for r in table.withColumn("q", chat.quoted_turn("conv_id", "turn")).collect()}
+    texts = {(r.conv_id, r.turn): r.text for r in table.collect()}
+    got = QUERIES["op3_chat_formatting"](spark, SF).collect()
+    assert len(got) == len(texts)
+
+    def root(c, t):
+        while quoted[c, t] is not None:
+            t = quoted[c, t]
+        return t
+
+    for x in got:
+        key, q = (x.conv_id, x.turn), quoted[x.conv_id, x.turn]
+        before = max((t for c, t in texts if c == x.conv_id and t < x.turn), default=None)
+        assert x.parent_turn == (before if q is None else q) and x.root_turn == root(*key) and (x.linked > 0) == (q is not None)
+        assert x.chat == f"<|{x.role}|>\n{texts[key].strip(chr(10))}\n"
+    for c in {x.conv_id for x in got}:
+        order = [(x.root_turn, x.turn) for x in sorted((x for x in got if x.conv_id == c), key=lambda x: x.position)]
+        assert order == sorted(order)
+    assert sum(x.linked > 0 for x in got) > len(got) / 3
+
+
 def test_short_quotes_and_sentences(spark):
     said = ["Yes.", "Thanks!", "好的。", "👍", "It rains in the north. Bring a coat! The south is dry.", "今天下雨。明天晴天。", "One sentence that goes\nover two lines. And more.", "a b"]
     quoted = [*said[:4], "Bring a coat!", "明天晴天。", "One sentence that goes\nover two lines.", "A B"]
