@@ -144,6 +144,7 @@ class Pieces:
         self.said = [b"" if i in self.control else p.replace(SPACE, " ").encode("utf-8", "surrogatepass") for i, p in enumerate(self.names)]
         for byte, i in self.bytes.items():
             self.said[i] = bytes([byte])
+        self.bytes_of = pa.array(self.said, pa.binary())
         self._forget()
         if self.type == BPE:
             self._derive()
@@ -340,6 +341,16 @@ class Pieces:
         return text[1:] if self.dummy and text.startswith(" ") else text
 
 
+    def decoded(self, offsets: np.ndarray, ids: np.ndarray) -> pa.Array:
+        """The texts of all id lists at once: the pieces' bytes are taken and joined as arrays."""
+        lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), self.bytes_of.take(pa.array(ids)))
+        try:
+            texts = pc.binary_join(lists, b"").cast(pa.string())
+        except pa.ArrowInvalid:  # bytes that are no text
+            return pa.array([self.decode(ids[a:b].tolist()) for a, b in zip(offsets, offsets[1:])], pa.string())
+        return pc.if_else(pc.starts_with(texts, " "), pc.utf8_slice_codeunits(texts, 1), texts) if self.dummy else texts
+
+
 _LOADED: dict[tuple[str, int], Pieces] = {}
 
 
@@ -380,7 +391,7 @@ def encode(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", tex
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
                 columns = [part.column("doc_id"), lists]
                 if decoded:
-                    columns.append(pa.array([pieces.decode(ids[x:y].tolist()) for x, y in zip(offsets, offsets[1:])], pa.string()))
+                    columns.append(pieces.decoded(offsets, ids))
                 yield pa.RecordBatch.from_arrays(columns, names)
                 begin = end
 
