@@ -73,7 +73,7 @@ def _digest(kinds: list[str]) -> str:
     return hashlib.sha256(",".join(kinds).encode()).hexdigest()
 
 
-SCHEMA = "doc_id string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
+SCHEMA = "doc_id string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_spans long"
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -95,8 +95,8 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
                 points = {at: len(data[:at].decode("utf-8", "surrogatepass")) for s, _, e in spans for at in (s, e)} if not data.isascii() else {}
                 said = [(r, f"{names[r]}:{points.get(s, s)}:{points.get(e, e)}") for s, r, e in spans]
                 own = [x for r, x in said if r < base]
-                made.append((key, *(sum(r == k for r, _ in said) for k in range(base)), _digest(own), ",".join(x for _, x in said)))
-            return pd.DataFrame(made, columns=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+                made.append((key, *(sum(r == k for r, _ in said) for k in range(base)), _digest(own), ",".join(x for _, x in said), len(said)))
+            return pd.DataFrame(made, columns=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_spans"])
 
         for b in batches:
             ids, raw, size = [], [], 0
