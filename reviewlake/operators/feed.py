@@ -8,10 +8,14 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reviewlake.operators.ranges import ranged
+
 #: Sort orders, and limits of a query.
 ORDERS = ("newest", "oldest", "highest", "lowest", "helpful")
 SENTIMENTS = ("positive", "mixed", "negative", "unclassified")
 MOST_PAGES, LEAST_SIZE, MOST_SIZE, DEFAULT_SIZE, MOST_SEARCH = 100_000, 5, 100, 20, 200
+#: Rows that a page may skip before they are written in ranges.
+SHALLOW = 10_000
 MOST_TEXT = {"language": 60, "guest_type": 100, "room": 180}
 
 
@@ -97,6 +101,14 @@ def filtered(reviews: DataFrame, q: FeedQuery) -> DataFrame:
     return out
 
 
+def rising(sort: str) -> dict[str, Column]:
+    """The sort keys as columns that all rise, by name."""
+    if sort in ("newest", "oldest"):
+        return {"__k1": -F.col("epoch") if sort == "newest" else F.col("epoch"), "__k2": F.col("public_id")}
+    first = {"highest": -F.col("tenths"), "lowest": F.col("tenths"), "helpful": -F.coalesce("helpful", F.lit(0))}[sort]
+    return {"__k1": first, "__k2": -F.col("epoch"), "__k3": F.col("row_id")}
+
+
 def order(sort: str) -> list[Column]:
     """Complete sort keys: ties end with the public id, or with the order of the rows before sorting."""
     if sort in ("newest", "oldest"):
@@ -106,12 +118,42 @@ def order(sort: str) -> list[Column]:
 
 
 def page(reviews: DataFrame, q: FeedQuery) -> tuple[DataFrame, int, int, int]:
-    """(rows of the page, total, pages, page shown); a page beyond the last shows the last. Spark keeps only the top rows of each partition."""
+    """(rows of the page, total, pages, page shown); a page beyond the last shows the last.
+
+    Of the first SHALLOW rows Spark keeps the top of each partition. Further on
+    the rows are written in ranges of their order, and only those ranges are
+    sorted that the page lies in.
+    """
     rows = filtered(reviews, q)
     total = rows.count()
     pages = -(-total // q.size)
     shown = min(q.page, max(1, pages))
-    return rows.orderBy(*order(q.sort)).offset((shown - 1) * q.size).limit(q.size), total, pages, shown
+    skip = (shown - 1) * q.size
+    if skip <= SHALLOW:
+        return rows.orderBy(*order(q.sort)).offset(skip).limit(q.size), total, pages, shown
+    keys = rising(q.sort)
+    placed = ranged(rows.withColumns(keys), (), tuple(keys))
+    parts = sorted((r["__part"], r["n"]) for r in placed.groupBy("__part").agg(F.count("*").alias("n")).collect())  # a row a range
+    before, chosen, first = 0, [], 0
+    for part, n in parts:
+        if before + n > skip and before < skip + q.size:
+            first = before if not chosen else first
+            chosen.append(part)
+        before += n
+    return placed.filter(F.col("__part").isin(chosen)).orderBy(*keys).offset(skip - first).limit(q.size).drop("__part", *keys), total, pages, shown
+
+
+def after(reviews: DataFrame, q: FeedQuery, last: dict | None) -> DataFrame:
+    """The page after a row that was shown last (its columns; none: the first page), by its place in the order: nothing is counted or skipped."""
+    rows, keys = filtered(reviews, q).withColumns(rising(q.sort)), rising(q.sort)
+    if last is not None:
+        one = reviews.sparkSession.createDataFrame([{c: last[c] for c in ("epoch", "public_id", "row_id", "tenths", "helpful")}], "epoch long, public_id string, row_id long, tenths int, helpful long").select(*[x.alias(k) for k, x in keys.items()])
+        at = one.first()
+        later = F.lit(False)
+        for k in reversed(keys):
+            later = (F.col(k) > F.lit(at[k])) | (F.col(k) == F.lit(at[k])) & later
+        rows = rows.filter(later)
+    return rows.orderBy(*keys).limit(q.size).drop(*keys)
 
 
 def filter_options(reviews: DataFrame) -> DataFrame:

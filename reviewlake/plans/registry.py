@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from reviewlake.functions import display, periods, scalars
 from reviewlake.operators import export, feed, gaps, metrics, quality, sentiment, snapshots, topics
 from reviewlake.operators import inventory as checks
+from reviewlake.operators.ranges import settled
 from reviewlake.plans import oracles as sql
 from reviewlake.plans.base import ORACLES, QUERIES, query, values
 from reviewlake.sources import publications
@@ -169,7 +170,8 @@ def filter_options(spark, sf_dir):
 
 @query(sql.ALERTS)
 def alerts(spark, sf_dir):
-    rows = with_topics(spark, sf_dir)
+    # Written once: both metrics read the classified rows.
+    rows = settled(with_topics(spark, sf_dir).select("row_id", "property_key", "epoch", "local_date", "tenths", "sentiment", "has_negative_feedback", "partner_reply", "topics"))
     dims = src.properties(spark)
     return metrics.alerts(metrics.property_metrics(rows, WEEK, dims), metrics.topic_metrics(rows, WEEK, dims), quality.quality_rows(values(spark, sql.EVIDENCE)))
 

@@ -1,3 +1,4 @@
+import random
 from datetime import date
 
 import pytest
@@ -98,8 +99,8 @@ def test_digests_ignore_order_and_see_changes(spark):
 
 
 def test_export_gate(spark):
-    ok = "('p', 'r', 'succeeded', 'v', 'v', true, 'p', 1, 1, 1, 1, 'a', 'a', 'x', 'x', 1, false, false, false, false)"
-    names = "t(property_key, published_run, run_status, run_parser, expected_parser, complete_inventory, run_property, present, final_count, oldest_count, newest_count, oldest_ids, newest_ids, oldest_records, newest_records, structured, gap_attested, gap_valid, visible_attested, visible_valid)"
+    ok = "('p', 'r', 'r', 'succeeded', 'v', 'v', true, 'p', 1, 1, 1, 1, 'a', 'a', 'x', 'x', 1, 1, false, false, false, false, 1, 1)"
+    names = "t(property_key, published_run, last_full_run, run_status, run_parser, expected_parser, complete_inventory, run_property, present, final_count, oldest_count, newest_count, oldest_ids, newest_ids, oldest_records, newest_records, structured, displayed, gap_attested, gap_valid, visible_attested, visible_valid, gap_advertised, gap_retrievable)"
     quality.require_authoritative(spark.sql(f"SELECT * FROM (VALUES {ok}) AS {names}"))
     with pytest.raises(quality.NotAuthoritative, match="published_count_mismatch"):
         quality.require_authoritative(spark.sql(f"SELECT * FROM (VALUES {ok.replace('1, 1, 1, 1', '2, 1, 1, 1', 1)}) AS {names}"))
@@ -133,7 +134,7 @@ def test_scalars(spark):
     assert get(scalars.canonical_page(F.lit("https://u:p@x.example/a"))) is None
     assert get(scalars.direction(F.lit(None).cast("double"))) == "unavailable" and get(scalars.direction(F.lit(0.00001))) == "flat"
     assert [get(scalars.response_kind(F.lit(s), F.lit(b))) for s, b in ((200, "{}"), (200, "<html>"), (429, ""), (403, ""), (503, ""), (200, "captcha"))] == ["json", "not_json", "rate_limited", "challenge", "server_error", "challenge"]
-    assert export.backoff_ms(0) == 500 and export.backoff_ms(10) == 30_000 and export.circuit_open(0, "challenge") and not export.circuit_open(2, None)
+    assert export.backoff_ms(0) == 500 and export.backoff_ms(10) == 30_000
 
 
 CARD = '{"reviewUrl": "u%d", "reviewedDate": 1700000000, "reviewScore": %s, "textDetails": null, "bookingDetails": null, "guestDetails": null, "partnerReply": null, "photos": null, "positiveHighlights": null, "negativeHighlights": null, "helpfulVotesCount": 0, "isApproved": true, "isTranslatable": false, "editUrl": null}'
@@ -141,7 +142,8 @@ CARD = '{"reviewUrl": "u%d", "reviewedDate": 1700000000, "reviewScore": %s, "tex
 
 def test_page_contract(spark):
     body = '{"data": {"reviewListFrontend": {"reviewsCount": 3, "reviewCard": [%s, %s, {"reviewUrl": "", "reviewScore": 8}]}}}' % (CARD % (1, "8.5"), CARD % (2, "8.55"))
-    rows = src.review_pages(spark.createDataFrame([(body,), ("no json",)], "body string")).orderBy("card_index").collect()
+    rows = src.review_pages(spark.createDataFrame([(body,), ("no json",)], "body string")).orderBy(F.asc_nulls_last("card_index")).collect()
+    assert rows.pop().violations == ["no_cards"]
     assert [r.violations for r in rows[:2]] == [[], ["score_precision"]]
     assert {"missing:reviewedDate", "identity", "epoch"} <= set(rows[2].violations) and rows[0].card.bookingDetails is None
 
@@ -172,8 +174,8 @@ def test_trusted_totals(spark):
 
 
 def test_progress_log(spark):
-    rows = spark.createDataFrame([("j", 1, "stage=canary"), ("j", 2, "pages: 3 reviews: 30"), ("j", 3, "stage=oldest pages: 5")], "job string, line_no int, line string")
-    assert tuple(export.progress(rows).first()) == ("j", "oldest", 5, 30)
+    rows = spark.createDataFrame([("j", 1, "[t] full: a"), ("j", 2, "[t] progress: a oldest-first 3/30"), ("j", 3, "[t] passed: a (30 reviews)")], "job string, line_no int, line string")
+    assert tuple(export.progress(rows).first()) == ("j", "a", "published", None, 30, 30, 30, None, None)
 
 
 def test_page_stream(spark, tmp_path):
@@ -228,3 +230,20 @@ def test_attribution(spark):
     assert got == [[], ["score"], []]
     filters = spark.createDataFrame([("p", "language", "en", 3), ("p", "language", "en", 4), ("p", "score", "ALL", -1)], "property_key string, kind string, value string, count int")
     assert sorted((r.kind, r.code) for r in inventory.metadata_problems(filters).collect()) == [("language", "DUPLICATE_VALUE"), ("score", "NEGATIVE_COUNT")]
+
+
+@pytest.mark.parametrize("sort", feed.ORDERS)
+def test_deep_pages_and_seeks(spark, monkeypatch, sort):
+    """Pages out of ranges, and pages after the last row shown, are those of the whole order."""
+    r = random.Random(2)
+    rows = spark.createDataFrame([(i, f"{r.randrange(40):03d}-{i}", "p", r.randrange(30), r.randrange(101), r.choice([None, 1, 2]), None) for i in range(200)], "row_id long, public_id string, property_key string, epoch long, tenths int, helpful long, local_date date")
+    whole = [x.row_id for x in rows.orderBy(*feed.order(sort)).collect()]
+    monkeypatch.setattr(feed, "SHALLOW", -1)
+    last = None
+    for page in (1, 2, 4, 9):
+        shown, total, pages, at = feed.page(rows, feed.FeedQuery(sort=sort, page=page, size=30))
+        assert [x.row_id for x in shown.collect()] == whole[(at - 1) * 30 : at * 30] and (total, pages, at) == (200, 7, min(page, 7))
+    for k in range(3):
+        got = feed.after(rows, feed.FeedQuery(sort=sort, size=30), last).collect()
+        assert [x.row_id for x in got] == whole[k * 30 : k * 30 + 30]
+        last = got[-1].asDict()

@@ -28,6 +28,24 @@ CASES = [
     (None, "not worth the money", {"value_for_money": "negative"}),
     ("écleané sheets", None, {"cleanliness": "positive"}),
     (None, None, {}),
+    ("Check-in was easy and quick", None, {"check_in": "positive"}),
+    (None, "The keypad did not work", {"check_in": "negative"}),
+    (None, "We were locked out", {"check_in": "negative"}),
+    ("attentive staff", None, {"staff_reception": "positive"}),
+    (None, "rude manager", {"staff_reception": "negative"}),
+    (None, "without any noise", {"noise": "positive"}),
+    ("Modern facilities and an elevator", None, {"facilities": "positive"}),
+    (None, "no hot water", {"facilities": "negative"}),
+    ("Walking distance to shops", None, {"location": "positive"}),
+    (None, "far from the centre", {"location": "negative"}),
+    ("the location was hard to find", None, {"location": "mixed"}),
+    ("Spacious room", None, {"room_condition": "positive"}),
+    (None, "tiny room with a broken window", {"room_condition": "negative"}),
+    ("Good value, worth the price", None, {"value_for_money": "positive"}),
+    (None, "extra charges", {"value_for_money": "negative"}),
+    ("unclean but well located", None, {"cleanliness": "negative", "location": "positive"}),
+    ("Was it clean? I could not say. Quiet, though", None, {"cleanliness": "positive", "noise": "positive"}),
+    ("We loved the garden", "Nothing at all about the food", {}),
 ]
 
 
