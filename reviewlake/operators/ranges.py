@@ -23,11 +23,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_cleared: set[str] = set()
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back, so that lost executors cost no recomputation."""
+    """Writes df as Parquet to the shared folder and reads it back, so that lost executors cost no recomputation.
+
+    The tables of an application lie in one folder, which goes when it ends.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
+    sc = spark.sparkContext
+    folder = f"{shared_dir(spark).rstrip('/')}/settled-{sc.applicationId}"
+    path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if folder not in _cleared:
+        own = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        own.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(own)
+        _cleared.add(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
