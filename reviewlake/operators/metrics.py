@@ -145,8 +145,8 @@ def nearest_rank(df: DataFrame, value: str, keys: tuple[str, ...], at=(0.5, 0.95
     upto = F.sum("__n").over(Window.partitionBy("__part", *keys).orderBy(value)) + F.coalesce("__before", F.lit(0))
     rows = rows.withColumn("__upto", upto)
     whole = rows.groupBy(*keys).agg(F.max("__upto").alias("n"), F.min(value).alias("least"), F.max(value).alias("most"))
-    at_least = [F.min(F.when(F.col("__upto") >= F.ceil(F.col("n") * F.lit(str(p)).cast("decimal(9,6)")), F.col(value))).alias(f"p{round(p * 100)}") for p in at]
-    found = rows.join(whole.select(*keys, "n"), list(keys)).groupBy(*keys).agg(*at_least)
+    at_least = [F.min(F.when(F.col("__upto") >= F.ceil(F.col("__total") * F.lit(str(p)).cast("decimal(9,6)")), F.col(value))).alias(f"p{round(p * 100)}") for p in at]
+    found = rows.join(whole.select(*keys, F.col("n").alias("__total")), list(keys)).groupBy(*keys).agg(*at_least)
     return whole.join(found, list(keys))
 
 
