@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlake.llm import chat, decontamination, lines, markup, pieces, pii, quality, repeats, secrets, simhash
+from reviewlake.llm import backoff, chat, decontamination, lines, markup, pieces, pii, quality, repeats, secrets, simhash
 from reviewlake.llm.common import table
 
 
@@ -55,5 +55,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_secret_scan, op3_chat_formatting, op4_suffix_array_dedup, op5_pii, op6_sentencepiece, op7_html_extraction, op8_simhash_near_dedup, op9_quality_rules, op10_decontamination)}
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.scored(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_secret_scan, op3_chat_formatting, op4_suffix_array_dedup, op5_pii, op6_sentencepiece, op7_html_extraction, op8_simhash_near_dedup, op9_quality_rules, op10_decontamination, op11_lm_scoring)}
 ORACLES: dict[str, str] = {"op1_line_dedup": lines.ORACLE_SQL}
