@@ -31,7 +31,7 @@ from reviewlake.llm.common import settled, through_pandas
 #: Words of the longest n-gram; one document in so many isn't learnt from; the addend of the base score.
 ORDER, HELD_OUT, ADDEND = 3, 10, 0.1
 #: Tokens of a chunk, above which it ends with the document; n-grams of one hash range, about; tokens of a lane.
-CHUNK_TOKENS, RANGE_KEYS, LANE = 2_000_000, 1_000_000, 512
+CHUNK_TOKENS, RANGE_KEYS, LANE = 1_500_000, 1_000_000, 512
 #: Bits of the hash that tells n-grams apart: words, and longer ones, on which only the model's weights rest.
 WORD_BITS, GRAM_BITS = 64, 56
 #: Numbers of the begin and the end of a text in every chunk; no word is spelled as they are.
@@ -101,30 +101,37 @@ def packed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk_to
 
 
 class Grams:
-    """The n-grams of a chunk by order: sorted ``keys``, place of the ``first`` of each, and their number at each place (``at``, else -1)."""
+    """The n-grams of a chunk, order by order: sorted ``keys``, the place of one of each (``first``), their number at each place (``at``, else -1)."""
 
-    def __init__(self, row, order: int) -> None:
-        self.ids, self.sizes = spread(row.ids), spread(row.sizes)
+    def __init__(self, row) -> None:
+        self.ids, self.sizes = spread(row.ids).astype(np.int32), spread(row.sizes)
         self.held = np.frombuffer(row.held, np.uint8).astype(bool)
-        hashes = np.frombuffer(row.words, np.uint64)[self.ids]
+        self.words = np.frombuffer(row.words, np.uint64)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        depth = np.arange(len(self.ids)) - np.repeat(self.starts, self.sizes)
         self.keys, self.first, self.at = [], [], []
-        key = hashes
+
+    def orders(self, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(keys, places by key, begin of each key among them, whether each place is learnt from) of each order in turn."""
+        hashes = self.words[self.ids]
+        key, depth = hashes, np.arange(len(self.ids), dtype=np.int32) - np.repeat(self.starts, self.sizes).astype(np.int32)
         for n in range(order):
-            where = np.flatnonzero(depth >= n)
-            keys, first, inverse = np.unique(key[where] >> np.uint64(64 - (GRAM_BITS if n else WORD_BITS)), return_index=True, return_inverse=True)
-            at = np.full(len(self.ids), -1, np.int64)
-            at[where] = inverse
-            self.keys.append(keys)
-            self.first.append(where[first])
+            where = np.flatnonzero(depth >= n).astype(np.int32)
+            cut = key[where] >> np.uint64(64 - (GRAM_BITS if n else WORD_BITS))
+            by = np.argsort(cut)
+            cut, where = cut[by], where[by]
+            begins = np.flatnonzero(np.concatenate(([True], cut[1:] != cut[:-1]))) if len(cut) else np.zeros(0, np.int64)
+            yield cut[begins], where, begins, ~np.repeat(self.held, self.sizes)[where]
+            if n < order - 1:
+                key = _joined(np.roll(key, 1), hashes)
+
+    def read(self, order: int) -> Grams:
+        for keys, where, begins, _ in self.orders(order):
+            at = np.full(len(self.ids), -1, np.int32)
+            at[where] = np.repeat(np.arange(len(keys), dtype=np.int32), np.diff(np.append(begins, len(where))))
+            self.keys.append(len(keys))
+            self.first.append(where[begins])
             self.at.append(at)
-            key = _joined(np.roll(key, 1), hashes)
-
-    def learnt(self, n: int) -> np.ndarray:
-        """How often each n-gram is in the chunk's texts that are learnt from."""
-        at = self.at[n][np.repeat(~self.held, self.sizes)]
-        return np.bincount(at[at >= 0], minlength=len(self.keys[n]))
+        return self
 
 
 def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -141,9 +148,8 @@ def _requests(chunks: DataFrame, order: int, bits: int) -> DataFrame:
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for row in b.itertuples():
-                grams = Grams(row, order)
-                for n, keys in enumerate(grams.keys):
-                    counts = grams.learnt(n)
+                for n, (keys, _, begins, learnt) in enumerate(Grams(row).orders(order)):
+                    counts = np.add.reduceat(learnt, begins, dtype=np.int64) if len(keys) else begins
                     parts = (keys >> np.uint64((GRAM_BITS if n else WORD_BITS) - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
                     cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(keys)]
                     made = [(n, int(parts[i]), row.chunk, _planes(np.diff(keys[i:j], prepend=np.uint64(0))), squeezed(counts[i:j])) for i, j in zip(cuts, cuts[1:])]
@@ -157,11 +163,14 @@ def _totals(requests: DataFrame) -> DataFrame:
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         asked = [np.cumsum(_unplaned(k)) for k in rows["keys"]]
-        unique, inverse = np.unique(np.concatenate(asked), return_inverse=True)
-        found = np.zeros(len(unique), np.int64)
-        np.add.at(found, inverse, np.concatenate([spread(c) for c in rows["counts"]]))
-        ends = np.cumsum([len(a) for a in asked])
-        back = [squeezed(x) for x in np.split(found[inverse], ends[:-1])]
+        ends, keys = np.cumsum([len(a) for a in asked]), np.concatenate(asked)
+        by = np.argsort(keys)
+        keys = keys[by]
+        begins = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        found = np.add.reduceat(np.concatenate([spread(c) for c in rows["counts"]])[by], begins)
+        replies = np.empty(len(keys), np.int64)
+        replies[by] = np.repeat(found, np.diff(np.append(begins, len(keys))))
+        back = [squeezed(x) for x in np.split(replies, ends[:-1])]
         held = found[found > 0]
         power = np.frexp(held.astype(float))[1] - 1
         sums = np.zeros(64, np.int64)
@@ -305,7 +314,7 @@ def scored(docs: DataFrame, order: int = ORDER, doc_id: str = "doc_id", text: st
 
     def run(key: tuple, chunk: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         row = next(chunk.itertuples())
-        grams = Grams(row, order)
+        grams = Grams(row).read(order)
         replies = replies.sort_values(["n", "part"])
         found = [np.concatenate([spread(t) for t in replies["totals"][replies["n"] == n]] or [np.zeros(0, np.int64)]) for n in range(order)]
         auto = Automaton(grams, found, weights)
