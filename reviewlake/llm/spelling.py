@@ -240,8 +240,8 @@ def neighbours(words: DataFrame, bucket_rows: int = BUCKET_ROWS, half_rows: int
         by = np.lexsort((two, -n[two], one))
         one, two = one[by], two[by]
         first = np.flatnonzero(np.diff(one, prepend=-1))
-        said = [names[k].decode("latin-1") for k in one[first]]
-        return pd.DataFrame({"word": said, "n_near": np.diff(np.append(first, len(one))), "less": -n[two[first]], "best": [names[k].decode("latin-1") for k in two[first]]})
+        said = lambda which: pd.Series([names[k].decode("latin-1") for k in which], dtype=object)
+        return pd.DataFrame({"word": said(one[first]), "n_near": np.diff(np.append(first, len(one))), "less": -n[two[first]], "best": said(two[first])})
 
     found = rows.withColumn("bucket", F.pmod("key", F.lit(buckets))).groupBy("bucket").applyInPandas(run, "word string, n_near long, less long, best string")
     return found.select("word", "n_near", F.struct("less", F.col("best").alias("word")).alias("best"))
