@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlake.llm import backoff, chat, decontamination, lines, markup, pieces, pii, quality, repeats, secrets, simhash, spelling
+from reviewlake.llm import backoff, chat, decontamination, lines, markup, negatives, pieces, pii, quality, repeats, secrets, simhash, spelling
 from reviewlake.llm.common import table
 
 
@@ -63,5 +63,9 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.grouped(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_secret_scan, op3_chat_formatting, op4_suffix_array_dedup, op5_pii, op6_sentencepiece, op7_html_extraction, op8_simhash_near_dedup, op9_quality_rules, op10_decontamination, op11_lm_scoring, op12_spelling_variants)}
-ORACLES: dict[str, str] = {"op1_line_dedup": lines.ORACLE_SQL}
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mined(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_secret_scan, op3_chat_formatting, op4_suffix_array_dedup, op5_pii, op6_sentencepiece, op7_html_extraction, op8_simhash_near_dedup, op9_quality_rules, op10_decontamination, op11_lm_scoring, op12_spelling_variants, op13_hard_negatives)}
+ORACLES: dict[str, str] = {"op1_line_dedup": lines.ORACLE_SQL, "op13_hard_negatives": negatives.ORACLE_SQL}
