@@ -19,12 +19,15 @@ NEVER = frozenset("head script style noscript template nav footer aside form but
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 MARKS = frozenset("ad ads adv advert advertisement adverts advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe sidebar sidebars aside menu menus nav navbar navigation breadcrumb breadcrumbs masthead topbar footer comment comments commentlist disqus login signup".split())
 HINTS = frozenset("header rail subscription discussion replies respond share sharing social related recommended recommendations widget widgets toolbar pagination pager search skip copyright".split())
+#: Words that beside a mark only say which block, where, or of what kind.
+PLACES = frozenset("a area b bar block body bottom box button buttons c card cell col column container content count div entry fixed float group head header heading holder id inline inner item items label large left line link links list lists main middle module outer page panel part post region right row section site small slot space sticky strip text thread tile title top unit view wide wrap wrapper".split())
 CONTROLS = frozenset("input select textarea button form".split())
 #: Elements whose open sibling ends when another begins.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 WITHIN = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
 #: Block elements that end an open paragraph.
 BLOCKS = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table".split())
 _TAG = re.compile(r"<[A-Za-z/!?]")
 
 
@@ -107,8 +110,10 @@ def _marked(tag: str, attrs: dict, active: bool) -> bool:
     """Whether an element is marked as no part of the article; ``active``: it is mostly links, or has controls."""
     if tag in NEVER or attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower():
         return True
-    words = re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", attrs.get("class", "") + " " + attrs.get("id", "")).lower())
-    return not MARKS.isdisjoint(words) or active and not HINTS.isdisjoint(words)
+    names = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", attrs.get("class", "") + " " + attrs.get("id", "")).lower().split()
+    words = [set(re.findall("[a-z]+", name)) for name in names]
+    # Beside a word of its own ("comment-free") a mark is a hint only.
+    return any(w & MARKS and w <= MARKS | HINTS | PLACES for w in words) or active and any(w & (MARKS | HINTS) for w in words)
 
 
 def _density(chars: int, tags: int, linked: int, links: int, ratio: float) -> float:
@@ -162,6 +167,7 @@ def main_text(html: str | None) -> str:
         p = parent[k]
         for column, own in ((chars, 0), (tags, 1), (linked, 0), (links, tag[k] == "a")):
             column[p] += column[k] + own
+    chars[0] += size[0]
     body = next((k for k in range(n) if tag[k] == "body"), 0)
     ratio = linked[body] / max(chars[body], 1)
     density = [_density(chars[k], tags[k], linked[k], links[k], ratio) for k in range(n)]
@@ -197,7 +203,9 @@ def main_text(html: str | None) -> str:
         others = children[k]
         if tag[k] in ("body", "html", "#root"):
             # Beside the found subtree, the body itself holds the article where its children are plain blocks of text or titles.
-            if tag[top] in ("article", "main") or not others or not all(tag[c] in ("p", "h1", "h2", "h3", "blockquote", "pre", "ul", "ol", "table", "div", "section") and plain(c) for c in others):
+            # A piece of a page without a body has no other frame than its blocks of text.
+            piece = not body and all(tag[c] in INLINE or tag[c] in TEXTS and 2 * linked[c] <= chars[c] for c in (*others, top))
+            if not piece and (tag[top] in ("article", "main") or not others or not all(tag[c] in ("p", "h1", "h2", "h3", "blockquote", "pre", "ul", "ol", "table", "div", "section") and plain(c) for c in others)):
                 break
         elif not within_article[k] and not all(map(plain, others)):
             break

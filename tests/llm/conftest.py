@@ -17,7 +17,7 @@ def rough(spark):
     # Keys that doubles can't hold, beside nulls.
     rows += [(2**53 + k, texts[20 + k % 3], "en", "s1", None, "clash", 1) for k in (1, 2, 3)] + [(-(2**62) - 1, "token = abcdef99", "en", None, None, None, None)]
     rows += [rows[15], rows[15], (None, "no id here", None, "s1", None, None, None), (None, None, None, None, None, None, None)]
-    return spark.createDataFrame(rows, DOC + ", kept string, h int").withColumnsRenamed({}).selectExpr("*", "h as `d`", "kept as `words`", "h as `found`", "h as `key`", "kept as `fp`").repartition(3)
+    return spark.createDataFrame(rows, DOC + ", kept string, h int").withColumnsRenamed({}).selectExpr("*", "h as `d`", "kept as `words`", "h as `found`", "h as `key`", "kept as `fp`", "h as `m`", "h as `n`", "kept as `text_hash`", "kept as `items`", "h as `chunk`", "kept as `word`").repartition(3)
 
 
 @pytest.fixture(scope="session")

@@ -98,6 +98,14 @@ def test_fit_is_expectation_maximisation():
     assert quality.fit([]) == {}
 
 
+def test_distinct_words_are_counted_in_blocks(spark):
+    """The share of distinct words doesn't fall with the length of a text."""
+    r = random.Random(8)
+    texts = [" ".join(r.choice(["a", "b", "c", "dd", "e1"]) for _ in range(n)) for n in (0, 1, 99, 100, 101, 350)] + [None]
+    rows = quality.with_measures(spark.createDataFrame([(t,) for t in texts], "text string"), "text", "__m").select("text", "__m.n_distinct_words").collect()
+    assert all(n == sum(len(set(w[i : i + 100])) for i in range(0, len(w), 100)) for t, n in rows for w in [(t or "").split()])
+
+
 def test_kept_follows_the_posterior(documents):
     """Patterns by hand from the measures; kept and quality are those of expectation-maximisation over them."""
     per = lambda a, b: a / max(b, 1)
@@ -106,7 +114,7 @@ def test_kept_follows_the_posterior(documents):
         votes = [(per(m.n_symbols, m.n_words), 0.25, 0.05), (-per(m.n_plain_chars, m.word_chars), -0.75, -0.9), (per(m.n_shouts, m.n_words), 0.2, 0.05), (per(m.n_capitals, m.word_chars), 0.4, 0.15), (per(m.n_repeat_words, m.n_words), 0.4, 0.15)]
         out = ["-" if x > bad else "+" if x < good else "0" for x, bad, good in votes]
         distinct, mean = per(m.n_distinct_words, m.n_words), per(m.word_chars, m.n_words)
-        out.append("-" if distinct < 0.2 and m.n_words < 1000 else "+" if distinct > 0.4 else "0")
+        out.append("-" if distinct < 0.3 else "+" if distinct > 0.5 else "0")
         for x, bad, good in ((per(m.n_dup_lines, m.n_lines), 0.5, 0.2), (per(m.n_marks, m.n_words), 0.15, 0.05)):
             out.append("-" if x > bad else "+" if x < good else "0")
         return "".join(out) + ("-" if mean < 2 or mean > 15 else "+" if 3 <= mean <= 10 else "0")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -46,6 +47,18 @@ def test_secret_fuzz_and_extra_kinds():
     assert [secrets.KINDS[k][0] for _, k, _ in scanner.spans([text])[0]] == ["github", "pem", "jwt"]
 
 
+@pytest.mark.parametrize("piece", ["eyJ", "token=", "AKIA", "gh", "xoxb-", "sk_live_", "-----BEGIN RSA ", "a" * 23 + "g", "secret:"])
+def test_secret_scan_takes_time_in_proportion(piece):
+    """Runs that begin matches again and again and end none: four times the text takes no sixteen times the time."""
+    scanner, took = secrets.Scanner(), []
+    for size in (20_000, 80_000):
+        text = (piece * (size // len(piece)) + ".eyJ").encode()
+        began = time.perf_counter()
+        scanner.spans([text])
+        took.append(time.perf_counter() - began)
+    assert took[1] < 8 * max(took[0], 0.1)
+
+
 @pytest.mark.parametrize("pattern", ["ab*c", "(a|bc){2,3}d?", "[a-c]+x", "(?i:Ab)c+"])
 def test_automaton_is_the_regex(pattern):
     auto, r = automaton.Automaton([pattern], search=False), random.Random(2)
@@ -233,6 +246,21 @@ def test_hostile_markup_takes_linear_time(part):
     assert times[1] < 10 * times[0] + 0.5
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("no markup at all", "no markup at all"), ("plain &amp; text", "plain & text"), ("a<br>b &amp; c", "a b & c"), ("<!-- c -->bare", "bare"), ("x<p>y</p>z", "x y z"),
+        ("<body>bare<p>one</p></body>", "bare one"), ("<p>foo<b>bar</b>baz <i>qux</i></p><p>n<br>m</p><ul><li>a</li><li>b</li></ul>", "foobarbaz qux n m a b"),
+        ("<main><div class='promo-free'><p>one two three</p></div></main>", "one two three"), ("<article><div class='comment-free analysis'><p>one two</p></div></article>", "one two"),
+        ("<section id='no-comment'>alpha beta</section>", "alpha beta"), ("<div class='cookie-recipe'>mix the flour</div>", "mix the flour"),
+        ("<article><p>one two three four</p><div class='comment-list'>a reader says</div></article>", "one two three four"), ("<body><div id='adTop'>buy now</div><p>one two three four five</p></body>", "one two three four five"),
+        ("<article><p>one two three</p><div class='cookie-recipe'><a href='#'>a</a><input></div></article>", "one two three"),
+    ],
+)
+def test_pieces_and_marked_names(html, text):
+    assert markup.main_text(html) == text
+
+
 def test_rough_pages(spark):
     rows = [(2**53 + 1, "u", "<p>x</p>"), (None, None, "<p>y</p>"), (1, None, None), (1, None, None), (2, "u", ""), (3, "u", "no markup at all"), (4, "u", "<div>" * 5000 + "deep")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS text", "2 AS n_chars")
