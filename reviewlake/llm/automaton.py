@@ -187,20 +187,41 @@ def hits(auto: Automaton, data: np.ndarray, wanted: int = 4096) -> tuple[np.ndar
 
 
 def matches(auto: Automaton, data: bytes, begin: int, end: int) -> Iterator[tuple[int, int]]:
-    """Leftmost longest non-overlapping matches of an anchored automaton within data[begin:end]."""
-    table, accepts, dead = auto.next, auto.accepts, auto.dead
+    """Leftmost longest non-overlapping matches of an anchored automaton within data[begin:end].
+
+    A state from which a place led to no match is remembered with the place, so
+    that no later start walks there again: a text is read at most once a state.
+    """
+    table, accepts, dead, states = auto.next, auto.accepts, auto.dead, len(auto.next)
+    vain: set[int] = set()
     at = begin
     while at < end:
-        state, last, i = auto.start, -1, at
+        state, last, i, walked = auto.start, -1, at, []
         while i < end:
             state = table[state, data[i]]
             if state == dead:
                 break
             i += 1
             if accepts[state]:
-                last = i
+                last, walked = i, []
+                continue
+            key = i * states + int(state)
+            if key in vain:
+                break
+            walked.append(key)
+        vain.update(walked)
         if last > at:
             yield at, last
             at = last
         else:
             at += 1
+
+
+def is_match(auto: Automaton, data: bytes, begin: int, end: int) -> bool:
+    """Whether data[begin:end] as a whole is a match."""
+    state = auto.start
+    for i in range(begin, end):
+        state = auto.next[state, data[i]]
+        if state == auto.dead:
+            return False
+    return end > begin and bool(auto.accepts[state])

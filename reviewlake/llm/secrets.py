@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewlake.llm.automaton import Automaton, hits, matches
+from reviewlake.llm.automaton import Automaton, hits, is_match, matches
 from reviewlake.llm.common import through_pandas
 
 ASSIGN = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?"
@@ -64,7 +64,7 @@ class Scanner:
             begin, end = (int(stops[s - 1]) + 1 if s else 0), int(stops[s])
             doc = int(np.searchsorted(starts, begin, side="right")) - 1
             for a, b in matches(self.loose[r], joined, begin, end):
-                if any(x == (a, b) for x in matches(self.strict[r], joined, a, b)):
+                if is_match(self.strict[r], joined, a, b):
                     out[doc].append((a - int(starts[doc]), r, b - int(starts[doc])))
         return [sorted(x) for x in out]
 
