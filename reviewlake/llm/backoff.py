@@ -31,7 +31,7 @@ from reviewlake.llm.common import settled, through_pandas
 #: Words of the longest n-gram; one document in so many isn't learnt from; the addend of the base score.
 ORDER, HELD_OUT, ADDEND = 3, 10, 0.1
 #: Tokens of a chunk, above which it ends with the document; n-grams of one hash range, about; tokens of a lane.
-CHUNK_TOKENS, RANGE_KEYS, LANE = 1_500_000, 1_000_000, 512
+CHUNK_TOKENS, RANGE_KEYS, LANE = 1_200_000, 1_000_000, 512
 #: Bits of the hash that tells n-grams apart: words, and longer ones, on which only the model's weights rest.
 WORD_BITS, GRAM_BITS = 64, 56
 #: Numbers of the begin and the end of a text in every chunk; no word is spelled as they are.
@@ -239,11 +239,12 @@ class Automaton:
             known = c > 0
             arcs.append((source * self.words + grams.ids[first])[known])
             weight.append(np.log10(p[known]))
-            to.append((states if n < order - 1 else shorter)[known])
+            to.append((states if n < order - 1 else shorter)[known].astype(np.int32))
             below = p
-        joined = np.concatenate(arcs)
-        by = np.argsort(joined)
-        self.arcs, self.weight, self.to = joined[by], np.concatenate(weight)[by], np.concatenate(to)[by]
+        self.arcs = np.concatenate(arcs)
+        del arcs, states, shorter, source, p, below
+        by = np.argsort(self.arcs)
+        self.arcs, self.weight, self.to = self.arcs[by], np.concatenate(weight)[by], np.concatenate(to)[by]
         self.order = order
 
     def scores(self, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, begin: int) -> np.ndarray:

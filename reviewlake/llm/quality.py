@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from reviewlake.llm.common import BLANKS, settled
 
-#: Words of a window whose repetition counts.
-WINDOW = 3
+#: Words of a window whose repetition counts; words of a block whose distinct ones count, so that the share doesn't fall with a text's length.
+WINDOW, BLOCK = 3, 100
 #: Words that only mark an item of a list.
 MARKS = ("|", "-", "*", "•", "·", ">", "#", "–", "—", "/", "~", "=")
 #: A document is kept from this posterior probability of good quality.
@@ -28,11 +28,11 @@ _HASH = "xxhash64(__words[i], __words[i + 1], __words[i + 2])"
 
 
 def _per(count: str, of: str) -> Column:
-    return F.col(f"m.{count}") / F.greatest(F.col(f"m.{of}"), F.lit(1))
+    return F.col(f"__vote.{count}") / F.greatest(F.col(f"__vote.{of}"), F.lit(1))
 
 
 def rules() -> list[tuple[str, Column, Column]]:
-    """The rules over the struct m of measures: each votes bad, votes good or abstains."""
+    """The rules over the struct __vote of measures: each votes bad, votes good or abstains."""
     symbols, shouts, capitals = _per("n_symbols", "n_words"), _per("n_shouts", "n_words"), _per("n_capitals", "word_chars")
     repeats, lines, distinct = _per("n_repeat_words", "n_words"), _per("n_dup_lines", "n_lines"), _per("n_distinct_words", "n_words")
     marks = _per("n_marks", "n_words")
@@ -43,7 +43,7 @@ def rules() -> list[tuple[str, Column, Column]]:
         ("shouting_marks", shouts > 0.2, shouts < 0.05),
         ("capital_share", capitals > 0.4, capitals < 0.15),
         ("repeated_windows", repeats > 0.4, repeats < 0.15),
-        ("distinct_words", (distinct < 0.2) & (F.col("m.n_words") < 1000), distinct > 0.4),
+        ("distinct_words", distinct < 0.3, distinct > 0.5),
         ("repeated_lines", lines > 0.5, lines < 0.2),
         ("list_marks", marks > 0.15, marks < 0.05),
         ("word_length", (mean < 2) | (mean > 15), (mean >= 3) & (mean <= 10)),
@@ -61,7 +61,8 @@ def with_measures(docs: DataFrame, text: str = "text", out: str = "__measures")
     (lines with a word); n_dup_lines (those equal to an earlier one);
     n_repeat_words (words in three-word windows that the text holds twice or
     more); n_shouts (exclamation marks); n_capitals; n_plain_chars (letters,
-    digits and common punctuation); n_distinct_words. Texts are taken whole.
+    digits and common punctuation); n_distinct_words (those of each
+    block of BLOCK words, added up). Texts are taken whole.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     words = F.filter(F.split(t, BLANKS, -1), lambda w: w != "")
@@ -94,14 +95,14 @@ def with_measures(docs: DataFrame, text: str = "text", out: str = "__measures")
         "n_capitals": _removed(t, r"\P{Lu}+"),
         "n_plain_chars": F.length(F.array_join("__words", "")).cast("long") - _removed(t, r"[^#*$%&|<>!~^={}\[\]\\/_+@]+"),
         "n_marks": size(F.filter("__words", lambda w: w.isin(*MARKS))),
-        "n_distinct_words": size(F.array_distinct("__words")),
+        "n_distinct_words": F.expr(f"aggregate(if(size(__words) = 0, cast(array() as array<int>), sequence(1, size(__words), {BLOCK})), 0L, (n, i) -> n + size(array_distinct(slice(__words, i, {BLOCK}))))"),
     }
     return step.withColumn(out, F.struct(*[c.alias(k) for k, c in fields.items()])).drop("__words", "__lines", "__bits", "__keys", "__same", "__spelled", "__found")
 
 
 def _pattern(df: DataFrame, measured: str, out: str) -> DataFrame:
     each = [F.when(bad, F.lit("-")).when(good, F.lit("+")).otherwise(F.lit("0")) for _, bad, good in rules()]
-    return df.withColumn("m", F.col(measured)).withColumn(out, F.concat(*each)).drop("m")
+    return df.withColumn("__vote", F.col(measured)).withColumn(out, F.concat(*each)).drop("__vote")
 
 
 def base_failed(measured: str) -> Column:
