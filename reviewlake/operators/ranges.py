@@ -26,21 +26,24 @@ def shared_dir(spark: SparkSession) -> str:
 _cleared: set[str] = set()
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back, so that lost executors cost no recomputation.
-
-    The tables of an application lie in one folder, which goes when it ends.
-    """
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """A new folder within the application's own one in the shared folder, which goes when the application ends."""
     sc = spark.sparkContext
     folder = f"{shared_dir(spark).rstrip('/')}/settled-{sc.applicationId}"
-    path = f"{folder}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
     if folder not in _cleared:
         own = sc._jvm.org.apache.hadoop.fs.Path(folder)
-        own.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(own)
+        files = own.getFileSystem(sc._jsc.hadoopConfiguration())
+        files.mkdirs(own)
+        files.deleteOnExit(own)
         _cleared.add(folder)
-    return spark.read.schema(df.schema).parquet(path)
+    return f"{folder}/{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Writes df as Parquet to the shared folder and reads it back, so that lost executors cost no recomputation."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ranged(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:

@@ -82,23 +82,26 @@ def repeated_pages(pages: DataFrame) -> DataFrame:
     return pages.withColumn("first_offset", first).filter(F.col("page_offset") > F.col("first_offset"))
 
 
-STATE = ("property_key", "token", "record_hash", "tenths", "version", "presence", "misses", "suspect_since", "tombstoned_at", "reactivations", "last_seen_run")
+KEYS = ("property_key", "token")
+STATE = ("version", "presence", "misses", "suspect_since", "tombstoned_at", "reactivations", "last_seen_run")
 
 
-def promote(state: DataFrame | None, staged: DataFrame, run_id: int, complete: bool = True) -> DataFrame:
+def promote(state: DataFrame | None, staged: DataFrame, run_id: int, complete: bool = True, content: tuple[str, ...] = ("tenths",)) -> DataFrame:
     """The next generation of the current versions, from the last one and a staged run.
 
     Seen reviews are present again, with a new version if their record changed.
     After a complete run, unseen ones are suspect, and tombstones at the second
     miss in a row; the first time of either state stays. Incremental runs never
-    infer absence. ``change`` tells what happened to each row.
+    infer absence. ``change`` tells what happened to each row; ``content`` names
+    the columns of a record that its version carries.
     """
-    s = staged.select("property_key", "token", F.col("record_hash").alias("new_hash"), F.col("tenths").alias("new_tenths"))
+    s = staged.select(*KEYS, F.struct("record_hash", *content).alias("new"))
     if state is None:
-        state = s.sparkSession.createDataFrame([], "property_key string, token string, record_hash string, tenths int, version int, presence string, misses int, suspect_since int, tombstoned_at int, reactivations int, last_seen_run int")
-    both = state.select(*STATE).join(s, ["property_key", "token"], "full_outer")
-    seen, old = F.col("new_hash").isNotNull(), F.col("record_hash").isNotNull()
-    changed = old & seen & (F.col("record_hash") != F.col("new_hash"))
+        fields = ", ".join(f"`{c}` {staged.schema[c].dataType.simpleString()}" for c in (*KEYS, "record_hash", *content))
+        state = s.sparkSession.createDataFrame([], f"{fields}, version int, presence string, misses int, suspect_since int, tombstoned_at int, reactivations int, last_seen_run int")
+    both = state.select(*KEYS, "record_hash", *content, *STATE).join(s, list(KEYS), "full_outer")
+    seen, old = F.col("new").isNotNull(), F.col("version").isNotNull()
+    changed = old & seen & ~F.col("record_hash").eqNullSafe(F.col("new.record_hash"))
     missed = ~seen & F.lit(complete)
     misses = F.when(seen, 0).when(missed, F.col("misses") + 1).otherwise(F.col("misses"))
     presence = F.when(seen, "present").when(missed & (misses >= MISSES_TO_TOMBSTONE), "tombstoned").when(missed, "suspect_missing").otherwise(F.col("presence"))
@@ -108,8 +111,7 @@ def promote(state: DataFrame | None, staged: DataFrame, run_id: int, complete: b
         .when(changed, "updated").when(seen, "unchanged").when(missed & (presence != F.col("presence")), presence).otherwise("kept")
     )
     return both.select(
-        "property_key", "token",
-        F.coalesce("new_hash", "record_hash").alias("record_hash"), F.coalesce("new_tenths", "tenths").alias("tenths"),
+        *KEYS, *[F.when(seen, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in ("record_hash", *content)],
         F.when(~old, 1).otherwise(F.col("version") + changed.cast("int")).alias("version"),
         presence.alias("presence"), misses.alias("misses"), since("suspect_since", "suspect_missing").alias("suspect_since"), since("tombstoned_at", "tombstoned").alias("tombstoned_at"),
         (F.coalesce("reactivations", F.lit(0)) + (seen & old & (F.col("presence") != "present")).cast("int")).alias("reactivations"),

@@ -5,10 +5,10 @@ import math
 import duckdb
 import pytest
 
-from reviewlake.plans import evidence, registry
+from reviewlake.plans import evidence, publications, registry
 
 SF = "/root/testdata/sf0.001"
-assert evidence
+assert evidence and publications
 
 
 def shown(x):
