@@ -207,6 +207,21 @@ class History:
         """The rows that generations after ``since`` changed, as those generations left them."""
         return self._segments(until, since)
 
+    def delta(self, since: int, until: int | None = None) -> tuple[DataFrame, DataFrame]:
+        """(removed, added): the present reviews that generations after ``since`` took away, as they stood before, and those that they brought.
+
+        An updated review is in both. Over several generations a review may be
+        removed and added again and again; the differences of any sums are right.
+        """
+        log = self.changes(since, until)
+        names = ("record_hash", *self.content)
+        removed = log.filter("was.presence = 'present'").select(*snapshots.KEYS, *[F.col(f"was.{c}").alias(c) for c in names])
+        return removed, log.filter("presence = 'present'").select(*snapshots.KEYS, *names)
+
+    def present(self) -> DataFrame:
+        """The reviews that the last generation has."""
+        return self.current().filter("presence = 'present'").select(*snapshots.KEYS, "record_hash", *self.content)
+
     def table(self) -> DataFrame:
         """The commits as rows."""
         rows = [(c.generation, c.run_id, c.base_run, c.complete, c.inserted, c.updated, c.unchanged, c.reactivated, c.suspect_missing, c.tombstoned, c.present) for c in self.commits()]

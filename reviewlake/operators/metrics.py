@@ -19,39 +19,47 @@ SOURCE_BUCKETS = (("wonderful", 90, 101), ("good", 70, 90), ("okay", 50, 70), ("
 TOPIC_MOVES, RATING_FALLS, RATING_FALLS_MUCH, TOPIC_RECURS, TOPIC_RECURS_MUCH, MOST_ALERTS = 2, -0.3, -1.0, 20, 40, 4
 
 
-def mean(tenths: Column) -> Column:
+# Each metric takes reviews, a row each, or cells of a rollup, of which the column ``weight`` tells how many reviews they stand for.
+
+
+def mean(tenths: Column, weight: str | None = None) -> Column:
     """Mean score from whole tenths, so that sums stay exact."""
-    return F.avg(tenths) / 10
+    return (F.sum(tenths * F.col(weight)) / F.sum(F.when(tenths.isNotNull(), F.col(weight))) if weight else F.avg(tenths)) / 10
+
+
+def counted(when: Column, weight: str | None = None) -> Column:
+    """How many reviews there are of which a condition holds."""
+    return F.coalesce(F.sum(F.when(when, F.col(weight))), F.lit(0)) if weight else F.count_if(when)
 
 
-def period_metric(when: Column, prefix: str) -> list[Column]:
+def period_metric(when: Column, prefix: str, weight: str | None = None) -> list[Column]:
     """The ten figures of a period as conditional aggregates, for one pass over all periods."""
-    n = lambda c: F.count_if(when & F.coalesce(c, F.lit(False)))
+    n = lambda c: counted(when & F.coalesce(c, F.lit(False)), weight)
     return [
-        mean(F.when(when, F.col("tenths"))).alias(f"{prefix}_average"),
-        F.count_if(when).alias(f"{prefix}_count"),
+        mean(F.when(when, F.col("tenths")), weight).alias(f"{prefix}_average"),
+        counted(when, weight).alias(f"{prefix}_count"),
         *[n(F.col("sentiment") == s).alias(f"{prefix}_{s}") for s in ("positive", "mixed", "negative", "unclassified")],
         n(F.col("has_negative_feedback")).alias(f"{prefix}_negative_feedback"),
         n(F.col("partner_reply") != "").alias(f"{prefix}_responses"),
     ]
 
 
-def compared(reviews: DataFrame, period: Period, keys: tuple[str, ...] = ()) -> DataFrame:
+def compared(reviews: DataFrame, period: Period, keys: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:
     """Current against previous figures, per key or over all, in one aggregation."""
     both = reviews.filter(period.current() | period.previous())
-    out = both.groupBy(*keys).agg(*period_metric(period.current(), "current"), *period_metric(period.previous(), "previous"))
+    out = both.groupBy(*keys).agg(*period_metric(period.current(), "current", weight), *period_metric(period.previous(), "previous", weight))
     change = delta(F.col("current_average"), F.col("previous_average"))
     return out.withColumn("average_delta", change).withColumn("direction", direction(F.col("average_delta")))
 
 
-def weekly_trend(reviews: DataFrame, today: date, start: date | None = None, end: date | None = None) -> DataFrame:
+def weekly_trend(reviews: DataFrame, today: date, start: date | None = None, end: date | None = None, weight: str | None = None) -> DataFrame:
     """A dense series of Monday weeks; the last is cut off at today; empty weeks have null means and shares."""
     first, last = trend_weeks(today, start, end)
     spark = reviews.sparkSession
     weeks = spark.range(1).select(F.explode(F.expr(f"sequence(date'{first}', date'{last}', interval 7 days)")).alias("week_start"))
     weeks = weeks.withColumn("week_end", F.least(F.date_add("week_start", 6), F.lit(end or today))).withColumn("is_partial", F.col("week_end") < F.date_add("week_start", 6))
     seen = reviews.filter(F.col("local_date").between(F.lit(first), F.lit(end or today)))
-    per = seen.groupBy(week_start(F.col("local_date")).alias("week_start")).agg(mean(F.col("tenths")).alias("average"), F.count("*").alias("n"), F.count_if(F.col("sentiment") == "negative").alias("negative"))
+    per = seen.groupBy(week_start(F.col("local_date")).alias("week_start")).agg(mean(F.col("tenths"), weight).alias("average"), counted(F.lit(True), weight).alias("n"), counted(F.col("sentiment") == "negative", weight).alias("negative"))
     out = weeks.join(F.broadcast(per), "week_start", "left").withColumn("reviews", F.coalesce("n", F.lit(0)))
     return out.select("week_start", "week_end", "is_partial", "average", "reviews", F.coalesce("negative", F.lit(0)).alias("negative"), share(F.col("negative"), F.col("n")).alias("negative_share"))
 
@@ -63,10 +71,10 @@ def _bucket(buckets) -> Column:
     return out
 
 
-def score_histogram(reviews: DataFrame, buckets=HISTOGRAM) -> DataFrame:
+def score_histogram(reviews: DataFrame, buckets=HISTOGRAM, weight: str | None = None) -> DataFrame:
     """All buckets with counts and shares; a share is zero where there are no reviews at all."""
     dim = reviews.sparkSession.createDataFrame([(i, b[0]) for i, b in enumerate(buckets)], "bucket_ordinal int, bucket string")
-    counts = reviews.groupBy(_bucket(buckets).alias("bucket")).agg(F.count("*").alias("n"))
+    counts = reviews.groupBy(_bucket(buckets).alias("bucket")).agg(counted(F.lit(True), weight).alias("n"))
     out = dim.join(F.broadcast(counts), "bucket", "left").select("bucket_ordinal", "bucket", F.coalesce("n", F.lit(0)).alias("reviews"))
     total = F.sum("reviews").over(Window.partitionBy())  # five rows
     return out.withColumn("share", F.coalesce(share(F.col("reviews"), total), F.lit(0.0)))
@@ -77,21 +85,29 @@ def source_buckets(reviews: DataFrame, keys: tuple[str, ...] = ("property_key",)
     return reviews.groupBy(*keys, _bucket(SOURCE_BUCKETS).alias("bucket")).agg(F.count("*").alias("reviews"))
 
 
-def topic_metrics(reviews: DataFrame, period: Period, properties: DataFrame) -> DataFrame:
+def mentioned(reviews: DataFrame) -> DataFrame:
+    """One row per review and topic, with the review's place among all: the newest first."""
+    place = F.struct((-F.col("epoch")).alias("e"), "row_id").alias("first")
+    return unpivoted(reviews.withColumn("first", place), ("first", "property_key", "local_date", "has_negative_feedback"))
+
+
+def topic_metrics(reviews: DataFrame, period: Period, properties: DataFrame, weight: str | None = None, mentions: DataFrame | None = None) -> DataFrame:
     """Eight rows: shares of negative mentions now and before, all mentions, and the leading property; topics are classified once.
 
+    ``mentions`` gives the rows by topic of a rollup's cells.
+
     Ties for the lead go to the property seen first: the least position of a
     match by (epoch descending, row). The position is compared as a struct, so
     no global order is built.
     """
     spark = reviews.sparkSession
-    seen = unpivoted(reviews, ("row_id", "property_key", "epoch", "local_date", "has_negative_feedback"))
+    seen = mentions if mentions is not None else mentioned(reviews)
     bad = F.col("has_negative_feedback") & F.col("polarity").isin("negative", "mixed")
     now = bad & period.current()
-    per = seen.groupBy("topic", "property_key").agg(F.count_if(now).alias("now"), F.count_if(bad & period.previous()).alias("before"), F.count("*").alias("all_mentions"), F.min(F.when(now, F.struct((-F.col("epoch")).alias("e"), "row_id"))).alias("first"))
+    per = seen.groupBy("topic", "property_key").agg(counted(now, weight).alias("now"), counted(bad & period.previous(), weight).alias("before"), counted(F.lit(True), weight).alias("all_mentions"), F.min(F.when(now, F.col("first"))).alias("first"))
     lead = F.min_by("property_key", F.when(F.col("now") > 0, F.struct((-F.col("now")).alias("n"), "first")))
     counts = per.groupBy("topic").agg(F.sum("now").alias("now"), F.sum("before").alias("before"), F.sum("all_mentions").alias("all_mentions"), F.count_if(F.col("now") > 0).alias("affected"), lead.alias("property_key"))
-    whole = reviews.agg(F.count_if(F.col("has_negative_feedback") & period.current()).alias("now_all"), F.count_if(F.col("has_negative_feedback") & period.previous()).alias("before_all"))
+    whole = reviews.agg(counted(F.col("has_negative_feedback") & period.current(), weight).alias("now_all"), counted(F.col("has_negative_feedback") & period.previous(), weight).alias("before_all"))
     out = topic_dimension(spark).join(F.broadcast(counts), "topic", "left").join(properties.select("property_key", "property_name"), "property_key", "left").crossJoin(F.broadcast(whole))
     n = lambda c: F.coalesce(c, F.lit(0))
     out = out.withColumns({"negative_share": share(n("now"), F.col("now_all")), "previous_share": share(n("before"), F.col("before_all"))})
@@ -100,20 +116,21 @@ def topic_metrics(reviews: DataFrame, period: Period, properties: DataFrame) ->
     return out.select("topic_ordinal", "topic", "topic_label", n("now").alias("negative_mentions"), "negative_share", "previous_share", change.alias("share_delta"), n("all_mentions").alias("all_mentions"), n("affected").alias("affected_properties"), F.col("property_name").alias("leading_property"), trend.alias("trend"))
 
 
-def top_negative_topic(reviews: DataFrame, period: Period) -> DataFrame:
+def top_negative_topic(reviews: DataFrame, period: Period, weight: str | None = None, mentions: DataFrame | None = None) -> DataFrame:
     """The most frequent negative topic of each property in the period; ties go by topic name."""
-    seen = unpivoted(reviews.filter(period.current() & F.col("has_negative_feedback")), ("property_key",)).filter(F.col("polarity").isin("negative", "mixed"))
-    counts = seen.groupBy("property_key", "topic").agg(F.count("*").alias("n"))
+    bad = period.current() & F.col("has_negative_feedback")
+    seen = mentions.filter(bad) if mentions is not None else unpivoted(reviews.filter(bad), ("property_key",))
+    counts = seen.filter(F.col("polarity").isin("negative", "mixed")).groupBy("property_key", "topic").agg(counted(F.lit(True), weight).alias("n"))
     return counts.groupBy("property_key").agg(F.min_by("topic", F.struct((-F.col("n")).alias("n"), "topic")).alias("top_topic"), F.max("n").alias("top_topic_mentions"))
 
 
-def property_metrics(reviews: DataFrame, period: Period, properties: DataFrame) -> DataFrame:
+def property_metrics(reviews: DataFrame, period: Period, properties: DataFrame, weight: str | None = None, mentions: DataFrame | None = None) -> DataFrame:
     """A row for every property, with reviews or without. How to join is left to Spark: nothing bounds the number of properties."""
     per = reviews.groupBy("property_key").agg(
-        F.count("*").alias("n"), mean(F.col("tenths")).alias("average"), F.max("local_date").alias("last_date"),
-        *period_metric(period.current(), "current"), *period_metric(period.previous(), "previous"),
+        counted(F.lit(True), weight).alias("n"), mean(F.col("tenths"), weight).alias("average"), F.max("local_date").alias("last_date"),
+        *period_metric(period.current(), "current", weight), *period_metric(period.previous(), "previous", weight),
     )
-    out = properties.join(per, "property_key", "left").join(top_negative_topic(reviews, period), "property_key", "left")
+    out = properties.join(per, "property_key", "left").join(top_negative_topic(reviews, period, weight, mentions), "property_key", "left")
     n = lambda c: F.coalesce(c, F.lit(0))
     return out.select(
         "ordinal", "property_key", "property_name", n("n").alias("reviews"), "average", "current_average", "previous_average",

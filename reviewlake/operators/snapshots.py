@@ -92,8 +92,9 @@ def promote(state: DataFrame | None, staged: DataFrame, run_id: int, complete: b
     Seen reviews are present again, with a new version if their record changed.
     After a complete run, unseen ones are suspect, and tombstones at the second
     miss in a row; the first time of either state stays. Incremental runs never
-    infer absence. ``change`` tells what happened to each row; ``content`` names
-    the columns of a record that its version carries.
+    infer absence. ``change`` tells what happened to each row, ``was`` how it
+    stood before if that differs; ``content`` names the columns of a record that
+    its version carries.
     """
     s = staged.select(*KEYS, F.struct("record_hash", *content).alias("new"))
     if state is None:
@@ -116,6 +117,7 @@ def promote(state: DataFrame | None, staged: DataFrame, run_id: int, complete: b
         presence.alias("presence"), misses.alias("misses"), since("suspect_since", "suspect_missing").alias("suspect_since"), since("tombstoned_at", "tombstoned").alias("tombstoned_at"),
         (F.coalesce("reactivations", F.lit(0)) + (seen & old & (F.col("presence") != "present")).cast("int")).alias("reactivations"),
         F.when(seen, run_id).otherwise(F.col("last_seen_run")).alias("last_seen_run"), change.alias("change"),
+        F.when(changed | (presence != F.col("presence")), F.struct("presence", "record_hash", *content)).alias("was"),
     )
 
 
