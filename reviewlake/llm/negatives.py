@@ -22,7 +22,7 @@ from reviewlake.llm.common import settled
 #: Fixed by contract: one row in so many is an anchor; its positives; the negatives of a positive; their least share of its score, in hundredths.
 EVERY, POSITIVES, NEGATIVES, SHARE = 100, 5, 5, 80
 #: Rows of a part, anchors of a block, rows of a leaf.
-PART_ROWS, BLOCK_ANCHORS, LEAF_ROWS = 8192, 4096, 64
+PART_ROWS, BLOCK_ANCHORS, LEAF_ROWS = 8192, 4096, 256
 #: Levels by which components are made whole numbers; bounds are widened by this share for rounding.
 LEVELS, SLACK = 256, 1e-9
 
@@ -61,40 +61,47 @@ class BallTree:
         self.centers, self.radii = np.array(centers), np.array(radii)
         self.norms = np.sqrt((self.centers**2).sum(axis=1)) if centers else np.zeros(0)
 
-    def bounds(self, query: np.ndarray) -> tuple[list[float], list[float]]:
-        """Least and largest inner product that the rows of each ball can have."""
-        norm = np.sqrt((query**2).sum())
-        middle, reach = self.centers @ query, norm * self.radii
-        slack = SLACK * (1 + norm * (self.norms + self.radii))
-        return (middle - reach - slack).tolist(), (middle + reach + slack).tolist()
-
-    def best(self, query: np.ndarray, bounds: tuple[list[float], list[float]], k: int, same: object = None, other: object = None, without: int = -1, low: float = -np.inf, high: float = np.inf, order: np.ndarray | None = None) -> list[tuple[int, int]]:
+    def best(self, query: Query, k: int, order: np.ndarray, same: object = None, other: object = None, without: int = -1, low: float = -np.inf, high: float = np.inf) -> list[tuple[int, int]]:
         """(score, row) of the k rows with the largest scores within [low, high], ties by ``order``: those labelled ``same``, or not labelled ``other``."""
-        if not self.rows:
-            return []
-        least, most = bounds
-        exact = query if self.points.dtype != object else np.array([int(x) for x in query], object)
-        found: list[tuple] = []
-        heap = [(-most[0], 0)]
+        found: list[tuple[int, int, int]] = []
+        heap = [(-query.most[0], 0)] if self.rows else []
         while heap:
             bound, ball = heapq.heappop(heap)
-            if len(found) == k and -bound < found[-1][0] * -1:
+            if len(found) == k and -bound < found[-1][0]:
                 break
-            if -bound < low or least[ball] > high or same is not None and self.only[ball] not in (None, same) or other is not None and self.only[ball] == other:
+            if -bound < low or query.least[ball] > high or same is not None and self.only[ball] not in (None, same) or other is not None and self.only[ball] == other:
                 continue
             if self.children[ball]:
                 for child in self.children[ball]:
-                    heapq.heappush(heap, (-most[child], child))
+                    heapq.heappush(heap, (-query.most[child], child))
                 continue
-            rows = self.rows[ball]
-            scores = self.points[rows] @ exact
-            right = (scores >= low) & (scores <= high) & (rows != without)
-            if same is not None:
-                right &= self.labels[rows] == same
-            if other is not None:
-                right &= self.labels[rows] != other
-            found = heapq.nsmallest(k, found + [(-int(s), int(order[r]), int(r)) for s, r in zip(scores[right], rows[right])])
-        return [(-s, r) for s, _, r in found]
+            rows, scores = self.rows[ball], query.scores(ball)
+            right = scores >= (max(low, found[-1][0]) if len(found) == k else low)
+            right &= scores <= high
+            right &= self.labels[rows] == same if same is not None else self.labels[rows] != other
+            at = np.flatnonzero(right)
+            at = at[rows[at] != without]
+            if len(at):
+                at = at[np.lexsort((order[rows[at]], -scores[at]))[:k]]
+                found = sorted(found + [(int(scores[i]), int(order[rows[i]]), int(rows[i])) for i in at], key=lambda x: (-x[0], x[1]))[:k]
+        return [(s, r) for s, _, r in found]
+
+
+class Query:
+    """One query against a tree: least and largest inner product that the rows of each ball can have, and the scores of the leaves that it has been to."""
+
+    def __init__(self, tree: BallTree, vector: np.ndarray) -> None:
+        self.tree, self.seen = tree, {}
+        self.vector = vector if tree.points.dtype != object else np.array([int(x) for x in vector], object)
+        norm = np.sqrt((vector**2).sum())
+        middle, reach = (tree.centers @ vector, norm * tree.radii) if tree.rows else (np.zeros(0), np.zeros(0))
+        slack = SLACK * (1 + norm * (tree.norms + tree.radii)) if tree.rows else 0
+        self.least, self.most = (middle - reach - slack).tolist(), (middle + reach + slack).tolist()
+
+    def scores(self, ball: int) -> np.ndarray:
+        if ball not in self.seen:
+            self.seen[ball] = self.tree.points[self.tree.rows[ball]] @ self.vector
+        return self.seen[ball]
 
 
 def usable(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
@@ -150,8 +157,8 @@ def mined(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding",
         place = {r: k for k, r in enumerate(numbers.tolist())}
         made = []
         for a in asked.itertuples():
-            q = np.asarray(a.vector, np.float64)
-            made += [(a.row, numbers[r], ids[r], s) for s, r in tree.best(q, tree.bounds(q), POSITIVES, same=a.label, without=place.get(a.row, -1), order=order)]
+            q = Query(tree, np.asarray(a.vector, np.float64))
+            made += [(a.row, numbers[r], ids[r], s) for s, r in tree.best(q, POSITIVES, order, same=a.label, without=place.get(a.row, -1))]
         return pd.DataFrame(made, columns=["anchor", "row", "vec_id", "score"])
 
     found = _meeting(all_rows, anchors, parts, blocks, positives, "anchor long, row long, vec_id long, score long")
@@ -169,13 +176,12 @@ def mined(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding",
         order[np.lexsort((numbers, ids))] = np.arange(len(own))
         made = []
         for a in asked.itertuples():
-            q = np.asarray(a.vector, np.float64)
-            bounds = tree.bounds(q)
+            q = Query(tree, np.asarray(a.vector, np.float64))
             for w in a.windows:
                 top = int(w["positive_score"])
                 low = -(-SHARE * top // 100)  # the least whole score with 80 * positive <= 100 * it
                 if low <= top:
-                    made += [(a.row, w["positive"], numbers[r], ids[r], s) for s, r in tree.best(q, bounds, NEGATIVES, other=a.label, low=low, high=top, order=order)]
+                    made += [(a.row, w["positive"], numbers[r], ids[r], s) for s, r in tree.best(q, NEGATIVES, order, other=a.label, low=low, high=top)]
         return pd.DataFrame(made, columns=names)
 
     near = _meeting(all_rows, searching, parts, blocks, negatives, "anchor long, positive long, row long, vec_id long, score long")

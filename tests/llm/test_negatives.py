@@ -65,17 +65,8 @@ def test_balls_hold_their_rows_and_searches_skip_some():
     r = np.random.default_rng(1)
     points = np.floor(np.concatenate([r.normal(c, 3, (200, 8)) for c in (-60, 0, 60)]))
     tree = negatives.BallTree(points, np.zeros(len(points), np.int64), 16)
-    q = points[0]
-    low, high = tree.bounds(q)
-    for rows, a, b in zip(tree.rows, low, high):
-        assert a <= (points[rows] @ q).min() and (points[rows] @ q).max() <= b
-    seen = []
-
-    class Watched(list):
-        def __getitem__(self, k):
-            seen.append(k)
-            return list.__getitem__(self, k)
-
-    tree.rows = Watched(tree.rows)
-    best = tree.best(q, (low, high), 5, order=np.arange(len(points)))
-    assert [x for x, _ in best] == sorted((points @ q).astype(int).tolist(), reverse=True)[:5] and len(seen) < sum(c is None for c in tree.children) / 2
+    q = negatives.Query(tree, points[0])
+    for rows, a, b in zip(tree.rows, q.least, q.most):
+        assert a <= (points[rows] @ points[0]).min() and (points[rows] @ points[0]).max() <= b
+    best = tree.best(q, 5, np.arange(len(points)), same=0)
+    assert [x for x, _ in best] == sorted((points @ points[0]).astype(int).tolist(), reverse=True)[:5] and len(q.seen) < sum(c is None for c in tree.children) / 2
