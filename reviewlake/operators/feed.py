@@ -109,6 +109,13 @@ def rising(sort: str) -> dict[str, Column]:
     return {"__k1": first, "__k2": -F.col("epoch"), "__k3": F.col("row_id")}
 
 
+def _place(sort: str, row: dict) -> tuple:
+    """The sort keys of one row, as rising() has them."""
+    if sort in ("newest", "oldest"):
+        return (-row["epoch"] if sort == "newest" else row["epoch"]), row["public_id"]
+    return {"highest": -row["tenths"], "lowest": row["tenths"], "helpful": -(row["helpful"] or 0)}[sort], -row["epoch"], row["row_id"]
+
+
 def order(sort: str) -> list[Column]:
     """Complete sort keys: ties end with the public id, or with the order of the rows before sorting."""
     if sort in ("newest", "oldest"):
@@ -147,8 +154,7 @@ def after(reviews: DataFrame, q: FeedQuery, last: dict | None) -> DataFrame:
     """The page after a row that was shown last (its columns; none: the first page), by its place in the order: nothing is counted or skipped."""
     rows, keys = filtered(reviews, q).withColumns(rising(q.sort)), rising(q.sort)
     if last is not None:
-        one = reviews.sparkSession.createDataFrame([{c: last[c] for c in ("epoch", "public_id", "row_id", "tenths", "helpful")}], "epoch long, public_id string, row_id long, tenths int, helpful long").select(*[x.alias(k) for k, x in keys.items()])
-        at = one.first()
+        at = dict(zip(keys, _place(q.sort, last)))
         later = F.lit(False)
         for k in reversed(keys):
             later = (F.col(k) > F.lit(at[k])) | (F.col(k) == F.lit(at[k])) & later

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import date
 
 from pyspark import StorageLevel
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewlake.functions import periods, scalars
-from reviewlake.operators import feed, metrics, quality, sentiment, topics
+from reviewlake.operators import feed, metrics, quality, rollup
 
 RECENT = 4
 
@@ -35,25 +35,27 @@ class Sections:
 
 
 class ReviewEngine:
-    """Answers queries on canonical reviews; facts are classified once for each generation and then kept, spilling to disk."""
+    """Answers queries on canonical reviews; facts are classified once for each generation and kept, spilling to disk, and so are the cells that all sums come from."""
 
     def __init__(self, properties: DataFrame, evidence: DataFrame) -> None:
         self.properties, self.evidence = properties, evidence
-        self._generation, self._facts, self._bounds = None, None, None
+        self._generation, self._facts, self._cells, self._bounds = None, None, None, None
 
     def load(self, reviews: DataFrame, generation) -> DataFrame:
         """The classified facts; kept as long as the generation stays the same."""
         if self._facts is None or generation != self._generation:
             self.close()
-            facts = topics.with_topics(sentiment.with_sentiment(reviews)).withColumn("public_id", scalars.public_id(F.col("property_key"), F.col("token")))
+            facts = rollup.classified(reviews).withColumn("public_id", scalars.public_id(F.col("property_key"), F.col("token")))
             self._facts, self._generation = facts.persist(StorageLevel.MEMORY_AND_DISK), generation
+            self._cells = rollup.rollup(self._facts).persist(StorageLevel.MEMORY_AND_DISK)
             self._bounds = feed.date_bounds(self._facts).first()
         return self._facts
 
     def close(self) -> None:
         if self._facts is not None:
             self._facts.unpersist()
-        self._facts = None
+            self._cells.unpersist()
+        self._facts = self._cells = None
 
     def sections(self, q: feed.FeedQuery, today: date) -> Sections:
         """All sections of a query.
@@ -65,18 +67,19 @@ class ReviewEngine:
         if self._facts is None:
             raise RuntimeError("load a generation first")
         period = periods.custom_period(q.start, q.end, self._bounds["earliest"], self._bounds["latest"], today)
-        chosen = self._facts.filter(F.col("property_key").isin(*q.properties)) if q.properties else self._facts
-        dims = self.properties.filter(F.col("property_key").isin(*q.properties)) if q.properties else self.properties
+        chosen = rollup.Figures(feed.scoped(self._cells, replace(q, start=None, end=None)))
+        scoped = rollup.Figures(feed.scoped(self._cells, q))
         everything = feed.scoped(self._facts, q)
+        dims = self.properties.filter(F.col("property_key").isin(*q.properties)) if q.properties else self.properties
         rows, total, pages, page = feed.page(self._facts, q)
         checked = quality.quality_rows(self.evidence)
-        per_property = metrics.property_metrics(chosen, period, dims)
-        per_topic = metrics.topic_metrics(chosen, period, self.properties)
-        mentions = topics.unpivoted(everything, ()).groupBy("topic").agg(F.count("*").alias("n"))
+        per_property = chosen.properties(period, dims)
+        per_topic = chosen.topics(period, self.properties)
+        mentions = scoped.mentions.groupBy("topic").agg(F.sum("n").alias("n"))
         per_topic = per_topic.drop("all_mentions").join(F.broadcast(mentions), "topic", "left").withColumn("all_mentions", F.coalesce("n", F.lit(0))).drop("n")
         hidden = ("epoch", "has_negative_feedback", "token", "row_id")
         return Sections(
-            period, metrics.compared(chosen, period), metrics.weekly_trend(everything, today, q.start, q.end), metrics.score_histogram(everything), per_topic, per_property,
+            period, chosen.overview(period), scoped.trend(today, q.start, q.end), scoped.histogram(), per_topic, per_property,
             metrics.alerts(per_property, per_topic, checked), everything.orderBy(*feed.order("newest")).limit(RECENT).drop(*hidden), rows.drop(*hidden), total, pages, page,
             feed.filter_options(self._facts), checked, quality.overall(checked),
         )
