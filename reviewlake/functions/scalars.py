@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: The domain whose hosts deliver photos in turn, and the host that stands for them in canonical URLs.
 PHOTO_DOMAIN, PHOTO_HOST = "photos.example.com", "photo-cdn.invalid"
 #: Query keys whose values are never shown.
-SECRET_KEYS = "sid|session|sessionid|token|auth|authorization|csrf|key|apikey|api_key|password|signature"
+SECRET_KEYS = "sid|label|aid|srpvid|srepoch|session|sessionid|token|csrf|csrf_token|auth|authorization|apikey|api_key|key|password"
 
 
 def public_id(key: Column, token: Column) -> Column:
@@ -79,7 +79,7 @@ def canonical_photo(url: Column, domain: str = PHOTO_DOMAIN, host: str = PHOTO_H
 def redacted(text: Column) -> Column:
     """Values of secret query keys and of authorisation headers, masked."""
     queries = F.regexp_replace(text, rf"(?i)([?&](?:{SECRET_KEYS})=)[^&#\s]*", "$1[REDACTED]")
-    return F.regexp_replace(queries, r"(?i)((?:authorization|cookie|set-cookie)\s*:\s*)[^\r\n]+", "$1[REDACTED]")
+    return F.regexp_replace(queries, r"(?i)\b(authorization|proxy-authorization|cookie|set-cookie|x-booking-csrf-token|x-booking-pageview-id|x-booking-et-serialized-state)\s*[:=]\s*[^\r\n]+", "$1: [REDACTED]")
 
 
 def visible_count(text: Column) -> Column:

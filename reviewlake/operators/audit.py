@@ -27,15 +27,20 @@ def _normal(key: Column) -> Column:
     return F.regexp_replace(F.lower(key), "[^a-z0-9]", "")
 
 
+def plain_json(text: Column) -> Column:
+    """JSON without needless escapes, so that its keys and URLs stand as they are meant; what can't be read stays."""
+    return F.coalesce(F.to_json(F.try_parse_json(text)), text)
+
+
 def forbidden_keys(text: Column) -> Column:
     """Whether a JSON text has a key, at any depth, that must not leave: all its strings are taken in turn, those before a colon are keys."""
-    strings = F.filter(F.regexp_extract_all(text, F.lit(_STRING + r"\s*:?"), F.lit(0)), lambda x: x.endswith(":"))
+    strings = F.filter(F.regexp_extract_all(plain_json(text), F.lit(_STRING + r"\s*:?"), F.lit(0)), lambda x: x.endswith(":"))
     return F.exists(strings, lambda x: _normal(x).isin(*FORBIDDEN))
 
 
 def session_urls(text: Column) -> Column:
     """Whether a URL under a key that names one has credentials or a session in its query; also in a list of URLs."""
-    pairs = F.regexp_extract_all(text, F.lit(_STRING + r"\s*:\s*(?:" + _STRING + r"|\[[^\[\]{}]*\])"), F.lit(0))
+    pairs = F.regexp_extract_all(plain_json(text), F.lit(_STRING + r"\s*:\s*(?:" + _STRING + r"|\[[^\[\]{}]*\])"), F.lit(0))
     named = F.filter(pairs, lambda p: _normal(F.regexp_extract(p, "^" + _STRING, 1)).rlike("(?:url|uri|href|link)$"))
     return F.exists(named, lambda p: p.rlike(r'"[a-zA-Z][a-zA-Z0-9+.-]*://[^"/?#]*@') | p.rlike(rf'(?i)"[a-z][a-z0-9+.-]*://[^"#]*[?&](?:{SESSION_KEYS})(?:=|&|#|")'))
 

@@ -19,8 +19,21 @@ from reviewlake.sources.contract import nights
 
 #: The columns of a CSV export, in order.
 CSV_COLUMNS = ("property_key", "property_name", "hotel_id", "review_id", "local_date", "score", "positive_text", "negative_text", "language", "partner_reply", "helpful", "room", "guest_type")
-#: Keys that must not be in an export, as letters and digits in lower case.
-SENSITIVE = frozenset("token sourcereviewtoken avatarurl username email phone cookie session sessionid authorization password csrf rawcardjson".split())
+#: Keys whose values are secret, as letters and digits in lower case, beside those that end so; keys of a review's own words; secret query keys.
+SECRET_KEYS = frozenset("authorization proxyauthorization cookie cookies cookieheader cookiejar setcookie setcookieheaders xbookingcsrftoken xbookingpageviewid xbookingetserializedstate csrftoken bcsrftoken pageviewid serializedstate password passwd clientsecret secret apikey accesskey accesstoken refreshtoken idtoken sessionid sid sourcereviewtoken sourcekey reviewurl editurl username avatarurl".split())
+SECRET_ENDS = ("password", "secret", "token")
+WORD_KEYS = frozenset("title positivetext negativetext combinedtext reply partnerreply sourcecard html".split())
+QUERY_KEYS = frozenset("sid label aid srpvid srepoch session sessionid token csrf csrf_token auth authorization apikey api_key key password".split())
+#: Keys that besides these must not be in an export.
+UNEXPORTED = frozenset("email phone session csrf rawcardjson".split())
+
+
+def _plain_key(key: str) -> str:
+    return re.sub("[^a-z0-9]", "", key.lower())
+
+
+def is_secret(key: str) -> bool:
+    return _plain_key(key) in SECRET_KEYS or _plain_key(key).endswith(SECRET_ENDS)
 
 
 def safe_records(reviews: DataFrame, properties: DataFrame) -> DataFrame:
@@ -193,13 +206,13 @@ def sensitive_paths(records: pd.Series) -> pd.Series:
         if isinstance(x, dict):
             for k, v in x.items():
                 at = f"{path}.{k}" if path else k
-                if re.sub("[^a-z0-9]", "", k.lower()) in SENSITIVE:
+                if is_secret(k) or _plain_key(k) in UNEXPORTED:
                     yield at
                 yield from walk(v, at)
         elif isinstance(x, list):
             for v in x:
                 yield from walk(v, f"{path}[]")
-        elif isinstance(x, str) and any(re.sub("[^a-z0-9]", "", k.lower()) in SENSITIVE for k in re.findall(r"[?&]([^=&#]+)=", x)):
+        elif isinstance(x, str) and any(k.lower() in QUERY_KEYS for k in re.findall(r"[?&]([^=&#]+)=", x)):
             yield f"{path}:url"
 
     def one(text):
@@ -211,24 +224,32 @@ def sensitive_paths(records: pd.Series) -> pd.Series:
     return pd.Series([one(t) for t in records])
 
 
-MASK, DEEPEST = "[REDACTED]", 20
+MASK, TOO_DEEP, DEEPEST = "[REDACTED]", "[MaxDepth]", 20
+
+
+#: Headers that are masked in running text.
+HEADERS = re.compile(r"\b(authorization|proxy-authorization|cookie|set-cookie|x-booking-csrf-token|x-booking-pageview-id|x-booking-et-serialized-state)\s*[:=]\s*[^\r\n]+", re.I)
+_QUERY = re.compile(r"([?&])([^=&#\s]+)=([^&#\s]*)")
+
+
+def _masked_text(text: str) -> str:
+    shown = _QUERY.sub(lambda m: f"{m[1]}{m[2]}={MASK}" if m[2].lower() in QUERY_KEYS else m[0], text)
+    return HEADERS.sub(lambda m: f"{m[1]}: {MASK}", shown)
 
 
 def _masked(x, depth: int = 0):
-    if depth > DEEPEST:
-        return MASK
+    if isinstance(x, (dict, list)) and depth >= DEEPEST:
+        return TOO_DEEP
     if isinstance(x, dict):
-        return {k: MASK if re.sub("[^a-z0-9]", "", k.lower()) in SENSITIVE else _masked(v, depth + 1) for k, v in x.items()}
+        return {k: MASK if is_secret(k) or _plain_key(k) in WORD_KEYS else _masked(v, depth + 1) for k, v in x.items()}
     if isinstance(x, list):
         return [_masked(v, depth + 1) for v in x]
-    if isinstance(x, str):
-        return re.sub(r"([?&])([^=&#\s]+)=([^&#\s]*)", lambda m: f"{m[1]}{m[2]}={MASK}" if re.sub("[^a-z0-9]", "", m[2].lower()) in SENSITIVE else m[0], x)
-    return x
+    return _masked_text(x) if isinstance(x, str) else x
 
 
 @F.pandas_udf(T.StringType())
 def redacted_json(records: pd.Series) -> pd.Series:
-    """JSON with the values of sensitive keys masked at any depth, also in URLs; what can't be read is masked whole."""
+    """JSON with the values of secret keys and a review's words masked at any depth, also secrets in URLs and headers; what can't be read is masked whole."""
 
     def one(text):
         if text is None:

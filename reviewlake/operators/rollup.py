@@ -39,7 +39,7 @@ def rollup(facts: DataFrame) -> DataFrame:
     own = F.struct("tenths", "sentiment", F.coalesce(F.col("partner_reply") != "", F.lit(False)).alias("responded"), none.cast("string").alias("topic"), none.cast("string").alias("polarity"))
     place = F.struct((-F.col("epoch")).alias("e"), "row_id")
     said = F.transform("topics", lambda t: F.struct(none.cast("int").alias("tenths"), none.cast("string").alias("sentiment"), none.cast("boolean").alias("responded"), t["topic"].alias("topic"), t["polarity"].alias("polarity")))
-    rows = facts.select("property_key", "local_date", "has_negative_feedback", place.alias("place"), F.explode(F.concat(F.array(own), F.coalesce(said, F.array()))).alias("x"))
+    rows = facts.select("property_key", "local_date", "has_negative_feedback", place.alias("place"), F.explode_outer(F.concat(F.array(own), F.coalesce(said, F.array()))).alias("x"))
     rows = rows.select("property_key", "local_date", "has_negative_feedback", "x.*", F.when(F.col("x.topic").isNotNull(), F.col("place")).alias("place"))
     return rows.groupBy(*CELL).agg(F.count("*").alias("n"), F.min("place").alias("first"))
 

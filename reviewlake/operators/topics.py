@@ -1,19 +1,18 @@
-"""Topic rules with evidence: phrase matches, negation scope and fallback anchors.
+"""Topic rules with evidence: phrase matches, negation scope and fallback anchors, as column expressions.
 
-The rules are plain regular expressions. Whether a review mentions a topic at
-all is an expression; polarity needs the places of matches and the words
-before them, which a vectorised UDF works out per review.
+The rules are plain regular expressions. What a rule matches, and where, comes
+from the text between its matches; negators are counted among the words before
+a match; anchors give way to the specific matches that they overlap.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterable, Iterator
+import functools
+from collections.abc import Iterable
+from string import ascii_lowercase, ascii_uppercase
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Topics in order with their labels.
 TOPICS = (
@@ -65,9 +64,9 @@ RULES = (
 )
 #: Negators, the words and marks that end a clause, and how far back a negator reaches.
 NEGATORS = frozenset("barely cannot couldn't didn't hardly isn't lacking never no not wasn't weren't without wouldn't".split())
-CLAUSE_END = re.compile(r"[.!?;:\n]|(?<![A-Za-z0-9_])(?:although|but|however|though|yet)(?![A-Za-z0-9_])", re.I)
+CLAUSE_END = r"(?i)[.!?;:\n]|(?<![A-Za-z0-9_])(?:although|but|however|though|yet)(?![A-Za-z0-9_])"
 REACH_CHARS, REACH_WORDS = 96, 4
-_WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
+_WORD = r"[\p{L}\p{N}]+(?:'[\p{L}\p{N}]+)*"
 
 
 def spelled(pattern: str) -> str:
@@ -76,8 +75,8 @@ def spelled(pattern: str) -> str:
     return pattern.replace(r"\b", edge)
 
 
-_COMPILED = [(name, polarity, re.compile(spelled(p), re.I), flags) for name, polarity, p, flags in RULES]
 _OTHER = {"positive": "negative", "negative": "positive"}
+CHANNELS = (("negative_text", "negative"), ("positive_text", "positive"))
 
 
 def mentions(topic: str, text: Column) -> Column:
@@ -86,88 +85,104 @@ def mentions(topic: str, text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), "’", "'").rlike(f"(?i)(?:{whole})")
 
 
-def _negated(text: str, start: int) -> bool:
-    before = text[max(0, start - REACH_CHARS) : start]
-    ends = [m.end() for m in CLAUSE_END.finditer(before)]
-    words = [w.lower() for w in _WORD.findall(before[ends[-1] if ends else 0 :])][-REACH_WORDS:]
-    return words[-2:] != ["not", "only"] and sum(w in NEGATORS for w in words) % 2 == 1
+# The expressions are written as SQL: thousands of column calls would take longer than most queries.
 
 
-def _matches(text: str, channel: str, own: str) -> Iterator[tuple]:
-    searched = text.replace("’", "'")
-    for name, polarity, pattern, flags in _COMPILED:
-        for m in pattern.finditer(searched):
-            flips = "N" in flags and (_negated(searched, m.start()) or "I" in flags and any(w.lower() in NEGATORS for w in _WORD.findall(m[0])))
-            base = own if polarity == "source" else polarity
-            yield name, channel, m.start(), m.end(), text[m.start() : m.end()], _OTHER[base] if flips else base, flips
+def _let(value: str, name: str, then: str) -> str:
+    """``then``, in which ``name`` stands for a value that is worked out once."""
+    return f"transform(array({value}), {name} -> {then})[0]"
 
 
-def classify(positive: str | None, negative: str | None) -> list[dict]:
-    """Topics of one review, in definition order, each with its polarity and evidence.
+def _literal(text: str) -> str:
+    return f'r"{text}"'
+
+
+def _words(text: str) -> str:
+    return f"regexp_extract_all({text}, {_literal(_WORD)}, 0)"
+
+
+_IS_NEGATOR = f"w -> w IN ({', '.join(map(_literal, sorted(NEGATORS)))})"
+
+
+def _negated(text: str, start: str) -> str:
+    """Whether a negator reaches a place: an odd number among the last words of its clause, unless they end in "not only"."""
+    before = f"substring({text}, greatest(1, {start} - {REACH_CHARS} + 1), least({REACH_CHARS}, {start}))"
+    clause = f"regexp_replace({before}, {_literal(f'(?s)^.*(?:{CLAUSE_END})')}, '')"
+    odd = f"NOT coalesce(try_element_at(v, -2) = 'not' AND try_element_at(v, -1) = 'only', false) AND size(filter(v, {_IS_NEGATOR})) % 2 = 1"
+    return _let(_words(clause), "u", _let(f"slice(u, greatest(1, size(u) - {REACH_WORDS} + 1), {REACH_WORDS})", "v", odd))
+
+
+#: A noncharacter, which low texts don't hold.
+_MARK = "\uffff"
+_PLACES = "array<struct<start: int, `end`: int>>"
+
+
+def _places(text: str, pattern: str) -> str:
+    """(start, end) of each match, from the lengths of what lies between matches and of the matches, in turn; empty for null."""
+    p = _literal(pattern)
+    # Cut at a mark instead of the pattern, which split() would compile for each text.
+    turns = f"zip_with(slice(split(regexp_replace({text}, {p}, '{_MARK}'), '{_MARK}', -1), 1, size(m)), m, (g, x) -> named_struct('gap', length(g), 'match', length(x)))"
+    step = "(s, x) -> named_struct('at', s.at + x.gap + x.match, 'out', concat(s.out, array(named_struct('start', s.at + x.gap, 'end', s.at + x.gap + x.match))))"
+    walked = f"if(size(m) > 0, aggregate({turns}, named_struct('at', 0, 'out', cast(array() AS {_PLACES})), {step}, s -> s.out), cast(array() AS {_PLACES}))"
+    return _let(f"coalesce(regexp_extract_all({text}, {p}, 0), cast(array() AS array<string>))", "m", walked)
 
-    An anchor that overlaps an already accepted specific match is dropped; as
-    matches are taken by channel, start and length, an anchor that begins first
-    stays. None stands for a channel without substance.
-    """
-    found: dict[str, list[tuple]] = {}
-    for channel, own, text in (("negative_text", "negative", negative), ("positive_text", "positive", positive)):
-        for m in _matches(text, channel, own) if text else ():
-            found.setdefault(m[0].split(".")[0], []).append(m)
-    out = []
-    for topic, _ in TOPICS:
-        accepted: list[tuple] = []
-        for m in sorted(found.get(topic, ()), key=lambda m: (m[1], m[2], m[2] - m[3], m[0])):
-            anchor = m[0].endswith(".source_anchor")
-            if not (anchor and any(x[1] == m[1] and not x[0].endswith(".source_anchor") and x[2] < m[3] and m[2] < x[3] for x in accepted)):
-                accepted.append(m)
-        if accepted:
-            accepted.sort(key=lambda m: (m[1] != "positive_text", m[2], m[0]))
-            polarities = {m[5] for m in accepted}
-            out.append({
-                "topic": topic,
-                "polarity": polarities.pop() if len(polarities) == 1 else "mixed",
-                "terms": list(dict.fromkeys(m[4].lower() for m in accepted)),
-                "fields": list(dict.fromkeys(m[1] for m in accepted)),
-                "evidence": [{"rule": m[0], "field": m[1], "start": m[2], "end": m[3], "text": m[4], "polarity": m[5], "negated": m[6]} for m in accepted],
-            })
-    return out
-
-
-_STRINGS = T.ArrayType(T.StringType())
-_EVIDENCE = T.StructType([T.StructField("rule", T.StringType()), T.StructField("field", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("polarity", T.StringType()), T.StructField("negated", T.BooleanType())])
-TOPIC_TYPE = T.ArrayType(T.StructType([T.StructField("topic", T.StringType()), T.StructField("polarity", T.StringType()), T.StructField("terms", _STRINGS), T.StructField("fields", _STRINGS), T.StructField("evidence", T.ArrayType(_EVIDENCE))]))
-
-
-POLARITY_TYPE = T.ArrayType(T.StructType([T.StructField("topic", T.StringType()), T.StructField("polarity", T.StringType())]))
-
-
-def _each(positive: pd.Series, negative: pd.Series, of) -> pd.Series:
-    """One result per pair of texts; equal pairs of a batch are classified once."""
-    known: dict[tuple, list] = {}
-    out = []
-    for pair in zip(positive, negative):
-        if pair not in known:
-            known[pair] = of(classify(*pair))
-        out.append(known[pair])
-    return pd.Series(out)
-
-
-@F.pandas_udf(TOPIC_TYPE)
-def _evidence(positive: pd.Series, negative: pd.Series) -> pd.Series:
-    return _each(positive, negative, lambda found: found)
-
-
-@F.pandas_udf(POLARITY_TYPE)
-def _polarities(positive: pd.Series, negative: pd.Series) -> pd.Series:
-    return _each(positive, negative, lambda found: [{"topic": t["topic"], "polarity": t["polarity"]} for t in found])
+
+def _found(rule: tuple, channel: str, own: str) -> str:
+    """The matches of one rule in one channel, as evidence with what orders it: positive text first, then place and rule."""
+    name, polarity, pattern, flags = rule
+    base, text, low = own if polarity == "source" else polarity, f"__{channel}", f"__{channel}_low"
+    flips = _negated(low, "m.start") if "N" in flags else "false"
+    if "N" in flags and "I" in flags:
+        flips += f" OR exists({_words(f'substring({low}, m.start + 1, m.`end` - m.start)')}, {_IS_NEGATOR})"
+    said = (
+        f"named_struct('later', {str(channel != 'positive_text').lower()}, 'start', m.start, 'rule', '{name}', 'end', m.`end`, 'field', '{channel}', "
+        f"'text', substring({text}, m.start + 1, m.`end` - m.start), 'polarity', if(flip, '{_OTHER[base]}', '{base}'), 'negated', flip)"
+    )
+    return f"transform({_places(low, _searched(pattern))}, m -> {_let(flips, 'flip', said)})"
+
+
+def _searched(pattern: str) -> str:
+    """The pattern for texts in lower case. Rules begin with a boundary and a letter or digit, so only what stands before matters there."""
+    begin = r"\b"
+    return "(?<![A-Za-z0-9_])" + spelled(pattern.removeprefix(begin)) if pattern.startswith(begin + "(?:") or pattern[2:3].isalnum() else spelled(pattern)
+
+
+#: Of a topic's matches f those that stay: an anchor goes that overlaps a specific match which begins before it, or with it and is longer.
+_ANCHOR = "{}.rule LIKE '%.source_anchor'"
+_PLACE = "struct({0}.start, {0}.start - {0}.`end`, {0}.rule)"
+_OVER = f"NOT {_ANCHOR.format('x')} AND x.field = a.field AND x.start < a.`end` AND a.start < x.`end` AND {_PLACE.format('x')} < {_PLACE.format('a')}"
+_ACCEPTED = f"array_sort(filter(f, a -> NOT {_ANCHOR.format('a')} OR NOT exists(f, x -> {_OVER})))"
+
+
+def _topic(topic: str, evidence: bool) -> str:
+    found = f"concat({', '.join(_found(rule, c, own) for rule in RULES if rule[0].split('.')[0] == topic for c, own in CHANNELS)})"
+    polarity = _let("array_distinct(transform(e, m -> m.polarity))", "p", "if(size(p) = 1, p[0], 'mixed')")
+    fields = f"'topic', '{topic}', 'polarity', {polarity}"
+    if evidence:
+        kept = ", ".join(f"'{k}', m.`{k}`" for k in ("rule", "field", "start", "end", "text", "polarity", "negated"))
+        fields += f", 'terms', array_distinct(transform(e, m -> lower(m.text))), 'fields', array_distinct(transform(e, m -> m.field)), 'evidence', transform(e, m -> named_struct({kept}))"
+    said = _let(_let(found, "f", _ACCEPTED), "e", f"if(size(e) > 0, named_struct({fields}), NULL)")
+    # Most reviews have few topics: of the others no rule is tried alone.
+    any_ = _literal("|".join(f"(?:{_searched(p)})" for name, _, p, _ in RULES if name.split(".")[0] == topic))
+    return f"if({' OR '.join(f'coalesce(__{c}_low RLIKE {any_}, false)' for c, _ in CHANNELS)}, {said}, NULL)"
+
+
+@functools.cache
+def _topics(evidence: bool) -> str:
+    return f"array_compact(array({', '.join(_topic(t, evidence) for t, _ in TOPICS)}))"
 
 
 def with_topics(classified: DataFrame, evidence: bool = False) -> DataFrame:
-    """Adds ``topics`` to rows that have text states, with or without their evidence; filter before, because nothing is pushed below a UDF."""
-    channel = lambda c: F.when(F.col(f"{c}_state") == "substantive", F.col(f"{c}_text"))
-    # A deterministic UDF below explode would run twice: once more in the filter that Spark infers.
-    udf = (_evidence if evidence else _polarities).asNondeterministic()
-    return classified.withColumn("topics", udf(channel("positive"), channel("negative")))
+    """Adds ``topics`` to rows that have text states, in definition order, each with its polarity; with their terms, fields and evidence if asked for.
+
+    Everything is expressions over the substantive texts. A rule's matches are
+    found by place; a match is negated within its clause; an anchor gives way
+    to a specific match that it overlaps.
+    """
+    texts = {f"__{c}": F.when(F.col(f"{c.removesuffix('_text')}_state") == "substantive", F.col(c)) for c, _ in CHANNELS}
+    # ASCII letters alone, so that places stay as they are.
+    low = {f"__{c}_low": F.translate(f"__{c}", ascii_uppercase + "’" + _MARK, ascii_lowercase + "' ") for c, _ in CHANNELS}
+    return classified.withColumns(texts).withColumns(low).withColumn("topics", F.expr(_topics(evidence))).drop(*texts, *low)
 
 
 def topic_dimension(spark) -> DataFrame:
@@ -176,4 +191,5 @@ def topic_dimension(spark) -> DataFrame:
 
 def unpivoted(rows: DataFrame, keep: Iterable[str]) -> DataFrame:
     """One row per review and topic."""
-    return rows.select(*keep, F.explode("topics").alias("t")).select(*keep, F.col("t.topic").alias("topic"), F.col("t.polarity").alias("polarity"))
+    # The outer form: before the other Spark infers a filter, in which all topics would be worked out once more.
+    return rows.select(*keep, F.explode_outer("topics").alias("t")).filter("t IS NOT NULL").select(*keep, F.col("t.topic").alias("topic"), F.col("t.polarity").alias("polarity"))

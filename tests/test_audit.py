@@ -153,3 +153,18 @@ def test_replays_and_failures(spark):
     held = spark.sql("SELECT * FROM (VALUES ('r', 0, 'h', 2)) AS t(run_id, page_offset, page_hash, n_cards)")
     assert [x.outcome for x in inventory.staged(held, held).collect()] == ["REPLAYED"]
     assert [x.outcome for x in inventory.staged(held, held.withColumn("n_cards", F.lit(3))).collect()] == ["CONFLICT"]
+
+
+def test_escaped_keys_and_urls_are_seen(spark):
+    rows = spark.createDataFrame([(r'{"token":"x"}',), (r'{"photoUrl":"https:\/\/a.b\/?sid=1"}',), ('{"name":"token"}',), ("{",)], "t string")
+    assert [tuple(r) for r in rows.select(audit.forbidden_keys(F.col("t")), audit.session_urls(F.col("t"))).collect()][:3] == [(True, False), (False, True), (False, False)]
+
+
+def test_secrets_words_urls_and_headers_are_masked(spark):
+    text = '{"secret":"v","accessToken":"t","myPassword":"p","sid":"z","u":"https://a.b/?sid=1&aid=2&label=x&page=3","reviewUrl":"r","title":"t","log":"Cookie = a=b","n":1,"positiveText":"words"}'
+    rows = spark.createDataFrame([(text,), ('{"a":' * 21 + "1" + "}" * 21,)], "t string")
+    shown, deep = (r[0] for r in rows.select(export.redacted_json(F.col("t"))).collect())
+    m = "[REDACTED]"
+    assert json.loads(shown) == {"secret": m, "accessToken": m, "myPassword": m, "sid": m, "u": f"https://a.b/?sid={m}&aid={m}&label={m}&page=3", "reviewUrl": m, "title": m, "log": f"Cookie: {m}", "n": 1, "positiveText": m}
+    assert "[MaxDepth]" in deep
+    assert rows.limit(1).select(export.sensitive_paths(F.col("t"))).first()[0] == ["accessToken", "myPassword", "reviewUrl", "secret", "sid", "u:url"]

@@ -51,4 +51,4 @@ def test_one_sided_and_combined(engine):
 
 def test_redacted_json(spark):
     rows = spark.createDataFrame([('{"a": {"Token": "x", "u": "https://h/?sid=1&session=2"}, "b": [1]}',), ("{",), (None,)], "t string")
-    assert [r[0] for r in rows.select(export.redacted_json(F.col("t"))).collect()] == ['{"a":{"Token":"[REDACTED]","u":"https://h/?sid=1&session=[REDACTED]"},"b":[1]}', "[REDACTED]", None]
+    assert [r[0] for r in rows.select(export.redacted_json(F.col("t"))).collect()] == ['{"a":{"Token":"[REDACTED]","u":"https://h/?sid=[REDACTED]&session=[REDACTED]"},"b":[1]}', "[REDACTED]", None]

@@ -1,13 +1,17 @@
 """Golden cases of the classifier: wording of our own, outcomes by the rules."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from reviewlake.operators import sentiment, topics
+from tests import plain_topics
 
 
 def of(positive=None, negative=None):
-    return {t["topic"]: t["polarity"] for t in topics.classify(positive, negative)}
+    return {t["topic"]: t["polarity"] for t in plain_topics.classify(positive, negative)}
 
 
 CASES = [
@@ -55,15 +59,15 @@ def test_polarity(positive, negative, expected):
 
 
 def test_anchor_is_dropped_when_a_specific_match_covers_it():
-    (t,) = topics.classify("Great location here", None)
+    (t,) = plain_topics.classify("Great location here", None)
     assert [e["rule"] for e in t["evidence"]] == ["location.positive_access"]
     # An anchor that begins before the specific match stays.
-    (t,) = topics.classify(None, "self check-in delay")
+    (t,) = plain_topics.classify(None, "self check-in delay")
     assert [e["rule"] for e in t["evidence"]] == ["check_in.source_anchor", "check_in.negative_experience"]
 
 
 def test_evidence_order_and_terms():
-    t = topics.classify("Clean, clean and tidy", "dirty")[0]
+    t = plain_topics.classify("Clean, clean and tidy", "dirty")[0]
     assert t["terms"] == ["clean", "tidy", "dirty"] and t["fields"] == ["positive_text", "negative_text"] and t["polarity"] == "mixed"
     assert [(e["start"], e["end"]) for e in t["evidence"]] == [(0, 5), (7, 12), (17, 21), (0, 5)]
 
@@ -82,3 +86,39 @@ def test_states_and_sentiment(spark):
 def test_mentions_is_ascii_bounded(spark):
     df = spark.createDataFrame([("écleané",), ("uncleaned",), ("CLEAN",), (None,)], "t string")
     assert [r[0] for r in df.select(topics.mentions("cleanliness", F.col("t"))).collect()] == [True, False, True, False]
+
+
+def expressed(spark, pairs):
+    """The topics of texts by column expressions, as the plain classifier gives them."""
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, positive_text string, negative_text string")
+    state = lambda c: F.when(F.col(c) != "", "substantive").otherwise("empty")
+    found = topics.with_topics(rows.withColumns({"positive_state": state("positive_text"), "negative_state": state("negative_text")}), evidence=True)
+    assert "Python" not in found._jdf.queryExecution().toString() and "__positive_text" not in found.columns
+    return [[t.asDict(recursive=True) for t in r.topics] for r in found.orderBy("i").collect()]
+
+
+def compared(spark, pairs):
+    assert expressed(spark, pairs) == [plain_topics.classify(p or None, n or None) for p, n in pairs]
+
+
+def test_expressions_are_the_plain_classifier_on_cases(spark):
+    compared(spark, [(p, n) for p, n, _ in CASES] + [("", ""), ("Clean, clean and tidy", "dirty"), ("Great location here", None), (None, "self check-in delay")])
+
+
+def test_expressions_are_the_plain_classifier_on_fuzzed_texts(spark):
+    """Words of the rules, negators, clause ends, joined at random; long texts too."""
+    r, words = random.Random(11), ["🙂", "écru", "İstanbul", "_", "a_clean", "’", "couldn’t", "x" * 97, "and", "the", "room", "self", "check-in", "check in", "STAFF", "not only", "Not", "no", "never", "without", "isn't", "but", "however", ".", "; ", "\n", ", ", "!"]
+    for *_, pattern, _ in topics.RULES:
+        words += [w for w in re.findall("[a-z][a-z' -]{2,}", pattern) if "\\" not in w]
+    pairs = []
+    for k in range(700):
+        text = lambda: " ".join(r.choice(words) for _ in range(r.choice((0, 1, 3, 8, 25)))) if r.random() < 0.9 else None
+        pairs.append((text(), text()))
+    pairs.append((" ".join(r.choice(words) for _ in range(3000)), None))
+    assert sum(bool(plain_topics.classify(p or None, n or None)) for p, n in pairs) > 400
+    compared(spark, pairs)
+
+
+def test_expressions_on_documents(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    compared(spark, [(t, u) for t, u in zip(texts[::2], texts[1::2])])
