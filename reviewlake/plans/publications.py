@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlake.functions import periods
-from reviewlake.operators import rollup
+from reviewlake.operators import merkle, rollup
 from reviewlake.operators.history import History
 from reviewlake.operators.ranges import scratch
 from reviewlake.plans import oracles as sql
@@ -141,3 +141,11 @@ def rollup_topics(spark, sf_dir):
 @query(_after(sql.PROPERTY_METRICS))
 def rollup_properties(spark, sf_dir):
     return cells(spark, sf_dir).figures().properties(WEEK, src.properties(spark))
+
+
+@query(f"""{sql.REVIEWS}, x AS (SELECT property_key, token, row_id % 499 <> 0 AS a, row_id % 501 <> 0 AS b, row_id % 503 = 0 AS changed FROM rev)
+SELECT property_key, token, CASE WHEN NOT a THEN 'inserted' WHEN NOT b THEN 'missing' ELSE 'updated' END AS change FROM x WHERE (a OR b) AND NOT (a AND b AND NOT changed)""")
+def merkle_differences(spark, sf_dir):
+    """Where two inventories part, from their trees of hashes."""
+    left, right = (merkle.written(rows, scratch(spark), bits=8, page_rows=50) for rows in (inventory(spark, sf_dir, 499), inventory(spark, sf_dir, 501, 503, 1)))
+    return merkle.differences(left, right).select("property_key", "token", "change")
