@@ -9,6 +9,8 @@ from reviewlake.operators.gaps import first_failing
 from reviewlake.operators.ranges import with_previous
 from reviewlake.operators.snapshots import inventory_digest
 
+#: The orders that a page must offer.
+SORTERS = ("NEWEST_FIRST", "OLDEST_FIRST")
 #: Cards that a page may hold.
 LEAST_LIMIT, MOST_LIMIT = 1, 10
 PHASE = ("property_key", "phase")
@@ -71,12 +73,35 @@ def phase_verdicts(pages: DataFrame, cards: DataFrame) -> DataFrame:
     return out.select(*PHASE, "reported", "pages", F.coalesce("unique_reviews", F.lit(0)).alias("unique_reviews"), F.coalesce("repeats", F.lit(0)).alias("repeats"), F.coalesce("violations", F.lit(0)).alias("violations"), F.coalesce(verdict, F.lit("OK")).alias("verdict"))
 
 
+def _first_page(cards: DataFrame, newest: bool, prefix: str) -> DataFrame:
+    """Per property what the canary needs of one first page, a page's cards at most: its identities in order, whether its dates move one way, its count, sorters and evidence."""
+    has = lambda c, kind: F.first(c, ignorenulls=True) if c in cards.columns else F.lit(None).cast(kind)
+    seen = F.array_sort(F.collect_list(F.struct("card_index", "token", "epoch")))
+    page = cards.groupBy("property_key").agg(seen.alias("seen"), F.max("reported").alias("reported"), has("sorters", "array<string>").alias("sorters"), has("evidence", "string").alias("evidence"))
+    wrong = (lambda x, y: x["epoch"] < y["epoch"]) if newest else (lambda x, y: x["epoch"] > y["epoch"])
+    pairs = F.zip_with(F.slice("seen", F.lit(1), F.size("seen") - 1), F.slice("seen", F.lit(2), F.greatest(F.size("seen") - 1, F.lit(0))), lambda x, y: F.coalesce(wrong(x, y), F.lit(False)))
+    fields = {"ids": F.transform("seen", lambda x: x["token"]), "moved": F.exists(pairs, lambda x: x), "reported": F.col("reported"), "sorters": F.col("sorters"), "evidence": F.col("evidence")}
+    return page.select("property_key", *[c.alias(f"{prefix}_{k}") for k, c in fields.items()])
+
+
 def canary(oldest: DataFrame, newest: DataFrame) -> DataFrame:
-    """Per property whether the two sort orders were really applied and their counts agree, from the first page of either."""
-    a = oldest.groupBy("property_key").agg(F.min("epoch").alias("o_first"), F.max("reported").alias("o_reported"), F.max("epoch").alias("o_last"))
-    b = newest.groupBy("property_key").agg(F.max("epoch").alias("n_first"), F.max("reported").alias("n_reported"), F.min("epoch").alias("n_last"))
-    verdict = first_failing(("MISSING_PAGE", F.col("o_first").isNull() | F.col("n_first").isNull()), ("COUNT_UNSTABLE", F.col("o_reported") != F.col("n_reported")), ("SORT_NOT_APPLIED", (F.col("o_reported") > 10) & (F.col("o_last") > F.col("n_last"))))
-    return a.join(b, "property_key", "full_outer").select("property_key", F.coalesce(verdict, F.lit("OK")).alias("verdict"))
+    """Per property whether both sort orders are there and were applied, and whether counts and evidence agree, from the first page of either order.
+
+    Cards have property_key, card_index, token, epoch and reported; if given,
+    sorters (what the page offers) and evidence (a digest of its aggregates)
+    are checked too. Of the rules the first that is broken is the verdict: a
+    page that is missing, an order that is not offered, dates that move in the
+    wrong direction, the same cards in the same order from two on, another
+    count, other evidence.
+    """
+    both = _first_page(oldest, False, "o").join(_first_page(newest, True, "n"), "property_key", "full_outer")
+    lacks = lambda p: F.col(f"{p}_sorters").isNotNull() & (F.size(F.array_except(F.array(*map(F.lit, SORTERS)), f"{p}_sorters")) > 0)
+    same = (F.col("n_reported") > 1) & (F.size("n_ids") > 1) & (F.size("o_ids") > 1) & (F.col("n_ids") == F.col("o_ids"))
+    verdict = first_failing(
+        ("MISSING_PAGE", F.col("o_ids").isNull() | F.col("n_ids").isNull()), ("UNSUPPORTED_SORTER", lacks("n") | lacks("o")), ("NON_MONOTONIC_PAGINATION", F.col("n_moved") | F.col("o_moved")),
+        ("SORTER_NOT_APPLIED", same), ("MOVING_REVIEW_COUNT", F.col("o_reported") != F.col("n_reported")), ("MOVING_AGGREGATE_COUNTS", F.col("o_evidence") != F.col("n_evidence")),
+    )
+    return both.select("property_key", F.coalesce(verdict, F.lit("OK")).alias("verdict"))
 
 
 def head_unchanged(head: DataFrame, newest: DataFrame) -> DataFrame:

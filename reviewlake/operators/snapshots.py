@@ -48,11 +48,14 @@ def inventory_digest(rows: DataFrame, key: str = "property_key", token: str = "t
 
 
 def compare(previous: DataFrame, current: DataFrame, keys: tuple[str, ...] = ("property_key", "token"), hashed: str = "record_hash") -> DataFrame:
-    """Every key of either snapshot as inserted, updated, unchanged or missing."""
-    a = previous.select(*keys, F.col(hashed).alias("before"))
-    b = current.select(*keys, F.col(hashed).alias("after"))
-    change = F.when(F.col("before").isNull(), "inserted").when(F.col("after").isNull(), "missing").when(F.col("before") != F.col("after"), "updated").otherwise("unchanged")
-    return a.join(b, list(keys), "full_outer").withColumn("change", change)
+    """Every key of either snapshot as inserted, updated, unchanged or missing; as duplicate if a snapshot holds it twice, which makes the pair no valid one."""
+    a = previous.groupBy(*keys).agg(F.min(hashed).alias("before"), F.count("*").alias("__a"))
+    b = current.groupBy(*keys).agg(F.min(hashed).alias("after"), F.count("*").alias("__b"))
+    change = (
+        F.when((F.col("__a") > 1) | (F.col("__b") > 1), "duplicate").when(F.col("__a").isNull(), "inserted").when(F.col("__b").isNull(), "missing")
+        .when(F.col("before").eqNullSafe(F.col("after")), "unchanged").otherwise("updated")
+    )
+    return a.join(b, list(keys), "full_outer").withColumn("change", change).drop("__a", "__b")
 
 
 def reconcile(pages: DataFrame, reported: DataFrame, key: str = "property_key") -> DataFrame:

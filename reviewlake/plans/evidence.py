@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewlake.functions import display, scalars
@@ -342,13 +342,25 @@ def count_attestations(spark, sf_dir):
     return quality.count_attestation(pages)
 
 
-@query(f"{R}, p AS (SELECT property_key, min(epoch) AS first, max(epoch) AS last FROM rev GROUP BY 1) SELECT property_key, CASE WHEN property_key = 'error' THEN 'MISSING_PAGE' WHEN property_key = 'click' THEN 'COUNT_UNSTABLE' WHEN property_key = 'view' THEN 'SORT_NOT_APPLIED' ELSE 'OK' END AS verdict FROM p")
+@query(f"""{R}, o AS (SELECT property_key, token, epoch, row_number() OVER (PARTITION BY property_key ORDER BY epoch, row_id) AS i FROM rev QUALIFY i <= 10),
+newest AS (SELECT property_key, token, epoch, row_number() OVER (PARTITION BY property_key ORDER BY epoch DESC, row_id) AS i FROM rev WHERE property_key NOT IN ('view', 'error') QUALIFY i <= 10),
+n AS (SELECT property_key, token, epoch, CASE WHEN property_key = 'purchase' AND i <= 2 THEN 3 - i ELSE i END AS i FROM newest UNION ALL SELECT property_key, token, 0, i FROM o WHERE property_key = 'view'),
+steps AS (SELECT property_key, lag(epoch) OVER (PARTITION BY property_key ORDER BY i) < epoch AS wrong FROM n),
+one AS (SELECT property_key, list(token ORDER BY i) AS ids, any_value((SELECT bool_or(coalesce(wrong, false)) FROM steps s WHERE s.property_key = n.property_key)) AS wrong FROM n GROUP BY 1),
+two AS (SELECT property_key, list(token ORDER BY i) AS ids FROM o GROUP BY 1)
+SELECT two.property_key, CASE WHEN one.ids IS NULL THEN 'MISSING_PAGE' WHEN wrong THEN 'NON_MONOTONIC_PAGINATION' WHEN one.ids = two.ids THEN 'SORTER_NOT_APPLIED' WHEN two.property_key = 'click' THEN 'MOVING_REVIEW_COUNT' ELSE 'OK' END AS verdict FROM two LEFT JOIN one USING (property_key)""")
 def canary_verdicts(spark, sf_dir):
-    """First pages of either order: for one property the same page twice, for one a moved count, for one no newest page."""
-    per = registry.inventory(spark, sf_dir).groupBy("property_key").agg(F.min("epoch").alias("low"), F.max("epoch").alias("high"))
-    oldest = per.select("property_key", "low", F.col("low").alias("epoch"), F.lit(20).alias("reported"))
-    newest = per.filter("property_key <> 'error'").select("property_key", F.when(F.col("property_key") == "view", F.col("low") - 1).otherwise(F.col("high")).alias("epoch"), F.when(F.col("property_key") == "click", 21).otherwise(20).alias("reported"))
-    return inventory.canary(oldest.drop("low"), newest)
+    """First pages of either order from the reviews themselves: for one property the same cards twice, for one two cards changed over, for one another count, for one no newest page."""
+    rows = registry.inventory(spark, sf_dir).select("property_key", "token", "row_id", "epoch")
+
+    def first(order) -> DataFrame:
+        return rows.withColumn("card_index", F.row_number().over(Window.partitionBy("property_key").orderBy(order, "row_id"))).filter("card_index <= 10")
+
+    oldest = first(F.asc("epoch")).withColumn("reported", F.lit(20))
+    twice = oldest.filter("property_key = 'view'").withColumn("epoch", F.lit(0).cast("long"))
+    newest = first(F.desc("epoch")).filter("property_key NOT IN ('view', 'error')").withColumn("reported", F.when(F.col("property_key") == "click", 21).otherwise(20))
+    newest = newest.withColumn("card_index", F.when((F.col("property_key") == "purchase") & (F.col("card_index") <= 2), 3 - F.col("card_index")).otherwise(F.col("card_index")))
+    return inventory.canary(oldest, newest.unionByName(twice))
 
 
 @query("SELECT 'p' || k AS property_key, k % 3 > 0 AND k < 8 AS unchanged FROM range(10) AS r(k)")

@@ -215,9 +215,13 @@ def test_inventory_checks(spark):
     got = {r.property_key: (r.verdict, r.unique_reviews) for r in inventory.phase_verdicts(pages, cards).collect()}
     assert got == {"p": ("OK", 15), "q": ("PAGE_SHAPE", 0), "r": ("PAGE_SHAPE", 0)}
     assert inventory.card_violations(cards, newest_first=False).count() == 0 and inventory.card_violations(cards, newest_first=True).count() == 14
-    first = lambda *rows: spark.createDataFrame(rows, "property_key string, epoch long, reported int")
-    same = inventory.canary(first(("p", 1, 20), ("q", 5, 20), ("r", 1, 9)), first(("p", 9, 20), ("q", 4, 20), ("r", 2, 8)))
-    assert {r.property_key: r.verdict for r in same.collect()} == {"p": "OK", "q": "SORT_NOT_APPLIED", "r": "COUNT_UNSTABLE"}
+    kinds = "property_key string, card_index int, token string, epoch long, reported int, sorters array<string>, evidence string"
+    both = ["NEWEST_FIRST", "OLDEST_FIRST"]
+    first = lambda *rows: spark.createDataFrame([(p, i, t, e, n, s, d) for p, ids, es, n, s, d in rows for i, (t, e) in enumerate(zip(ids, es))], kinds)
+    oldest = first(("ok", "ab", (1, 2), 9, both, "x"), ("same", "ab", (5, 5), 2, None, None), ("one", "a", (5,), 1, None, None), ("count", "ab", (1, 2), 9, None, None), ("sort", "ab", (1, 2), 9, both[:1], None), ("move", "ab", (2, 1), 9, None, None), ("sums", "ab", (1, 2), 9, None, "x"), ("lost", "ab", (1, 2), 9, None, None))
+    newest = first(("ok", "cb", (3, 2), 9, both, "x"), ("same", "ab", (5, 5), 2, None, None), ("one", "a", (5,), 1, None, None), ("count", "cb", (3, 2), 8, None, None), ("sort", "cb", (3, 2), 9, both, None), ("move", "cb", (3, 2), 9, None, None), ("sums", "cb", (3, 2), 9, None, "y"))
+    verdicts = {r.property_key: r.verdict for r in inventory.canary(oldest, newest).collect()}
+    assert verdicts == {"ok": "OK", "same": "SORTER_NOT_APPLIED", "one": "OK", "count": "MOVING_REVIEW_COUNT", "sort": "UNSUPPORTED_SORTER", "move": "NON_MONOTONIC_PAGINATION", "sums": "MOVING_AGGREGATE_COUNTS", "lost": "MISSING_PAGE"}
     head = inventory.head_unchanged(pages.filter("page_offset = 0 AND property_key <> 'q'"), pages.withColumn("page_hash", F.lit("a")))
     assert all(r.unchanged for r in head.collect())
 
@@ -247,3 +251,9 @@ def test_deep_pages_and_seeks(spark, monkeypatch, sort):
         got = feed.after(rows, feed.FeedQuery(sort=sort, size=30), last).collect()
         assert [x.row_id for x in got] == whole[k * 30 : k * 30 + 30]
         last = got[-1].asDict()
+
+
+def test_keys_held_twice_are_told(spark):
+    rows = lambda *x: spark.createDataFrame(x, "property_key string, token string, record_hash string")
+    got = snapshots.compare(rows(("p", "a", "1"), ("p", "a", "2"), ("p", "b", None), ("p", "c", "1")), rows(("p", "a", "1"), ("p", "b", None), ("p", "d", "1")))
+    assert sorted((r.token, r.change) for r in got.collect()) == [("a", "duplicate"), ("b", "unchanged"), ("c", "missing"), ("d", "inserted")]
