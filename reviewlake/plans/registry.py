@@ -25,7 +25,11 @@ def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_topics(spark: SparkSession, sf_dir: str, evidence: bool = False) -> DataFrame:
-    return topics.with_topics(classified(spark, sf_dir), evidence)
+    rows = classified(spark, sf_dir)
+    # A small table is one row group, which one task would classify alone; a large one has parts enough and isn't shuffled.
+    if rows.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+        rows = rows.repartition(spark.sparkContext.defaultParallelism)
+    return topics.with_topics(rows, evidence)
 
 
 COMPARED = ("current_average", "current_count", "current_positive", "current_mixed", "current_negative", "current_unclassified", "current_negative_feedback", "current_responses", "previous_average", "previous_count", "average_delta", "direction")
