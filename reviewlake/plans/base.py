@@ -22,6 +22,7 @@ def query(oracle: str | None = None):
     return add
 
 
-def values(spark: SparkSession, rows: str) -> DataFrame:
-    """Literal evidence rows, the same text for both engines."""
-    return spark.sql(f"SELECT * FROM {rows}")
+def values(spark: SparkSession, sf_dir: str, rows: str) -> DataFrame:
+    """Rows that a query over ``events`` derives, the same text for both engines."""
+    text = rows.replace("{", "{{").replace("}", "}}").replace("FROM events", "FROM {events}")
+    return spark.sql(f"SELECT * FROM {text}", events=spark.read.parquet(f"{sf_dir}/events.parquet"))

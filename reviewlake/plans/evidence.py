@@ -73,32 +73,31 @@ def normalised_cards(spark, sf_dir):
     return rows.select(F.col("c.reviewUrl").alias("review_url"), F.col("c.reviewedDate").alias("epoch"), scalars.tenths(F.col("c.reviewScore")).alias("tenths"), F.col("c.guestDetails.username").alias("guest"), contract.nights(F.try_variant_get("v", "$.bookingDetails.numNights", "variant")).alias("nights"), scalars.canonical_photo(F.col("c.photos")[0]["urls"][0]["url"]).alias("photo"))
 
 
-_META = """(VALUES
-    (1, '{"ratingScores":[{"__typename":"RatingScore","name":"a","translation":"A","value":8.5}],"topicFilters":[],"reviewScoreFilter":[{"__typename":"ReviewScoreFilter","name":"All","value":"ALL","count":3}],"languageFilter":[{"__typename":"LanguageFilter","name":"All","value":"","count":3}],"timeOfYearFilter":[],"customerTypeFilter":[],"roomTypeFilter":null,"sorters":[]}'),
-    (2, '{"ratingScores":[{"__typename":"RatingScore","name":"a","translation":"A","value":11},{"__typename":"RatingScore","name":"a","translation":"","value":1}],"topicFilters":[{"__typename":"TopicFilter","id":1,"name":"t","isSelected":"no"}],"reviewScoreFilter":[],"languageFilter":[],"timeOfYearFilter":[],"customerTypeFilter":[],"sorters":[]}'),
-    (3, '{"ratingScores":null,"topicFilters":[],"reviewScoreFilter":[{"__typename":"ReviewScoreFilter","name":"x","value":"","count":-1}],"languageFilter":[],"timeOfYearFilter":[],"customerTypeFilter":[],"roomTypeFilter":[{"__typename":"RoomTypeFilter","name":"r","roomTypeId":7,"count":1,"roomIds":[1,null]},{"__typename":"RoomTypeFilter","name":"r","roomTypeId":"7","count":1,"roomIds":[]}],"sorters":[{"name":"n","value":"v"}]}')
-) AS t(k, front)"""
+#: What is wrong with the lists beside some events' cards.
+_META_FAULTS = {"ratingScores[].translation:filled text": "k % 5 = 0", "ratingScores[].value:score": "k % 12 = 11", "ratingScores:duplicate": "k % 7 = 0", "topicFilters[].isSelected:flag": "k % 11 = 0", "reviewScoreFilter[].count:count": "k % 13 = 0", "roomTypeFilter:duplicate": "k % 17 = 0", "sorters[]:type name": "k % 19 = 0"}
+_META = """(SELECT event_id AS k, '{"data":{"reviewListFrontend":{"ratingScores":[{"__typename":"RatingScore","name":"' || event_type || '","translation":"' || CASE WHEN event_id % 5 = 0 THEN '' ELSE 'T' END || '","value":' || (event_id % 12) || '},{"__typename":"RatingScore","name":"' || CASE WHEN event_id % 7 = 0 THEN event_type ELSE 'other' END || '","translation":"O","value":1}],'
+    || '"topicFilters":[{"__typename":"TopicFilter","id":1,"name":"t","isSelected":' || CASE WHEN event_id % 11 = 0 THEN '"no"' ELSE 'true' END || '}],"reviewScoreFilter":[{"__typename":"ReviewScoreFilter","name":"x","value":"' || user_id || '","count":' || (event_id % 13 - 1) || '}],"languageFilter":[],"timeOfYearFilter":[],"customerTypeFilter":[],'
+    || '"roomTypeFilter":' || CASE WHEN event_id % 17 = 0 THEN '[{"__typename":"RoomTypeFilter","name":"r","roomTypeId":"7","count":1,"roomIds":[1]},{"__typename":"RoomTypeFilter","name":"s","roomTypeId":"7","count":1,"roomIds":[]}]' ELSE 'null' END || ',"sorters":[' || CASE WHEN event_id % 19 = 0 THEN '{"name":"n","value":"v"}' ELSE '' END || ']}}}' AS body FROM events)"""
 
 
-@query(
-    "SELECT * FROM (VALUES (1, ''), (2, 'ratingScores:duplicate,ratingScores[].translation:filled text,ratingScores[].value:score,topicFilters[].isSelected:flag'), "
-    "(3, 'ratingScores:array,reviewScoreFilter[].count:count,reviewScoreFilter[].value:filled text,roomTypeFilter:duplicate,roomTypeFilter[].roomIds[]:id,sorters[]:type name')) AS t(k, violations)"
-)
+@query("WITH e AS (SELECT event_id AS k FROM events) SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{v}' AS violation, count(*) AS n FROM e WHERE {c}" for v, c in _META_FAULTS.items()) + ") WHERE n > 0")
 def metadata_contract(spark, sf_dir):
-    rows = values(spark, _META).withColumn("body", F.concat(F.lit('{"data":{"reviewListFrontend":'), F.col("front"), F.lit("}}")))
-    return contract.checked_metadata(rows).select("k", F.array_join("metadata_violations", ",").alias("violations"))
+    """What is wrong with the metadata beside the cards."""
+    found = contract.checked_metadata(values(spark, sf_dir, _META))
+    return found.select(F.explode("metadata_violations").alias("violation")).groupBy("violation").agg(F.count("*").alias("n"))
 
 
-_SCORED = """(VALUES (1, '{"score":7.5,"title":"x"}'), (2, '{"reviewScore":7.5,"title":null}'), (3, '{"score":7.5,"reviewScore":7.5}'), (4, '{"score":7.5,"reviewScore":8}'), (5, '{"title":5}'), (6, '{"score":"7"}'), (7, '{"score":10.1,"title":"t"}')) AS t(k, v)"""
+_SCORED = """(SELECT event_id AS k, CASE event_id % 8 WHEN 0 THEN '{"score":' || s || ',"title":"x"}' WHEN 1 THEN '{"reviewScore":' || s || ',"title":null}' WHEN 2 THEN '{"score":' || s || ',"reviewScore":' || s || '}' WHEN 3 THEN '{"score":' || s || ',"reviewScore":8.25}'
+    WHEN 4 THEN '{"title":' || user_id || '}' WHEN 5 THEN '{"score":"' || s || '"}' ELSE '{"score":' || s || ',"title":"t"}' END AS v FROM (SELECT event_id, user_id, (event_id % 12) || '.5' AS s FROM events) AS e)"""
+_BAD = "coalesce(json_type(v, '$.{0}') NOT IN ('DOUBLE', 'UBIGINT', 'BIGINT') OR CAST(v->'$.{0}' AS DOUBLE) NOT BETWEEN 0 AND 10, false)"
 
 
-@query(f"""SELECT k, CASE WHEN json_type(v, '$.score') IS NULL AND json_type(v, '$.reviewScore') IS NULL THEN 'score:missing'
-    WHEN coalesce(json_type(v, '$.score') NOT IN ('DOUBLE', 'UBIGINT', 'BIGINT') OR CAST(v->'$.score' AS DOUBLE) NOT BETWEEN 0 AND 10, false) THEN 'score:range'
+@query(f"""SELECT k, CASE WHEN json_type(v, '$.score') IS NULL AND json_type(v, '$.reviewScore') IS NULL THEN 'score:missing' WHEN {_BAD.format('score')} OR {_BAD.format('reviewScore')} THEN 'score:range'
     WHEN CAST(v->'$.score' AS DOUBLE) <> CAST(v->'$.reviewScore' AS DOUBLE) THEN 'score:aliases differ' END AS score, CASE WHEN json_type(v, '$.title') NOT IN ('VARCHAR', 'NULL') THEN 'title:text' END AS title FROM (SELECT k, CAST(v AS JSON) AS v FROM {_SCORED})""")
 def insight_input(spark, sf_dir):
     """What is wrong with the score and the title that the classifier is given."""
     v = F.parse_json("v")
-    return values(spark, _SCORED).select("k", contract.score_violation(v).alias("score"), contract.title_violation(v).alias("title"))
+    return values(spark, sf_dir, _SCORED).select("k", contract.score_violation(v).alias("score"), contract.title_violation(v).alias("title"))
 
 
 @query(f"""{R} SELECT property_key AS "propertyKey", property_name AS "propertyName", hotel_id AS "bookingHotelId", public_id AS "reviewId", epoch AS "reviewedEpoch", strftime(make_timestamp(epoch * 1000000), '%Y-%m-%dT%H:%M:%S.000Z') AS "reviewedAtUtc", local_date AS "reviewedLocalDate",
@@ -201,7 +200,8 @@ def json_line_flags(spark, sf_dir):
     return rows.groupBy(F.coalesce("flag", F.lit("read")).alias("flag")).agg(F.count("*").alias("n"), F.sum(F.when(F.col("flag").isNull(), F.col("record.user_id"))).alias("total"))
 
 
-_RATINGS = """(VALUES (1, '[{"name":"hotel_staff","translation":"Staff","value":8.5},{"name":"free_wifi","translation":" ","value":7},{"name":null,"value":6},{"name":"x","value":"9"},{"name":"y"},5]'), (2, '{"a":1}'), (3, NULL), (4, '[{"name":"hotel_clean","value":0}]')) AS t(k, v)"""
+_RATINGS = """(SELECT event_id AS k, CASE event_id % 5 WHEN 0 THEN '[{"name":"hotel_' || event_type || '","translation":"T' || user_id || '","value":' || (event_id % 11) || '.5},{"name":"free_' || event_type || '","translation":" ","value":7},{"name":null,"value":6},{"name":"x","value":"9"},{"name":"y"},5]'
+    WHEN 1 THEN '{"a":' || event_id || '}' WHEN 2 THEN NULL ELSE '[{"name":"' || event_type || '_clean","value":' || (event_id % 10) || '}]' END AS v FROM events)"""
 
 
 @query(f"""WITH r AS (SELECT k, unnest(from_json(CASE WHEN json_type(v) = 'ARRAY' THEN v END, '["JSON"]')) AS x FROM (SELECT k, CAST(v AS JSON) AS v FROM {_RATINGS})),
@@ -209,17 +209,18 @@ s AS (SELECT k, CAST(x->'$.value' AS DOUBLE) AS score, nullif(trim(x->>'$.transl
 SELECT k, coalesce(t, list_aggregate(list_transform(string_split(n, ' '), lambda w: upper(w[1]) || w[2:]), 'string_agg', ' '), 'Category') AS name, score FROM s""")
 def category_score_rows(spark, sf_dir):
     """Category scores that are numbers, under their shown names."""
-    return values(spark, _RATINGS).select("k", F.explode(export.category_scores(F.col("v"))).alias("c")).select("k", "c.name", "c.score")
+    return values(spark, sf_dir, _RATINGS).select("k", F.explode(export.category_scores(F.col("v"))).alias("c")).select("k", "c.name", "c.score")
 
 
-_FAILED = """(VALUES (1, 'timeout', 1, NULL, 0.5), (2, 'network_error', 2, NULL, 0.0), (3, 'temporary_server_error', 3, NULL, 0.5), (4, 'rate_limited', 1, '120', 0.5), (5, 'rate_limited', 1, 'Fri, 26 Jan 2024 00:00:30 GMT', 0.5), (6, 'rate_limited', 1, 'soon', 0.5), (7, 'challenge', 1, NULL, 0.5), (8, 'timeout', 1, NULL, 1.0), (9, NULL, 1, NULL, 0.5)) AS t(k, kind, attempt, retry_after, sample)"""
+_FAILED = """(SELECT event_id AS k, CASE event_id % 6 WHEN 0 THEN 'timeout' WHEN 1 THEN 'network_error' WHEN 2 THEN 'temporary_server_error' WHEN 3 THEN 'rate_limited' WHEN 4 THEN 'challenge' END AS kind, CAST(1 + event_id % 4 AS INT) AS attempt,
+    CASE WHEN event_id % 6 = 3 THEN CASE user_id % 3 WHEN 0 THEN CAST(user_id % 300 AS STRING) WHEN 1 THEN 'Fri, 26 Jan 2024 00:00:' || (10 + event_id % 50) || ' GMT' ELSE 'soon' END END AS retry_after, CAST(event_id % 5 AS DOUBLE) / 4 AS sample FROM events)"""
 
 
 @query(f"""SELECT k, CASE WHEN kind = 'rate_limited' THEN 'rate_limited' WHEN kind IN ('timeout', 'network_error', 'temporary_server_error') THEN CASE WHEN attempt >= 3 THEN 'attempt_budget_exhausted' ELSE 'temporary_failure' END ELSE 'not_retryable' END AS reason,
     CASE WHEN kind IN ('timeout', 'network_error', 'temporary_server_error') AND attempt < 3 THEN CAST(floor(least(30000, 500 * 2 ** (attempt - 1)) * (0.8 + 0.4 * sample) + 0.5) AS BIGINT) END AS delay_ms,
     CASE WHEN kind = 'rate_limited' THEN coalesce(try_cast(retry_after AS BIGINT) * 1000, epoch_ms(try_strptime(retry_after, '%a, %d %b %Y %H:%M:%S GMT')) - epoch_ms(TIMESTAMP '2024-01-26 00:00:00')) END AS reschedule_ms FROM {_FAILED}""")
 def retry_decisions(spark, sf_dir):
-    rows = values(spark, _FAILED).withColumns({"now": F.lit("2024-01-26 00:00:00").cast("timestamp"), "sample": F.col("sample").cast("double")})
+    rows = values(spark, sf_dir, _FAILED).withColumns({"now": F.lit("2024-01-26 00:00:00").cast("timestamp"), "sample": F.col("sample").cast("double")})
     return export.retry_decisions(rows).select("k", "reason", "delay_ms", "reschedule_ms")
 
 
@@ -234,13 +235,18 @@ def circuit_decisions(spark, sf_dir):
     return export.circuit(e).groupBy("code", "open").agg(F.count("*").alias("n"))
 
 
-_LOG = """(VALUES ('j', 1, '[10:00] full: view'), ('j', 2, '[10:01] progress: view oldest-first 10/40'), ('j', 3, '[10:02] full: click'), ('j', 4, '  [10:03] progress: view newest-first 40/40 verified '), ('j', 5, '[10:04] progress: view final head verified (10 cards)'), ('j', 6, 'noise: view'),
-    ('j', 7, '[10:05] failed: click: RATE_LIMITED slow down'), ('k', 1, '[10:00] canary: view'), ('k', 2, '[10:01] passed: view (41 reviews)'), ('k', 3, '[10:02] failed: signup: CHALLENGE')) AS t(job, line_no, line)"""
+#: Lines of the jobs' logs: six kinds that tell something, and noise.
+_LOG = """(SELECT 'j' || user_id AS job, event_id AS line_no, CASE WHEN event_id % 17 = 0 THEN 'noise: ' || event_type WHEN event_id % 6 = 0 THEN '[10:00] full: ' || event_type WHEN event_id % 6 = 1 THEN '[10:01] progress: ' || event_type || ' oldest-first ' || (event_id % 40) || '/40'
+    WHEN event_id % 6 = 2 THEN '  [10:03] progress: ' || event_type || ' newest-first ' || (event_id % 40) || '/' || (user_id + 40) || ' verified ' WHEN event_id % 6 = 3 THEN '[10:04] progress: ' || event_type || ' final head verified (10 cards)'
+    WHEN event_id % 6 = 4 THEN '[10:05] failed: ' || event_type || ': ' || CASE WHEN event_id % 5 = 0 THEN 'CHALLENGE' ELSE 'RATE_LIMITED slow down' END ELSE '[10:06] passed: ' || event_type || ' (' || (event_id % 40) || ' reviews)' END AS line FROM events)"""
 
 
-@query("SELECT * FROM (VALUES ('j', 'view', 'collecting', 'verifying', 40::BIGINT, 40::BIGINT, NULL::BIGINT, NULL, NULL), ('j', 'click', 'failed', NULL, NULL, NULL, NULL, 'RATE_LIMITED', 'slow down'), ('k', 'view', 'published', NULL, 41, NULL, 41, NULL, NULL), ('k', 'signup', 'failed', NULL, NULL, NULL, NULL, 'CHALLENGE', 'CHALLENGE')) AS t(job, property_key, state, pass, processed, expected, reviews, error_code, error)")
+@query("""WITH l AS (SELECT 'j' || user_id AS job, event_type AS property_key, event_id AS k, event_id % 6 AS kind, event_id % 40 AS n, user_id + 40 AS whole FROM events WHERE event_id % 17 > 0),
+said AS (SELECT *, CASE kind WHEN 0 THEN 'collecting' WHEN 1 THEN 'collecting' WHEN 2 THEN 'collecting' WHEN 4 THEN 'failed' WHEN 5 THEN 'published' END AS state, CASE kind WHEN 1 THEN 'oldest-first' WHEN 2 THEN 'newest-first' WHEN 3 THEN 'verifying' WHEN 4 THEN '' WHEN 5 THEN '' END AS pass,
+    CASE WHEN kind IN (1, 2, 5) THEN n END AS processed, CASE kind WHEN 1 THEN 40 WHEN 2 THEN whole END AS expected, CASE kind WHEN 5 THEN n END AS reviews, CASE WHEN kind = 4 THEN CASE WHEN k % 5 = 0 THEN 'CHALLENGE' ELSE 'RATE_LIMITED' END END AS error_code, CASE WHEN kind = 4 THEN CASE WHEN k % 5 = 0 THEN 'CHALLENGE' ELSE 'slow down' END END AS error FROM l)
+SELECT job, property_key, nullif(arg_max(pass, k) FILTER (WHERE pass IS NOT NULL), '') AS pass, """ + ", ".join(f"arg_max({c}, k) FILTER (WHERE {c} IS NOT NULL) AS {c}" for c in ("state", "processed", "expected", "reviews", "error_code", "error")) + " FROM said GROUP BY 1, 2")
 def job_progress(spark, sf_dir):
-    return export.progress(values(spark, _LOG))
+    return export.progress(values(spark, sf_dir, _LOG))
 
 
 @query("""SELECT event_id AS k, 'Room ' || upper(event_type[1]) || event_type[2:] || '-' || (user_id % 3) || ' O''Neil' AS humanized, concat_ws(chr(10), CASE WHEN event_id % 2 = 0 THEN event_type END, CASE WHEN event_id % 3 = 0 THEN 'text' END) AS combined,
@@ -294,26 +300,37 @@ def unlabelled_documents(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id", "left_anti")
 
 
-_GAPPED = """(VALUES (1, 500, 500, 500, 'ALL', 100), (2, 500, 497, 500, 'ALL', 100), (3, 500, 490, 500, 'ALL', 100), (4, 500, 501, 500, 'ALL', 100), (5, 500, 497, 499, 'ALL', 100), (6, 500, 497, 500, 'NONE', 100), (7, 500, 497, 500, 'ALL', 99), (8, -1, 3, 500, 'ALL', 100)) AS t(k, advertised, retrievable, total, named, each_bucket)"""
+_GAPPED = """(SELECT k, advertised, advertised - k % 6 + CASE WHEN k % 7 = 0 THEN 6 ELSE 0 END AS retrievable, advertised - CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END AS total, CASE WHEN k % 11 = 0 THEN 'NONE' ELSE 'ALL' END AS named, each_bucket - CASE WHEN k % 13 = 0 THEN 1 ELSE 0 END AS each_bucket
+    FROM (SELECT event_id AS k, CASE WHEN event_id % 31 = 0 THEN -1 ELSE event_id % 200 * 5 END AS advertised, event_id % 200 AS each_bucket FROM events) AS e)"""
 
 
-@query(f"""SELECT k, CASE WHEN advertised < 0 THEN 'INVALID_COUNT' WHEN advertised = retrievable THEN 'NONE' WHEN retrievable > advertised OR advertised - retrievable > least(5, floor(advertised * 0.01)) THEN 'GAP_COUNT_MISMATCH' WHEN named <> 'ALL' OR total <> advertised THEN 'TRUSTED_TOTALS_MISMATCH'
-    WHEN 5 * each_bucket <> advertised THEN 'ADVERTISED_BUCKET_SUM_MISMATCH' ELSE 'OK' END AS verdict, CASE WHEN k = 2 THEN advertised - retrievable END AS gap FROM {_GAPPED}""")
+@query(f"""SELECT k, verdict, CASE WHEN verdict = 'OK' THEN advertised - retrievable END AS gap FROM (SELECT *, CASE WHEN advertised < 0 OR retrievable < 0 THEN 'INVALID_COUNT' WHEN advertised = retrievable THEN 'NONE' WHEN retrievable > advertised OR advertised - retrievable > least(5, floor(advertised * 0.01)) THEN 'GAP_COUNT_MISMATCH'
+    WHEN named <> 'ALL' OR total <> advertised THEN 'TRUSTED_TOTALS_MISMATCH' WHEN 5 * each_bucket <> advertised THEN 'ADVERTISED_BUCKET_SUM_MISMATCH' ELSE 'OK' END AS verdict FROM {_GAPPED})""")
 def source_gap_evidence(spark, sf_dir):
-    rows = values(spark, _GAPPED)
+    rows = values(spark, sf_dir, _GAPPED)
     totals = F.array(*[F.struct(F.when((F.col("named") == "ALL") | F.lit(i > 0), t).otherwise("other").alias("source"), F.col("total").alias("n")) for i, t in enumerate(gaps.TOTALS)])
     buckets = F.array(*[F.struct(F.lit(b).alias("bucket"), F.col("each_bucket").alias("advertised")) for b in gaps.BUCKETS])
     return gaps.source_gap(rows.withColumns({"totals": totals, "buckets": buckets})).select("k", "verdict", F.col("evidence.gap").alias("gap"))
 
 
-_ATTESTED = """(VALUES ('gap', 'source_count_gap_v1', 1, 500, 497, 3, 'REVIEW_ADJ_GOOD', 2, 150, 148), ('tie', 'source_count_gap_v1', 1, 500, 498, 2, 'REVIEW_ADJ_GOOD', 1, 150, 149), ('exact', 'source_count_gap_v1', 1, 180, 180, 0, 'REVIEW_ADJ_GOOD', 0, 50, 50), ('large', 'other', 1, 180, 170, 10, 'REVIEW_ADJ_SUPERB', 10, 100, 90), ('surplus', 'source_count_gap_v1', 2, 500, 498, 2, 'REVIEW_ADJ_GOOD', 3, 150, 147), ('unknown', 'source_count_gap_v1', 1, 500, 498, 2, 'REVIEW_ADJ_GOOD', 3, 150, 147))
-AS t(property_key, kind, version, advertised, retrievable, gap, headline_bucket, headline_gap, headline_advertised, headline_retrievable)"""
+_DISCLOSED = f"""WITH s AS ({sql.SHORTFALLS}), a AS (SELECT s.*, CAST(substr(s.property_key, 2) AS BIGINT) AS q, h.advertised AS headline_advertised FROM s JOIN {sql.BUCKETS} AS h ON h.property_key = s.property_key AND h.bucket = s.headline_bucket),
+v AS (SELECT * REPLACE (CASE WHEN q % 19 = 7 THEN 'none' || q ELSE property_key END AS property_key, CASE WHEN q % 11 = 4 THEN 'INVALID_ATTESTATION' WHEN q % 7 = 3 THEN 'CONTRACT_KIND_MISMATCH' WHEN q % 19 = 7 THEN 'BUCKETS_MISSING' WHEN verdict <> 'OK' THEN 'BUCKETS_INVALID'
+    WHEN q % 13 = 5 THEN 'COUNT_MISMATCH' WHEN q % 17 = 6 THEN 'HEADLINE_MISMATCH' ELSE 'OK' END AS verdict) FROM a)
+SELECT property_key, verdict, """ + ", ".join(f"CASE WHEN verdict = 'OK' THEN {c} END AS {c}" for c in ("advertised", "retrievable", "headline_bucket", "headline_advertised")) + " FROM v"
 
 
-@query("SELECT * FROM (VALUES ('gap', 'OK', 500, 497, 'REVIEW_ADJ_GOOD', 150), ('tie', 'HEADLINE_MISMATCH', NULL, NULL, NULL, NULL), ('exact', 'BUCKETS_INVALID', NULL, NULL, NULL, NULL), ('large', 'CONTRACT_KIND_MISMATCH', NULL, NULL, NULL, NULL), ('surplus', 'INVALID_ATTESTATION', NULL, NULL, NULL, NULL), ('unknown', 'BUCKETS_MISSING', NULL, NULL, NULL, NULL)) AS t(property_key, verdict, advertised, retrievable, headline_bucket, headline_advertised)")
+@query(_DISCLOSED)
 def gap_disclosures(spark, sf_dir):
-    """Stored attestations, recomputed from their buckets before they are shown."""
-    return gaps.disclosures(values(spark, _ATTESTED), values(spark, sql.BUCKETS)).select("property_key", "verdict", "advertised", "retrievable", "headline_bucket", "headline_advertised")
+    """Attestations of the gaps that the buckets show, some of them wrong, recomputed from their buckets before they are shown."""
+    buckets = values(spark, sf_dir, sql.BUCKETS)
+    head = buckets.select("property_key", F.col("bucket").alias("headline_bucket"), F.col("advertised").alias("headline_advertised"), F.col("retrievable").alias("headline_retrievable"))
+    q = F.substring_index("property_key", "p", -1).cast("long")
+    one = lambda m, r: (q % m == r).cast("int")
+    attested = gaps.shortfalls(buckets).join(head, ["property_key", "headline_bucket"]).select(
+        F.when(q % 19 == 7, F.concat(F.lit("none"), q.cast("string"))).otherwise(F.col("property_key")).alias("property_key"), F.when(q % 7 == 3, "other").otherwise(gaps.GAP_KIND).alias("kind"), (1 + one(11, 4)).alias("version"), (F.col("advertised") + one(13, 5)).alias("advertised"), "retrievable", "gap",
+        "headline_bucket", (F.col("headline_gap") + one(17, 6)).alias("headline_gap"), "headline_advertised", "headline_retrievable",
+    )
+    return gaps.disclosures(attested, buckets).select("property_key", "verdict", "advertised", "retrievable", "headline_bucket", "headline_advertised")
 
 
 @query("""WITH t AS (SELECT user_id AS property_key, count(*) AS n, min(event_id % 2) AS low, max(event_id % 2) AS high FROM events GROUP BY 1) SELECT property_key, n = 4 AS complete, false AS named, low = high AS equal, high AS total FROM t""")
@@ -328,12 +345,12 @@ def category_digests(spark, sf_dir):
     return gaps.category_digest(rows)
 
 
-_SNAPSHOTS = "(VALUES (1, NULL, 10, false, false), (2, 10, 10, false, false), (3, 12, 10, true, false), (4, 12, 10, false, true), (5, 16, 10, false, true), (6, 9, 10, true, true), (7, 12, 10, false, false)) AS t(k, displayed, structured, gap_attested, visible_attested)"
+_SNAPSHOTS = "(SELECT event_id AS k, CASE WHEN event_id % 11 > 0 THEN event_id % 100 + event_id % 8 - 1 END AS displayed, event_id % 100 AS structured, event_id % 3 = 0 AS gap_attested, event_id % 5 < 2 AS visible_attested FROM events)"
 
 
 @query(f"SELECT k, CASE WHEN displayed IS NULL THEN 'unavailable' WHEN displayed = structured THEN 'exact' WHEN displayed > structured AND gap_attested THEN 'structured_gap' WHEN displayed - structured BETWEEN 1 AND 5 AND visible_attested THEN 'visible_gap' ELSE 'broken' END AS invariant FROM {_SNAPSHOTS}")
 def snapshot_invariants(spark, sf_dir):
-    return values(spark, _SNAPSHOTS).select("k", quality.snapshot_invariant().alias("invariant"))
+    return values(spark, sf_dir, _SNAPSHOTS).select("k", quality.snapshot_invariant().alias("invariant"))
 
 
 @query("SELECT user_id AS run_id, count(DISTINCT event_type) = 1 AS one_hash, count(*) AS pages, CAST(2 * (ceil(max(event_id % 40) / 10.0) + 1) + 1 AS BIGINT) AS expected_pages, count(*) = 2 * (ceil(max(event_id % 40) / 10.0) + 1) + 1 AS complete FROM events GROUP BY 1")
@@ -363,11 +380,15 @@ def canary_verdicts(spark, sf_dir):
     return inventory.canary(oldest, newest.unionByName(twice))
 
 
-@query("SELECT 'p' || k AS property_key, k % 3 > 0 AND k < 8 AS unchanged FROM range(10) AS r(k)")
+_HEADS = "(SELECT 'u' || user_id AS property_key, md5(CAST(min(event_id) + CASE WHEN user_id % 3 = 0 THEN 1 ELSE 0 END AS STRING)) AS page_hash FROM events GROUP BY user_id)"
+_NEWEST = """(SELECT 'u' || user_id AS property_key, 0 AS page_offset, md5(CAST(min(event_id) AS STRING)) AS page_hash FROM events WHERE user_id % 8 > 0 GROUP BY user_id
+    UNION ALL SELECT 'u' || user_id, 10, md5(CAST(max(event_id) AS STRING)) FROM events GROUP BY user_id)"""
+
+
+@query("SELECT DISTINCT 'u' || user_id AS property_key, user_id % 3 > 0 AND user_id % 8 > 0 AS unchanged FROM events")
 def head_checks(spark, sf_dir):
-    rows = spark.range(10).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("property_key"), F.col("id").alias("k"))
-    head = rows.select("property_key", F.when(F.col("k") % 3 > 0, "same").otherwise("other").alias("page_hash"))
-    return inventory.head_unchanged(head, rows.filter("k < 8").select("property_key", F.lit(0).alias("page_offset"), F.lit("same").alias("page_hash")))
+    """Whether each user's first page was the same at the end; for some it was never seen."""
+    return inventory.head_unchanged(values(spark, sf_dir, _HEADS), values(spark, sf_dir, _NEWEST))
 
 
 @query("SELECT event_id AS row_id, concat_ws(',', CASE WHEN event_id % 5 = 0 THEN 'tenths' END, CASE WHEN event_id % 7 = 0 THEN 'language' END) AS mismatched FROM events")
@@ -390,14 +411,14 @@ def record_hashes(spark, sf_dir):
     return c.select(k.alias("k"), (contract.record_hash(F.col("card_json")) != contract.record_hash(other)).alias("changed"))
 
 
-_RUNS = "(VALUES ('a', 'running', NULL), ('b', 'succeeded', NULL), ('c', 'failed', 'OLD')) AS t(run_id, status, error_code)"
-_FAILS = "(VALUES ('a', 'TIMEOUT'), ('b', 'TIMEOUT'), ('c', 'CHALLENGE'), ('d', 'X')) AS t(run_id, code)"
+_RUNS = "(SELECT 'r' || event_id AS run_id, CASE event_id % 3 WHEN 0 THEN 'running' WHEN 1 THEN 'succeeded' ELSE 'failed' END AS status, CASE WHEN event_id % 3 = 2 THEN 'OLD' || user_id END AS error_code FROM events WHERE event_id % 7 > 0)"
+_FAILS = "(SELECT 'r' || event_id AS run_id, upper(event_type) AS code FROM events WHERE event_id % 4 = 0)"
 
 
-@query(f"SELECT coalesce(r.run_id, f.run_id) AS run_id, CASE WHEN f.run_id IS NULL OR r.status = 'succeeded' THEN r.status WHEN r.run_id IS NOT NULL THEN 'failed' END AS status, CASE WHEN r.status = 'succeeded' OR f.run_id IS NULL THEN r.error_code WHEN r.run_id IS NOT NULL THEN f.code END AS error_code, CASE WHEN r.run_id IS NULL THEN 'RUN_NOT_FOUND' WHEN r.status = 'succeeded' AND f.run_id IS NOT NULL THEN 'RUN_ALREADY_PUBLISHED' END AS conflict FROM {_RUNS.replace('AS t(', 'AS r(')} FULL JOIN {_FAILS.replace('AS t(', 'AS f(')} ON r.run_id = f.run_id")
+@query(f"SELECT coalesce(r.run_id, f.run_id) AS run_id, CASE WHEN f.run_id IS NULL OR r.status = 'succeeded' THEN r.status WHEN r.run_id IS NOT NULL THEN 'failed' END AS status, CASE WHEN r.status = 'succeeded' OR f.run_id IS NULL THEN r.error_code WHEN r.run_id IS NOT NULL THEN f.code END AS error_code, CASE WHEN r.run_id IS NULL THEN 'RUN_NOT_FOUND' WHEN r.status = 'succeeded' AND f.run_id IS NOT NULL THEN 'RUN_ALREADY_PUBLISHED' END AS conflict FROM {_RUNS} AS r FULL JOIN {_FAILS} AS f ON r.run_id = f.run_id")
 def failed_runs(spark, sf_dir):
     """Runs after some were failed; one that is published can't be."""
-    return inventory.fail_runs(values(spark, _RUNS), values(spark, _FAILS))
+    return inventory.fail_runs(values(spark, sf_dir, _RUNS), values(spark, sf_dir, _FAILS))
 
 
 @query(f"{R} SELECT property_key, count(*) FILTER (WHERE row_id % 10 <> 0) AS n, CASE WHEN property_key = 'view' THEN 'COUNT_MOVED' WHEN property_key = 'click' THEN 'RECORDS_MOVED' ELSE 'OK' END AS verdict FROM rev GROUP BY 1")
@@ -409,23 +430,24 @@ def promotion_rechecks(spark, sf_dir):
     return inventory.rechecked(attested, staged).select("property_key", "n", "verdict")
 
 
-_STAGE = "(VALUES ('r', 0, 'h0', 10), ('r', 10, 'h1', 10), ('r', 20, 'h2', 3)) AS t(run_id, page_offset, page_hash, n_cards)"
-_AGAIN = "(VALUES ('r', 10, 'h1', 10), ('r', 20, 'other', 3), ('r', 30, 'h3', 1), ('r', 40, 'h4', 1), ('s', 0, 'h0', 2)) AS t(run_id, page_offset, page_hash, n_cards)"
+_STAGE = "(SELECT 'r' || (event_id % 10) AS run_id, event_id * 10 AS page_offset, md5(event_type || user_id) AS page_hash, event_id % 11 AS n_cards FROM events WHERE event_id % 13 > 0)"
+_AGAIN = "(SELECT 'r' || (event_id % 10) AS run_id, event_id * 10 AS page_offset, md5(CASE WHEN event_id % 7 = 0 THEN 'other' ELSE event_type || user_id END) AS page_hash, event_id % 11 + CASE WHEN event_id % 17 = 0 THEN 1 ELSE 0 END AS n_cards FROM events WHERE event_id % 3 > 0)"
 
 
-@query("SELECT * FROM (VALUES ('r', 10, 'REPLAYED'), ('r', 20, 'CONFLICT'), ('r', 30, 'STAGED'), ('r', 40, 'STAGED'), ('s', 0, 'STAGED')) AS t(run_id, page_offset, outcome)")
+@query("SELECT 'r' || (event_id % 10) AS run_id, event_id * 10 AS page_offset, CASE WHEN event_id % 13 = 0 THEN 'STAGED' WHEN event_id % 7 = 0 OR event_id % 17 = 0 THEN 'CONFLICT' ELSE 'REPLAYED' END AS outcome FROM events WHERE event_id % 3 > 0")
 def staged_pages(spark, sf_dir):
     """Pages that come to a run: a replay changes nothing, another content at the same place fails the run."""
-    return inventory.staged(values(spark, _STAGE), values(spark, _AGAIN)).select("run_id", "page_offset", "outcome")
+    return inventory.staged(values(spark, sf_dir, _STAGE), values(spark, sf_dir, _AGAIN)).select("run_id", "page_offset", "outcome")
 
 
-_CONFIG = "(VALUES (0, 'a', 1, '/x'), (1, 'b', 2, '/y'), (2, 'c', 2, '/x'), (3, '', 4, '/z'), (4, 'e', -5, '/w')) AS t(ordinal, property_key, hotel_id, path)"
+_CONFIG = """(SELECT event_id AS ordinal, CASE WHEN event_id % 97 = 0 THEN '' ELSE 'p' || event_id END AS property_key, CASE WHEN event_id % 89 = 0 THEN -1 - event_id WHEN event_id % 83 = 1 THEN event_id - 1 ELSE event_id END AS hotel_id,
+    CASE WHEN event_id % 79 = 0 THEN '/x' WHEN event_id % 73 = 0 THEN 'y' || event_id ELSE '/' || event_type || event_id END AS path FROM events)"""
 
 
-@query(f"SELECT field, value, n FROM (SELECT 'hotel_id' AS field, CAST(hotel_id AS VARCHAR) AS value, count(*) AS n FROM {_CONFIG} GROUP BY 2 UNION ALL SELECT 'path', path, count(*) FROM {_CONFIG} GROUP BY 2 UNION ALL SELECT 'property_key', property_key, count(*) FROM {_CONFIG} GROUP BY 2) WHERE n > 1 UNION ALL SELECT 'invalid', property_key, 1 FROM {_CONFIG} WHERE property_key = '' OR hotel_id <= 0 UNION ALL SELECT 'unknown', 'zz', 1")
+@query(f"SELECT field, value, n FROM (SELECT 'hotel_id' AS field, CAST(hotel_id AS VARCHAR) AS value, count(*) AS n FROM {_CONFIG} GROUP BY 2 UNION ALL SELECT 'path', path, count(*) FROM {_CONFIG} GROUP BY 2 UNION ALL SELECT 'property_key', property_key, count(*) FROM {_CONFIG} GROUP BY 2) WHERE n > 1 UNION ALL SELECT 'invalid', property_key, 1 FROM {_CONFIG} WHERE property_key = '' OR hotel_id <= 0 OR path NOT LIKE '/%' UNION ALL SELECT 'unknown', 'zz', 1")
 def config_checks(spark, sf_dir):
     """Repeated, invalid and unknown keys of a configuration."""
-    return src.config_problems(values(spark, _CONFIG), ("a", "zz"))
+    return src.config_problems(values(spark, sf_dir, _CONFIG), ("p1", "zz"))
 
 
 @query("SELECT event_id AS k, CASE WHEN event_id % 3 = 0 THEN 'guest.avatarUrl,guest.session_ID' WHEN event_id % 3 = 1 THEN 'links[]:url' ELSE '' END AS paths, CASE WHEN event_id % 3 = 0 THEN '{\"guest\":{\"session_ID\":\"[REDACTED]\",\"avatarUrl\":\"[REDACTED]\"}}' WHEN event_id % 3 = 1 THEN '{\"links\":[\"https://x.example/?token=[REDACTED]&b=1\"]}' ELSE '{\"n\":1}' END AS masked FROM events")
@@ -444,7 +466,7 @@ def run_throughput(spark, sf_dir):
 
 
 def _engine(spark, sf_dir):
-    engine = ReviewEngine(src.properties(spark), values(spark, sql.EVIDENCE))
+    engine = ReviewEngine(src.properties(spark), values(spark, sf_dir, sql.EVIDENCE))
     engine.load(src.canonical(spark, sf_dir), 1)
     return engine
 
@@ -457,7 +479,7 @@ def dashboard_recent(spark, sf_dir):
     return _engine(spark, sf_dir).sections(feed.FeedQuery(start=date(2024, 1, 10)), registry.TODAY).recent.select("public_id", "property_key", "local_date", "tenths", "sentiment")
 
 
-@query(f"{R}, s AS (SELECT * FROM rev WHERE property_key IN ('view', 'click')), c AS (SELECT avg(tenths) FILTER (WHERE {sql.NOW}) / 10 AS now_, avg(tenths) FILTER (WHERE {sql.BEFORE}) / 10 AS before_ FROM s) SELECT 'average' AS section, now_ AS figure FROM c UNION ALL SELECT 'delta', now_ - before_ FROM c UNION ALL SELECT 'feed', count(*) FROM s UNION ALL SELECT 'weeks', 12 UNION ALL SELECT 'quality', 8 UNION ALL SELECT 'properties', 2")
+@query(f"{R}, s AS (SELECT * FROM rev WHERE property_key IN ('view', 'click')), c AS (SELECT avg(tenths) FILTER (WHERE {sql.NOW}) / 10 AS now_, avg(tenths) FILTER (WHERE {sql.BEFORE}) / 10 AS before_ FROM s) SELECT 'average' AS section, now_ AS figure FROM c UNION ALL SELECT 'delta', now_ - before_ FROM c UNION ALL SELECT 'feed', count(*) FROM s UNION ALL SELECT 'weeks', 12 UNION ALL SELECT 'quality', 5 UNION ALL SELECT 'properties', 2")
 def dashboard_sections(spark, sf_dir):
     """Figures out of all sections of one query, from facts that are classified once."""
     s = _engine(spark, sf_dir).sections(feed.FeedQuery(properties=("view", "click")), registry.TODAY)

@@ -130,39 +130,41 @@ SELECT public_id, row_id, property_key, local_date, tenths, sentiment, helpful,
 FROM hit QUALIFY row_number() OVER (ORDER BY {order}) BETWEEN (least({page}, greatest(1, ceil(total / {size}.0))) - 1) * {size} + 1 AND least({page}, greatest(1, ceil(total / {size}.0))) * {size}"""
 
 
-#: Evidence of eight properties: one for each step of the ladder.
-EVIDENCE = """(VALUES
-    (0, 'ok', 'r1', 10, 10, 'a', 'a', 'x', 'x', 10, 10, 10, 10, false, false, false, false),
-    (1, 'none', NULL, NULL, NULL, NULL, NULL, NULL, NULL, 0, NULL, NULL, NULL, false, false, false, false),
-    (2, 'ids', 'r1', 10, 10, 'a', 'b', 'x', 'x', 10, 10, 10, 10, false, false, false, false),
-    (3, 'both', 'r1', 10, 10, 'a', 'a', 'x', 'x', 10, 12, 10, 10, true, true, true, true),
-    (4, 'gap', 'r1', 500, 500, 'a', 'a', 'x', 'x', 500, 503, 500, 500, true, true, false, false),
-    (5, 'gap_present', 'r1', 500, 500, 'a', 'a', 'x', 'x', 499, 503, 500, 500, true, true, false, false),
-    (6, 'shown', 'r1', 500, 500, 'a', 'a', 'x', 'x', 500, 504, 500, 500, false, false, true, true),
-    (7, 'also_ok', 'r2', 0, 0, 'e', 'e', 'e', 'e', 0, 0, 0, 0, false, false, false, false)
-) AS t(ordinal, property_key, published_run, oldest_count, newest_count, oldest_ids, newest_ids, oldest_records, newest_records, present, displayed, structured, final_count, gap_attested, gap_valid, visible_attested, visible_valid)"""
-_STATUS = """(VALUES (0, 'verified'), (1, 'collecting'), (2, 'evidence-error'), (3, 'evidence-error'), (4, 'source-gap'), (5, 'evidence-error'), (6, 'source-gap'), (7, 'verified')) AS s(ordinal, status)"""
-QUALITY_ROWS = f"SELECT t.ordinal, t.property_key, s.status, CASE WHEN published_run IS NOT NULL THEN present END AS retrievable, CASE WHEN published_run IS NOT NULL THEN displayed END AS advertised, CASE WHEN published_run IS NOT NULL THEN displayed - present ELSE 0 END AS source_gap FROM {EVIDENCE} JOIN {_STATUS} ON s.ordinal = t.ordinal"
+
+def _evidence(place: str, key: str) -> str:
+    """Evidence of publications, one for each group of events: two inventories that agree or don't, counts that were shown, and attested gaps."""
+    return f"""(SELECT u AS ordinal, property_key, CASE WHEN u % 9 <> 4 THEN 'r1' END AS published_run, n AS oldest_count, n AS newest_count, ids AS oldest_ids, CASE WHEN u % 11 = 2 THEN fewer ELSE ids END AS newest_ids,
+    records AS oldest_records, records + CASE WHEN u % 21 = 5 THEN 1 ELSE 0 END AS newest_records, n - CASE WHEN u % 23 = 9 THEN 1 ELSE 0 END AS present,
+    n + CASE WHEN u % 7 = 3 THEN 3 WHEN u % 6 = 1 THEN 2 WHEN u % 19 = 8 THEN 1 ELSE 0 END AS displayed, n AS structured, n AS final_count,
+    u % 7 = 3 OR u % 12 = 7 AS gap_attested, u % 7 = 3 AND u % 5 <> 1 AS gap_valid, u % 6 = 1 AS visible_attested, u % 6 = 1 AND u % 5 > 0 AS visible_valid
+    FROM (SELECT {place} AS u, {key} AS property_key, count(*) AS n, sum(event_id) AS ids, sum(CASE WHEN event_id % 5 > 0 THEN event_id + 1 ELSE 0 END) AS fewer, sum(event_id * user_id) AS records FROM events GROUP BY 1, 2) AS g)"""
+
+
+#: Evidence of the five properties, and of as many as there are users.
+EVIDENCE = _evidence("CASE " + " ".join(f"WHEN event_type = '{k}' THEN {i}" for i, (k, *_) in enumerate(PROPERTIES)) + " END", "event_type")
+MUCH_EVIDENCE = _evidence("user_id", "'u' || user_id")
+_STATUS = """CASE WHEN published_run IS NULL THEN 'collecting' WHEN (oldest_count, oldest_ids, oldest_records) IS DISTINCT FROM (newest_count, newest_ids, newest_records) OR gap_attested AND visible_attested THEN 'evidence-error'
+    WHEN present <> structured OR final_count <> structured THEN 'evidence-error' WHEN gap_attested THEN CASE WHEN gap_valid THEN 'source-gap' ELSE 'evidence-error' END
+    WHEN displayed = structured THEN 'verified' WHEN visible_attested AND visible_valid THEN 'source-gap' ELSE 'evidence-error' END"""
+QUALITY_ROWS = f"""WITH t AS (SELECT *, {_STATUS} AS status, CASE WHEN published_run IS NOT NULL THEN displayed - present ELSE 0 END AS source_gap FROM {MUCH_EVIDENCE})
+SELECT ordinal, property_key, status, CASE WHEN published_run IS NOT NULL THEN present END AS retrievable, CASE WHEN published_run IS NOT NULL THEN displayed END AS advertised, source_gap,
+    CASE status WHEN 'verified' THEN 'Counts, identities and records agree.' WHEN 'source-gap' THEN source_gap || ' advertised but not returned; the evidence for it holds.' WHEN 'collecting' THEN 'No accepted full publication yet.' ELSE 'The stored evidence does not agree.' END AS note FROM t"""
+OVERALL = f"""WITH t AS (SELECT {_STATUS} AS status FROM {MUCH_EVIDENCE}) SELECT CASE WHEN bool_or(status = 'evidence-error') THEN 'error' WHEN bool_or(status = 'collecting') THEN 'collecting' WHEN bool_or(status = 'source-gap') THEN 'attention' ELSE 'verified' END AS overall,
+    count(*) FILTER (WHERE status IN ('verified', 'source-gap')) AS accepted, count(*) FILTER (WHERE status NOT IN ('verified', 'source-gap')) AS pending FROM t"""
 ALERTS = f"""{_COUNTED}, fall AS (SELECT 0 AS priority, ordinal, 'rating:' || property_key AS alert, CASE WHEN week_delta <= -1 THEN 'high' ELSE 'medium' END AS severity, week_delta FROM pm WHERE week_delta IS NOT NULL ORDER BY week_delta, ordinal LIMIT 1),
 often AS (SELECT 1 AS priority, topic_ordinal AS ordinal, 'topic:' || topic AS alert, CASE WHEN negative_share >= 40 THEN 'high' ELSE 'medium' END AS severity, negative_share FROM tm WHERE negative_share IS NOT NULL ORDER BY negative_share DESC, topic_ordinal LIMIT 1),
-stated_quality AS (SELECT t.ordinal, t.property_key, s.status FROM {EVIDENCE} JOIN {_STATUS} ON s.ordinal = t.ordinal)
+stated_quality AS (SELECT ordinal, property_key, {_STATUS} AS status FROM {EVIDENCE})
 SELECT * FROM (SELECT priority, ordinal, alert, severity FROM fall WHERE week_delta <= -0.3 UNION ALL SELECT priority, ordinal, alert, severity FROM often WHERE negative_share >= 20
     UNION ALL SELECT 2, ordinal, 'quality:' || property_key, 'low' FROM stated_quality WHERE status = 'source-gap'
     UNION ALL SELECT 3, ordinal, 'quality-error:' || property_key, 'high' FROM stated_quality WHERE status = 'evidence-error') ORDER BY priority, ordinal LIMIT 4"""
 
-PUBLICATIONS = """(VALUES
-    ('ok', 'r1', 'r1', 'succeeded', 'v1', 'v1', true, 'ok', 10, 10, 10, 10, 'a', 'a', 'x', 'x', 10, 10, false, false, false, false, NULL, NULL),
-    ('none', NULL, NULL, NULL, NULL, 'v1', NULL, NULL, 0, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, false, false, false, false, NULL, NULL),
-    ('old', 'r1', 'r0', 'succeeded', 'v0', 'v1', true, 'old', 10, 10, 10, 10, 'a', 'a', 'x', 'x', 10, 10, false, false, false, false, NULL, NULL),
-    ('failed', 'r1', 'r1', 'failed', 'v1', 'v1', false, 'failed', 9, 10, 10, 10, 'a', 'b', 'x', 'x', NULL, NULL, true, false, true, true, NULL, NULL),
-    ('gap', 'r1', 'r1', 'succeeded', 'v1', 'v1', true, 'gap', 500, 500, 500, 500, 'a', 'a', 'x', 'x', 500, 503, true, true, false, false, 503, 500),
-    ('gap_moved', 'r1', 'r1', 'succeeded', 'v1', 'v1', true, 'gap_moved', 500, 500, 500, 500, 'a', 'a', 'x', 'x', 500, 504, true, true, false, false, 503, 500),
-    ('gap_both', 'r1', 'r1', 'succeeded', 'v1', 'v1', true, 'gap_both', 500, 500, 500, 500, 'a', 'a', 'x', 'x', 500, 503, true, true, true, true, 503, 500),
-    ('shown', 'r1', 'r1', 'succeeded', 'v1', 'v1', true, 'shown', 500, 500, 500, 500, 'a', 'a', 'x', 'x', 500, 502, false, false, true, true, NULL, NULL),
-    ('shown_not', 'r1', 'r1', 'succeeded', 'v1', 'v1', true, 'shown_not', 500, 500, 500, 500, 'a', 'a', 'x', 'x', 500, 502, false, false, false, false, NULL, NULL),
-    ('shown_in_vain', 'r1', 'r1', 'succeeded', 'v1', 'v1', true, 'shown_in_vain', 500, 500, 500, 500, 'a', 'a', 'x', 'x', 500, 500, false, false, true, true, NULL, NULL),
-    ('snapshot', 'r1', 'r1', 'succeeded', 'v1', 'v1', true, 'other', 500, 500, 500, 500, 'a', 'a', 'x', 'x', 499, 500, false, false, true, true, NULL, NULL)
-) AS t(property_key, published_run, last_full_run, run_status, run_parser, expected_parser, complete_inventory, run_property, present, final_count, oldest_count, newest_count, oldest_ids, newest_ids, oldest_records, newest_records, structured, displayed, gap_attested, gap_valid, visible_attested, visible_valid, gap_advertised, gap_retrievable)"""
+#: Publications, one for each event, with faults of every kind, alone and together.
+PUBLICATIONS = """(SELECT 'e' || k AS property_key, run AS published_run, CASE WHEN k % 41 = 0 THEN 'r0' ELSE run END AS last_full_run, CASE WHEN k % 43 = 0 THEN NULL WHEN k % 7 = 0 THEN 'failed' ELSE 'succeeded' END AS run_status,
+    CASE WHEN k % 11 = 0 THEN 'v0' ELSE 'v1' END AS run_parser, 'v1' AS expected_parser, k % 13 > 0 AS complete_inventory, CASE WHEN k % 17 = 0 THEN 'other' ELSE 'e' || k END AS run_property, CASE WHEN k % 53 = 0 THEN n + 1 ELSE n END AS present, n AS final_count,
+    n AS oldest_count, CASE WHEN k % 61 = 0 THEN n + 1 ELSE n END AS newest_count, 'a' || n AS oldest_ids, CASE WHEN k % 67 = 0 THEN 'b' ELSE 'a' || n END AS newest_ids, 'x' || user_id AS oldest_records, CASE WHEN k % 71 = 0 THEN 'y' ELSE 'x' || user_id END AS newest_records,
+    CASE WHEN k % 47 = 0 THEN NULL WHEN k % 59 = 0 THEN n - 1 ELSE n END AS structured, n + k % 4 AS displayed, k % 3 = 0 AS gap_attested, k % 3 = 0 AND k % 19 > 0 AS gap_valid, k % 5 = 0 AS visible_attested, k % 5 = 0 AND k % 23 > 0 AS visible_valid,
+    CASE WHEN k % 29 = 0 THEN n + 7 ELSE n + k % 4 END AS gap_advertised, n AS gap_retrievable
+    FROM (SELECT event_id AS k, user_id, event_id % 600 AS n, CASE WHEN event_id % 37 > 0 THEN 'r' || user_id END AS run FROM events) AS e)"""
 _COUNTED_ONCE = "coalesce(structured = final_count AND structured = present, false)"
 PUBLICATION_REASONS = f"""SELECT property_key, CASE WHEN published_run IS NULL THEN 'publication_missing' ELSE concat_ws(',',
     CASE WHEN run_status IS NULL THEN 'latest_run_missing' END, CASE WHEN run_status <> 'succeeded' THEN 'latest_run_not_succeeded' END, CASE WHEN run_parser IS DISTINCT FROM expected_parser THEN 'latest_run_parser_version_mismatch' END,
@@ -175,20 +177,21 @@ PUBLICATION_REASONS = f"""SELECT property_key, CASE WHEN published_run IS NULL T
     CASE WHEN {_COUNTED_ONCE} AND NOT gap_attested AND displayed IS DISTINCT FROM structured AND NOT visible_valid THEN 'visible_count_discrepancy_invalid' END,
     CASE WHEN {_COUNTED_ONCE} AND NOT gap_attested AND displayed = structured AND visible_attested THEN 'unexpected_visible_count_discrepancy' END) END AS reasons FROM {PUBLICATIONS}"""
 
-COUNTS = "(VALUES (-1), (0), (99), (100), (250), (499), (500), (100000)) AS t(n)"
-BUCKETS = "(VALUES " + ", ".join(f"('{p}', '{b}', {a}, {r})" for p, rows in {
-    "exact": ((100, 100), (50, 50), (20, 20), (5, 5), (5, 5)), "gap": ((300, 299), (150, 148), (40, 40), (5, 5), (5, 5)), "tie": ((300, 299), (150, 149), (40, 40), (5, 5), (5, 5)),
-    "large": ((100, 90), (50, 50), (20, 20), (5, 5), (5, 5)), "surplus": ((300, 301), (150, 147), (40, 40), (5, 5), (5, 5)),
-}.items() for b, (a, r) in zip(("REVIEW_ADJ_SUPERB", "REVIEW_ADJ_GOOD", "REVIEW_ADJ_AVERAGE_PASSABLE", "REVIEW_ADJ_POOR", "REVIEW_ADJ_VERY_POOR"), rows)) + ", ('short', 'REVIEW_ADJ_GOOD', 10, 9)) AS t(property_key, bucket, advertised, retrievable)"
+COUNTS = "(SELECT event_id * 37 % 1500 - 10 AS n FROM events)"
+#: Five events are the five score buckets of a property; some are missing, some fall short, some have more than they say.
+BUCKETS = """(SELECT 'p' || q AS property_key, CASE b WHEN 0 THEN 'REVIEW_ADJ_SUPERB' WHEN 1 THEN 'REVIEW_ADJ_GOOD' WHEN 2 THEN 'REVIEW_ADJ_AVERAGE_PASSABLE' WHEN 3 THEN 'REVIEW_ADJ_POOR' ELSE 'REVIEW_ADJ_VERY_POOR' END AS bucket, advertised,
+    advertised - CASE WHEN q % 6 = b THEN 2 ELSE 0 END - CASE WHEN q % 4 = b THEN 1 ELSE 0 END + CASE WHEN q % 29 = b THEN 3 ELSE 0 END - CASE WHEN q % 31 = 7 THEN 4 ELSE 0 END AS retrievable
+    FROM (SELECT CAST((event_id - event_id % 5) / 5 AS BIGINT) AS q, event_id % 5 AS b, 60 + event_id % 97 AS advertised FROM events WHERE event_id % 61 > 0) AS e)"""
 SHORTFALLS = f"""WITH b AS (SELECT *, advertised - retrievable AS short, list_position(['REVIEW_ADJ_SUPERB', 'REVIEW_ADJ_GOOD', 'REVIEW_ADJ_AVERAGE_PASSABLE', 'REVIEW_ADJ_POOR', 'REVIEW_ADJ_VERY_POOR'], bucket) AS place FROM {BUCKETS}),
 p AS (SELECT property_key, CAST(sum(advertised) AS BIGINT) AS advertised, CAST(sum(retrievable) AS BIGINT) AS retrievable, CAST(sum(short) AS BIGINT) AS gap, min(short) AS low, count(*) AS n FROM b GROUP BY 1),
 h AS (SELECT property_key, bucket AS headline_bucket, short AS headline_gap FROM b QUALIFY row_number() OVER (PARTITION BY property_key ORDER BY short DESC, place) = 1)
 SELECT property_key, advertised, retrievable, gap, least(5, CAST(floor(advertised * 0.01) AS INTEGER)) AS tolerated, headline_bucket, headline_gap,
     CASE WHEN n <> 5 THEN 'BUCKET_SET_MISMATCH' WHEN low < 0 THEN 'BUCKET_SURPLUS' WHEN gap <= 0 THEN 'NO_GAP' WHEN gap > least(5, floor(advertised * 0.01)) THEN 'GAP_TOO_LARGE' ELSE 'OK' END AS verdict FROM p JOIN h USING (property_key)"""
-SHOWN = "(VALUES ('a', 1, 100, 100), ('b', 2, 105, 100), ('c', 3, 106, 100), ('d', 9, 103, 100), ('e', 5, 103, 100)) AS t(property_key, hotel_id, visible, structured)"
-POLICY = "(VALUES ('b', 2, 5), ('c', 3, 5), ('d', 4, 5)) AS p(property_key, hotel_id, most_gap)"
-VISIBLE_GAP = f"SELECT t.property_key, visible - structured AS gap, CASE WHEN visible = structured THEN 'none' WHEN p.most_gap IS NULL THEN 'no_policy' WHEN t.hotel_id <> p.hotel_id THEN 'identity' WHEN visible - structured BETWEEN 1 AND p.most_gap THEN 'accepted' ELSE 'out_of_range' END AS verdict FROM {SHOWN} LEFT JOIN {POLICY} ON p.property_key = t.property_key"
-TOTALS = "(VALUES (1, true, 10, 10, 10, 10, 10), (2, true, 10, 10, 9, 10, 10), (3, false, 10, 1, 2, 3, 4), (4, true, 10, NULL, NULL, NULL, NULL), (5, true, 10, 10, NULL, NULL, 10)) AS t(k, unfiltered, n, a, b, c, d)"
+SHOWN = "(SELECT 'e' || event_id AS property_key, event_id AS hotel_id, 100 + event_id % 9 AS visible, 100 + event_id % 4 AS structured FROM events)"
+POLICY = "(SELECT 'e' || event_id AS property_key, CASE WHEN event_id % 7 = 0 THEN -1 ELSE event_id END AS hotel_id, 5 AS most_gap FROM events WHERE event_id % 3 > 0)"
+VISIBLE_GAP = f"SELECT t.property_key, visible - structured AS gap, CASE WHEN visible = structured THEN 'none' WHEN p.most_gap IS NULL THEN 'no_policy' WHEN t.hotel_id <> p.hotel_id THEN 'identity' WHEN visible - structured BETWEEN 1 AND p.most_gap THEN 'accepted' ELSE 'out_of_range' END AS verdict FROM {SHOWN} AS t LEFT JOIN {POLICY} AS p ON p.property_key = t.property_key"
+TOTALS = """(SELECT k, k % 7 > 0 AS unfiltered, n, CASE WHEN k % 11 > 0 AND k % 3 > 0 THEN n END AS a, CASE WHEN k % 11 > 0 THEN n + CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END END AS b, CASE WHEN k % 11 > 0 AND k % 4 > 0 THEN n END AS c,
+    CASE WHEN k % 11 > 0 AND k % 13 > 0 THEN n END AS d FROM (SELECT event_id AS k, event_id % 100 AS n FROM events) AS e)"""
 TOTALS_STATUS = f"SELECT k, CASE WHEN NOT unfiltered THEN 'not_evaluated_filtered' WHEN coalesce(a, b, c, d) IS NULL THEN 'unavailable' WHEN coalesce(a, n) = n AND coalesce(b, n) = n AND coalesce(c, n) = n AND coalesce(d, n) = n THEN 'consistent' ELSE 'inconsistent' END AS status FROM {TOTALS}"
 
 INVENTORY_PARITY = f"""{REVIEWS}, f AS (SELECT property_key, NOT (property_key = 'view' AND row_id % 7 = 0) AS kept, property_key = 'click' AND row_id % 5 = 0 AS changed FROM rev)
@@ -220,15 +223,18 @@ done AS (SELECT property_key, after3 AS tenths,
     CASE WHEN s3 AND NOT (s1 OR s2) THEN 'inserted' WHEN s3 AND NOT s2 THEN CASE WHEN t3 <> after2 THEN 'reactivated_updated' ELSE 'reactivated' END WHEN s3 AND t3 <> after2 THEN 'updated' WHEN s3 THEN 'unchanged' WHEN s2 THEN 'suspect_missing' ELSE 'tombstoned' END AS change,
     row_id FROM known)"""
 SCD2 = f"{_RUNS} SELECT property_key, version, presence, misses, suspect_since, tombstoned_at, reactivations, change, count(*) AS n, CAST(sum(tenths) AS BIGINT) AS tenths FROM done GROUP BY ALL"
+BROKEN_STATES = f"""{_RUNS} SELECT property_key, CAST(row_id AS VARCHAR) AS token, 'STATE_MISSES' AS violation FROM done WHERE row_id % 37 = 0 AND presence <> 'tombstoned'
+    UNION ALL SELECT property_key, CAST(row_id AS VARCHAR), 'TWO_CURRENT' FROM done WHERE row_id % 41 = 0 AND row_id % 37 > 0"""
 TOMBSTONES = f"""{_RUNS}, four AS (SELECT property_key, r.row_id % 11 <> 0 AS s4, CASE WHEN r.row_id % 11 <> 0 THEN 'present' ELSE 'tombstoned' END AS presence, x.tenths FROM done r JOIN rev x USING (property_key, row_id))
 SELECT property_key, count(*) FILTER (WHERE presence = 'present') AS present, count(*) FILTER (WHERE presence = 'suspect_missing') AS suspect, count(*) FILTER (WHERE presence = 'tombstoned') AS tombstoned, avg(tenths) FILTER (WHERE presence = 'present') / 10 AS average FROM four GROUP BY 1"""
 
-CATEGORIES = "(VALUES ('a', 'staff', 8.5, 0), ('a', 'comfort', 7.0, 1), ('a', 'staff', 9.0, 2), ('b', 'free_wifi', 6.5, 0), ('b', 'pool', 5.5, 1), ('b', 'bar', 4.5, 2), ('b', 'pool', 6.0, 3)) AS t(property_key, category, score, place)"
+CATEGORIES = """(SELECT 'u' || user_id AS property_key, CASE event_type WHEN 'view' THEN 'staff' WHEN 'click' THEN 'comfort' WHEN 'purchase' THEN 'free_wifi' WHEN 'signup' THEN 'pool' ELSE 'bar' END AS category,
+    CAST(event_id % 101 AS DOUBLE) / 10 AS score, event_id AS place FROM events)"""
 CATEGORY_PIVOT = f"""WITH c AS (SELECT property_key, category, arg_max(score, place) AS score FROM {CATEGORIES} GROUP BY 1, 2)
 SELECT property_key, max(score) FILTER (WHERE category = 'staff') AS staff, max(score) FILTER (WHERE category = 'comfort') AS comfort, max(score) FILTER (WHERE category = 'free_wifi') AS free_wifi,
     '{{' || coalesce(string_agg('"' || category || '":' || score, ',' ORDER BY category) FILTER (WHERE category NOT IN ('staff', 'comfort', 'free_wifi')), '') || '}}' AS other FROM c GROUP BY 1"""
-LABELS = "(VALUES ('Free WiFi'), ('Value for money'), ('Food & Drink'), ('  Staff  ')) AS t(label)"
-CATEGORY_KEYS = "SELECT * FROM (VALUES ('Free WiFi', 'free_wifi'), ('Value for money', 'value'), ('Food & Drink', 'source:food and drink'), ('  Staff  ', 'source:staff')) AS t(label, category)"
+LABELS = """(SELECT event_id AS k, event_type, user_id, CASE event_id % 4 WHEN 0 THEN '  Free   WiFi ' WHEN 1 THEN upper(event_type) || ' for money' WHEN 2 THEN event_type || ' & Drink-' || user_id ELSE 'Value for money!' END AS label FROM events)"""
+CATEGORY_KEYS = f"SELECT k, label, CASE k % 4 WHEN 0 THEN 'free_wifi' WHEN 1 THEN 'source:' || event_type || ' for money' WHEN 2 THEN 'source:' || event_type || ' and drink ' || user_id ELSE 'value' END AS category FROM {LABELS}"
 EXPORT_SAMPLE = f"{REVIEWS} SELECT property_key, public_id AS review_id, local_date, tenths / 10.0::DOUBLE AS score FROM rev QUALIFY row_number() OVER (PARTITION BY property_key ORDER BY epoch DESC, row_id) <= 5"
 _CELL = lambda c: f"coalesce('\"' || replace(CAST({c} AS VARCHAR), '\"', '\"\"') || '\"', '')"
 CSV_LINES = f"{REVIEWS} SELECT " + " || ',' || ".join(_CELL(c) for c in ("property_key", "property_name", "hotel_id", "public_id", "local_date", "positive_text", "negative_text", "partner_reply", "helpful", "room")) + " AS line FROM rev JOIN props USING (property_key)"
@@ -239,10 +245,11 @@ d AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY row_id) > 1 AS twic
 AUDIT_ISSUES = _AUDITED + " SELECT code, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{code}' AS code FROM d WHERE {c}" for code, c in (("PROPERTY_IDENTITY_MISMATCH", "identity_"), ("REVIEW_ID_INVALID", "id_"), ("REVIEW_ID_DUPLICATE", "twice_"), ("SCORE_INVALID", "score_"), ("LOCAL_DATE_MISMATCH", "date_"), ("VOTES_INVALID", "votes_"))) + ") GROUP BY 1"
 AUDIT_READINESS = f"""{_AUDITED} SELECT property_key, count(*) AS records, count(*) FILTER (WHERE NOT (identity_ OR id_ OR twice_ OR score_ OR date_)) AS weekly_ready, count(*) FILTER (WHERE NOT (identity_ OR score_)) AS property_ready,
     count(*) FILTER (WHERE NOT (identity_ OR id_ OR twice_ OR score_ OR date_ OR votes_)) AS feed_ready FROM d GROUP BY 1"""
-URLS = "(VALUES ('https://cf.photos.example.com/x/1.jpg?k=1'), ('https://PHOTOS.example.com:443/a'), ('http://cf.photos.example.com/x'), ('https://u:p@cf.photos.example.com/x'), ('https://photos.example.com.evil.net/x'), ('https://q.photos.example.com/a b'), (NULL)) AS t(url)"
-PHOTO_URLS = "SELECT * FROM (VALUES ('https://cf.photos.example.com/x/1.jpg?k=1', 'https://photo-cdn.invalid/x/1.jpg?k=1'), ('https://PHOTOS.example.com:443/a', 'https://photo-cdn.invalid:443/a'), ('http://cf.photos.example.com/x', NULL), ('https://u:p@cf.photos.example.com/x', NULL), ('https://photos.example.com.evil.net/x', NULL), ('https://q.photos.example.com/a b', NULL), (NULL, NULL)) AS t(url, canonical)"
-SECRET_TEXTS = "(VALUES (1, 'GET https://x.example/a?sid=123&page=2'), (2, 'Authorization: Bearer abc'), (3, 'plain'), (4, 'https://x.example/?q=1&TOKEN=zz#f')) AS t(k, t)"
-REDACTED = "SELECT * FROM (VALUES (1, 'GET https://x.example/a?sid=[REDACTED]&page=2'), (2, 'Authorization: [REDACTED]'), (3, 'plain'), (4, 'https://x.example/?q=1&TOKEN=[REDACTED]#f')) AS t(k, shown)"
+URLS = """(SELECT event_id AS k, user_id, CASE event_id % 7 WHEN 0 THEN 'https://cf.photos.example.com/x/' || event_id || '.jpg?k=' || user_id WHEN 1 THEN 'https://PHOTOS.example.com:443/' || event_id WHEN 2 THEN 'http://cf.photos.example.com/' || event_id
+    WHEN 3 THEN 'https://u:p@cf.photos.example.com/' || event_id WHEN 4 THEN 'https://photos.example.com.evil.net/' || event_id WHEN 5 THEN 'https://q.photos.example.com/a ' || event_id END AS url FROM events)"""
+PHOTO_URLS = f"SELECT k, url, CASE k % 7 WHEN 0 THEN 'https://photo-cdn.invalid/x/' || k || '.jpg?k=' || user_id WHEN 1 THEN 'https://photo-cdn.invalid:443/' || k END AS canonical FROM {URLS}"
+SECRET_TEXTS = """(SELECT event_id AS k, user_id, event_type, CASE event_id % 4 WHEN 0 THEN 'GET https://x.example/a?sid=' || event_id || '&page=' || user_id WHEN 1 THEN 'Authorization: Bearer ' || event_id WHEN 2 THEN event_type ELSE 'https://x.example/?q=' || event_id || '&TOKEN=' || user_id || '#f' END AS t FROM events)"""
+REDACTED = f"SELECT k, CASE k % 4 WHEN 0 THEN 'GET https://x.example/a?sid=[REDACTED]&page=' || user_id WHEN 1 THEN 'Authorization: [REDACTED]' WHEN 2 THEN event_type ELSE 'https://x.example/?q=' || k || '&TOKEN=[REDACTED]#f' END AS shown FROM {SECRET_TEXTS}"
 WEEK_COLUMNS = f"{REVIEWS} SELECT CAST(date_trunc('week', local_date) AS DATE) AS week, CASE WHEN tenths >= 80 THEN 'excellent' WHEN tenths >= 70 THEN 'good' WHEN tenths >= 50 THEN 'mixed' ELSE 'poor' END AS tone, count(*) AS n FROM rev GROUP BY 1, 2"
 LEFT_JOINED = "SELECT source, count(*) AS documents, count(quality) AS labelled, count(*) FILTER (WHERE quality = 1) AS good FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1"
 
@@ -260,14 +267,22 @@ CARD_VIOLATIONS = f"""{REVIEWS}, c AS (SELECT property_key, row_id // 10 AS page
 w AS (SELECT *, lag(epoch) OVER (PARTITION BY property_key ORDER BY page_offset, card_index) AS before FROM c)
 SELECT property_key, code, count(*) AS n FROM (SELECT property_key, 'DATE_ORDER' AS code FROM w WHERE epoch < before UNION ALL SELECT property_key, 'DUPLICATE_IN_PAGE' FROM w WHERE copy = 1
     UNION ALL SELECT property_key, 'RECORD_CHANGED' FROM w WHERE copy = 1 AND row_id % 178 = 0 UNION ALL SELECT property_key, 'NO_SCORE_BUCKET' FROM w WHERE tenths NOT BETWEEN 10 AND 100) GROUP BY 1, 2"""
-PHASES = "(VALUES ('ok', 'oldest', 10, 'OK'), ('ok', 'newest', 10, 'OK'), ('half', 'oldest', 5, 'OK'), ('bad', 'oldest', 5, 'OK'), ('bad', 'newest', 5, 'PAGE_SHAPE'), ('moved', 'oldest', 5, 'OK'), ('moved', 'newest', 6, 'OK'), ('less', 'oldest', 3, 'OK'), ('less', 'newest', 3, 'OK')) AS t(property_key, phase, reported, verdict)"
-STAGED = "(VALUES " + ", ".join(f"('{p}', '{i}')" for p, n in (("ok", 10), ("half", 5), ("bad", 5), ("moved", 6), ("less", 2)) for i in range(n)) + ") AS t(property_key, token)"
-FINALIZED = "SELECT property_key, final_count, CAST(staged AS BIGINT) AS staged, verdict FROM (VALUES ('ok', 10, 10, 'OK'), ('half', 5, 5, 'PHASE_MISSING'), ('bad', 5, 5, 'PHASE_INVALID'), ('moved', 6, 6, 'COUNTS_DIFFER'), ('less', 3, 2, 'STAGED_COUNT_MISMATCH')) AS t(property_key, final_count, staged, verdict)"
-EXISTING = "(VALUES ('a', 1, 'A'), ('b', 2, 'B'), ('c', 3, 'C')) AS t(property_key, hotel_id, property_name)"
-INCOMING = "(VALUES ('a', 1, 'A'), ('b', 2, 'B2'), ('d', 3, 'D'), ('e', 5, 'E')) AS t(property_key, hotel_id, property_name)"
-REGISTERED = "SELECT * FROM (VALUES ('a', 1, 'A', 'unchanged', NULL), ('b', 2, 'B2', 'renamed', NULL), ('c', 3, 'C', 'kept', NULL), ('d', 3, 'D', 'added', 'HOTEL_ID_TAKEN'), ('e', 5, 'E', 'added', NULL)) AS t(property_key, hotel_id, property_name, change, conflict)"
-PHOTO_PAIRS = "(VALUES ('https://a.x/p?k=1&l=2#f', 'https://a.x/p?k=1&l=2#f'), ('https://a.x/p', 'https://b.x/p'), ('https://a.x/p?k=1&l=2', 'https://a.x/p?l=2&k=1'), ('https://a.x/p?k=1', 'http://a.x/q?k=2#z'), (NULL, 'https://a.x/p'), ('https://a.x/p?k=1', 'https://a.x/p?m=1')) AS t(before, after)"
-PHOTO_CHANGES = "SELECT * FROM (VALUES (5::BIGINT, 1::BIGINT, 1::BIGINT, 1::BIGINT, 3::BIGINT, 1::BIGINT, 1::BIGINT, 1::BIGINT, 3::BIGINT, 1::BIGINT)) AS t(parseable, protocol, host, path, query, fragment, query_keys, query_values, same_without_query, unparsable)"
+#: Two phases of each user's run, and what it staged: some lack a phase, have bad pages, another count, or staged too little.
+PHASES = """(SELECT 'u' || user_id AS property_key, 'oldest' AS phase, count(*) AS reported, CASE WHEN user_id % 11 = 3 THEN 'PAGE_SHAPE' ELSE 'OK' END AS verdict FROM events GROUP BY user_id
+    UNION ALL SELECT 'u' || user_id, 'newest', count(*) + CASE WHEN user_id % 7 = 2 THEN 1 ELSE 0 END, 'OK' FROM events WHERE user_id % 5 > 0 GROUP BY user_id)"""
+STAGED = "(SELECT 'u' || user_id AS property_key, CAST(event_id AS STRING) AS token FROM events WHERE user_id % 13 <> 4 OR event_id % 2 = 0)"
+FINALIZED = """WITH g AS (SELECT user_id AS u, count(*) AS n, user_id % 7 = 2 AND user_id % 5 > 0 AS moved, count(*) FILTER (WHERE user_id % 13 <> 4 OR event_id % 2 = 0) AS staged FROM events GROUP BY 1), f AS (SELECT *, n + CASE WHEN moved THEN 1 ELSE 0 END AS final_count FROM g)
+SELECT 'u' || u AS property_key, final_count, staged, CASE WHEN u % 5 = 0 THEN 'PHASE_MISSING' WHEN u % 11 = 3 THEN 'PHASE_INVALID' WHEN moved THEN 'COUNTS_DIFFER' WHEN staged <> final_count THEN 'STAGED_COUNT_MISMATCH' ELSE 'OK' END AS verdict FROM f"""
+EXISTING = "(SELECT 'p' || event_id AS property_key, event_id AS hotel_id, event_type AS property_name FROM events WHERE event_id % 3 > 0)"
+INCOMING = "(SELECT 'p' || event_id AS property_key, event_id + CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END AS hotel_id, CASE WHEN event_id % 5 = 0 THEN 'new ' || event_type ELSE event_type END AS property_name FROM events WHERE event_id % 4 > 0)"
+REGISTERED = """WITH e AS (SELECT event_id AS k, event_type AS name, event_id % 3 > 0 AS held, event_id % 4 > 0 AS comes, event_id % 7 = 0 AS other, event_id % 5 = 0 AS renamed, (event_id + 1) % 3 > 0 AND event_id + 1 IN (SELECT event_id FROM events) AS taken FROM events)
+SELECT 'p' || k AS property_key, CASE WHEN other AND NOT held THEN k + 1 ELSE k END AS hotel_id, CASE WHEN comes AND renamed THEN 'new ' || name ELSE name END AS property_name, CASE WHEN NOT comes THEN 'kept' WHEN NOT held THEN 'added' WHEN renamed THEN 'renamed' ELSE 'unchanged' END AS change,
+    CASE WHEN comes AND other THEN CASE WHEN held THEN 'HOTEL_ID_CHANGED' WHEN taken THEN 'HOTEL_ID_TAKEN' END END AS conflict FROM e WHERE held OR comes"""
+PHOTO_PAIRS = """(SELECT 'https://a.x/p?k=' || event_id || '&l=2#f' AS before, CASE WHEN event_id % 17 > 0 THEN CASE WHEN event_id % 19 = 0 THEN 'http' ELSE 'https' END || '://' || CASE WHEN event_id % 3 = 0 THEN 'b.x' ELSE 'a.x' END || CASE WHEN event_id % 5 = 0 THEN '/q' ELSE '/p' END
+    || CASE WHEN event_id % 7 = 0 THEN '?k=x&l=2' WHEN event_id % 11 = 0 THEN '?l=2&k=' || event_id WHEN event_id % 23 = 0 THEN '?m=' || event_id ELSE '?k=' || event_id || '&l=2' END || CASE WHEN event_id % 13 = 0 THEN '#z' ELSE '#f' END END AS after FROM events)"""
+PHOTO_CHANGES = "SELECT " + ", ".join(f"count(*) FILTER (WHERE {c}) AS {n}" for n, c in {
+    "parseable": "true", "protocol": "k % 19 = 0", "host": "k % 3 = 0", "path": "k % 5 = 0", "query": "k % 7 = 0 OR k % 11 = 0 OR k % 23 = 0", "fragment": "k % 13 = 0", "query_keys": "k % 23 = 0 AND k % 7 > 0 AND k % 11 > 0", "query_values": "k % 7 = 0", "same_without_query": "k % 19 > 0 AND k % 3 > 0 AND k % 5 > 0",
+}.items()) + ", (SELECT count(*) FROM events WHERE event_id % 17 = 0) AS unparsable FROM (SELECT event_id AS k FROM events WHERE event_id % 17 > 0)"
 MANIFEST_PROBLEMS = f"{REVIEWS} SELECT property_key, CASE WHEN property_key = 'error' THEN NULL ELSE count(*) + CASE WHEN property_key = 'click' THEN 1 ELSE 0 END END AS records, count(*) AS found, CASE property_key WHEN 'error' THEN 'PROPERTY_NOT_DECLARED' WHEN 'click' THEN 'COUNT_MISMATCH' WHEN 'view' THEN 'DATE_BOUNDS' ELSE 'OK' END AS verdict FROM rev GROUP BY 1"
 NOTABLE_WEEKS = f"{WEEKLY_TREND.replace('SELECT b.week_start', ', trend AS (SELECT b.week_start', 1)}) SELECT (SELECT week_start FROM trend WHERE average IS NOT NULL ORDER BY average DESC, week_start LIMIT 1) AS strongest, (SELECT week_start FROM trend WHERE average IS NOT NULL ORDER BY average, week_start LIMIT 1) AS weakest, (SELECT week_start FROM trend ORDER BY reviews DESC, week_start LIMIT 1) AS busiest"
 RANKED_TOPICS = f"WITH ranked AS ({TOPIC_METRICS}) SELECT topic, CASE WHEN negative_share IS NULL THEN '—' ELSE printf('%.1f%%', negative_share) END AS share, trend FROM ranked"

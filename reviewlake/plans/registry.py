@@ -177,43 +177,43 @@ def alerts(spark, sf_dir):
     # Written once: both metrics read the classified rows.
     rows = settled(with_topics(spark, sf_dir).select("row_id", "property_key", "epoch", "local_date", "tenths", "sentiment", "has_negative_feedback", "partner_reply", "topics"))
     dims = src.properties(spark)
-    return metrics.alerts(metrics.property_metrics(rows, WEEK, dims), metrics.topic_metrics(rows, WEEK, dims), quality.quality_rows(values(spark, sql.EVIDENCE)))
+    return metrics.alerts(metrics.property_metrics(rows, WEEK, dims), metrics.topic_metrics(rows, WEEK, dims), quality.quality_rows(values(spark, sf_dir, sql.EVIDENCE)))
 
 
 @query(sql.QUALITY_ROWS)
 def quality_rows(spark, sf_dir):
-    return quality.quality_rows(values(spark, sql.EVIDENCE)).drop("note")
+    return quality.quality_rows(values(spark, sf_dir, sql.MUCH_EVIDENCE))
 
 
-@query("SELECT 'error' AS overall, CAST(4 AS BIGINT) AS accepted, CAST(4 AS BIGINT) AS pending")
+@query(sql.OVERALL)
 def overall_status(spark, sf_dir):
-    return quality.overall(quality.quality_rows(values(spark, sql.EVIDENCE)))
+    return quality.overall(quality.quality_rows(values(spark, sf_dir, sql.MUCH_EVIDENCE)))
 
 
 @query(sql.PUBLICATION_REASONS)
 def publication_reasons(spark, sf_dir):
-    rows = values(spark, sql.PUBLICATIONS)
+    rows = values(spark, sf_dir, sql.PUBLICATIONS)
     return rows.select("property_key", F.concat_ws(",", quality.publication_reasons()).alias("reasons"))
 
 
 @query(f"SELECT n, CASE WHEN n >= 0 THEN least(5, CAST(floor(n * 0.01) AS INTEGER)) ELSE 0 END AS tolerated FROM {sql.COUNTS}")
 def gap_tolerance(spark, sf_dir):
-    return values(spark, sql.COUNTS).select("n", gaps.tolerance(F.col("n")).alias("tolerated"))
+    return values(spark, sf_dir, sql.COUNTS).select("n", gaps.tolerance(F.col("n")).alias("tolerated"))
 
 
 @query(sql.SHORTFALLS)
 def bucket_shortfall(spark, sf_dir):
-    return gaps.shortfalls(values(spark, sql.BUCKETS))
+    return gaps.shortfalls(values(spark, sf_dir, sql.BUCKETS))
 
 
 @query(sql.VISIBLE_GAP)
 def visible_gap_eval(spark, sf_dir):
-    return gaps.visible_gap(values(spark, sql.SHOWN), values(spark, sql.POLICY)).select("property_key", "gap", "verdict")
+    return gaps.visible_gap(values(spark, sf_dir, sql.SHOWN), values(spark, sf_dir, sql.POLICY)).select("property_key", "gap", "verdict")
 
 
 @query(sql.TOTALS_STATUS)
 def totals_consistency(spark, sf_dir):
-    rows = values(spark, sql.TOTALS)
+    rows = values(spark, sf_dir, sql.TOTALS)
     return rows.select("k", gaps.totals_status(F.col("unfiltered"), F.col("n"), F.array("a", "b", "c", "d")).alias("status"))
 
 
@@ -298,9 +298,13 @@ def tombstone_lifecycle(spark, sf_dir):
     return metrics.publication_stats(snapshots.promote(_generations(spark, sf_dir), inventory(spark, sf_dir, 11), 4))
 
 
-@query("SELECT property_key, token, violation FROM (VALUES ('', '', '')) AS t(property_key, token, violation) WHERE false")
+@query(sql.BROKEN_STATES)
 def generation_invariants(spark, sf_dir):
-    return snapshots.invariants(_generations(spark, sf_dir))
+    """A generation of which some states were spoilt and some keys written twice."""
+    g = _generations(spark, sf_dir)
+    k = F.col("token").cast("long")
+    g = g.withColumn("misses", F.when(k % 37 == 0, F.col("misses") + 5).otherwise(F.col("misses")))
+    return snapshots.invariants(g.unionByName(g.filter((k % 41 == 0) & (k % 37 > 0))))
 
 
 @query("SELECT event_id AS row_id, substr(sha256(event_type || ':' || CAST(event_id AS VARCHAR)), 1, 24) AS public_id FROM events")
@@ -317,13 +321,13 @@ def content_hash_dups(spark, sf_dir):
 
 @query(sql.CATEGORY_PIVOT)
 def category_pivot(spark, sf_dir):
-    out = export.category_pivot(values(spark, sql.CATEGORIES), ("staff", "comfort", "free_wifi"))
+    out = export.category_pivot(values(spark, sf_dir, sql.CATEGORIES), ("staff", "comfort", "free_wifi"))
     return out.withColumn("other", F.to_json("other"))
 
 
 @query(sql.CATEGORY_KEYS)
 def category_keys(spark, sf_dir):
-    return values(spark, sql.LABELS).select("label", scalars.category_key(F.col("label"), {"free wifi": "free_wifi", "value for money": "value"}).alias("category"))
+    return values(spark, sf_dir, sql.LABELS).select("k", "label", scalars.category_key(F.col("label"), {"free wifi": "free_wifi", "value for money": "value"}).alias("category"))
 
 
 def _records(spark, sf_dir) -> DataFrame:
@@ -369,12 +373,12 @@ def audit_readiness(spark, sf_dir):
 
 @query(sql.PHOTO_URLS)
 def canonical_photo_urls(spark, sf_dir):
-    return values(spark, sql.URLS).select("url", scalars.canonical_photo(F.col("url")).alias("canonical"))
+    return values(spark, sf_dir, sql.URLS).select("k", "url", scalars.canonical_photo(F.col("url")).alias("canonical"))
 
 
 @query(sql.REDACTED)
 def redact_urls(spark, sf_dir):
-    return values(spark, sql.SECRET_TEXTS).select("k", scalars.redacted(F.col("t")).alias("shown"))
+    return values(spark, sf_dir, sql.SECRET_TEXTS).select("k", scalars.redacted(F.col("t")).alias("shown"))
 
 
 @query("SELECT 'detail.value:value' AS path, count(*) AS n FROM events WHERE event_id % 9 = 0 AND value <> -1 HAVING count(*) > 0")
@@ -449,17 +453,17 @@ def card_violations(spark, sf_dir):
 
 @query(sql.FINALIZED)
 def finalize_runs(spark, sf_dir):
-    return checks.finalized(values(spark, sql.PHASES), values(spark, sql.STAGED))
+    return checks.finalized(values(spark, sf_dir, sql.PHASES), values(spark, sf_dir, sql.STAGED))
 
 
 @query(sql.REGISTERED)
 def register_properties(spark, sf_dir):
-    return checks.register(values(spark, sql.EXISTING), values(spark, sql.INCOMING))
+    return checks.register(values(spark, sf_dir, sql.EXISTING), values(spark, sf_dir, sql.INCOMING))
 
 
 @query(sql.PHOTO_CHANGES)
 def photo_changes(spark, sf_dir):
-    return checks.photo_changes(values(spark, sql.PHOTO_PAIRS))
+    return checks.photo_changes(values(spark, sf_dir, sql.PHOTO_PAIRS))
 
 
 @query(sql.MANIFEST_PROBLEMS)
