@@ -14,13 +14,13 @@ NEGATIVE_PLACEHOLDER_PATTERNS = (
 )
 #: A score is positive from the first and negative below the second, in tenths.
 POSITIVE_FROM, NEGATIVE_BELOW = 80, 70
-_SPACE = r"[\s\p{Z}\x{FEFF}]+"
+_SPACE, _SOLID = r"[\s\p{Z}\x{FEFF}]+", r"[^\s\p{Z}\x{FEFF}]"
 
 
 def bare(text: Column) -> Column:
     """Trimmed, lower case, single spaces, without punctuation at the edges."""
     t = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _SPACE, " "))
-    return F.trim(F.regexp_replace(t, r"^[.,!?;:]+|[.,!?;:]+$", ""))
+    return F.trim(F.btrim(t, F.lit(".,!?;:")))
 
 
 def state(text: Column, negative: bool) -> Column:
@@ -30,10 +30,9 @@ def state(text: Column, negative: bool) -> Column:
     if negative:
         sentence = F.trim(F.regexp_replace(F.regexp_replace(F.translate(t, "’", "'"), r"[.!?;:]+", " "), _SPACE, " "))
         filler = filler | t.isin(*NEGATIVE_PLACEHOLDERS)
-        for p in NEGATIVE_PLACEHOLDER_PATTERNS:
-            filler = filler | sentence.rlike(p)
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), _SPACE, "")
-    return F.when(trimmed == "", "empty").when(filler, "placeholder").otherwise("substantive")
+        # Both patterns name an issue or a problem; few texts do, and only these are read as sentences.
+        filler = filler | ((t.contains("issue") | t.contains("problem")) & sentence.rlike("|".join(NEGATIVE_PLACEHOLDER_PATTERNS)))
+    return F.when(~F.coalesce(text, F.lit("")).rlike(_SOLID), "empty").when(filler, "placeholder").otherwise("substantive")
 
 
 def band(tenths: Column) -> Column:

@@ -117,28 +117,40 @@ _MARK = "\uffff"
 _PLACES = "array<struct<start: int, `end`: int>>"
 
 
-def _places(text: str, pattern: str) -> str:
-    """(start, end) of each match, from the lengths of what lies between matches and of the matches, in turn; empty for null."""
-    p = _literal(pattern)
-    # Cut at a mark instead of the pattern, which split() would compile for each text.
-    turns = f"zip_with(slice(split(regexp_replace({text}, {p}, '{_MARK}'), '{_MARK}', -1), 1, size(m)), m, (g, x) -> named_struct('gap', length(g), 'match', length(x)))"
+def _places(hit: str) -> str:
+    """(start, end) of each match of a rule that hit, from the lengths of what lies between matches and of the matches, in turn."""
+    turns = f"zip_with(slice(split({hit}.cut, '{_MARK}', -1), 1, size({hit}.matches)), {hit}.matches, (g, x) -> named_struct('gap', length(g), 'match', length(x)))"
     step = "(s, x) -> named_struct('at', s.at + x.gap + x.match, 'out', concat(s.out, array(named_struct('start', s.at + x.gap, 'end', s.at + x.gap + x.match))))"
-    walked = f"if(size(m) > 0, aggregate({turns}, named_struct('at', 0, 'out', cast(array() AS {_PLACES})), {step}, s -> s.out), cast(array() AS {_PLACES}))"
-    return _let(f"coalesce(regexp_extract_all({text}, {p}, 0), cast(array() AS array<string>))", "m", walked)
+    return f"aggregate({turns}, named_struct('at', 0, 'out', cast(array() AS {_PLACES})), {step}, s -> s.out)"
 
 
-def _found(rule: tuple, channel: str, own: str) -> str:
-    """The matches of one rule in one channel, as evidence with what orders it: positive text first, then place and rule."""
+def _hit(rule: tuple, channel: str, own: str) -> str:
+    """One rule in one channel: its matches, the text with a mark in place of each, and what decides about them."""
     name, polarity, pattern, flags = rule
-    base, text, low = own if polarity == "source" else polarity, f"__{channel}", f"__{channel}_low"
-    flips = _negated(low, "m.start") if "N" in flags else "false"
-    if "N" in flags and "I" in flags:
-        flips += f" OR exists({_words(f'substring({low}, m.start + 1, m.`end` - m.start)')}, {_IS_NEGATOR})"
-    said = (
-        f"named_struct('later', {str(channel != 'positive_text').lower()}, 'start', m.start, 'rule', '{name}', 'end', m.`end`, 'field', '{channel}', "
-        f"'text', substring({text}, m.start + 1, m.`end` - m.start), 'polarity', if(flip, '{_OTHER[base]}', '{base}'), 'negated', flip)"
+    base, text, low, p = own if polarity == "source" else polarity, f"__{channel}", f"__{channel}_low", _literal(_searched(pattern))
+    # Cut at a mark later, not at the pattern here, which split() would compile for each text.
+    return (
+        f"named_struct('topic', '{name.split('.')[0]}', 'rule', '{name}', 'field', '{channel}', 'later', {str(channel != 'positive_text').lower()}, 'base', '{base}', 'other', '{_OTHER[base]}', 'flips', {str('N' in flags).lower()}, 'inside', {str('I' in flags).lower()}, "
+        f"'text', {text}, 'low', {low}, 'matches', coalesce(regexp_extract_all({low}, {p}, 0), cast(array() AS array<string>)), 'cut', regexp_replace({low}, {p}, '{_MARK}'))"
     )
-    return f"transform({_places(low, _searched(pattern))}, m -> {_let(flips, 'flip', said)})"
+
+
+def _hits() -> str:
+    """All rules that match. Most reviews have few topics: of the others no rule is tried alone."""
+    of = []
+    for topic, _ in TOPICS:
+        rules = [r for r in RULES if r[0].split(".")[0] == topic]
+        any_ = _literal("|".join(f"(?:{_searched(p)})" for _, _, p, _ in rules))
+        of.append(f"if({' OR '.join(f'coalesce(__{c}_low RLIKE {any_}, false)' for c, _ in CHANNELS)}, array({', '.join(_hit(r, c, own) for r in rules for c, own in CHANNELS)}), NULL)")
+    return f"filter(flatten(array_compact(array({', '.join(of)}))), h -> size(h.matches) > 0)"
+
+
+def _found() -> str:
+    """All matches, as evidence with what orders it: positive text first, then place and rule. Written once for all rules: what is planned stays small."""
+    inside = f"h.inside AND exists({_words('substring(h.low, m.start + 1, m.`end` - m.start)')}, {_IS_NEGATOR})"
+    said = "named_struct('later', h.later, 'start', m.start, 'rule', h.rule, 'end', m.`end`, 'field', h.field, 'text', substring(h.text, m.start + 1, m.`end` - m.start), 'polarity', if(flip, h.other, h.base), 'negated', flip, 'topic', h.topic)"
+    flips = f"h.flips AND ({_negated('h.low', 'm.start')} OR {inside})"
+    return f"flatten(transform({_hits()}, h -> transform({_places('h')}, m -> {_let(flips, 'flip', said)})))"
 
 
 def _searched(pattern: str) -> str:
@@ -154,22 +166,22 @@ _OVER = f"NOT {_ANCHOR.format('x')} AND x.field = a.field AND x.start < a.`end`
 _ACCEPTED = f"array_sort(filter(f, a -> NOT {_ANCHOR.format('a')} OR NOT exists(f, x -> {_OVER})))"
 
 
-def _topic(topic: str, evidence: bool) -> str:
-    found = f"concat({', '.join(_found(rule, c, own) for rule in RULES if rule[0].split('.')[0] == topic for c, own in CHANNELS)})"
+@functools.cache
+def _topics(evidence: bool) -> str:
     polarity = _let("array_distinct(transform(e, m -> m.polarity))", "p", "if(size(p) = 1, p[0], 'mixed')")
-    fields = f"'topic', '{topic}', 'polarity', {polarity}"
+    fields = f"'topic', t, 'polarity', {polarity}"
     if evidence:
         kept = ", ".join(f"'{k}', m.`{k}`" for k in ("rule", "field", "start", "end", "text", "polarity", "negated"))
         fields += f", 'terms', array_distinct(transform(e, m -> lower(m.text))), 'fields', array_distinct(transform(e, m -> m.field)), 'evidence', transform(e, m -> named_struct({kept}))"
-    said = _let(_let(found, "f", _ACCEPTED), "e", f"if(size(e) > 0, named_struct({fields}), NULL)")
-    # Most reviews have few topics: of the others no rule is tried alone.
-    any_ = _literal("|".join(f"(?:{_searched(p)})" for name, _, p, _ in RULES if name.split(".")[0] == topic))
-    return f"if({' OR '.join(f'coalesce(__{c}_low RLIKE {any_}, false)' for c, _ in CHANNELS)}, {said}, NULL)"
+    one = _let("filter(found, x -> x.topic = t)", "f", _let(_ACCEPTED, "e", f"if(size(e) > 0, named_struct({fields}), NULL)"))
+    order = f"array({', '.join(repr(t) for t, _ in TOPICS)})"
+    return f"array_compact({_let(_found(), 'found', f'transform({order}, t -> {one})')})"
 
 
-@functools.cache
-def _topics(evidence: bool) -> str:
-    return f"array_compact(array({', '.join(_topic(t, evidence) for t, _ in TOPICS)}))"
+def _texts() -> tuple[dict[str, Column], dict[str, Column]]:
+    """The substantive texts of the channels, and these in lower case: ASCII letters alone, so that places stay as they are."""
+    texts = {f"__{c}": F.when(F.col(f"{c.removesuffix('_text')}_state") == "substantive", F.col(c)) for c, _ in CHANNELS}
+    return texts, {f"__{c}_low": F.translate(f"__{c}", ascii_uppercase + "’" + _MARK, ascii_lowercase + "' ") for c, _ in CHANNELS}
 
 
 def with_topics(classified: DataFrame, evidence: bool = False) -> DataFrame:
@@ -179,12 +191,36 @@ def with_topics(classified: DataFrame, evidence: bool = False) -> DataFrame:
     found by place; a match is negated within its clause; an anchor gives way
     to a specific match that it overlaps.
     """
-    texts = {f"__{c}": F.when(F.col(f"{c.removesuffix('_text')}_state") == "substantive", F.col(c)) for c, _ in CHANNELS}
-    # ASCII letters alone, so that places stay as they are.
-    low = {f"__{c}_low": F.translate(f"__{c}", ascii_uppercase + "’" + _MARK, ascii_lowercase + "' ") for c, _ in CHANNELS}
+    texts, low = _texts()
     return classified.withColumns(texts).withColumns(low).withColumn("topics", F.expr(_topics(evidence))).drop(*texts, *low)
 
 
+#: Tasks over which the rows of one text are spread.
+SPREAD = 16
+
+
+def with_topics_once(classified: DataFrame, keys: tuple[str, ...], evidence: bool = False, spread: int = SPREAD) -> DataFrame:
+    """with_topics() for reviews that often say the same: texts are brought together by a shuffle, classified once, and joined with their rows.
+
+    A shuffle of short texts costs far less than their classification. The rows
+    of a frequent text are dealt by their ``keys`` over ``spread`` parts, each
+    of which has the text classified; rows without any text have no topics and
+    meet nobody.
+    """
+    texts, low = _texts()
+    # A substantive text is never empty, so an empty one can stand for none: plain equality keeps the partitioning for the join.
+    rows = classified.withColumns({k: F.coalesce(c, F.lit("")) for k, c in texts.items()})
+    said = F.lit(False)
+    for k in texts:
+        said |= F.col(k) != ""
+    part = F.xxhash64(*keys)
+    rows = rows.withColumn("__part", F.when(said, F.pmod(part, F.lit(spread))).otherwise(part))
+    on = ["__part", *texts]
+    known = rows.filter(said).select(*on).distinct().withColumns(low).select(*on, F.expr(_topics(evidence)).alias("topics"))
+    none = F.array().cast(known.schema["topics"].dataType)
+    return rows.join(known, on, "left").select(*classified.columns, F.coalesce("topics", none).alias("topics"))
+
+
 def topic_dimension(spark) -> DataFrame:
     return spark.createDataFrame([(i, t, n) for i, (t, n) in enumerate(TOPICS)], "topic_ordinal int, topic string, topic_label string")
 

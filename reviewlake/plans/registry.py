@@ -25,11 +25,11 @@ def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_topics(spark: SparkSession, sf_dir: str, evidence: bool = False) -> DataFrame:
-    rows = classified(spark, sf_dir)
-    # A small table is one row group, which one task would classify alone; a large one has parts enough and isn't shuffled.
+    rows = src.canonical(spark, sf_dir)
+    # A small table is one row group, which one task would read and classify alone; a large one has parts enough and isn't shuffled.
     if rows.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
         rows = rows.repartition(spark.sparkContext.defaultParallelism)
-    return topics.with_topics(rows, evidence)
+    return topics.with_topics_once(sentiment.with_sentiment(rows), ("property_key", "token"), evidence)
 
 
 COMPARED = ("current_average", "current_count", "current_positive", "current_mixed", "current_negative", "current_unclassified", "current_negative_feedback", "current_responses", "previous_average", "previous_count", "average_delta", "direction")
@@ -107,7 +107,8 @@ def review_topics(spark, sf_dir):
 
 @query(sql.TOPIC_EVIDENCE)
 def topic_evidence(spark, sf_dir):
-    return with_topics(spark, sf_dir, evidence=True).select("row_id", F.explode("topics").alias("t")).select("row_id", "t.topic", F.explode("t.evidence").alias("e")).select("row_id", "topic", "e.*")
+    said = with_topics(spark, sf_dir, evidence=True).select("row_id", F.explode_outer("topics").alias("t"))
+    return said.select("row_id", "t.topic", F.explode_outer("t.evidence").alias("e")).filter("e IS NOT NULL").select("row_id", "topic", "e.*")
 
 
 @query(sql.TOPIC_METRICS)
