@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from reviewlake.operators.topics import RULES
 from reviewlake.sources.reviews import AS_OF, NEGATIVE_TEXTS, POSITIVE_TEXTS, PROPERTIES
 
 
@@ -119,8 +118,7 @@ TOPIC_METRICS = f"""{_COUNTED} SELECT *, negative_share - previous_share AS shar
 TOP_TOPIC = f"{_COUNTED} SELECT property_key, top_topic, top_topic_mentions FROM top_topic WHERE k = 1"
 PROPERTY_METRICS = f"{_COUNTED} SELECT * FROM pm"
 
-_RE2 = {t: "|".join(p for name, _, p, _ in RULES if name.split(".")[0] == t) for t, _ in TOPICS}
-TOPIC_HITS = f"{REVIEWS} SELECT property_key, " + ", ".join(f"count(*) FILTER (WHERE regexp_matches(concat_ws(chr(10), positive_text, negative_text), {_text('(?i)(?:' + p + ')')})) AS {t}" for t, p in _RE2.items()) + " FROM rev GROUP BY 1"
+TOPIC_HITS = f"{TOPICAL} SELECT r.property_key, " + ", ".join(f"count(*) FILTER (WHERE t.topic = '{t}') AS {t}" for t, _ in TOPICS) + " FROM rev r LEFT JOIN top t USING (row_id) GROUP BY 1"
 
 
 def feed(order: str, page: int, where: str = "true", size: int = 20, topical: bool = False) -> str:

@@ -122,3 +122,15 @@ def test_expressions_are_the_plain_classifier_on_fuzzed_texts(spark):
 def test_expressions_on_documents(spark):
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
     compared(spark, [(t, u) for t, u in zip(texts[::2], texts[1::2])])
+
+
+def test_each_text_once(spark):
+    """A third of the rows say the same, some say nothing, some are there twice; columns of any name stay."""
+    texts = [("The room was spotless", None), (None, None), ("", "nothing"), ("Not clean at all", "Slow wifi and a cold shower"), (None, "No lift. Staff were not friendly")]
+    rows = [(i % 40, i % 3, *(texts[0] if i % 3 == 0 else texts[i % 5]), 50, i % 7, "x") for i in range(120)]
+    r = sentiment.with_sentiment(spark.createDataFrame(rows * 2, "token int, property_key int, positive_text string, negative_text string, tenths int, f int, h string"))
+    for evidence in (False, True):
+        whole, once = topics.with_topics(r, evidence), topics.with_topics_once(r, ("property_key", "token"), evidence)
+        assert once.columns == whole.columns and once.schema["topics"].dataType.simpleString() == whole.schema["topics"].dataType.simpleString()
+        assert sorted(map(str, once.collect())) == sorted(map(str, whole.collect()))
+    assert topics.with_topics_once(r.limit(0), ("token",)).count() == 0
