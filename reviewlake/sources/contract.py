@@ -1,14 +1,19 @@
-"""The contract of collected responses: what each JSON value must be, stated as a table, and checked as expressions."""
+"""The contract of collected responses: what each JSON value must be, stated as a table that one small walk checks."""
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reviewlake.functions import variants as V
-from reviewlake.functions.scalars import canonical_json, canonical_photo
+from reviewlake.functions.scalars import PHOTO_DOMAIN, canonical_json, canonical_photo
 
 
 @dataclass(frozen=True)
@@ -67,74 +72,98 @@ METADATA = {
 }
 
 
-def _holds(v: Column, leaf: str) -> Column:
-    """Whether a value is what a leaf says."""
-    n, said = V.number(v), V.text(v)
-    whole = (n == F.floor(n)) & F.abs(n).__le__(V.MOST_SAFE)
-    checks = {
-        "text": said.isNotNull(), "filled text": said != "", "flag": V.is_kind(v, "BOOLEAN"), "count": V.is_count(v), "score": n.between(0, 10), "id": (said != "") | whole,
-        "epoch": (n == F.floor(n)) & n.between(1, 8.64e12), "photo url": canonical_photo(said).isNotNull(), "text or number": V.is_kind(v, "STRING", "NUMBER"),
-    }
-    ok = F.coalesce(checks[leaf.rstrip("?")], F.lit(False))
-    return ok | V.is_none(v) if leaf.endswith("?") else ok
+_number = lambda x: type(x) in (int, float)
+_whole = lambda x: _number(x) and x == x // 1
+# As Spark's matcher reads the end of a text: before a last line break, too.
+_PHOTO = re.compile(rf"https://(?i:(?:[a-z0-9-]+\.)*{re.escape(PHOTO_DOMAIN)})(?::[0-9]+)?(?:[/?#][^\x00-\x20\x7f]*)?(?:\r\n|[\n\r\u0085\u2028\u2029])?\Z")
+#: Whether a value is what a leaf says.
+_HOLDS = {
+    TEXT: lambda x: type(x) is str, FILLED: lambda x: type(x) is str and x != "", FLAG: lambda x: type(x) is bool, COUNT: lambda x: _whole(x) and 0 <= x <= V.MOST_SAFE, SCORE: lambda x: _number(x) and 0 <= x <= 10,
+    ID: lambda x: type(x) is str and x != "" or _whole(x) and abs(x) <= V.MOST_SAFE, EPOCH: lambda x: _whole(x) and 1 <= x <= 8.64e12, URL: lambda x: type(x) is str and _PHOTO.match(x) is not None, PLAIN_[:-1]: lambda x: type(x) is str or _number(x),
+}
 
 
-def violations(v: Column, spec, path: str = "") -> Column:
-    """Where a variant breaks its spec, as paths with what is wrong: a sorted list without repeats."""
-    return F.array_sort(F.array_distinct(_violations(v, spec, path)))
+def _name(x) -> str:
+    """A value as Spark casts it to text."""
+    return x if type(x) is str else "" if x is None else json.dumps(x, ensure_ascii=False, separators=(",", ":"))
 
 
-def _violations(v: Column, spec, path: str) -> Column:
-    none = F.array().cast("array<string>")
-    said = lambda what: F.array(F.lit(f"{path}:{what}" if path else what))
+def _broken(x, spec, path: str) -> Iterator[str]:
+    """Where a value breaks its spec; a null is like a missing value."""
+    at = f"{path}:" if path else ""
     if isinstance(spec, str):
-        return F.when(~_holds(v, spec), said(spec.rstrip("?"))).otherwise(none)
-    below = lambda k: f"{path}.{k}" if path else k
-    skip = V.is_none(v) if spec.nullable else F.lit(False)
-    if isinstance(spec, Array):
-        inner = F.flatten(F.transform(V.items(v), lambda x: _violations(x, spec.of, f"{path}[]")))
-        found = [inner]
-        if spec.unique:
-            names = F.transform(V.items(v), lambda x: F.coalesce(F.try_variant_get(x, f"$.{spec.unique}", "string"), F.lit("")))
-            found.append(F.when(F.size(F.array_distinct(names)) < F.size(names), said("duplicate")).otherwise(none))
-        return F.when(skip, none).when(~V.is_kind(v, "ARRAY"), said("array")).otherwise(F.concat(*found))
-    found = [F.transform(F.array_except(F.array(*map(F.lit, spec.required)), V.keys(v)), lambda k: F.concat(F.lit(f"{path}:missing " if path else "missing "), k))] if spec.required else []
-    if spec.typename:
-        found.append(F.when(~F.coalesce(V.text(V.at(v, "__typename")) == spec.typename, F.lit(False)), said("type name")).otherwise(none))
-    if {"start", "end"} <= set(spec.fields):
-        found.append(F.when(F.coalesce(V.number(V.at(v, "end")) < V.number(V.at(v, "start")), F.lit(False)), said("end before start")).otherwise(none))
-    if "ufiScoreLowerBound" in spec.fields:
-        found.append(F.when(F.coalesce(V.number(V.at(v, "ufiScoreLowerBound")) > V.number(V.at(v, "ufiScoreHigherBound")), F.lit(False)), said("bounds")).otherwise(none))
-    found += [_violations(V.at(v, k), s, below(k)) for k, s in spec.fields.items()]
-    return F.when(skip, none).when(~V.is_kind(v, "OBJECT"), said("object")).otherwise(F.concat(*found) if found else none)
+        if not (x is None and spec.endswith("?") or _HOLDS[spec.rstrip("?")](x)):
+            yield at + spec.rstrip("?")
+    elif x is None and spec.nullable:
+        return
+    elif isinstance(spec, Array):
+        if type(x) is not list:
+            yield at + "array"
+            return
+        for e in x:
+            yield from _broken(e, spec.of, f"{path}[]")
+        names = [_name(e.get(spec.unique) if type(e) is dict else None) for e in x] if spec.unique else ()
+        if len(set(names)) < len(names):
+            yield at + "duplicate"
+    elif type(x) is not dict:
+        yield at + "object"
+    else:
+        yield from (f"{at}missing {k}" for k in spec.required if k not in x)
+        if spec.typename and x.get("__typename") != spec.typename:
+            yield at + "type name"
+        for low, high, said in (("start", "end", "end before start"), ("ufiScoreLowerBound", "ufiScoreHigherBound", "bounds")):
+            if low in spec.fields and high in spec.fields and _number(x.get(low)) and _number(x.get(high)) and x[high] < x[low]:
+                yield at + said
+        for k, s in spec.fields.items():
+            yield from _broken(x.get(k), s, f"{path}.{k}" if path else k)
+
+
+def _broken_json(text: Column, spec, path: str = "") -> Column:
+    """Where JSON that Spark has read and written again breaks its spec. As expressions over variants this costs a millisecond a card, for every value is looked up in interpreted lambdas."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def broken(texts: pd.Series) -> pd.Series:
+        return pd.Series([sorted(set(_broken(None if t is None else json.loads(t), spec, path))) for t in texts], dtype=object)
+
+    # So that a filter on what is found, which Spark infers from explode() too, isn't planned beneath it with all that it reads.
+    return broken.asNondeterministic()(text)
+
+
+def violations(v: Column, spec, path: str = "") -> Column:
+    """Where a variant breaks its spec, as paths with what is wrong: a sorted list without repeats."""
+    return _broken_json(F.to_json(v), spec, path)
 
 
 def checked_cards(pages: DataFrame, body: str = "body") -> DataFrame:
     """One row per card with ``card_json`` and ``violations``; an unreadable body or one without cards has one row, with that violation and no card."""
-    front = V.at(F.try_parse_json(F.col(body)), "data.reviewListFrontend")
-    parsed = pages.withColumn("__front", front).withColumn("__cards", V.at(F.col("__front"), "reviewCard"))
-    problem = F.when(F.try_parse_json(F.col(body)).isNull(), "body:not json").when(~V.is_kind(F.col("__front"), "OBJECT"), "body:no review list").when(~V.is_kind(F.col("__cards"), "ARRAY"), "reviewCard:array")
-    rows = parsed.withColumn("__problem", problem).select("*", F.posexplode_outer(V.items(F.col("__cards"))).alias("card_index", "card")).filter(F.col("card").isNotNull() | F.col("__problem").isNotNull())
-    found = F.when(F.col("__problem").isNotNull(), F.array("__problem")).otherwise(violations(F.col("card"), CARD))
-    return rows.withColumns({"violations": found, "card_json": F.when(F.col("card").isNotNull(), F.to_json("card"))}).drop("__front", "__cards", "__problem", "card")
+    parsed = pages.withColumn("__all", F.try_parse_json(F.col(body))).withColumn("__front", V.at(F.col("__all"), "data.reviewListFrontend")).withColumn("__cards", V.array(V.at(F.col("__front"), "reviewCard")))
+    problem = F.when(F.col("__all").isNull(), "body:not json").when(~V.is_kind(F.col("__front"), "OBJECT"), "body:no review list").when(F.col("__cards").isNull(), "reviewCard:array")
+    rows = parsed.withColumn("__problem", problem).drop("__all", "__front").select("*", F.posexplode_outer("__cards").alias("card_index", "card")).filter(F.col("card").isNotNull() | F.col("__problem").isNotNull())
+    rows = rows.withColumn("card_json", F.when(F.col("card").isNotNull(), F.to_json("card"))).drop("__cards", "card").withColumn("__broken", _broken_json(F.col("card_json"), CARD))
+    return rows.withColumn("violations", F.when(F.col("__problem").isNotNull(), F.array("__problem")).otherwise(F.col("__broken"))).drop("__problem", "__broken")
+
+
+#: The lists beside the cards as one object.
+_LISTS = Object(None, (), METADATA)
 
 
 def checked_metadata(pages: DataFrame, body: str = "body") -> DataFrame:
     """pages with ``metadata_violations`` of the lists beside the cards, and ``totals_status`` of their totals against the count."""
-    front = V.at(F.try_parse_json(F.col(body)), "data.reviewListFrontend")
-    found = F.array_sort(F.array_distinct(F.concat(*[_violations(V.at(front, k), s, k) for k, s in METADATA.items()])))
-    return pages.withColumn("metadata_violations", found)
+    rows = pages.withColumn("__front", V.at(F.try_parse_json(F.col(body)), "data.reviewListFrontend"))
+    # The lists alone: the cards are checked elsewhere.
+    lists = F.to_json(F.struct(*[V.at(F.col("__front"), k).alias(k) for k in METADATA]))
+    return rows.withColumn("metadata_violations", _broken_json(lists, _LISTS)).drop("__front")
 
 
 def score_violation(v: Column, names: tuple[str, str] = ("score", "reviewScore")) -> Column:
     """A score may come under two names: one at least, from 0 to 10, and equal if both are there; null if all is well."""
-    a, b = (V.at(v, n) for n in names)
     there = lambda x: ~V.is_none(x)
     good = lambda x: V.is_none(x) | F.coalesce(V.number(x).between(0, 10), F.lit(False))
-    return (
+    said = lambda a, b: (
         F.when(~there(a) & ~there(b), "score:missing").when(~good(a) | ~good(b), "score:range")
         .when(there(a) & there(b) & (V.number(a) != V.number(b)), "score:aliases differ")
     )
+    return V.let(v, lambda x: V.let(V.at(x, names[0]), lambda a: V.let(V.at(x, names[1]), lambda b: said(a, b))))
 
 
 def title_violation(v: Column) -> Column:
@@ -144,12 +173,15 @@ def title_violation(v: Column) -> Column:
 
 def nights(v: Column) -> Column:
     """Nights of a booking: a whole number from zero, or null."""
-    return F.when(V.is_count(v), V.number(v).cast("long"))
+    return V.let(v, lambda x: F.when(V.is_count(x), V.number(x).cast("long")))
 
 
 def record_hash(card_json: Column) -> Column:
     """The digest of a whole card: keys sorted, photo hosts replaced by the one that stands for them."""
     pattern = r'"url":"(https://[^"\\]*)"'
-    urls = F.array_distinct(F.regexp_extract_all(canonical_json(card_json), F.lit(pattern), F.lit(1)))
-    shown = F.aggregate(urls, canonical_json(card_json), lambda text, u: F.coalesce(F.replace(text, F.concat(F.lit('"url":"'), u, F.lit('"')), F.concat(F.lit('"url":"'), canonical_photo(u), F.lit('"'))), text))
-    return F.sha2(shown, 256)
+
+    def shown(whole: Column) -> Column:
+        urls = F.array_distinct(F.regexp_extract_all(whole, F.lit(pattern), F.lit(1)))
+        return F.aggregate(urls, whole, lambda text, u: F.coalesce(F.replace(text, F.concat(F.lit('"url":"'), u, F.lit('"')), F.concat(F.lit('"url":"'), canonical_photo(u), F.lit('"'))), text))
+
+    return F.sha2(V.let(canonical_json(card_json), shown), 256)
