@@ -14,6 +14,8 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reviewlake.operators.ranges import settled
+
 #: Topics in order with their labels.
 TOPICS = (
     ("cleanliness", "Cleanliness"),
@@ -195,30 +197,35 @@ def with_topics(classified: DataFrame, evidence: bool = False) -> DataFrame:
     return classified.withColumns(texts).withColumns(low).withColumn("topics", F.expr(_topics(evidence))).drop(*texts, *low)
 
 
-#: Tasks over which the rows of one text are spread.
-SPREAD = 16
+#: Tasks over which the rows of one text are spread, and texts that are few enough to be sent to the rows.
+SPREAD, FEW = 16, 20_000
 
 
 def with_topics_once(classified: DataFrame, keys: tuple[str, ...], evidence: bool = False, spread: int = SPREAD) -> DataFrame:
-    """with_topics() for reviews that often say the same: texts are brought together by a shuffle, classified once, and joined with their rows.
+    """with_topics() for reviews that often say the same: distinct texts are classified once, written, and joined with their rows.
 
-    A shuffle of short texts costs far less than their classification. The rows
-    of a frequent text are dealt by their ``keys`` over ``spread`` parts, each
-    of which has the text classified; rows without any text have no topics and
-    meet nobody.
+    Few texts are sent to the rows. Many are shuffled: the rows of a frequent
+    text are then dealt by their ``keys`` over ``spread`` parts; rows without
+    any text have no topics and meet nobody.
     """
     texts, low = _texts()
-    # A substantive text is never empty, so an empty one can stand for none: plain equality keeps the partitioning for the join.
+    # A substantive text is never empty, so an empty one can stand for none: plain equality serves for the joins.
     rows = classified.withColumns({k: F.coalesce(c, F.lit("")) for k, c in texts.items()})
     said = F.lit(False)
     for k in texts:
         said |= F.col(k) != ""
+    spark = classified.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    # Written: a filter on topics would else be planned beneath the distinct, on every row, and each reader would classify again.
+    known = settled(rows.filter(said).select(*texts).distinct().repartition(tasks, *texts).withColumns(low).select(*texts, F.expr(_topics(evidence)).alias("topics")))
+    none = F.array().cast(known.schema["topics"].dataType)
+    if known.count() <= FEW:
+        return rows.join(F.broadcast(known), [*texts], "left").select(*classified.columns, F.coalesce("topics", none).alias("topics"))
     part = F.xxhash64(*keys)
     rows = rows.withColumn("__part", F.when(said, F.pmod(part, F.lit(spread))).otherwise(part))
     on = ["__part", *texts]
-    known = rows.filter(said).select(*on).distinct().withColumns(low).select(*on, F.expr(_topics(evidence)).alias("topics"))
-    none = F.array().cast(known.schema["topics"].dataType)
-    return rows.join(known, on, "left").select(*classified.columns, F.coalesce("topics", none).alias("topics"))
+    met = rows.filter(said).select(*on).distinct().join(known, [*texts])
+    return rows.join(met, on, "left").select(*classified.columns, F.coalesce("topics", none).alias("topics"))
 
 
 def topic_dimension(spark) -> DataFrame:
