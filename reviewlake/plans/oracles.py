@@ -141,6 +141,8 @@ def _evidence(place: str, key: str) -> str:
 #: Evidence of the five properties, and of as many as there are users.
 EVIDENCE = _evidence("CASE " + " ".join(f"WHEN event_type = '{k}' THEN {i}" for i, (k, *_) in enumerate(PROPERTIES)) + " END", "event_type")
 MUCH_EVIDENCE = _evidence("user_id", "'u' || user_id")
+#: Evidence of eight cases: every step of the status ladder is among them.
+EIGHT_EVIDENCE = _evidence("event_id % 8", "'p' || (event_id % 8)")
 _STATUS = """CASE WHEN published_run IS NULL THEN 'collecting' WHEN (oldest_count, oldest_ids, oldest_records) IS DISTINCT FROM (newest_count, newest_ids, newest_records) OR gap_attested AND visible_attested THEN 'evidence-error'
     WHEN present <> structured OR final_count <> structured THEN 'evidence-error' WHEN gap_attested THEN CASE WHEN gap_valid THEN 'source-gap' ELSE 'evidence-error' END
     WHEN displayed = structured THEN 'verified' WHEN visible_attested AND visible_valid THEN 'source-gap' ELSE 'evidence-error' END"""
