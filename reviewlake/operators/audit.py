@@ -9,6 +9,7 @@ from reviewlake.functions import variants as V
 from reviewlake.functions.periods import local_date, utc_text
 from reviewlake.functions.scalars import PHOTO_HOST
 from reviewlake.operators.gaps import BUCKETS, tolerance
+from reviewlake.operators.ranges import settled
 
 #: The keys of a manifest, of its properties and of a record.
 MANIFEST_KEYS = tuple("generatedAt mode samplePerProperty strictAll requestedPropertyCount omittedPropertyKeys properties totalRecords".split())
@@ -20,7 +21,8 @@ SESSION_KEYS = "aid|label|sid|session|sessionid|token|auth|authorization|csrf|xs
 #: The parser, and the kinds of gap that a manifest may name.
 PARSER, SOURCE_GAP, VISIBLE_GAP = "2.4.0", "source_gap", "visible_count_gap"
 
-_STRING = r'"((?:[^"\\]|\\.)*)"'
+# Possessive: a string ends at one place only, and none is too long for the matcher's stack.
+_STRING = r'"((?:[^"\\]++|\\.)*+)"'
 
 
 def _normal(key: Column) -> Column:
@@ -34,13 +36,21 @@ def plain_json(text: Column) -> Column:
 
 def forbidden_keys(text: Column) -> Column:
     """Whether a JSON text has a key, at any depth, that must not leave: all its strings are taken in turn, those before a colon are keys."""
-    strings = F.filter(F.regexp_extract_all(plain_json(text), F.lit(_STRING + r"\s*:?"), F.lit(0)), lambda x: x.endswith(":"))
+    return _forbidden_keys(plain_json(text))
+
+
+def _forbidden_keys(plain: Column) -> Column:
+    strings = F.filter(F.regexp_extract_all(plain, F.lit(_STRING + r"\s*:?"), F.lit(0)), lambda x: x.endswith(":"))
     return F.exists(strings, lambda x: _normal(x).isin(*FORBIDDEN))
 
 
 def session_urls(text: Column) -> Column:
     """Whether a URL under a key that names one has credentials or a session in its query; also in a list of URLs."""
-    pairs = F.regexp_extract_all(plain_json(text), F.lit(_STRING + r"\s*:\s*(?:" + _STRING + r"|\[[^\[\]{}]*\])"), F.lit(0))
+    return _session_urls(plain_json(text))
+
+
+def _session_urls(plain: Column) -> Column:
+    pairs = F.regexp_extract_all(plain, F.lit(_STRING + r"\s*:\s*(?:" + _STRING + r"|\[[^\[\]{}]*\])"), F.lit(0))
     named = F.filter(pairs, lambda p: _normal(F.regexp_extract(p, "^" + _STRING, 1)).rlike("(?:url|uri|href|link)$"))
     return F.exists(named, lambda p: p.rlike(r'"[a-zA-Z][a-zA-Z0-9+.-]*://[^"/?#]*@') | p.rlike(rf'(?i)"[a-z][a-z0-9+.-]*://[^"#]*[?&](?:{SESSION_KEYS})(?:=|&|#|")'))
 
@@ -64,30 +74,26 @@ def parse_issues(lines: DataFrame) -> DataFrame:
     return lines.select(code.alias("code"), F.lit("jsonl").alias("field")).filter(F.col("code").isNotNull())
 
 
-def audited_records(lines: DataFrame, properties: DataFrame, zone: str) -> DataFrame:
-    """A row for each readable line (line_no, value) with its issues and the uses that it is fit for.
+def audited_lines(lines: DataFrame, properties: DataFrame, zone: str) -> DataFrame:
+    """A row for each line (line_no, value): ``unread`` says why it can't be read, else it has a record's parts of issues, but for an id's second line.
 
-    ``issues`` lists (code, field), once for each photo that is at fault. Of
-    records with one id the first line is valid. Weekly use needs the schema,
-    privacy, identity, id, score and local date; property use schema, privacy,
-    identity and score; the feed all of weekly use, the UTC time, the other
-    fields and the photos.
+    Written once, without the text: whatever an audit counts comes from these rows.
     """
-    r = lines.filter("value <> ''").withColumn("__v", F.try_parse_json("value")).filter(F.col("__v").isNotNull())
+    known = properties.select("property_key", F.col("property_name").alias("__name"), F.col("hotel_id").alias("__hotel"))
+    r = lines.withColumn("__v", F.try_parse_json("value"))
+    code = F.when(F.col("value") == "", "JSONL_BLANK_LINE").when(F.col("__v").isNull(), "JSONL_INVALID_JSON")
     v = F.col("__v")
     of = lambda k: V.at(v, k)
-    r = r.withColumns({"property_key": V.text(of("propertyKey")), "__id": F.when(V.text(of("reviewId")).rlike("^[a-f0-9]{24}$"), V.text(of("reviewId"))), "__score": V.number(of("score"))})
-    first = r.filter("__id IS NOT NULL").groupBy("__id").agg(F.min("line_no").alias("__first"))
-    known = properties.select("property_key", F.col("property_name").alias("__name"), F.col("hotel_id").alias("__hotel"))
-    r = r.join(first, "__id", "left").join(known, "property_key", "left")
-    epoch = F.when(V.is_count(of("reviewedEpoch")) & (V.number(of("reviewedEpoch")) > 0), V.number(of("reviewedEpoch")).cast("long"))
+    r = r.withColumns({"unread": code, "__plain": F.to_json("__v"), "property_key": V.text(of("propertyKey")), "__text_id": V.text(of("reviewId")), "__score": V.number(of("score")), "__epoch": V.number(of("reviewedEpoch"))})
+    r = r.join(F.broadcast(known), "property_key", "left").withColumn("__id", F.when(F.col("__text_id").rlike("^[a-f0-9]{24}$"), F.col("__text_id")))
+    epoch = F.when(V.is_count(of("reviewedEpoch")) & (F.col("__epoch") > 0), F.col("__epoch").cast("long"))
     none_or = lambda k, *kinds: V.is_kind(of(k), "VOID", "MISSING", *kinds)
     scaled = F.col("__score") * 10
     checks = {
         "schema": [("RECORD_SCHEMA_MISMATCH", "record", V.has_exactly(v, RECORD_KEYS))],
-        "privacy": [("PRIVACY_FIELD_PRESENT", "record", ~forbidden_keys(F.col("value"))), ("SESSION_DATA_PRESENT", "record", ~session_urls(F.col("value")))],
+        "privacy": [("PRIVACY_FIELD_PRESENT", "record", ~_forbidden_keys(F.col("__plain"))), ("SESSION_DATA_PRESENT", "record", ~_session_urls(F.col("__plain")))],
         "identity": [("PROPERTY_IDENTITY_MISMATCH", "record.property", (V.number(of("bookingHotelId")) == F.col("__hotel")) & (V.text(of("propertyName")) == F.col("__name")))],
-        "id": [("PUBLIC_REVIEW_ID_INVALID", "record.reviewId", F.col("__id").isNotNull()), ("PUBLIC_REVIEW_ID_DUPLICATE", "record.reviewId", F.col("__id").isNull() | (F.col("line_no") == F.col("__first")))],
+        "id": [("PUBLIC_REVIEW_ID_INVALID", "record.reviewId", F.col("__id").isNotNull())],
         "score": [("SCORE_INVALID", "record.score", F.col("__score").between(0, 10) & (F.abs(scaled - F.round(scaled)) <= 1e-9))],
         "date": [("SYDNEY_LOCAL_DATE_INVALID", "record.reviewedLocalDate", V.text(of("reviewedLocalDate")) == local_date(epoch, zone).cast("string"))],
         "utc": [("UTC_TIMESTAMP_INVALID", "record.reviewedAtUtc", V.text(of("reviewedAtUtc")) == utc_text(epoch))],
@@ -101,14 +107,41 @@ def audited_records(lines: DataFrame, properties: DataFrame, zone: str) -> DataF
         ],
     }
     # A line that is no object at all fails by its schema alone.
-    is_object = V.is_kind(v, "OBJECT")
+    r = r.withColumn("is_object", V.is_kind(v, "OBJECT"))
+    is_object = F.col("is_object")
     r = r.withColumns({f"__p_{k}": F.when(is_object | F.lit(k == "schema"), _issues(x)).otherwise(_issues([])) for k, x in checks.items()})
     r = r.withColumn("__p_photos", F.when(is_object, F.transform(_photos(of("photos")), lambda at: F.struct(F.lit("PHOTO_URL_NOT_CANONICAL").alias("code"), at.alias("field")))).otherwise(_issues([])))
-    none = lambda *parts: is_object & (F.size(F.concat(*[F.col(f"__p_{p}") for p in parts])) == 0)
+    return settled(r.select("line_no", "unread", F.coalesce(F.col("value") != "", F.lit(False)).alias("filled"), "property_key", "__id", "__score", "is_object", *[f"__p_{p}" for p in _PARTS]))
+
+
+def audited_records(lines: DataFrame, properties: DataFrame, zone: str) -> DataFrame:
+    """A row for each readable line (line_no, value) with its issues and the uses that it is fit for.
+
+    ``issues`` lists (code, field), once for each photo that is at fault. Of
+    records with one id the first line is valid. Weekly use needs the schema,
+    privacy, identity, id, score and local date; property use schema, privacy,
+    identity and score; the feed all of weekly use, the UTC time, the other
+    fields and the photos.
+    """
+    return _records(audited_lines(lines, properties, zone))
+
+
+#: The parts of a record's issues, in order.
+_PARTS = ("schema", "privacy", "identity", "id", "score", "date", "utc", "content", "photos")
+
+
+def _records(lines: DataFrame) -> DataFrame:
+    """audited_records() from audited_lines()."""
+    r = lines.filter("unread IS NULL")
+    first = r.filter("__id IS NOT NULL").groupBy("__id").agg(F.min("line_no").alias("__first"))
+    r = r.join(first, "__id", "left")
+    twice = _issues([("PUBLIC_REVIEW_ID_DUPLICATE", "record.reviewId", F.col("__id").isNull() | (F.col("line_no") == F.col("__first")))])
+    r = r.withColumn("__p_id", F.when(F.col("is_object"), F.concat("__p_id", twice)).otherwise(F.col("__p_id")))
+    none = lambda *parts: F.col("is_object") & (F.size(F.concat(*[F.col(f"__p_{p}") for p in parts])) == 0)
     weekly = ("schema", "privacy", "identity", "id", "score", "date")
     r = r.withColumns({"weekly_ready": none(*weekly), "property_ready": none("schema", "privacy", "identity", "score"), "feed_ready": none(*weekly, "utc", "content", "photos")})
     unready = _issues([(f"ANALYTICS_{use.upper()}_NOT_READY", "record", F.col(f"{use}_ready")) for use in ("weekly", "property", "feed")])
-    issues = F.concat(*[F.col(f"__p_{p}") for p in (*checks, "photos")], unready)
+    issues = F.concat(*[F.col(f"__p_{p}") for p in _PARTS], unready)
     counted = none("identity")
     score = F.when(counted & none("score"), F.col("__score"))
     return r.select("line_no", F.when(counted, F.col("property_key")).alias("property_key"), score.alias("score"), issues.alias("issues"), none("id").alias("unique_id"), "weekly_ready", "property_ready", "feed_ready")
@@ -202,9 +235,11 @@ def errors(*issues: DataFrame) -> DataFrame:
 
 def audited_export(lines: DataFrame, manifest: DataFrame, properties: DataFrame, zone: str, policy: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(errors, counts) of a whole export; it is sound if there are no errors. ``counts`` has one row."""
-    records, rows = audited_records(lines, properties, zone), manifest_properties(manifest, properties, policy)
-    jsonl = lines.agg(F.count_if(F.col("value") != "").alias("n"))
+    read = audited_lines(lines, properties, zone)
+    records, rows = settled(_records(read)), manifest_properties(manifest, properties, policy)
+    jsonl = read.agg(F.count_if("filled").alias("n"))
+    unread = read.filter("unread IS NOT NULL").select(F.col("unread").alias("code"), F.lit("jsonl").alias("field"))
     each = records.select(F.explode("issues").alias("i")).select("i.code", "i.field")
-    found = errors(parse_issues(lines), each, manifest_issues(manifest, rows, properties, jsonl), property_issues(records, rows, properties))
+    found = errors(unread, each, manifest_issues(manifest, rows, properties, jsonl), property_issues(records, rows, properties))
     counts = records.agg(F.count("*").alias("parsed_records"), *[F.count_if(f"{c}").alias(f"{c}_rows") for c in ("unique_id", "weekly_ready", "property_ready", "feed_ready")])
     return found, jsonl.select(F.col("n").alias("jsonl_rows")).crossJoin(counts)  # one row each

@@ -38,7 +38,7 @@ def is_secret(key: str) -> bool:
 
 def safe_records(reviews: DataFrame, properties: DataFrame) -> DataFrame:
     """Reviews as they may leave: a public id for the token, no raw fields."""
-    named = reviews.join(properties, "property_key")
+    named = reviews.join(F.broadcast(properties), "property_key")
     return named.select("property_key", "property_name", "hotel_id", public_id(F.col("property_key"), F.col("token")).alias("review_id"), "epoch", "row_id", "local_date", (F.col("tenths") / 10).alias("score"), "positive_text", "negative_text", "language", "partner_reply", "helpful", "room", "guest_type")
 
 
@@ -80,20 +80,21 @@ def full_records(reviews: DataFrame, properties: DataFrame) -> DataFrame:
     stays null, and of a guest seven fields are kept. No token, edit or avatar
     URL leaves. A field that the source lacks is null.
     """
-    r = reviews.join(properties.select("property_key", "property_name", "hotel_id"), "property_key")
-    v = F.try_parse_json("card_json")
-    guest, booking = V.at(v, "guestDetails"), V.at(v, "bookingDetails")
-    there = lambda x, made: F.when(V.is_kind(x, "OBJECT"), made)
+    # The dimension goes to the reviews: by its few keys these would meet in as many tasks.
+    r = reviews.join(F.broadcast(properties.select("property_key", "property_name", "hotel_id")), "property_key").withColumn("__card", F.try_parse_json("card_json"))
+    v = F.col("__card")
+    there = lambda k, made: V.let(V.at(v, k), lambda x: F.when(V.is_kind(x, "OBJECT"), made(x)))
     kept = lambda x, **fields: F.struct(*[F.try_variant_get(x, f"$.{k}", t).alias(k) for k, t in fields.items()])
-    stay = F.struct(*[F.try_variant_get(booking, f"$.{k}", "string").alias(k) for k in ("customerType", "checkinDate", "checkoutDate", "stayStatus")], there(V.at(booking, "roomType"), kept(V.at(booking, "roomType"), id="string", name="string")).alias("roomType"), nights(V.at(booking, "numNights")).alias("numNights"))
-    photos = F.transform(V.items(V.at(v, "photos")), lambda p: F.struct(F.try_variant_get(p, "$.id", "string").alias("id"), F.try_variant_get(p, "$.kind", "string").alias("kind"), F.transform(V.items(V.at(p, "urls")), lambda u: F.struct(F.try_variant_get(u, "$.size", "string").alias("size"), canonical_photo(F.try_variant_get(u, "$.url", "string")).alias("url"))).alias("urls")))
+    room = lambda b: V.let(V.at(b, "roomType"), lambda x: F.when(V.is_kind(x, "OBJECT"), kept(x, id="string", name="string")))
+    stay = lambda b: F.struct(*[F.try_variant_get(b, f"$.{k}", "string").alias(k) for k in ("customerType", "checkinDate", "checkoutDate", "stayStatus")], room(b).alias("roomType"), nights(V.at(b, "numNights")).alias("numNights"))
+    photos = F.transform(V.items(V.at(v, "photos")), lambda p: F.struct(F.try_variant_get(p, "$.id", "string").alias("id"), F.try_variant_get(p, "$.kind", "string").alias("kind"), F.transform(V.items(V.at(p, "urls")), lambda u: F.struct(F.try_variant_get(u, "$.size", "string").alias("size"), V.let(F.try_variant_get(u, "$.url", "string"), lambda x: canonical_photo(x)).alias("url"))).alias("urls")))
     marks = lambda k: F.transform(V.items(V.at(v, k)), lambda h: F.struct(F.try_variant_get(h, "$.start", "long").alias("start"), F.try_variant_get(h, "$.end", "long").alias("end")))
     return r.select(
         F.col("property_key").alias("propertyKey"), F.col("property_name").alias("propertyName"), F.col("hotel_id").alias("bookingHotelId"), public_id(F.col("property_key"), F.col("token")).alias("reviewId"),
         F.col("epoch").alias("reviewedEpoch"), utc_text(F.col("epoch")).alias("reviewedAtUtc"), F.col("local_date").alias("reviewedLocalDate"), (F.col("tenths") / 10).alias("score"), F.try_variant_get(v, "$.textDetails.title", "string").alias("title"),
         F.col("positive_text").alias("positiveText"), F.col("negative_text").alias("negativeText"), F.col("language").alias("sourceLanguage"), F.col("partner_reply").alias("partnerReply"), F.col("helpful").alias("helpfulVotesCount"),
-        there(booking, stay).alias("bookingDetails"),
-        there(guest, kept(guest, username="string", countryCode="string", countryName="string", anonymous="boolean", guestTypeTranslation="string", joinedDate="long", userReviewCount="long")).alias("guestDetails"),
+        there("bookingDetails", stay).alias("bookingDetails"),
+        there("guestDetails", lambda x: kept(x, username="string", countryCode="string", countryName="string", anonymous="boolean", guestTypeTranslation="string", joinedDate="long", userReviewCount="long")).alias("guestDetails"),
         photos.alias("photos"), F.struct(marks("positiveHighlights").alias("positive"), marks("negativeHighlights").alias("negative")).alias("highlights"),
         F.try_variant_get(v, "$.textDetails.textTrivialFlag", "long").alias("textTrivialFlag"), F.try_variant_get(v, "$.isApproved", "boolean").alias("isApproved"), F.try_variant_get(v, "$.isTranslatable", "boolean").alias("isTranslatable"),
         "epoch", "row_id",
@@ -128,7 +129,7 @@ def audited(records: DataFrame, properties: DataFrame, zone: str) -> DataFrame:
     a text field of the right type.
     """
     known = properties.select("property_key", F.col("property_name").alias("__name"), F.col("hotel_id").alias("__hotel"))
-    r = records.join(known, "property_key", "left")
+    r = records.join(F.broadcast(known), "property_key", "left")
     first = F.row_number().over(Window.partitionBy("review_id").orderBy("row_id")) == 1
     checks = {
         "PROPERTY_IDENTITY_MISMATCH": ~F.coalesce((F.col("property_name") == F.col("__name")) & (F.col("hotel_id") == F.col("__hotel")), F.lit(False)),

@@ -46,6 +46,12 @@ def settled(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df dealt over tasks by a key, before work that is dear for each row: a file of a few row groups keeps only so many tasks busy, whatever its size."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), key)
+
+
 def ranged(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
     """df written in ranges of keys and order, numbered in ``__part``. A key with many rows takes several ranges; rows that are equal in both stand in one."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reviewlake.functions import display, scalars
 from reviewlake.operators import audit, export, feed, gaps, inventory, metrics, quality, snapshots
+from reviewlake.operators.ranges import settled, spread
 from reviewlake.plans import oracles as sql
 from reviewlake.plans import registry
 from reviewlake.plans.base import query, values
@@ -23,7 +24,7 @@ def _null_if(bad: Column, x: Column) -> Column:
 
 def cards(spark, sf_dir: str, faulty: bool = False) -> DataFrame:
     """Canonical reviews with the card that they might have come from; faulty: every so many break the contract in one way."""
-    r, k = src.canonical(spark, sf_dir), F.col("row_id")
+    r, k = spread(src.canonical(spark, sf_dir), "row_id"), F.col("row_id")
     bad = lambda n: (k % n == 0) & F.lit(faulty)
     lit, none = F.lit, F.lit(None).cast("string")
     typed = lambda of, /, **fields: F.struct(lit(of).alias("__typename"), *[v.alias(f) for f, v in fields.items()])
@@ -83,7 +84,7 @@ _META = """(SELECT event_id AS k, '{"data":{"reviewListFrontend":{"ratingScores"
 @query("WITH e AS (SELECT event_id AS k FROM events) SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{v}' AS violation, count(*) AS n FROM e WHERE {c}" for v, c in _META_FAULTS.items()) + ") WHERE n > 0")
 def metadata_contract(spark, sf_dir):
     """What is wrong with the metadata beside the cards."""
-    found = contract.checked_metadata(values(spark, sf_dir, _META))
+    found = contract.checked_metadata(spread(values(spark, sf_dir, _META), "k"))
     return found.select(F.explode("metadata_violations").alias("violation")).groupBy("violation").agg(F.count("*").alias("n"))
 
 
@@ -185,7 +186,8 @@ def export_audit_counts(spark, sf_dir):
 @query(_LINES + " SELECT property_key, n AS records, mean FROM per WHERE abs(mean - 5) > 1e-9")
 def export_average_recheck(spark, sf_dir):
     """Properties whose declared mean (5 for all) is not that of their sound records."""
-    rows = audit.audited_records(export_lines(spark, sf_dir), src.properties(spark), src.ZONE).filter("property_key IS NOT NULL")
+    # Written once: the means and the counts read the audited records.
+    rows = settled(audit.audited_records(export_lines(spark, sf_dir), src.properties(spark), src.ZONE).filter("property_key IS NOT NULL").select("property_key", "score"))
     found = export.averages_recheck(rows, src.properties(spark).select("property_key", F.lit(5.0).alias("declared")))
     return rows.groupBy("property_key").agg(F.count("*").alias("records")).join(found.select("property_key", F.col("average").alias("mean")), "property_key")
 
@@ -466,7 +468,7 @@ def run_throughput(spark, sf_dir):
 
 
 def _engine(spark, sf_dir):
-    engine = ReviewEngine(src.properties(spark), values(spark, sf_dir, sql.EVIDENCE))
+    engine = ReviewEngine(src.properties(spark), values(spark, sf_dir, sql.EIGHT_EVIDENCE))
     engine.load(src.canonical(spark, sf_dir), 1)
     return engine
 
@@ -479,7 +481,7 @@ def dashboard_recent(spark, sf_dir):
     return _engine(spark, sf_dir).sections(feed.FeedQuery(start=date(2024, 1, 10)), registry.TODAY).recent.select("public_id", "property_key", "local_date", "tenths", "sentiment")
 
 
-@query(f"{R}, s AS (SELECT * FROM rev WHERE property_key IN ('view', 'click')), c AS (SELECT avg(tenths) FILTER (WHERE {sql.NOW}) / 10 AS now_, avg(tenths) FILTER (WHERE {sql.BEFORE}) / 10 AS before_ FROM s) SELECT 'average' AS section, now_ AS figure FROM c UNION ALL SELECT 'delta', now_ - before_ FROM c UNION ALL SELECT 'feed', count(*) FROM s UNION ALL SELECT 'weeks', 12 UNION ALL SELECT 'quality', 5 UNION ALL SELECT 'properties', 2")
+@query(f"{R}, s AS (SELECT * FROM rev WHERE property_key IN ('view', 'click')), c AS (SELECT avg(tenths) FILTER (WHERE {sql.NOW}) / 10 AS now_, avg(tenths) FILTER (WHERE {sql.BEFORE}) / 10 AS before_ FROM s) SELECT 'average' AS section, now_ AS figure FROM c UNION ALL SELECT 'delta', now_ - before_ FROM c UNION ALL SELECT 'feed', count(*) FROM s UNION ALL SELECT 'weeks', 12 UNION ALL SELECT 'quality', 8 UNION ALL SELECT 'properties', 2")
 def dashboard_sections(spark, sf_dir):
     """Figures out of all sections of one query, from facts that are classified once."""
     s = _engine(spark, sf_dir).sections(feed.FeedQuery(properties=("view", "click")), registry.TODAY)
