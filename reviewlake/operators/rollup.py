@@ -30,7 +30,7 @@ Classify = Callable[[DataFrame], DataFrame]
 
 
 def classified(reviews: DataFrame) -> DataFrame:
-    return topics.with_topics(sentiment.with_sentiment(reviews))
+    return topics.with_topics_once(sentiment.with_sentiment(reviews), ("property_key", "token"))
 
 
 def rollup(facts: DataFrame) -> DataFrame:
