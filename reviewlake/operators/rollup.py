@@ -12,12 +12,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
+from decimal import Decimal
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewlake.functions.periods import Period
-from reviewlake.operators import metrics, sentiment, topics
+from reviewlake.operators import metrics, topics
 from reviewlake.operators.history import History
 from reviewlake.operators.ranges import settled
 
@@ -26,22 +27,31 @@ CELL = ("property_key", "local_date", "tenths", "sentiment", "has_negative_feedb
 #: What a history must keep of a review for its cells.
 CONTENT = ("row_id", "epoch", "local_date", "tenths", "positive_text", "negative_text", "partner_reply")
 
+#: How many row numbers there are, and what stands for none: before every other, as nulls are.
+_ROWS, _NO_ROW, _NO_EPOCH = Decimal(1 << 64), -(1 << 63), -5 * 10**18
+
 Classify = Callable[[DataFrame], DataFrame]
 
 
 def classified(reviews: DataFrame) -> DataFrame:
-    return topics.with_topics_once(sentiment.with_sentiment(reviews), ("property_key", "token"))
+    return topics.classified_once(reviews, ("property_key", "token"))
 
 
 def rollup(facts: DataFrame) -> DataFrame:
     """The cells of classified reviews: their number n, and of mentions the first by (epoch descending, row)."""
     none = F.lit(None)
     own = F.struct("tenths", "sentiment", F.coalesce(F.col("partner_reply") != "", F.lit(False)).alias("responded"), none.cast("string").alias("topic"), none.cast("string").alias("polarity"))
-    place = F.struct((-F.col("epoch")).alias("e"), "row_id")
+    # One number by (epoch descending, row): a least struct would make Spark sort all rows, a least number is kept in place.
+    at = lambda c, least: F.coalesce(c.cast("decimal(19,0)"), F.lit(least).cast("decimal(19,0)"))
+    place = at(-F.col("epoch"), _NO_EPOCH) * F.lit(_ROWS) + (at(F.col("row_id"), _NO_ROW) - F.lit(_NO_ROW))
     said = F.transform("topics", lambda t: F.struct(none.cast("int").alias("tenths"), none.cast("string").alias("sentiment"), none.cast("boolean").alias("responded"), t["topic"].alias("topic"), t["polarity"].alias("polarity")))
     rows = facts.select("property_key", "local_date", "has_negative_feedback", place.alias("place"), F.explode_outer(F.concat(F.array(own), F.coalesce(said, F.array()))).alias("x"))
     rows = rows.select("property_key", "local_date", "has_negative_feedback", "x.*", F.when(F.col("x.topic").isNotNull(), F.col("place")).alias("place"))
-    return rows.groupBy(*CELL).agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    found = rows.groupBy(*CELL).agg(F.count("*").alias("n"), F.min("place").alias("place"))
+    rest = F.pmod("place", F.lit(_ROWS))
+    e = F.nullif(F.call_function("div", F.col("place") - rest, F.lit(_ROWS)), F.lit(_NO_EPOCH))
+    row = F.nullif((rest + F.lit(_NO_ROW)).cast("long"), F.lit(_NO_ROW))
+    return found.select(*CELL, "n", F.when(F.col("place").isNotNull(), F.struct(e.alias("e"), row.alias("row_id"))).alias("first"))
 
 
 def maintained(cells: DataFrame, removed: DataFrame, added: DataFrame, present: DataFrame, classify: Classify = classified) -> DataFrame:

@@ -39,9 +39,19 @@ def band(tenths: Column) -> Column:
     return F.when(tenths >= POSITIVE_FROM, "positive").when(tenths < NEGATIVE_BELOW, "negative").otherwise("mixed")
 
 
+def with_states(reviews: DataFrame) -> DataFrame:
+    """Adds the text states."""
+    return reviews.withColumns({"positive_state": state(F.col("positive_text"), False), "negative_state": state(F.col("negative_text"), True)})
+
+
 def with_sentiment(reviews: DataFrame) -> DataFrame:
     """Adds text states, band, sentiment, its rule, and the flag of negative feedback."""
-    r = reviews.withColumns({"positive_state": state(F.col("positive_text"), False), "negative_state": state(F.col("negative_text"), True), "band": band(F.col("tenths"))})
+    return labelled(with_states(reviews))
+
+
+def labelled(stated: DataFrame) -> DataFrame:
+    """with_sentiment() for rows that have their text states."""
+    r = stated.withColumn("band", band(F.col("tenths")))
     pos, neg, b = F.col("positive_state") == "substantive", F.col("negative_state") == "substantive", F.col("band")
     rule = (
         F.when(pos & neg, "both_text_channels")

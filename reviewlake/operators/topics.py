@@ -8,12 +8,13 @@ a match; anchors give way to the specific matches that they overlap.
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reviewlake.operators import sentiment
 from reviewlake.operators.ranges import settled
 
 #: Topics in order with their labels.
@@ -202,30 +203,48 @@ SPREAD, FEW = 16, 20_000
 
 
 def with_topics_once(classified: DataFrame, keys: tuple[str, ...], evidence: bool = False, spread: int = SPREAD) -> DataFrame:
-    """with_topics() for reviews that often say the same: distinct texts are classified once, written, and joined with their rows.
+    """with_topics() for reviews that often say the same: distinct texts are classified once, written, and joined with their rows."""
+    texts, low = _texts()
+    # A substantive text is never empty, so an empty one can stand for none: plain equality serves for the joins.
+    rows = classified.withColumns({k: F.coalesce(c, F.lit("")) for k, c in texts.items()})
+    met = _met(rows, (*texts,), keys, spread, lambda said: said.withColumns(low).select(*texts, F.expr(_topics(evidence)).alias("topics")))
+    return met.select(*classified.columns, F.coalesce("topics", F.array().cast(met.schema["topics"].dataType)).alias("topics"))
+
+
+def classified_once(reviews: DataFrame, keys: tuple[str, ...], evidence: bool = False, spread: int = SPREAD) -> DataFrame:
+    """with_topics() of with_sentiment() for reviews that often say the same: of distinct texts the states, too, are worked out once."""
+    own = {f"__own_{c}": c for c, _ in CHANNELS}
+    # No text and an empty one have the same state and no topics.
+    rows = reviews.withColumns({k: F.coalesce(c, F.lit("")) for k, c in own.items()})
+    found = lambda said: with_topics(sentiment.with_states(said.withColumnsRenamed(own)), evidence).withColumnsRenamed({c: k for k, c in own.items()})
+    met = _met(rows, (*own,), keys, spread, found)
+    none = F.array().cast(met.schema["topics"].dataType)
+    states = [F.coalesce(c, F.lit("empty")).alias(c) for c in ("positive_state", "negative_state")]
+    stated = sentiment.labelled(met.select(*reviews.columns, *states, F.coalesce("topics", none).alias("topics")))
+    return stated.select(*[c for c in stated.columns if c != "topics"], "topics")
+
+
+def _met(rows: DataFrame, texts: tuple[str, ...], keys: tuple[str, ...], spread: int, found: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """rows with what ``found`` tells of their distinct texts; nulls where all texts are empty.
 
     Few texts are sent to the rows. Many are shuffled: the rows of a frequent
     text are then dealt by their ``keys`` over ``spread`` parts; rows without
-    any text have no topics and meet nobody.
+    any text meet nobody.
     """
-    texts, low = _texts()
-    # A substantive text is never empty, so an empty one can stand for none: plain equality serves for the joins.
-    rows = classified.withColumns({k: F.coalesce(c, F.lit("")) for k, c in texts.items()})
     said = F.lit(False)
     for k in texts:
         said |= F.col(k) != ""
-    spark = classified.sparkSession
+    spark = rows.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     # Written: a filter on topics would else be planned beneath the distinct, on every row, and each reader would classify again.
-    known = settled(rows.filter(said).select(*texts).distinct().repartition(tasks, *texts).withColumns(low).select(*texts, F.expr(_topics(evidence)).alias("topics")))
-    none = F.array().cast(known.schema["topics"].dataType)
+    known = settled(found(rows.filter(said).select(*texts).distinct().repartition(tasks, *texts)))
     if known.count() <= FEW:
-        return rows.join(F.broadcast(known), [*texts], "left").select(*classified.columns, F.coalesce("topics", none).alias("topics"))
+        return rows.join(F.broadcast(known), [*texts], "left")
     part = F.xxhash64(*keys)
     rows = rows.withColumn("__part", F.when(said, F.pmod(part, F.lit(spread))).otherwise(part))
     on = ["__part", *texts]
     met = rows.filter(said).select(*on).distinct().join(known, [*texts])
-    return rows.join(met, on, "left").select(*classified.columns, F.coalesce("topics", none).alias("topics"))
+    return rows.join(met, on, "left")
 
 
 def topic_dimension(spark) -> DataFrame:

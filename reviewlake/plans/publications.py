@@ -23,10 +23,10 @@ _kept: dict[tuple, History] = {}
 _rolled: dict[tuple, rollup.Rollup] = {}
 
 
-def staged(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+def staged(spark: SparkSession, sf_dir: str, k: int, more: tuple[str, ...] = ()) -> DataFrame:
     """What run k (from 1) collected; an incremental one has only a fourth of the reviews, those that a complete one may leave out."""
     drop, shift, by, complete = RUNS[k - 1]
-    rows = inventory(spark, sf_dir, drop if complete else 0, shift, by).withColumn("tenths", F.least("tenths", F.lit(100)))
+    rows = inventory(spark, sf_dir, drop if complete else 0, shift, by, more).withColumn("tenths", F.least("tenths", F.lit(100)))
     rows = rows.withColumn("record_hash", F.md5(F.concat_ws("|", "token", "tenths")))
     return rows if complete else rows.filter(F.col("row_id") % drop == 0)
 
@@ -36,11 +36,9 @@ def history(spark: SparkSession, sf_dir: str, content: tuple[str, ...] = ("tenth
     key = (spark.sparkContext.applicationId, sf_dir, content)
     if key not in _kept:
         made, base, present = History(spark, scratch(spark), content), None, None
-        more = [c for c in content if c not in ("tenths", "row_id", "epoch")]
+        more = tuple(c for c in content if c not in ("tenths", "row_id", "epoch"))
         for k, (*_, complete) in enumerate(RUNS, 1):
-            rows = staged(spark, sf_dir, k)
-            if more:
-                rows = rows.join(src.canonical(spark, sf_dir).select("token", *more), "token")
+            rows = staged(spark, sf_dir, k, more)
             # The source's final count: what a complete run saw; an incremental one adds what was not present.
             if complete:
                 final = rows.count()

@@ -29,7 +29,7 @@ def with_topics(spark: SparkSession, sf_dir: str, evidence: bool = False) -> Dat
     # A small table is one row group, which one task would read and classify alone; a large one has parts enough and isn't shuffled.
     if rows.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
         rows = rows.repartition(spark.sparkContext.defaultParallelism)
-    return topics.with_topics_once(sentiment.with_sentiment(rows), ("property_key", "token"), evidence)
+    return topics.classified_once(rows, ("property_key", "token"), evidence)
 
 
 COMPARED = ("current_average", "current_count", "current_positive", "current_mixed", "current_negative", "current_unclassified", "current_negative_feedback", "current_responses", "previous_average", "previous_count", "average_delta", "direction")
@@ -218,13 +218,13 @@ def totals_consistency(spark, sf_dir):
     return rows.select("k", gaps.totals_status(F.col("unfiltered"), F.col("n"), F.array("a", "b", "c", "d")).alias("status"))
 
 
-def inventory(spark: SparkSession, sf_dir: str, drop: int = 0, shift: int = 0, by: int = 0) -> DataFrame:
-    """A collected inventory: reviews but each ``drop``-th (none for 0); of each ``shift``-th the score is changed by ``by``."""
+def inventory(spark: SparkSession, sf_dir: str, drop: int = 0, shift: int = 0, by: int = 0, more: tuple[str, ...] = ()) -> DataFrame:
+    """A collected inventory: reviews but each ``drop``-th (none for 0); of each ``shift``-th the score is changed by ``by``; ``more`` names further columns."""
     r = src.canonical(spark, sf_dir)
     if drop:
         r = r.filter(F.col("row_id") % drop != 0)
     score = F.when(F.col("row_id") % shift == 0, F.col("tenths") + by).otherwise(F.col("tenths")) if shift else F.col("tenths")
-    return r.select("property_key", "token", "row_id", "epoch", score.cast("int").alias("tenths")).withColumn("record_hash", F.md5(F.concat_ws("|", "token", "tenths")))
+    return r.select("property_key", "token", "row_id", "epoch", *more, score.cast("int").alias("tenths")).withColumn("record_hash", F.md5(F.concat_ws("|", "token", "tenths")))
 
 
 @query(sql.INVENTORY_PARITY)
