@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlake.operators import snapshots
+from reviewlake.operators.ranges import parts
 
 #: Changes that open a version, those that close the one before, and those of a presence.
 OPENS = ("inserted", "updated", "reactivated_updated")
@@ -144,10 +145,11 @@ class History:
         state, segment = f"{self.root}/states/{attempt}", f"{self.root}/segments/{attempt}"
         try:
             before = self.spark.read.parquet(head.state) if head else None
-            snapshots.promote(before, staged, run_id, complete, self.content).write.parquet(state)
+            tasks = parts(self.spark, final_count + (before.count() if head else 0))
+            snapshots.promote(before, staged, run_id, complete, self.content, tasks).write.parquet(state)
             rows = self.spark.read.parquet(state)
-            counts = self._checked(rows, staged, run_id, final_count, complete)
-            rows.filter(~F.col("change").isin(*STILL)).withColumn("generation", F.lit(generation)).write.parquet(segment)
+            counts = self._checked(rows, final_count, complete)
+            rows.drop("staged").filter(~F.col("change").isin(*STILL)).withColumn("generation", F.lit(generation)).write.parquet(segment)
             commit = Commit(generation, run_id, base_run, complete, state, segment, **counts)
             if not self._files.appear(self._named(generation), json.dumps(asdict(commit))):
                 raise Refused("STALE_BASE_PUBLICATION", f"another run became generation {generation}")
@@ -157,18 +159,19 @@ class History:
             raise
         return commit, False
 
-    def _checked(self, rows: DataFrame, staged: DataFrame, run_id: int, final_count: int, complete: bool) -> dict[str, int]:
-        seen = staged.groupBy(*snapshots.KEYS).agg(F.count("*").alias("n"))
+    def _checked(self, rows: DataFrame, final_count: int, complete: bool) -> dict[str, int]:
         nameless = F.coalesce(*[F.when(F.col(k).isNull(), True) for k in snapshots.KEYS], F.lit(False))
-        bad, reviews = seen.agg(F.count_if((F.col("n") > 1) | nameless), F.count("*")).first()
-        if bad or complete and reviews != final_count:
-            raise Refused("RECONCILIATION_MISMATCH", f"{reviews} identities of {final_count}, {bad} of them staged twice or without a name")
         change, n = F.col("change"), lambda *kinds: F.count_if(F.col("change").isin(*kinds))
         figures = {
             "inserted": n("inserted"), "updated": n(*CLOSES), "unchanged": n("unchanged", "reactivated"), "reactivated": n("reactivated", "reactivated_updated"),
             "suspect_missing": n("suspect_missing"), "tombstoned": n("tombstoned"), "present": F.count_if((F.col("presence") == "present") & change.isNotNull()),
         }
+        # A name that is there twice counts once, as does one that is missing.
+        figures |= {"reviews": F.count_if(F.col("staged") == 1), "bad": F.count_if(F.col("staged") == F.when(nameless, 1).otherwise(2))}
         counts = rows.agg(*[c.alias(k) for k, c in figures.items()]).first().asDict()
+        bad, reviews = counts.pop("bad"), counts.pop("reviews")
+        if bad or complete and reviews != final_count:
+            raise Refused("RECONCILIATION_MISMATCH", f"{reviews} identities of {final_count}, {bad} of them staged twice or without a name")
         if counts["present"] != final_count:
             raise Refused("PROMOTION_COUNT_MISMATCH", f"{counts['present']} reviews are present, the source has {final_count}")
         return counts
@@ -178,7 +181,7 @@ class History:
         head = self.head()
         if head is None:
             raise LookupError("nothing is published yet")
-        return self.spark.read.parquet(head.state)
+        return self.spark.read.parquet(head.state).drop("staged")
 
     def _segments(self, until: int | None, since: int = 0) -> DataFrame:
         found = [c.segment for c in self.commits(until) if c.generation > since]

@@ -52,6 +52,15 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), key)
 
 
+#: Rows of one task where a key's rows meet and are sorted.
+TASK_ROWS = 200_000
+
+
+def parts(spark: SparkSession, rows: int) -> int:
+    """Tasks for so many rows: as many as the session has, and more where a task would grow with the table."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+
+
 def ranged(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
     """df written in ranges of keys and order, numbered in ``__part``. A key with many rows takes several ranges; rows that are equal in both stand in one."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -89,7 +89,7 @@ KEYS = ("property_key", "token")
 STATE = ("version", "presence", "misses", "suspect_since", "tombstoned_at", "reactivations", "last_seen_run")
 
 
-def promote(state: DataFrame | None, staged: DataFrame, run_id: int, complete: bool = True, content: tuple[str, ...] = ("tenths",)) -> DataFrame:
+def promote(state: DataFrame | None, staged: DataFrame, run_id: int, complete: bool = True, content: tuple[str, ...] = ("tenths",), tasks: int | None = None) -> DataFrame:
     """The next generation of the current versions, from the last one and a staged run.
 
     Seen reviews are present again, with a new version if their record changed.
@@ -97,13 +97,17 @@ def promote(state: DataFrame | None, staged: DataFrame, run_id: int, complete: b
     miss in a row; the first time of either state stays. Incremental runs never
     infer absence. ``change`` tells what happened to each row, ``was`` how it
     stood before if that differs; ``content`` names the columns of a record that
-    its version carries.
+    its version carries. ``tasks`` is the number of parts by key in which they
+    meet (see ranges.parts()); ``staged`` numbers the rows of an identity in the
+    run, in the same parts and order: null if it was not seen, 2 if it came twice.
     """
-    s = staged.select(*KEYS, F.struct("record_hash", *content).alias("new"))
+    dealt = lambda df: df.repartition(tasks, *KEYS) if tasks else df
+    again = F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.lit(0)))
+    s = dealt(staged.select(*KEYS, F.struct("record_hash", *content).alias("new"))).withColumn("staged", again)
     if state is None:
         fields = ", ".join(f"`{c}` {staged.schema[c].dataType.simpleString()}" for c in (*KEYS, "record_hash", *content))
         state = s.sparkSession.createDataFrame([], f"{fields}, version int, presence string, misses int, suspect_since int, tombstoned_at int, reactivations int, last_seen_run int")
-    both = state.select(*KEYS, "record_hash", *content, *STATE).join(s, list(KEYS), "full_outer")
+    both = dealt(state.select(*KEYS, "record_hash", *content, *STATE)).join(s, list(KEYS), "full_outer")
     seen, old = F.col("new").isNotNull(), F.col("version").isNotNull()
     changed = old & seen & ~F.col("record_hash").eqNullSafe(F.col("new.record_hash"))
     missed = ~seen & F.lit(complete)
@@ -120,7 +124,7 @@ def promote(state: DataFrame | None, staged: DataFrame, run_id: int, complete: b
         presence.alias("presence"), misses.alias("misses"), since("suspect_since", "suspect_missing").alias("suspect_since"), since("tombstoned_at", "tombstoned").alias("tombstoned_at"),
         (F.coalesce("reactivations", F.lit(0)) + (seen & old & (F.col("presence") != "present")).cast("int")).alias("reactivations"),
         F.when(seen, run_id).otherwise(F.col("last_seen_run")).alias("last_seen_run"), change.alias("change"),
-        F.when(changed | (presence != F.col("presence")), F.struct("presence", "record_hash", *content)).alias("was"),
+        F.when(changed | (presence != F.col("presence")), F.struct("presence", "record_hash", *content)).alias("was"), "staged",
     )
 
 
@@ -142,9 +146,10 @@ def published(spark, root: str) -> DataFrame:
     return spark.read.parquet(row["path"])
 
 
-def invariants(generation: DataFrame) -> DataFrame:
-    """Violations of a generation: keys held twice, and states that do not fit their misses."""
-    twice = generation.groupBy("property_key", "token").agg(F.count("*").alias("n")).filter("n > 1").select("property_key", "token", F.lit("TWO_CURRENT").alias("violation"))
+def invariants(generation: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Violations of a generation: keys held twice, and states that do not fit their misses. ``tasks`` as for promote()."""
+    keyed = generation.select(*KEYS).repartition(tasks, *KEYS) if tasks else generation
+    twice = keyed.groupBy("property_key", "token").agg(F.count("*").alias("n")).filter("n > 1").select("property_key", "token", F.lit("TWO_CURRENT").alias("violation"))
     fits = F.when(F.col("presence") == "present", F.col("misses") == 0).when(F.col("presence") == "suspect_missing", F.col("misses") == 1).otherwise(F.col("misses") >= MISSES_TO_TOMBSTONE)
     return twice.unionByName(generation.filter(~fits).select("property_key", "token", F.lit("STATE_MISSES").alias("violation")))
 
