@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from reviewlake.functions import display, periods, scalars
 from reviewlake.operators import export, feed, gaps, metrics, quality, sentiment, snapshots, topics
 from reviewlake.operators import inventory as checks
-from reviewlake.operators.ranges import settled
+from reviewlake.operators.ranges import parts, settled
 from reviewlake.plans import oracles as sql
 from reviewlake.plans.base import ORACLES, QUERIES, query, values
 from reviewlake.sources import publications
@@ -283,10 +283,16 @@ def repeated_pages(spark, sf_dir):
     return snapshots.repeated_pages(pages).select("property_key", "page_offset", "first_offset")
 
 
+def _tasks(spark, sf_dir) -> int:
+    """Parts for four generations that meet in one task."""
+    return parts(spark, 4 * spark.read.parquet(f"{sf_dir}/events.parquet").count())
+
+
 def _generations(spark, sf_dir) -> DataFrame:
-    one = snapshots.promote(None, inventory(spark, sf_dir, 10), 1)
-    two = snapshots.promote(one, inventory(spark, sf_dir, 13, 17, 1), 2)
-    return snapshots.promote(two, inventory(spark, sf_dir, 11, 19, 2), 3)
+    tasks = _tasks(spark, sf_dir)
+    one = snapshots.promote(None, inventory(spark, sf_dir, 10), 1, tasks=tasks)
+    two = snapshots.promote(one, inventory(spark, sf_dir, 13, 17, 1), 2, tasks=tasks)
+    return snapshots.promote(two, inventory(spark, sf_dir, 11, 19, 2), 3, tasks=tasks)
 
 
 @query(sql.SCD2)
@@ -296,7 +302,7 @@ def scd2_promote(spark, sf_dir):
 
 @query(sql.TOMBSTONES)
 def tombstone_lifecycle(spark, sf_dir):
-    return metrics.publication_stats(snapshots.promote(_generations(spark, sf_dir), inventory(spark, sf_dir, 11), 4))
+    return metrics.publication_stats(snapshots.promote(_generations(spark, sf_dir), inventory(spark, sf_dir, 11), 4, tasks=_tasks(spark, sf_dir)))
 
 
 @query(sql.BROKEN_STATES)
@@ -305,7 +311,9 @@ def generation_invariants(spark, sf_dir):
     g = _generations(spark, sf_dir)
     k = F.col("token").cast("long")
     g = g.withColumn("misses", F.when(k % 37 == 0, F.col("misses") + 5).otherwise(F.col("misses")))
-    return snapshots.invariants(g.unionByName(g.filter((k % 41 == 0) & (k % 37 > 0))))
+    # Written: the union and both rules read it, and each would make the generations anew.
+    g = settled(g.select(*snapshots.KEYS, "presence", "misses"))
+    return snapshots.invariants(g.unionByName(g.filter((k % 41 == 0) & (k % 37 > 0))), _tasks(spark, sf_dir))
 
 
 @query("SELECT event_id AS row_id, substr(sha256(event_type || ':' || CAST(event_id AS VARCHAR)), 1, 24) AS public_id FROM events")
