@@ -206,8 +206,10 @@ def bucket_spans(doc: np.ndarray, anchor: np.ndarray, right: list[bytes], left:
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-#: Bits for the places of a run within a packed long.
-_SPAN = 10
+#: Bits for the places of a run within a packed long, and those of an anchor's hash that the filter does without: what it lets pass is compared.
+_SPAN, _SPARED = 10, np.uint64(20)
+#: Stands for no doc_id, before all others.
+_NO_ID = -(2**63)
 
 
 def _anchor_rows(batches: Iterable[pd.DataFrame], size: int, seed: int) -> Iterator[pd.DataFrame]:
@@ -219,7 +221,7 @@ def _anchor_rows(batches: Iterable[pd.DataFrame], size: int, seed: int) -> Itera
                 # Pieces of a long text overlap by all but one byte of a window: each window falls into one piece.
                 h, anchor, first, last = anchors(data[a : a + PASS_BYTES + size - 1], size, seed)
                 if len(h):
-                    found.append((h, ((first + a) << (2 * _SPAN)) | ((last - first) << _SPAN) | (anchor - first)))
+                    found.append((h >> _SPARED, ((first + a) << (2 * _SPAN)) | ((last - first) << _SPAN) | (anchor - first)))
                     keys.append(np.full(len(h), d, np.int64))
         if found:
             yield pd.DataFrame({"h": np.concatenate([x for x, _ in found]).view(np.int64), "d": np.concatenate(keys), "at": np.concatenate([x for _, x in found])})
@@ -381,10 +383,11 @@ def without_repeats(docs: DataFrame, size: int = SIZE, seed: int = SEED, doc_id:
     are ignored; an empty table gives no rows. With a seed of up to ``size``
     bytes the result is the same for any seed.
     """
-    named = F.col(doc_id).cast("long")
-    prepared = docs.select(F.coalesce(named, F.lit(-(2**63))).alias("d"), F.coalesce(F.col(text), F.lit("")).alias("text"), named.alias("g")).withColumn("th", F.xxhash64("text"))
+    prepared = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("d"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     # All rows without a doc_id are one document to the order, but not one group: there only equal texts are.
-    prepared = prepared.withColumn("g", F.coalesce("g", F.xxhash64("th")))
+    group = F.when(F.col("d") == _NO_ID, F.xxhash64("th")).otherwise(F.col("d"))
+    # Both joins deal the same columns by the same key, so that Spark shuffles the texts once for both.
+    prepared = prepared.select("d", "th", "text", group.alias("g"))
     anchored = prepared.select(F.col("g").alias("d"), "text").mapInPandas(lambda x: _anchor_rows(x, size, seed), "h long, d long, at long")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     again = anchored.repartitionByRange(n, "h", "d").sortWithinPartitions("h").mapInPandas(_repeated, "d long, at long")
@@ -397,16 +400,16 @@ def without_repeats(docs: DataFrame, size: int = SIZE, seed: int = SEED, doc_id:
     key = F.coalesce("digest", F.unhex(F.lpad(F.hex(F.xxhash64("d", "start", "end")), 16, "0")))
     earliest = F.min(F.when(F.col("digest").isNotNull(), F.struct("d", "start"))).over(Window.partitionBy("key"))
     spans = found.withColumn("key", key).withColumn("earliest", earliest).filter(F.col("digest").isNull() | (F.struct("d", "start") > F.col("earliest")))
-    by_doc = spans.groupBy("d", "th").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    by_doc = spans.groupBy(group.alias("g")).agg(F.collect_list(F.struct("th", "start", "end")).alias("spans"))
 
     def finish(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for d, t, found in zip(b["d"], b["text"], b["spans"]):
+            for d, th, t, found in zip(b["d"], b["th"], b["text"], b["spans"]):
                 data = t.encode("utf-8", "surrogatepass")
-                kept, gone, runs = _kept(data, [(s["start"], s["end"]) for s in found] if found is not None else [])
+                kept, gone, runs = _kept(data, [(s["start"], s["end"]) for s in found if s["th"] == th] if found is not None else [])
                 rows.append((d, len(data), gone, runs, hashlib.sha256(kept).hexdigest(), kept))
             yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    done = prepared.join(by_doc, ["d", "th"], "left").mapInPandas(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    return done.withColumn("doc_id", F.nullif("doc_id", F.lit(-(2**63))))
+    done = prepared.join(by_doc, "g", "left").select("d", "th", "text", "spans").mapInPandas(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return done.withColumn("doc_id", F.nullif("doc_id", F.lit(_NO_ID)))
