@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,17 +60,15 @@ def _session_urls(plain: Column) -> Column:
     return F.exists(named, lambda p: p.rlike(r'"[a-zA-Z][a-zA-Z0-9+.-]*://[^"/?#]*@') | p.rlike(rf'(?i)"[a-z][a-z0-9+.-]*://[^"#]*[?&](?:{SESSION_KEYS})(?:=|&|#|")'))
 
 
-def _photos(v: Column) -> Column:
-    """An issue's field for each photo or URL that is not canonical."""
-    own = rf"^https://{PHOTO_HOST.replace('.', chr(92) + '.')}(?::\d+)?(?:[/?#]|$)"
-    ok = lambda u: F.coalesce(V.text(V.at(u, "url")).rlike(own), F.lit(False))
-    urls = lambda p: F.transform(F.filter(V.items(V.at(p, "urls")), lambda u: ~ok(u)), lambda u: F.lit("record.photos[].urls[].url"))
-    each = lambda p: F.when(V.is_kind(V.at(p, "urls"), "ARRAY"), urls(p)).otherwise(F.array(F.lit("record.photos")))
-    return F.when(V.is_kind(v, "ARRAY"), F.flatten(F.transform(V.items(v), each))).otherwise(F.array(F.lit("record.photos")))
+_ISSUES = "array<struct<code: string, field: string>>"
+
+
+def _issue(code: str, at: Column | str) -> Column:
+    return F.struct(F.lit(code).alias("code"), F.lit(at).alias("field"))
 
 
 def _issues(pairs: list[tuple[str, str, Column]]) -> Column:
-    return F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.struct(F.lit(code).alias("code"), F.lit(at).alias("field"))) for code, at, ok in pairs]))
+    return F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), _issue(code, at)) for code, at, ok in pairs]))
 
 
 def parse_issues(lines: DataFrame) -> DataFrame:
@@ -74,44 +77,139 @@ def parse_issues(lines: DataFrame) -> DataFrame:
     return lines.select(code.alias("code"), F.lit("jsonl").alias("field")).filter(F.col("code").isNotNull())
 
 
+@functools.lru_cache(maxsize=1_000)
+def _keys(keys: tuple[str, ...]) -> tuple[bool, frozenset[str]]:
+    """Whether any of an object's keys must not leave, and those that name a URL; most objects have the keys of one before."""
+    plain = {k: re.sub("[^a-z0-9]", "", k.lower()) for k in keys}
+    return any(p in FORBIDDEN for p in plain.values()), frozenset(k for k, p in plain.items() if p.endswith(("url", "uri", "href", "link")))
+
+
+def _sensitive(x) -> tuple[bool, bool]:
+    """Whether a JSON value has a key, at any depth, that must not leave, and a URL with credentials or a session under a key that names one; lists belong to their key."""
+    forbidden = session = False
+    left = [(x, False)]
+    while left:
+        x, named = left.pop()
+        kind = type(x)
+        if kind is dict:
+            bad, urls = _keys(tuple(x))
+            forbidden |= bad
+            left.extend([(v, k in urls) for k, v in x.items() if (t := type(v)) is dict or t is list or (t is str and k in urls)])
+        elif kind is list:
+            left.extend([(v, named) for v in x])
+        elif named and kind is str and _SESSION_URL.match(x):
+            session = True
+    return forbidden, session
+
+
+# Numbers of either kind are one, as in JSON.
+_DECODER = json.JSONDecoder(parse_int=float)
+_SESSION_URL = re.compile(rf"[a-z][a-z0-9+.-]*://(?:[^/?#]*@|[^#]*[?&](?:{SESSION_KEYS})(?:[=&#]|\Z))", re.I | re.A)
+_OWN_PHOTO = re.compile(rf"https://{re.escape(PHOTO_HOST)}(?::[0-9]+)?(?:[/?#]|$)")
+#: The kinds of a record's fields that the feed shows, besides null, in order.
+_FEED_KINDS = {k: str for k in ("title", "positiveText", "negativeText", "sourceLanguage", "partnerReply")} | {"helpfulVotesCount": float, "bookingDetails": dict, "guestDetails": dict, "highlights": dict, "textTrivialFlag": float, "isApproved": bool, "isTranslatable": bool}
+#: What _read() returns.
+_READ = "is_object boolean, exact boolean, forbidden boolean, session boolean, property_key string, name string, hotel double, text_id string, score double, epoch long, day string, utc string, content array<string>, photos array<string>"
+
+
+def _is_count(x) -> bool:
+    return type(x) is float and 0 <= x <= V.MOST_SAFE and x.is_integer()
+
+
+def _text(x) -> str | None:
+    """A text as Spark has it, where half a surrogate pair is a question mark."""
+    return None if type(x) is not str else x if x.isascii() else x.encode("utf-8", "replace").decode()
+
+
+def _feed_faults(x: dict) -> list[str]:
+    """Fields of a record that the feed can't show."""
+
+    def holds(k: str, kind: type) -> bool:
+        v = x.get(k)
+        if k == "highlights":
+            return type(v) is dict and type(v.get("positive")) is list and type(v.get("negative")) is list
+        return v is None or (_is_count(v) if kind is float else type(v) is kind)
+
+    return [f"record.{k}" for k, kind in _FEED_KINDS.items() if not holds(k, kind)]
+
+
+def _photo_faults(photos) -> list[str]:
+    """A field for each photo or URL that is not canonical."""
+    if type(photos) is not list:
+        return ["record.photos"]
+    out = []
+    for p in photos:
+        urls = p.get("urls") if type(p) is dict else None
+        if type(urls) is not list:
+            out.append("record.photos")
+            continue
+        shown = (u.get("url") if type(u) is dict else None for u in urls)
+        out.extend("record.photos[].urls[].url" for u in shown if type(u) is not str or not _OWN_PHOTO.match(u))
+    return out
+
+
+def _read_one(line: str | None) -> tuple:
+    x = None if line is None else _DECODER.raw_decode(line.lstrip())[0]
+    if type(x) is not dict:
+        return (False, False, False, False, None, None, None, None, None, None, None, None, [], [])
+    number = lambda k: v if type(v := x.get(k)) is float else None
+    epoch = x.get("reviewedEpoch")
+    return (
+        True, x.keys() == _RECORD_SET, *_sensitive(x), _text(x.get("propertyKey")), _text(x.get("propertyName")), number("bookingHotelId"), _text(x.get("reviewId")), number("score"), int(epoch) if _is_count(epoch) and epoch > 0 else None,
+        _text(x.get("reviewedLocalDate")), _text(x.get("reviewedAtUtc")), _feed_faults(x), _photo_faults(x.get("photos")),
+    )
+
+
+_RECORD_SET = frozenset(RECORD_KEYS)
+
+
+def _read(line: Column) -> Column:
+    """What the keys and kinds of a line's values tell, in one walk; the line is null or JSON that Spark has read. As expressions over variants this costs more than a millisecond a line."""
+
+    @F.pandas_udf(_READ)
+    def read(lines: pd.Series) -> pd.DataFrame:
+        columns = zip(*map(_read_one, lines)) if len(lines) else [()] * _READ.count(",")
+        names = [field.split()[0] for field in _READ.split(", ")]
+        return pd.DataFrame({k: pd.Series(c, dtype=_DTYPES.get(k, object)) for k, c in zip(names, columns)})
+
+    # So that no filter or further column has the lines read again.
+    return read.asNondeterministic()(line)
+
+
+_DTYPES = {"hotel": "float64", "score": "float64", "epoch": "Int64"}
+
+
 def audited_lines(lines: DataFrame, properties: DataFrame, zone: str) -> DataFrame:
-    """A row for each line (line_no, value): ``unread`` says why it can't be read, else it has a record's parts of issues, but for an id's second line.
+    """A row for each line (line_no, value): ``unread`` says why it can't be read, else it has a record's issues, but for an id's second line, and of each part whether it is at fault.
 
     Written once, without the text: whatever an audit counts comes from these rows.
     """
     known = properties.select("property_key", F.col("property_name").alias("__name"), F.col("hotel_id").alias("__hotel"))
-    r = lines.withColumn("__v", F.try_parse_json("value"))
-    code = F.when(F.col("value") == "", "JSONL_BLANK_LINE").when(F.col("__v").isNull(), "JSONL_INVALID_JSON")
-    v = F.col("__v")
-    of = lambda k: V.at(v, k)
-    r = r.withColumns({"unread": code, "__plain": F.to_json("__v"), "property_key": V.text(of("propertyKey")), "__text_id": V.text(of("reviewId")), "__score": V.number(of("score")), "__epoch": V.number(of("reviewedEpoch"))})
-    r = r.join(F.broadcast(known), "property_key", "left").withColumn("__id", F.when(F.col("__text_id").rlike("^[a-f0-9]{24}$"), F.col("__text_id")))
-    epoch = F.when(V.is_count(of("reviewedEpoch")) & (F.col("__epoch") > 0), F.col("__epoch").cast("long"))
-    none_or = lambda k, *kinds: V.is_kind(of(k), "VOID", "MISSING", *kinds)
-    scaled = F.col("__score") * 10
+    code = F.when(F.col("value") == "", "JSONL_BLANK_LINE").when(F.try_parse_json("value").isNull(), "JSONL_INVALID_JSON")
+    r = lines.select("line_no", code.alias("unread"), "value")
+    r = r.select("line_no", "unread", F.coalesce(F.col("value") != "", F.lit(False)).alias("filled"), _read(F.when(F.col("unread").isNull(), F.col("value"))).alias("__r")).select("line_no", "unread", "filled", "__r.*")
+    r = r.join(F.broadcast(known), "property_key", "left").withColumn("__id", F.when(F.col("text_id").rlike("^[a-f0-9]{24}$"), F.col("text_id")))
+    scaled = F.col("score") * 10
     checks = {
-        "schema": [("RECORD_SCHEMA_MISMATCH", "record", V.has_exactly(v, RECORD_KEYS))],
-        "privacy": [("PRIVACY_FIELD_PRESENT", "record", ~_forbidden_keys(F.col("__plain"))), ("SESSION_DATA_PRESENT", "record", ~_session_urls(F.col("__plain")))],
-        "identity": [("PROPERTY_IDENTITY_MISMATCH", "record.property", (V.number(of("bookingHotelId")) == F.col("__hotel")) & (V.text(of("propertyName")) == F.col("__name")))],
+        "schema": [("RECORD_SCHEMA_MISMATCH", "record", F.col("exact"))],
+        "privacy": [("PRIVACY_FIELD_PRESENT", "record", ~F.col("forbidden")), ("SESSION_DATA_PRESENT", "record", ~F.col("session"))],
+        "identity": [("PROPERTY_IDENTITY_MISMATCH", "record.property", (F.col("hotel") == F.col("__hotel")) & (F.col("name") == F.col("__name")))],
         "id": [("PUBLIC_REVIEW_ID_INVALID", "record.reviewId", F.col("__id").isNotNull())],
-        "score": [("SCORE_INVALID", "record.score", F.col("__score").between(0, 10) & (F.abs(scaled - F.round(scaled)) <= 1e-9))],
-        "date": [("SYDNEY_LOCAL_DATE_INVALID", "record.reviewedLocalDate", V.text(of("reviewedLocalDate")) == local_date(epoch, zone).cast("string"))],
-        "utc": [("UTC_TIMESTAMP_INVALID", "record.reviewedAtUtc", V.text(of("reviewedAtUtc")) == utc_text(epoch))],
-        "content": [
-            *[("FEED_FIELD_INVALID", f"record.{k}", none_or(k, "STRING")) for k in ("title", "positiveText", "negativeText", "sourceLanguage", "partnerReply")],
-            ("FEED_FIELD_INVALID", "record.helpfulVotesCount", none_or("helpfulVotesCount") | V.is_count(of("helpfulVotesCount"))),
-            *[("FEED_FIELD_INVALID", f"record.{k}", none_or(k, "OBJECT")) for k in ("bookingDetails", "guestDetails")],
-            ("FEED_FIELD_INVALID", "record.highlights", V.is_kind(of("highlights"), "OBJECT") & V.is_kind(of("highlights.positive"), "ARRAY") & V.is_kind(of("highlights.negative"), "ARRAY")),
-            ("FEED_FIELD_INVALID", "record.textTrivialFlag", none_or("textTrivialFlag") | V.is_count(of("textTrivialFlag"))),
-            *[("FEED_FIELD_INVALID", f"record.{k}", none_or(k, "BOOLEAN")) for k in ("isApproved", "isTranslatable")],
-        ],
+        "score": [("SCORE_INVALID", "record.score", F.col("score").between(0, 10) & (F.abs(scaled - F.round(scaled)) <= 1e-9))],
+        "date": [("SYDNEY_LOCAL_DATE_INVALID", "record.reviewedLocalDate", F.col("day") == local_date(F.col("epoch"), zone).cast("string"))],
+        "utc": [("UTC_TIMESTAMP_INVALID", "record.reviewedAtUtc", F.col("utc") == utc_text(F.col("epoch")))],
     }
     # A line that is no object at all fails by its schema alone.
-    r = r.withColumn("is_object", V.is_kind(v, "OBJECT"))
-    is_object = F.col("is_object")
-    r = r.withColumns({f"__p_{k}": F.when(is_object | F.lit(k == "schema"), _issues(x)).otherwise(_issues([])) for k, x in checks.items()})
-    r = r.withColumn("__p_photos", F.when(is_object, F.transform(_photos(of("photos")), lambda at: F.struct(F.lit("PHOTO_URL_NOT_CANONICAL").alias("code"), at.alias("field")))).otherwise(_issues([])))
-    return settled(r.select("line_no", "unread", F.coalesce(F.col("value") != "", F.lit(False)).alias("filled"), "property_key", "__id", "__score", "is_object", *[f"__p_{p}" for p in _PARTS]))
+    applies = lambda part: F.col("is_object") | F.lit(part == "schema")
+    r = r.withColumns({f"__{part}_{i}": applies(part) & ~F.coalesce(ok, F.lit(False)) for part, x in checks.items() for i, (_, _, ok) in enumerate(x)})
+    r = r.withColumns({f"__p_{part}": functools.reduce(Column.__or__, [F.col(f"__{part}_{i}") for i in range(len(x))]) for part, x in checks.items()} | {f"__p_{part}": F.size(part) > 0 for part in ("content", "photos")})
+    found = lambda *parts: [F.array_compact(F.array(*[F.when(F.col(f"__{part}_{i}"), _issue(c, at)) for part in parts for i, (c, at, _) in enumerate(checks[part])]))]
+    listed = lambda c, fields: F.transform(fields, lambda at: _issue(c, at))
+    # Most lines have none.
+    unless = lambda parts, made: F.when(functools.reduce(Column.__or__, [F.col(f"__p_{p}") for p in parts]), F.concat(*made)).otherwise(F.array().cast(_ISSUES))
+    before = unless(_PARTS[:4], found(*_PARTS[:4]))
+    after = unless(_PARTS[4:], [*found(*_PARTS[4:7]), listed("FEED_FIELD_INVALID", "content"), listed("PHOTO_URL_NOT_CANONICAL", "photos")])
+    return settled(r.select("line_no", "unread", "filled", "property_key", "__id", F.col("score").alias("__score"), "is_object", *[f"__p_{p}" for p in _PARTS], before.alias("__before"), after.alias("__after")))
 
 
 def audited_records(lines: DataFrame, properties: DataFrame, zone: str) -> DataFrame:
@@ -135,13 +233,15 @@ def _records(lines: DataFrame) -> DataFrame:
     r = lines.filter("unread IS NULL")
     first = r.filter("__id IS NOT NULL").groupBy("__id").agg(F.min("line_no").alias("__first"))
     r = r.join(first, "__id", "left")
-    twice = _issues([("PUBLIC_REVIEW_ID_DUPLICATE", "record.reviewId", F.col("__id").isNull() | (F.col("line_no") == F.col("__first")))])
-    r = r.withColumn("__p_id", F.when(F.col("is_object"), F.concat("__p_id", twice)).otherwise(F.col("__p_id")))
-    none = lambda *parts: F.col("is_object") & (F.size(F.concat(*[F.col(f"__p_{p}") for p in parts])) == 0)
+    twice = F.col("is_object") & ~F.coalesce(F.col("__id").isNull() | (F.col("line_no") == F.col("__first")), F.lit(False))
+    r = r.withColumns({"__twice": twice, "__p_id": F.col("__p_id") | twice})
+    none = lambda *parts: F.col("is_object") & ~functools.reduce(Column.__or__, [F.col(f"__p_{p}") for p in parts])
     weekly = ("schema", "privacy", "identity", "id", "score", "date")
     r = r.withColumns({"weekly_ready": none(*weekly), "property_ready": none("schema", "privacy", "identity", "score"), "feed_ready": none(*weekly, "utc", "content", "photos")})
-    unready = _issues([(f"ANALYTICS_{use.upper()}_NOT_READY", "record", F.col(f"{use}_ready")) for use in ("weekly", "property", "feed")])
-    issues = F.concat(*[F.col(f"__p_{p}") for p in _PARTS], unready)
+    ready = {use: F.col(f"{use}_ready") for use in ("weekly", "property", "feed")}
+    found = F.concat("__before", _issues([("PUBLIC_REVIEW_ID_DUPLICATE", "record.reviewId", ~F.col("__twice"))]), "__after", _issues([(f"ANALYTICS_{use.upper()}_NOT_READY", "record", ok) for use, ok in ready.items()]))
+    # Who is ready for all has none.
+    issues = F.when(ready["property"] & ready["feed"], F.array().cast(_ISSUES)).otherwise(found)
     counted = none("identity")
     score = F.when(counted & none("score"), F.col("__score"))
     return r.select("line_no", F.when(counted, F.col("property_key")).alias("property_key"), score.alias("score"), issues.alias("issues"), none("id").alias("unique_id"), "weekly_ready", "property_ready", "feed_ready")
