@@ -83,18 +83,19 @@ def full_records(reviews: DataFrame, properties: DataFrame) -> DataFrame:
     # The dimension goes to the reviews: by its few keys these would meet in as many tasks.
     r = reviews.join(F.broadcast(properties.select("property_key", "property_name", "hotel_id")), "property_key").withColumn("__card", F.try_parse_json("card_json"))
     v = F.col("__card")
-    there = lambda k, made: V.let(V.at(v, k), lambda x: F.when(V.is_kind(x, "OBJECT"), made(x)))
-    kept = lambda x, **fields: F.struct(*[F.try_variant_get(x, f"$.{k}", t).alias(k) for k, t in fields.items()])
-    room = lambda b: V.let(V.at(b, "roomType"), lambda x: F.when(V.is_kind(x, "OBJECT"), kept(x, id="string", name="string")))
-    stay = lambda b: F.struct(*[F.try_variant_get(b, f"$.{k}", "string").alias(k) for k in ("customerType", "checkinDate", "checkoutDate", "stayStatus")], room(b).alias("roomType"), nights(V.at(b, "numNights")).alias("numNights"))
-    photos = F.transform(V.items(V.at(v, "photos")), lambda p: F.struct(F.try_variant_get(p, "$.id", "string").alias("id"), F.try_variant_get(p, "$.kind", "string").alias("kind"), F.transform(V.items(V.at(p, "urls")), lambda u: F.struct(F.try_variant_get(u, "$.size", "string").alias("size"), V.let(F.try_variant_get(u, "$.url", "string"), lambda x: canonical_photo(x)).alias("url"))).alias("urls")))
-    marks = lambda k: F.transform(V.items(V.at(v, k)), lambda h: F.struct(F.try_variant_get(h, "$.start", "long").alias("start"), F.try_variant_get(h, "$.end", "long").alias("end")))
+    # Each part is read at once by its type, which makes null of what is no object or list: a let() or a kind for each value would cost most of a record's time.
+    r = r.withColumn("__stay", V.at(v, "bookingDetails", "struct<customerType: string, checkinDate: string, checkoutDate: string, stayStatus: string, roomType: struct<id: string, name: string>, numNights: variant>"))
+    stay = F.when(F.col("__stay").isNotNull(), F.struct(*[f"__stay.{k}" for k in ("customerType", "checkinDate", "checkoutDate", "stayStatus", "roomType")], nights(F.col("__stay.numNights")).alias("numNights")))
+    guest = V.at(v, "guestDetails", "struct<username: string, countryCode: string, countryName: string, anonymous: boolean, guestTypeTranslation: string, joinedDate: bigint, userReviewCount: bigint>")
+    # An element that is no object has no values.
+    listed = lambda x, made: F.transform(F.coalesce(x, F.array()), made)
+    photos = listed(V.at(v, "photos", "array<struct<id: string, kind: string, urls: array<struct<size: string, url: string>>>>"), lambda p: F.struct(p["id"].alias("id"), p["kind"].alias("kind"), listed(p["urls"], lambda u: F.struct(u["size"].alias("size"), canonical_photo(u["url"]).alias("url"))).alias("urls")))
+    marks = lambda k: listed(V.at(v, k, "array<struct<start: bigint, end: bigint>>"), lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end")))
     return r.select(
         F.col("property_key").alias("propertyKey"), F.col("property_name").alias("propertyName"), F.col("hotel_id").alias("bookingHotelId"), public_id(F.col("property_key"), F.col("token")).alias("reviewId"),
         F.col("epoch").alias("reviewedEpoch"), utc_text(F.col("epoch")).alias("reviewedAtUtc"), F.col("local_date").alias("reviewedLocalDate"), (F.col("tenths") / 10).alias("score"), F.try_variant_get(v, "$.textDetails.title", "string").alias("title"),
         F.col("positive_text").alias("positiveText"), F.col("negative_text").alias("negativeText"), F.col("language").alias("sourceLanguage"), F.col("partner_reply").alias("partnerReply"), F.col("helpful").alias("helpfulVotesCount"),
-        there("bookingDetails", stay).alias("bookingDetails"),
-        there("guestDetails", lambda x: kept(x, username="string", countryCode="string", countryName="string", anonymous="boolean", guestTypeTranslation="string", joinedDate="long", userReviewCount="long")).alias("guestDetails"),
+        stay.alias("bookingDetails"), guest.alias("guestDetails"),
         photos.alias("photos"), F.struct(marks("positiveHighlights").alias("positive"), marks("negativeHighlights").alias("negative")).alias("highlights"),
         F.try_variant_get(v, "$.textDetails.textTrivialFlag", "long").alias("textTrivialFlag"), F.try_variant_get(v, "$.isApproved", "boolean").alias("isApproved"), F.try_variant_get(v, "$.isTranslatable", "boolean").alias("isTranslatable"),
         "epoch", "row_id",

@@ -173,7 +173,7 @@ def title_violation(v: Column) -> Column:
 
 def nights(v: Column) -> Column:
     """Nights of a booking: a whole number from zero, or null."""
-    return V.let(v, lambda x: F.when(V.is_count(x), V.number(x).cast("long")))
+    return V.let(V.number(v), lambda n: F.when((n == F.floor(n)) & n.between(0, V.MOST_SAFE), n.cast("long")))
 
 
 def record_hash(card_json: Column) -> Column:
