@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from reviewlake.functions import display, scalars
 from reviewlake.operators import audit, export, feed, gaps, inventory, metrics, quality, snapshots
-from reviewlake.operators.ranges import settled, spread
+from reviewlake.operators.ranges import spread
 from reviewlake.plans import oracles as sql
 from reviewlake.plans import registry
 from reviewlake.plans.base import query, values
@@ -189,8 +189,8 @@ def export_audit_counts(spark, sf_dir):
 @query(_LINES + " SELECT property_key, n AS records, mean FROM per WHERE abs(mean - 5) > 1e-9")
 def export_average_recheck(spark, sf_dir):
     """Properties whose declared mean (5 for all) is not that of their sound records."""
-    # Written once: the means and the counts read the audited records.
-    rows = settled(audit.audited_records(export_lines(spark, sf_dir), src.properties(spark), src.ZONE).filter("property_key IS NOT NULL").select("property_key", "score"))
+    # The means and the counts read the audited lines, which are written already.
+    rows = audit.audited_records(export_lines(spark, sf_dir), src.properties(spark), src.ZONE).filter("property_key IS NOT NULL").select("property_key", "score")
     found = export.averages_recheck(rows, src.properties(spark).select("property_key", F.lit(5.0).alias("declared")))
     return rows.groupBy("property_key").agg(F.count("*").alias("records")).join(found.select("property_key", F.col("average").alias("mean")), "property_key")
 
