@@ -134,10 +134,9 @@ def export_lines(spark, sf_dir: str) -> DataFrame:
         (113, r'"reviewedLocalDate":"[0-9-]+"', '"reviewedLocalDate":"2000-01-01"'), (127, r'"reviewedAtUtc":"[^"]+"', '"reviewedAtUtc":"yesterday"'), (131, r'"title":"[^"]*"', '"title":5'), (137, r'"isApproved":(?:true|false)', '"isApproved":"yes"'),
         (139, r"^\{", '{"sessionId":"x",'), (149, r"https://photo-cdn\.invalid", "https://other.example"), (163, r"\?k=1", "?k=1&sid=2"), (151, "(?s)^.*$", ""), (157, "(?s)^.+$", "{"),
     )
-    # The pattern, not the text, depends on the line: so each edit names the text once. Most lines have none.
-    value = F.col("value")
-    for n, pattern, new in edits:
-        value = F.regexp_replace(value, F.when(k % n == 0, pattern).otherwise("(?!)"), F.lit(new))
+    # Most lines have no edit, the others one or two, in order: only these pass over the text.
+    due = F.array_compact(F.array(*[F.when(k % n == 0, F.struct(F.lit(pattern).alias("pattern"), F.lit(new).alias("new"))) for n, pattern, new in edits]))
+    value = F.aggregate(due, F.col("value"), lambda text, e: F.regexp_replace(text, e["pattern"], e["new"]))
     edited = functools.reduce(Column.__or__, [k % n == 0 for n, _, _ in edits])
     return rows.withColumn("value", F.when(edited, value).otherwise(F.col("value")))
 
